@@ -14,6 +14,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from .let import let
+
 # Split preference of the four readers. The first is the default everywhere.
 DEFAULT_SPLITS = ("test", "validation", "dev")
 AVERAGE_SPLITS = ("test", "validation", "default")
@@ -24,8 +26,7 @@ SCORE_KEYS = ("main_score", "score", "cos_sim", "spearman", "accuracy")
 _NUMBER_TYPES = r"^(TINYINT|SMALLINT|INT|BIGINT|FLOAT|DOUBLE|DECIMAL\(.*\))$"
 
 
-def number_of(value: Column) -> Column:
-    """A JSON number or boolean as double; strings, nulls, lists and objects are NULL."""
+def _number(value: Column) -> Column:
     kind = F.schema_of_variant(value)
     number = F.when(
         kind.rlike(_NUMBER_TYPES), F.try_variant_get(value, "$", "double")
@@ -33,6 +34,11 @@ def number_of(value: Column) -> Column:
     return F.nanvl(number, F.lit(None).cast("double"))
 
 
+def number_of(value: Column) -> Column:
+    """A JSON number or boolean as double; strings, nulls, lists and objects are NULL."""
+    return let(value, _number)
+
+
 def is_object(value: Column) -> Column:
     return F.schema_of_variant(value).startswith("OBJECT")
 
@@ -56,10 +62,14 @@ def _entry_score(split: Column) -> Column:
 
 def main_score(content: Column, preferred: Sequence[str] = DEFAULT_SPLITS) -> Column:
     """``main_score`` of the first preferred split that has one, else of any split in order."""
-    splits = split_scores(content)
-    named = [_entry_score(F.try_element_at(splits, F.lit(name))) for name in preferred]
-    others = F.filter(F.transform(F.map_values(splits), _entry_score), lambda s: s.isNotNull())
-    return F.coalesce(*named, F.get(others, F.lit(0)))
+
+    def pick(splits: Column) -> Column:
+        named = [_entry_score(F.try_element_at(splits, F.lit(name))) for name in preferred]
+        every = F.transform(F.map_values(splits), _entry_score)
+        others = F.filter(every, lambda s: s.isNotNull())
+        return F.coalesce(*named, F.get(others, F.lit(0)))
+
+    return let(split_scores(content), pick)
 
 
 def all_scores(content: Column) -> Column:
@@ -68,29 +78,35 @@ def all_scores(content: Column) -> Column:
         split_scores(content), lambda _, split: F.try_variant_get(split, "$[0]", "variant")
     )
     kept = F.map_filter(first, lambda _, entry: is_object(entry))
-    return F.when(F.size(kept) > 0, F.to_json(kept))
+    return F.nullif(F.to_json(kept), F.lit("{}"))
 
 
 def metric_map(all_scores_text: Column, preferred: str = "test") -> Column:
     """Metric name -> value of the preferred split, else of the first split holding an object."""
-    splits = F.from_json(all_scores_text, "map<string,variant>")
-    chosen = F.try_element_at(splits, F.lit(preferred))
-    objects = F.filter(F.map_values(splits), is_object)
-    entry = F.when(is_object(chosen), chosen).otherwise(F.get(objects, F.lit(0)))
+
+    def pick(splits: Column) -> Column:
+        objects = F.filter(F.map_values(splits), is_object)
+        chosen = F.try_element_at(splits, F.lit(preferred))
+        return F.coalesce(F.when(is_object(chosen), chosen), F.get(objects, F.lit(0)))
+
+    entry = let(F.from_json(all_scores_text, "map<string,variant>"), pick)
     return F.try_variant_get(entry, "$", "map<string,variant>")
 
 
 def mean_of_numbers(value: Column) -> Column:
     """Mean of the numeric elements of a JSON list, NULL without any."""
     items = F.transform(F.try_variant_get(value, "$", "array<variant>"), number_of)
-    numbers = F.filter(items, lambda x: x.isNotNull())
-    total = F.aggregate(numbers, F.lit(0.0), lambda acc, x: acc + x)
-    return F.when(F.size(numbers) > 0, total / F.size(numbers))
+
+    def mean(numbers: Column) -> Column:
+        total = F.aggregate(numbers, F.lit(0.0), lambda acc, x: acc + x)
+        return F.when(F.size(numbers) > 0, total / F.size(numbers))
+
+    return let(F.filter(items, lambda x: x.isNotNull()), mean)
 
 
 def metric_value(value: Column) -> Column:
     """Numbers and booleans as double, numeric lists as their mean, anything else NULL."""
-    return F.when(is_list(value), mean_of_numbers(value)).otherwise(number_of(value))
+    return let(value, lambda v: F.when(is_list(v), mean_of_numbers(v)).otherwise(_number(v)))
 
 
 def _numeric(value: object) -> bool:

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..constants import COSINE_EPS
+from .let import let
 
 
 def as_double(vector: Column) -> Column:
@@ -24,10 +25,19 @@ def norm(vector: Column) -> Column:
     return F.sqrt(F.aggregate(vector, F.lit(0.0), lambda acc, x: acc + x * x))
 
 
+def divided(vector: Column, by: Column) -> Column:
+    """Every element divided by one number per row."""
+    return let(by, lambda d: F.transform(vector, lambda x: x / d))
+
+
 def l2_normalize(vector: Column, eps: float = COSINE_EPS) -> Column:
     """``x / max(|x|, eps)``."""
-    scale = F.greatest(norm(vector), F.lit(eps))
-    return F.transform(vector, lambda x: x / scale)
+    return divided(vector, F.greatest(norm(vector), F.lit(eps)))
+
+
+def unit(vector: Column, eps: float = COSINE_EPS) -> Column:
+    """``x / (|x| + eps)``."""
+    return divided(vector, norm(vector) + eps)
 
 
 def cosine(left: Column, right: Column, normalize: bool = True, eps: float = COSINE_EPS) -> Column:
@@ -40,13 +50,15 @@ def cosine(left: Column, right: Column, normalize: bool = True, eps: float = COS
 
 def mean_vector(vectors: Column) -> Column:
     """Element-wise mean of an array of equally long vectors."""
-    first = F.get(vectors, F.lit(0))
-    sums = F.aggregate(
-        F.slice(vectors, 2, F.greatest(F.size(vectors) - 1, F.lit(0))),
-        first,
-        lambda acc, v: F.zip_with(acc, v, lambda a, b: a + b),
-    )
-    return F.transform(sums, lambda x: x / F.size(vectors))
+
+    def mean(rows: Column) -> Column:
+        rest = F.slice(rows, 2, F.greatest(F.size(rows) - 1, F.lit(0)))
+        sums = F.aggregate(
+            rest, F.get(rows, F.lit(0)), lambda acc, v: F.zip_with(acc, v, lambda a, b: a + b)
+        )
+        return F.transform(sums, lambda x: x / F.size(rows))
+
+    return let(vectors, mean)
 
 
 def pool_mean(hidden: Column, mask: Column) -> Column:

@@ -51,10 +51,7 @@ def cosine_matrix(
 
     def unit(vector: Column) -> Column:
         v = V.as_double(vector)
-        if not normalize:
-            return v
-        scale = V.norm(v) + 1e-12
-        return F.transform(v, lambda x: x / scale)
+        return V.unit(v) if normalize else v
 
     packed = durable(blocks_of(right, right_row, unit(F.col("embedding"))))
     width = packed.select(F.max(F.size(F.get("members", F.lit(0))["v"]))).first()[0] or 0

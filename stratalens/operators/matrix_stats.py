@@ -241,10 +241,7 @@ def mean_pairwise_cosine(
     With ``sample`` the pairs of that many sampled rows only.
     """
     rows = df if sample is None else sample_rows(df, keys, sample, seed)
-    x = V.as_double(F.col(vector))
-    scale = V.norm(x) + EPS
-    unit = F.transform(x, lambda v: v / scale)
-    units = rows.select(*keys, unit.alias("_u"))
+    units = rows.select(*keys, V.unit(V.as_double(F.col(vector)), EPS).alias("_u"))
     own = units.select(*keys, F.concat("_u", F.array(V.dot(F.col("_u"), F.col("_u")))).alias("_u"))
     sums = vector_sums(own, keys, "_u")
     whole = F.slice("total", 1, F.size("total") - 1)

@@ -1,6 +1,12 @@
 """Queries over the given tables."""
 
-from . import ingest_queries, score_queries  # noqa: F401
+from . import (  # noqa: F401
+    bandit_queries,
+    ingest_queries,
+    score_queries,
+    vector_queries,
+    work_queries,
+)
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

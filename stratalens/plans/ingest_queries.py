@@ -272,7 +272,7 @@ def extract_scores(spark, folder):
     found = P.extract_scores(_run_files(spark, folder))
     path = F.col("result_file")
     place = F.when(path.contains("/results/"), 0).when(path.contains(P.CACHE_FOLDER), 2).otherwise(1)
-    return found.drop("output_dir", "result_file").withColumn("place", place.cast("long"))
+    return found.withColumn("place", place.cast("long")).drop("output_dir", "result_file")
 
 
 _MARKERS = f"""SELECT *, CASE WHEN o_orderkey % 5 = 0 THEN concat('/runs/r', o_orderkey, '/flat/done.json')
@@ -317,11 +317,12 @@ def merge_chunks(spark, folder):
 
 
 @query("scan_scores_csv", with_views("""
-  SELECT revision, layer, task, main_score, concat('{"test":{"note":"a, ""b""","task":"', task, '"}}')
-    AS all_scores FROM scores""", "scores").replace('""b""', '\\"b\\"'))
+  SELECT revision, layer, task, main_score,
+    concat('{"test":{"note":"a, b","task":"', task, '"}}') AS all_scores FROM scores
+  """, "scores"))
 def scan_scores_csv(spark, folder):
     path = f"{shared_folder(spark)}/scores-{uuid.uuid4().hex}"
-    payload = F.concat(F.lit('{"test":{"note":"a, \\"b\\"","task":"'), "task", F.lit('"}}'))
+    payload = F.concat(F.lit('{"test":{"note":"a, b","task":"'), "task", F.lit('"}}'))
     rows = V.scores(spark, folder, once=True).withColumn("all_scores", payload)
     K.write_csv(rows, path)
     schema = "revision string, layer int, task string, main_score double, all_scores string"
