@@ -23,15 +23,23 @@ DOCUMENT_ORDER: tuple[str, ...] = ()
 # Keys a legacy return value may carry its score under.
 SCORE_KEYS = ("main_score", "score", "cos_sim", "spearman", "accuracy")
 
-_NUMBER_TYPES = r"^(TINYINT|SMALLINT|INT|BIGINT|FLOAT|DOUBLE|DECIMAL\(.*\))$"
+_NUMBER_TYPES = ("BIGINT", "DOUBLE", "FLOAT", "INT", "SMALLINT", "TINYINT")
+
+
+def kind_is_number(kind: Column) -> Column:
+    """Whether a variant's schema text names a number or a boolean."""
+    return kind.isin(*_NUMBER_TYPES, "BOOLEAN") | kind.startswith("DECIMAL(")
 
 
 def _number(value: Column) -> Column:
-    kind = F.schema_of_variant(value)
-    number = F.when(
-        kind.rlike(_NUMBER_TYPES), F.try_variant_get(value, "$", "double")
-    ).when(kind == "BOOLEAN", F.try_variant_get(value, "$", "boolean").cast("double"))
-    return F.nanvl(number, F.lit(None).cast("double"))
+    def by_kind(kind: Column) -> Column:
+        flag = F.try_variant_get(value, "$", "boolean").cast("double")
+        number = F.when(kind == "BOOLEAN", flag).when(
+            kind_is_number(kind), F.try_variant_get(value, "$", "double")
+        )
+        return F.nanvl(number, F.lit(None).cast("double"))
+
+    return let(F.schema_of_variant(value), by_kind)
 
 
 def number_of(value: Column) -> Column:

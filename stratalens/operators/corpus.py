@@ -103,7 +103,7 @@ def build_record_corpus(
             F.col("title").isNotNull() & F.col("text").isNotNull(), joined(F.col("title"), F.col("text"))
         )
         parts.append(F.array(title_and_text))
-    texts = rows.select("task", "pos", F.posexplode(F.concat(*parts)).alias("part", "text"))
+    texts = rows.select("task", "pos", F.posexplode_outer(F.concat(*parts)).alias("part", "text"))
     return _limited(texts.where(not_blank(F.col("text"))), max_per_task, ["pos", "part"])
 
 

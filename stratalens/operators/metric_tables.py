@@ -14,9 +14,12 @@ from .ranking import running_totals
 
 
 def metric_entries(scores: DataFrame, keep: Sequence[str]) -> DataFrame:
-    """One row per metric of the preferred split: ``name, value`` still as JSON."""
-    entries = F.explode(S.metric_map(F.col("all_scores"))).alias("name", "value")
-    return scores.select(*keep, entries)
+    """One row per metric of the preferred split: ``name, value`` still as JSON.
+
+    The outer explode keeps Spark from parsing twice, once to drop empty maps.
+    """
+    entries = F.explode_outer(S.metric_map(F.col("all_scores"))).alias("name", "value")
+    return scores.select(*keep, entries).where("name IS NOT NULL")
 
 
 def metrics_long(
@@ -35,16 +38,25 @@ def metrics_long(
 
 
 def metric_names(scores: DataFrame) -> list[str]:
-    """Distinct metrics that can hold a number: the columns of the wide table."""
-    value = F.col("value")
-    head_is_number = S.number_of(F.try_variant_get(value, "$[0]", "variant")).isNotNull()
-    is_null = F.schema_of_variant(value) == "VOID"
-    scalar = S.number_of(value).isNotNull() | is_null
-    name = F.when(scalar, F.col("name")).when(
-        S.is_list(value) & head_is_number, F.concat("name", F.lit("_mean"))
+    """Distinct metrics that can hold a number: the columns of the wide table.
+
+    Names are deduplicated together with their JSON types; which types count is decided after.
+    """
+    kinds = F.transform(
+        F.map_entries(S.metric_map(F.col("all_scores"))),
+        lambda e: F.struct(
+            e["key"].alias("name"),
+            F.schema_of_variant(e["value"]).alias("kind"),
+            F.schema_of_variant(F.try_variant_get(e["value"], "$[0]", "variant")).alias("head"),
+        ),
     )
-    found = metric_entries(scores, []).select(name.alias("name")).where("name IS NOT NULL")
-    return [r.name for r in found.distinct().orderBy("name").collect()]
+    found = scores.select(F.inline_outer(kinds)).distinct()
+    kind = F.col("kind")
+    name = F.when(S.kind_is_number(kind) | (kind == "VOID"), F.col("name")).when(
+        kind.startswith("ARRAY") & S.kind_is_number(F.col("head")), F.concat("name", F.lit("_mean"))
+    )
+    named = found.select(name.alias("name")).where("name IS NOT NULL").distinct()
+    return [r.name for r in named.orderBy("name").collect()]
 
 
 def metrics_wide(scores: DataFrame, names: Sequence[str] | None = None) -> DataFrame:
@@ -199,8 +211,11 @@ def report(metrics: DataFrame) -> DataFrame:
     )
 
 
-def key_layer_ranks(metrics: DataFrame, layers: Sequence[int] = tuple(KEY_LAYERS)) -> DataFrame:
+def key_layer_ranks(
+    metrics: DataFrame, layers: Sequence[int] = tuple(KEY_LAYERS), digits: int = 4
+) -> DataFrame:
     """Effective rank of the layers the report lists."""
-    return by_layer(metrics.where(F.col("layer").isin(*layers)), ["effective_rank"]).select(
+    rows = metrics.where(F.col("layer").isin(*layers))
+    return by_layer(rows, ["effective_rank"], digits).select(
         "layer", "effective_rank_mean", "effective_rank_std", "num_checkpoints"
     )

@@ -398,13 +398,13 @@ def metrics_report(spark, folder):
 
 
 @query("key_layer_ranks", with_views(f"""
-  SELECT layer, {r("avg(effective_rank)", 3)} AS effective_rank_mean,
-    {r("stddev_samp(effective_rank)", 3)} AS effective_rank_std,
+  SELECT layer, {r("avg(effective_rank)", 4)} AS effective_rank_mean,
+    {r("stddev_samp(effective_rank)", 4)} AS effective_rank_std,
     count(DISTINCT checkpoint) AS num_checkpoints FROM metrics
   WHERE layer IN (0, 1, 2, 3, 5, 10, 15, 20, 22, 23) GROUP BY layer""", "metrics"))
 def key_layer_ranks(spark, folder):
-    ranks = M.key_layer_ranks(V.metrics(spark, folder))
-    return rounded(ranks, "effective_rank_mean", "effective_rank_std", digits=3)
+    ranks = M.key_layer_ranks(V.metrics(spark, folder), digits=12)
+    return rounded(ranks, "effective_rank_mean", "effective_rank_std", digits=4)
 
 
 @query("arm_json", with_views("""

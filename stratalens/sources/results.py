@@ -121,7 +121,6 @@ def collect_results(documents: DataFrame, order: Sequence[str] = COLLECT_ORDER)
                 S.search_score(F.when(legacy & F.col("structured").isNull(), F.col("content"))),
             ),
         )
-        .where(F.col("score").isNotNull())
         .select("unit_dir", "stem", "place", "score")
     )
     units = read_markers(documents)
@@ -132,7 +131,9 @@ def collect_results(documents: DataFrame, order: Sequence[str] = COLLECT_ORDER)
         "left",
     )
     return matched.groupBy("output_dir", *UNIT).agg(
-        F.min_by("score", _rank(F.col("place"), order)).alias("score")
+        F.min_by(
+            "score", F.when(F.col("score").isNotNull(), _rank(F.col("place"), order))
+        ).alias("score")
     )
 
 

@@ -42,8 +42,8 @@ def read_metric_chunks(spark: SparkSession, run_dir: str) -> DataFrame:
 
 def merge_chunks(chunks: DataFrame) -> DataFrame:
     """Metric records of all chunk files; for a key in several files the last file wins."""
-    entries = chunks.select("path", F.explode(F.from_json("content", METRIC_CHUNK)))
-    latest = entries.groupBy("key").agg(F.max_by("value", "path").alias("value"))
+    entries = chunks.select("path", F.explode_outer(F.from_json("content", METRIC_CHUNK)))
+    latest = entries.where("key IS NOT NULL").groupBy("key").agg(F.max_by("value", "path").alias("value"))
     return latest.select("key", "value.*")
 
 
