@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -13,9 +13,7 @@ from pyspark.sql import types as T
 from ..constants import CONTEXT_METRICS, EPS, HISTOGRAM_BINS, METRICS
 from ..functions import vectors as V
 from ..session import broadcast_if_small, durable
-from .moments import (
-    BLOCK_ROWS, arrow_keys, groups, key_fields, moments, to_lists, to_matrix, vector_sums,
-)
+from .moments import BLOCK_ROWS, key_fields, moments, to_lists, to_matrix, vector_sums
 from .neighbors import curvature
 
 SAMPLE_ROWS = 1000
@@ -269,9 +267,3 @@ def representation_metrics(
     filled = joined.fillna(0.0, CONTEXT_METRICS)
     return filled.select(*keys, "n", *METRICS)
 
-
-__all__ = [
-    "anisotropy", "axis_scores", "covariance_summary", "curvature", "dataset_entropy",
-    "effective_rank_fro", "histogram_entropy", "mean_pairwise_cosine", "norm_entropy",
-    "prompt_entropy", "representation_metrics", "sample_rows", "spectra", "spectral_statistic",
-]

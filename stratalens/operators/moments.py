@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -52,6 +53,19 @@ def groups(batch: pa.RecordBatch, keys: Sequence[str]) -> Iterator[tuple[tuple,
         yield tuple(row[k] for k in keys), np.asarray(row["_row_list"])
 
 
+def matrices(
+    batch: pa.RecordBatch, keys: Sequence[str], vector: str
+) -> Iterator[tuple[tuple, np.ndarray, np.ndarray]]:
+    """Row numbers and matrix of each key of a batch; arms may differ in width."""
+    column = batch.column(vector)
+    if batch.num_rows == 0:
+        return
+    widths = pc.min_max(pc.list_value_length(column)).as_py()
+    whole = to_matrix(column) if widths["min"] == widths["max"] else None
+    for key, rows in groups(batch, keys):
+        yield key, rows, to_matrix(column.take(pa.array(rows))) if whole is None else whole[rows]
+
+
 def _fold(x: np.ndarray) -> Partial:
     mean = x.mean(axis=0)
     centred = x - mean
@@ -100,9 +114,8 @@ def _folder(fields, vector: str) -> Callable:
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple, Partial] = {}
         for batch in batches:
-            x = to_matrix(batch.column(vector))
-            for key, rows in groups(batch, keys):
-                partial = _fold(x[rows])
+            for key, _, x in matrices(batch, keys, vector):
+                partial = _fold(x)
                 known = held.pop(key, None)
                 held[key] = partial if known is None else merge(known, partial)
             while len(held) > HELD_ARMS:
@@ -172,10 +185,9 @@ def vector_sums(df: DataFrame, keys: Sequence[str], vector: str = "embedding") -
             held.clear()
 
         for batch in batches:
-            x = to_matrix(batch.column(vector))
-            for key, rows in groups(batch, keys):
+            for key, rows, x in matrices(batch, keys, vector):
                 n, total = held.get(key, (0, 0.0))
-                held[key] = n + len(rows), total + x[rows].sum(axis=0)
+                held[key] = n + len(rows), total + x.sum(axis=0)
             if len(held) > 1024:
                 yield from out()
         yield from out()

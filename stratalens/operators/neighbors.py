@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from ..constants import EPS
 from ..session import BROADCAST_BYTES, durable
-from .moments import arrow_keys, groups, key_fields, to_lists, to_matrix
+from .moments import arrow_keys, key_fields, matrices, to_lists, to_matrix
 
 PROBES = 100
 NEIGHBORS = 10
@@ -61,10 +61,10 @@ def _rows(fields, key: tuple, probe_ids, best: Sequence[Best]) -> pa.RecordBatch
     columns = arrow_keys(fields, [key] * total) + [
         pa.array(np.repeat(np.asarray(probe_ids, dtype=np.int64), counts)),
         pa.array(np.concatenate([b[0] for b in best]).astype(np.int64)),
-        pa.array(np.sqrt(np.concatenate([b[1] for b in best]))),
+        pa.array(np.concatenate([b[1] for b in best])),
         to_lists(np.concatenate([b[2] for b in best])),
     ]
-    names = [f.name for f in fields] + ["probe_id", "neighbor_id", "distance", "neighbor"]
+    names = [f.name for f in fields] + ["probe_id", "neighbor_id", "squared", "neighbor"]
     return pa.RecordBatch.from_arrays(columns, names=names)
 
 
@@ -74,12 +74,11 @@ def _finder(fields, row: str, vector: str, probes: dict, k: int):
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple, list[Best]] = {}
         for batch in batches:
-            x = to_matrix(batch.column(vector))
             ids = batch.column(row).to_numpy(zero_copy_only=False)
-            for key, rows in groups(batch, keys):
+            for key, rows, x in matrices(batch, keys, vector):
                 if key not in probes:
                     continue
-                found = _search(*probes[key], ids[rows], x[rows], k)
+                found = _search(*probes[key], ids[rows], x, k)
                 if key in held:
                     found = [_join_best(a, b, k) for a, b in zip(held[key], found)]
                 held[key] = found
@@ -94,9 +93,8 @@ def _collected(probes: DataFrame, keys: Sequence[str], row: str, vector: str) ->
     """Probe ids and matrix per arm; called for a checked number of bytes only."""
     table = probes.select(*keys, row, vector).toArrow().combine_chunks()
     batch = table.to_batches()[0]
-    x = to_matrix(batch.column(vector))
     ids = batch.column(row).to_numpy(zero_copy_only=False)
-    return {key: (ids[rows], x[rows]) for key, rows in groups(batch, keys)}
+    return {key: (ids[rows], x) for key, rows, x in matrices(batch, keys, vector)}
 
 
 def _cogrouped(df, probes, keys, row, vector, k, schema, fields) -> DataFrame:
@@ -113,21 +111,24 @@ def _cogrouped(df, probes, keys, row, vector, k, schema, fields) -> DataFrame:
         empty = pa.Table.from_batches([], schema=pa_schema)
         if base.num_rows == 0 or near.num_rows == 0:
             return empty
+        probe_ids = near.column(f"_p_{row}").to_numpy()
         best = _search(
-            near.column(row).to_numpy(), to_matrix(near.column(vector)),
+            probe_ids, to_matrix(near.column(f"_p_{vector}")),
             base.column(row).to_numpy(), to_matrix(base.column(vector)), k,
         )
         if not any(len(b[0]) for b in best):
             return empty
         arm = tuple(value.as_py() for value in key[: len(keys)])
-        return pa.Table.from_batches([_rows(fields, arm, near.column(row).to_numpy(), best)])
+        return pa.Table.from_batches([_rows(fields, arm, probe_ids, best)])
 
     from pyspark.sql.pandas.types import to_arrow_schema
 
     pa_schema = to_arrow_schema(schema)
     columns = [*keys, "_chunk", row, vector]
     left = spread.select(*columns).groupBy(*keys, "_chunk")
-    right = copies.select(*columns).groupBy(*keys, "_chunk")
+    # aliased, since probes usually come from the same rows
+    right = copies.select(*[F.col(c).alias(f"_p_{c}") for c in columns])
+    right = right.groupBy(*[f"_p_{c}" for c in [*keys, "_chunk"]])
     return left.cogroup(right).applyInArrow(find, schema)
 
 
@@ -143,7 +144,7 @@ def knn(
     """``(keys…, probe_id, neighbor_id, distance, neighbor, rank)``: the ``k`` nearest rows of the
     same arm by Euclidean distance, never the probe itself."""
     fields = key_fields(df, keys)
-    ddl = "probe_id long, neighbor_id long, distance double, neighbor array<double>"
+    ddl = "probe_id long, neighbor_id long, squared double, neighbor array<double>"
     schema = T.StructType(fields + T.StructType.fromDDL(ddl).fields)
     rows = df.where(F.col(vector).isNotNull()).select(*keys, row, vector)
     chosen = durable(probes.where(F.col(vector).isNotNull()).select(*keys, row, vector))
@@ -153,8 +154,10 @@ def knn(
         partial = rows.mapInArrow(found, schema)
     else:
         partial = _cogrouped(rows, chosen, keys, row, vector, k, schema, fields)
-    order = Window.partitionBy(*keys, "probe_id").orderBy("distance", "neighbor_id")
-    return partial.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    order = Window.partitionBy(*keys, "probe_id").orderBy("squared", "neighbor_id")
+    ranked = partial.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    distance = F.sqrt("squared").alias("distance")
+    return ranked.select(*keys, "probe_id", "neighbor_id", distance, "neighbor", "rank")
 
 
 def _curvature_of(fields: Sequence[T.StructField]):
