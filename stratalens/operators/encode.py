@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -14,17 +15,19 @@ from pyspark.sql import types as T
 from .moments import key_fields, to_lists
 
 Encoder = Callable[[pa.Array], np.ndarray]
-WHITESPACE = r"[ \t\n\r\f]+"
+HELD_TOKENS = 1 << 18  # token buckets a task remembers
 
 
 def hashed_tokens(dim: int = 64, normalize: bool = False) -> Encoder:
-    """Counts of white-space separated tokens by hash bucket. Only distinct tokens are hashed."""
+    """Counts of tokens between ASCII white space by hash bucket. Each distinct token of a batch is
+    hashed once at most."""
 
+    @lru_cache(maxsize=HELD_TOKENS)
     def bucket(token: str) -> int:
         return int(hashlib.md5(token.encode()).hexdigest()[:8], 16) % dim
 
     def encode(texts: pa.Array) -> np.ndarray:
-        split = pc.split_pattern_regex(texts, WHITESPACE)
+        split = pc.ascii_split_whitespace(texts)
         row = pc.list_parent_indices(split).to_numpy()
         tokens = split.flatten().dictionary_encode()
         words = tokens.dictionary.to_pylist()

@@ -13,11 +13,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import vectors as V
-from ..session import BROADCAST_BYTES, broadcast_if_small, durable
+from ..session import broadcast_if_small, durable
 from .moments import to_matrix, vector_sums
 from .ranking import average_ranks, running_totals
 
 BLOCK_VECTORS = 256
+CENTROID_BYTES = 64 << 20  # centroids up to this size travel with the tasks
 
 
 def cosine_pairwise(
@@ -208,7 +209,7 @@ def _nearest_by_block(test: DataFrame, centroids: DataFrame) -> DataFrame:
 
 
 def centroid_accuracy(
-    train: DataFrame, test: DataFrame, limit: int = BROADCAST_BYTES
+    train: DataFrame, test: DataFrame, limit: int = CENTROID_BYTES
 ) -> DataFrame:
     """Share of test rows whose closest label centroid is their own label's."""
     sums = vector_sums(train, ["label"])

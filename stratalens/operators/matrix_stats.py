@@ -56,20 +56,24 @@ def _solver(fields: Sequence[T.StructField]):
         stats, axis = _spectrum(n, flat.reshape(d, d))
         keys = [table.column(name).slice(0, 1) for name in names]
         columns = [*keys, pa.array([n]), *[pa.array([stats[s]], pa.float64()) for s in _SPECTRAL]]
-        columns += [to_lists(mean), to_lists(axis.reshape(1, -1))]
-        return pa.Table.from_arrays(columns, names=[*names, "n", *_SPECTRAL, "mean", "axis"])
+        unit = to_matrix(table.column("unit").slice(0, 1))[0]
+        cosine = (unit[:-1] @ unit[:-1] - unit[-1]) / (n * (n - 1)) if n > 1 else None
+        columns += [pa.array([cosine], pa.float64()), to_lists(mean), to_lists(axis.reshape(1, -1))]
+        out = [*names, "n", *_SPECTRAL, "mean_pairwise_cosine", "mean", "axis"]
+        return pa.Table.from_arrays(columns, names=out)
 
     return solve
 
 
 def spectra(df: DataFrame, keys: Sequence[str], vector: str = "embedding") -> DataFrame:
-    """Per arm its row count, spectral statistics, mean and first principal axis.
+    """Per arm its row count, spectral statistics, mean pairwise cosine, mean and first principal
+    axis, from one pass over the rows.
 
     Only the d x d scatter matrix of an arm meets in one task; d is the embedding width.
     """
     fields = key_fields(df, keys)
     tail = ", ".join(f"{name} double" for name in _SPECTRAL)
-    ddl = f"n long, {tail}, mean array<double>, axis array<double>"
+    ddl = f"n long, {tail}, mean_pairwise_cosine double, mean array<double>, axis array<double>"
     schema = T.StructType(fields + T.StructType.fromDDL(ddl).fields)
     return moments(df, keys, vector).groupBy(*keys).applyInArrow(_solver(fields), schema)
 
@@ -251,17 +255,16 @@ def mean_pairwise_cosine(
 def representation_metrics(
     df: DataFrame, keys: Sequence[str], row: str = "row_id", vector: str = "embedding", seed: int = 0
 ) -> DataFrame:
-    """All eight statistics of every arm. One pass yields every spectral one and the axis."""
+    """All eight statistics of every arm. One pass yields the spectral ones, the mean cosine and the
+    axis; the others each need their own look at the rows."""
     arms = durable(spectra(df, keys, vector))
     parts = [
         prompt_entropy(df, keys, vector, arms),
         dataset_entropy(df, keys, vector, seed=seed, row=row),
         curvature(df, keys, row, vector),
-        mean_pairwise_cosine(df, keys, vector),
     ]
-    joined = arms.select(
-        *keys, "n", "effective_rank", "logdet_covariance", "anisotropy", "spectral_norm"
-    )
+    shared = [name for name in METRICS if name in arms.columns]
+    joined = arms.select(*keys, "n", *shared)
     for part in parts:
         joined = joined.join(part, list(keys), "left")
     filled = joined.fillna(0.0, CONTEXT_METRICS)

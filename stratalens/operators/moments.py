@@ -1,7 +1,7 @@
 """Means and scatter matrices of embeddings, per arm, in one pass.
 
-Each task folds its rows into ``(n, mean, scatter)`` per arm and emits that, cut into blocks of
-matrix rows. Partial results are merged pairwise-exactly (Chan, Golub and LeVeque), first within a
+Each task folds its rows into ``(n, mean, scatter)`` per arm, and the sum of their unit vectors, and
+emits that, cut into blocks of matrix rows. Partial results are merged pairwise-exactly (Chan, Golub and LeVeque), first within a
 salt and then across salts, so a hot arm's partials are spread over many tasks too. Vectors
 themselves are never shuffled.
 """
@@ -17,11 +17,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..constants import EPS
+from ..session import broadcast_if_small
+
 BLOCK_ROWS = 64  # scatter rows per emitted block
 HELD_ARMS = 16  # arms a task folds at a time before it emits the oldest
+HELD_SUMS = 1024  # the same for plain sums
 SALTS = 64
+GATHERED_ROWS = 100_000  # rows of an arm per task where they have to be moved
 
-Partial = tuple[int, np.ndarray, np.ndarray]
+Partial = tuple[int, np.ndarray, np.ndarray, np.ndarray]
 
 
 def to_matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -69,7 +74,8 @@ def matrices(
 def _fold(x: np.ndarray) -> Partial:
     mean = x.mean(axis=0)
     centred = x - mean
-    return len(x), mean, centred.T @ centred
+    unit = x / (np.linalg.norm(x, axis=1, keepdims=True) + EPS)
+    return len(x), mean, centred.T @ centred, np.append(unit.sum(axis=0), (unit**2).sum())
 
 
 def merge(left: Partial, right: Partial, rows: slice = slice(None)) -> Partial:
@@ -78,7 +84,7 @@ def merge(left: Partial, right: Partial, rows: slice = slice(None)) -> Partial:
     delta = right[1] - left[1]
     scatter = left[2] + right[2]
     scatter = scatter + np.outer(delta[rows], delta) * (left[0] * right[0] / n)
-    return n, left[1] + delta * (right[0] / n), scatter
+    return n, left[1] + delta * (right[0] / n), scatter, left[3] + right[3]
 
 
 def key_fields(df: DataFrame, keys: Sequence[str]) -> list[T.StructField]:
@@ -95,8 +101,8 @@ def arrow_keys(fields: Sequence[T.StructField], rows: Sequence[tuple]) -> list[p
 
 
 def _emit(fields, keys: tuple, partial: Partial) -> Iterator[pa.RecordBatch]:
-    n, mean, scatter = partial
-    names = [f.name for f in fields] + ["n", "block", "mean", "scatter"]
+    n, mean, scatter, unit = partial
+    names = [f.name for f in fields] + ["n", "block", "mean", "scatter", "unit"]
     for block, start in enumerate(range(0, len(mean), BLOCK_ROWS)):
         rows = scatter[start : start + BLOCK_ROWS].reshape(1, -1)
         columns = arrow_keys(fields, [keys]) + [
@@ -104,6 +110,7 @@ def _emit(fields, keys: tuple, partial: Partial) -> Iterator[pa.RecordBatch]:
             pa.array([block], pa.int32()),
             to_lists(mean.reshape(1, -1)),
             to_lists(rows),
+            to_lists(unit.reshape(1, -1)),
         ]
         yield pa.RecordBatch.from_arrays(columns, names=names)
 
@@ -134,10 +141,11 @@ def _merge_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         counts = batch.column("n").to_pylist()
         means = to_matrix(batch.column("mean"))
         blocks = to_matrix(batch.column("scatter"))
+        units = to_matrix(batch.column("unit"))
         start = batch.column("block")[0].as_py() * BLOCK_ROWS
         rows = slice(start, start + BLOCK_ROWS)
-        for n, mean, block in zip(counts, means, blocks):
-            partial = (n, mean, block.reshape(-1, len(mean)))
+        for n, mean, block, unit in zip(counts, means, blocks, units):
+            partial = (n, mean, block.reshape(-1, len(mean)), unit)
             merged = partial if merged is None else merge(merged, partial, rows)
         last = batch
     if last is not None:
@@ -146,19 +154,42 @@ def _merge_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             ("n", pa.array([merged[0]])),
             ("mean", to_lists(merged[1].reshape(1, -1))),
             ("scatter", to_lists(merged[2].reshape(1, -1))),
+            ("unit", to_lists(merged[3].reshape(1, -1))),
         ):
             row = row.set_column(row.schema.get_field_index(name), name, value)
         yield row
 
 
+def gathered(df: DataFrame, keys: Sequence[str], vector: str = "embedding") -> DataFrame:
+    """``df`` laid out so that a task sees many rows of few arms.
+
+    Embeddings cached by arm are so already and stay where they are; this is found out from the key
+    columns alone. Where a task sees fewer rows of an arm than half the vector's width, a partial
+    scatter matrix would be larger than the rows it stands for: rows then move once, by arm, large
+    arms to several tasks.
+    """
+    part = F.spark_partition_id().alias("_part")
+    seen = df.groupBy(part, *keys).agg(F.count(F.lit(1)).alias("n"))
+    rows = seen.agg(F.avg("n")).first()[0] or 0.0
+    head = df.where(F.col(vector).isNotNull()).select(F.size(vector).alias("d")).head()
+    if head is None or rows >= head.d / 2:
+        return df
+    sizes = df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / GATHERED_ROWS).cast("int").alias("_m"))
+    split = df.join(broadcast_if_small(sizes), list(keys)).withColumn(
+        "_s", F.pmod(F.monotonically_increasing_id(), F.col("_m"))
+    )
+    return split.repartition(*keys, "_s").drop("_m", "_s")
+
+
 def moments(df: DataFrame, keys: Sequence[str], vector: str = "embedding") -> DataFrame:
-    """``(keys…, n, block, mean, scatter)``: ``scatter`` holds rows ``block * 64`` onwards of the
-    centred scatter matrix of the arm."""
+    """``(keys…, n, block, mean, scatter, unit)``: ``scatter`` holds rows ``block * 64`` onwards of
+    the arm's centred scatter matrix, ``unit`` the sum of its unit vectors and of their squares."""
     fields = key_fields(df, keys)
-    tail = "n long, block int, mean array<double>, scatter array<double>"
+    tail = "n long, block int, mean array<double>, scatter array<double>, unit array<double>"
     schema = T.StructType(fields + T.StructType.fromDDL(tail).fields)
     partials = (
-        df.where(F.col(vector).isNotNull())
+        gathered(df, keys, vector)
+        .where(F.col(vector).isNotNull())
         .select(*keys, F.col(vector))
         .mapInArrow(_folder(fields, vector), schema)
         .withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(SALTS)))
@@ -170,35 +201,35 @@ def moments(df: DataFrame, keys: Sequence[str], vector: str = "embedding") -> Da
 
 def vector_sums(df: DataFrame, keys: Sequence[str], vector: str = "embedding") -> DataFrame:
     """``(keys…, n, total)``: element-wise sum of the vectors of each group, folded in each task
-    before the shuffle and merged by position after it."""
+    before the shuffle and merged by position after it. The row count travels as a last element."""
     fields = key_fields(df, keys)
-    schema = T.StructType(fields + T.StructType.fromDDL("n long, total array<double>").fields)
-    names = [*keys, "n", "total"]
+    schema = T.StructType(fields + [T.StructField("total", T.ArrayType(T.DoubleType()))])
+    names = [*keys, "total"]
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple, tuple[int, np.ndarray]] = {}
+        held: dict[tuple, np.ndarray] = {}
 
         def out() -> Iterator[pa.RecordBatch]:
-            for key, (n, total) in held.items():
-                columns = [*arrow_keys(fields, [key]), pa.array([n]), to_lists(total.reshape(1, -1))]
+            for key, total in held.items():
+                columns = [*arrow_keys(fields, [key]), to_lists(total.reshape(1, -1))]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
             held.clear()
 
         for batch in batches:
             for key, rows, x in matrices(batch, keys, vector):
-                n, total = held.get(key, (0, 0.0))
-                held[key] = n + len(rows), total + x.sum(axis=0)
-            if len(held) > 1024:
+                held[key] = held.get(key, 0.0) + np.append(x.sum(axis=0), len(rows))
+            if len(held) > HELD_SUMS:
                 yield from out()
         yield from out()
 
     partial = df.where(F.col(vector).isNotNull()).select(*keys, vector).mapInArrow(fold, schema)
-    counts = partial.groupBy(*keys).agg(F.sum("n").alias("n"))
     entries = partial.select(*keys, F.posexplode("total").alias("i", "x"))
     summed = entries.groupBy(*keys, "i").agg(F.sum("x").alias("x"))
-    vectors = summed.groupBy(*keys).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda e: e["x"]).alias("total")
+    ordered = F.array_sort(F.collect_list(F.struct("i", "x")))
+    whole = summed.groupBy(*keys).agg(ordered.alias("_e"))
+    values = whole.select(*keys, F.transform("_e", lambda e: e["x"]).alias("_e"))
+    return values.select(
+        *keys,
+        F.element_at("_e", -1).cast("long").alias("n"),
+        F.slice("_e", 1, F.size("_e") - 1).alias("total"),
     )
-    if not keys:
-        return vectors.withColumn("n", counts.scalar()).select("n", "total")
-    return counts.join(vectors, list(keys)).select(*keys, "n", "total")

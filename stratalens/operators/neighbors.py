@@ -16,12 +16,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..constants import EPS
-from ..session import BROADCAST_BYTES, durable
+from ..session import broadcast_if_small, durable
 from .moments import arrow_keys, key_fields, matrices, to_lists, to_matrix
 
 PROBES = 100
 NEIGHBORS = 10
 CHUNK_ROWS = 20_000
+PROBE_ROWS = 1_000
+PROBE_BYTES = 64 << 20  # probes up to this size go to every task
 
 Best = tuple[np.ndarray, np.ndarray, np.ndarray]  # row ids, squared distances, vectors per probe
 
@@ -97,15 +99,26 @@ def _collected(probes: DataFrame, keys: Sequence[str], row: str, vector: str) ->
     return {key: (ids[rows], x) for key, rows, x in matrices(batch, keys, vector)}
 
 
+def _parts(df: DataFrame, keys: Sequence[str], rows: int, name: str) -> DataFrame:
+    """How many parts of about ``rows`` rows each arm makes, sent to the tasks if few enough."""
+    count = F.ceil(F.count(F.lit(1)) / rows).cast("int").alias(name)
+    return broadcast_if_small(df.groupBy(*keys).agg(count))
+
+
 def _cogrouped(df, probes, keys, row, vector, k, schema, fields) -> DataFrame:
-    """Rows spread over ``ceil(n / CHUNK_ROWS)`` chunks per arm, probes copied to each chunk."""
-    sizes = df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / CHUNK_ROWS).cast("int").alias("_m"))
-    spread = df.join(sizes, list(keys)).withColumn(
-        "_chunk", F.pmod(F.xxhash64(row), F.col("_m")).cast("int")
-    )
-    copies = probes.join(sizes, list(keys)).withColumn(
-        "_chunk", F.explode(F.sequence(F.lit(0), F.col("_m") - 1))
-    )
+    """Rows and probes of an arm cut into parts by hash; every part of one meets every part of the
+    other in a group of bounded size."""
+    parts = {"_m": _parts(df, keys, CHUNK_ROWS, "_m"), "_b": _parts(probes, keys, PROBE_ROWS, "_b")}
+
+    def cut(rows: DataFrame, own: str, other: str, mine: str, theirs: str) -> DataFrame:
+        both = rows.join(parts["_m"], list(keys)).join(parts["_b"], list(keys))
+        part = F.pmod(F.xxhash64(row), F.col(own)).cast("int")
+        return both.withColumn(mine, part).withColumn(
+            theirs, F.explode(F.sequence(F.lit(0), F.col(other) - 1))
+        )
+
+    spread = cut(df, "_m", "_b", "_chunk", "_block")
+    copies = cut(probes, "_b", "_m", "_block", "_chunk")
 
     def find(key, base: pa.Table, near: pa.Table) -> pa.Table:
         empty = pa.Table.from_batches([], schema=pa_schema)
@@ -124,11 +137,12 @@ def _cogrouped(df, probes, keys, row, vector, k, schema, fields) -> DataFrame:
     from pyspark.sql.pandas.types import to_arrow_schema
 
     pa_schema = to_arrow_schema(schema)
-    columns = [*keys, "_chunk", row, vector]
-    left = spread.select(*columns).groupBy(*keys, "_chunk")
+    groups_by = [*keys, "_chunk", "_block"]
+    columns = [*groups_by, row, vector]
+    left = spread.select(*columns).groupBy(*groups_by)
     # aliased, since probes usually come from the same rows
     right = copies.select(*[F.col(c).alias(f"_p_{c}") for c in columns])
-    right = right.groupBy(*[f"_p_{c}" for c in [*keys, "_chunk"]])
+    right = right.groupBy(*[f"_p_{c}" for c in groups_by])
     return left.cogroup(right).applyInArrow(find, schema)
 
 
@@ -139,7 +153,7 @@ def knn(
     k: int = NEIGHBORS,
     row: str = "row_id",
     vector: str = "embedding",
-    limit: int = BROADCAST_BYTES,
+    limit: int = PROBE_BYTES,
 ) -> DataFrame:
     """``(keys…, probe_id, neighbor_id, distance, neighbor, rank)``: the ``k`` nearest rows of the
     same arm by Euclidean distance, never the probe itself."""

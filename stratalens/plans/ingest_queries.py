@@ -87,8 +87,13 @@ _PARSED = f"""{_DOCS}, parsed AS (SELECT doc_id, content, coalesce(json_extract(
   FROM (SELECT *, CASE WHEN json_valid(content) THEN cast(content AS json) END AS j FROM docs))"""
 
 
+def _orders(spark, folder) -> DataFrame:
+    columns = V.table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    return V.spread(columns)
+
+
 def _docs(spark, folder) -> DataFrame:
-    orders = V.table(spark, folder, "orders")
+    orders = _orders(spark, folder)
     return orders.select(F.col("o_orderkey").alias("doc_id"), F.expr(_CONTENT).alias("content"))
 
 
@@ -131,7 +136,7 @@ _LONG = f"""{_MAP}, long AS (SELECT doc_id,
 
 
 def _wide_scores(spark, folder) -> DataFrame:
-    docs = V.table(spark, folder, "orders").select(
+    docs = _orders(spark, folder).select(
         F.col("o_orderkey").alias("doc_id"),
         F.get(F.lit(V.TASKS), (F.col("o_custkey") % 32).cast("int")).alias("task"),
         F.expr(_CONTENT).alias("content"),
@@ -194,7 +199,7 @@ _RANK = " ".join(f"WHEN '{k}' THEN {i}" for i, k in enumerate(S.SCORE_KEYS))
     FROM nodes WHERE type IN ('DOUBLE', 'BIGINT', 'UBIGINT', 'BOOLEAN') GROUP BY doc_id)
   SELECT doc_id, score FROM docs LEFT JOIN found USING (doc_id)""")
 def score_search(spark, folder):
-    orders = V.table(spark, folder, "orders")
+    orders = _orders(spark, folder)
     docs = orders.select(F.col("o_orderkey").alias("doc_id"), F.expr(_LEGACY).alias("content"))
     return docs.select("doc_id", S.search_score("content").alias("score"))
 
@@ -218,7 +223,7 @@ def _run_files(spark, folder) -> DataFrame:
     """Documents and markers of the run as ``(path, content)``."""
     custkey, orderkey = F.col("o_custkey"), F.col("o_orderkey")
     size = F.when(F.floor(custkey / 256) % 2 == 0, "410m").otherwise("70m")
-    units = V.table(spark, folder, "orders").select(
+    units = _orders(spark, folder).select(
         "o_orderkey",
         size.alias("model_size"),
         V._revision(F.floor(custkey / 32)).alias("revision"),
@@ -292,7 +297,7 @@ _BROKEN = "o_orderkey % 10 = 0"
   CASE WHEN {_BROKEN} THEN cast(-1 AS int) ELSE layer END AS layer,
   CASE WHEN {_BROKEN} THEN '' ELSE task END AS task FROM m""")
 def parse_paths(spark, folder):
-    V.table(spark, folder, "orders").createOrReplaceTempView("strata_orders")
+    _orders(spark, folder).createOrReplaceTempView("strata_orders")
     documents = spark.sql(_MARKERS.replace("FROM orders", "FROM strata_orders"))
     return P.read_markers(documents.select("path", "content")).drop("wanted")
 
@@ -306,7 +311,7 @@ _CHUNK = f"""SELECT concat('computed_metrics_chunk_', lpad(cast(o_orderkey AS st
   revision AS checkpoint, layer, cast(arg_max(num, path) AS double) AS prompt_entropy,
   cast(arg_max(num, path) AS double) AS curvature FROM c GROUP BY revision, layer""")
 def merge_chunks(spark, folder):
-    V.table(spark, folder, "orders").createOrReplaceTempView("strata_orders")
+    _orders(spark, folder).createOrReplaceTempView("strata_orders")
     rows = spark.sql(_CHUNK.replace("FROM orders", "FROM strata_orders"))
     content = F.format_string(
         '{"%s_layer_%d":{"checkpoint":"%s","layer":%d,"prompt_entropy":%s,"curvature":%s}}',

@@ -93,14 +93,14 @@ def corpus_records(spark, folder):
     return C.build_record_corpus(sources).drop("part")
 
 
-@query("embed_corpus", """WITH tokens AS (SELECT doc_id, unnest(string_split_regex(text, '[ \\t\\n\\r\\f]+')) AS w
+@query("embed_corpus", """WITH tokens AS (SELECT doc_id, unnest(string_split_regex(text, '[ \\t\\n\\x0B\\f\\r]+')) AS w
     FROM documents),
   cells AS (SELECT doc_id, ('0x' || substr(md5(w), 1, 8))::UBIGINT % 64 AS i, count(*) AS x
     FROM tokens WHERE w <> '' GROUP BY ALL)
   SELECT doc_id, cast(sum(x) AS double) AS n_tokens, count(*) AS n_filled,
     cast(sum(x * (i + 1)) AS double) AS weighted FROM cells GROUP BY doc_id""")
 def embed_corpus(spark, folder):
-    vectors = N.encode_texts(V.table(spark, folder, "documents"), ["doc_id"])
+    vectors = N.encode_texts(V.spread(V.table(spark, folder, "documents")), ["doc_id"])
     v = F.col("embedding")
     weighted = X.total(F.transform(v, lambda x, i: x * (i + 1)))
     return vectors.select(

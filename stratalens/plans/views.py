@@ -16,6 +16,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan of a few small files over all cores, for work that costs much per row. A scan with
+    as many partitions as cores, as of any large table, stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def revision_sql(number: str) -> str:
     return (
         f"CASE WHEN {number} % 8 = 7 THEN 'main' "

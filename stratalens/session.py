@@ -15,6 +15,7 @@ def get_session(app: str = "stratalens", master: str | None = None, **conf: str)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
     )
@@ -44,7 +45,7 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-BROADCAST_BYTES = 64 << 20
+BROADCAST_BYTES = 256 << 20
 
 
 def broadcast_if_small(df: DataFrame, row_bytes: int = 256, limit: int = BROADCAST_BYTES):

@@ -107,34 +107,30 @@ def read_markers(documents: DataFrame) -> DataFrame:
     )
 
 
-def collect_results(documents: DataFrame, order: Sequence[str] = COLLECT_ORDER) -> DataFrame:
-    """One row per marker with the score of the first place that yields one, else NULL."""
-    structured = S.main_score("content")
+def collect_results(
+    documents: DataFrame, order: Sequence[str] = COLLECT_ORDER, done: DataFrame | None = None
+) -> DataFrame:
+    """One row per marker with the score of the first place that yields one, else NULL.
+
+    ``done`` holds the markers if they were scanned on their own.
+    """
     legacy = F.col("place") == "legacy"
+    unscored = F.when(legacy & F.col("structured").isNull(), F.col("content"))
     scored = (
         located(documents)
-        .withColumn("structured", structured)
-        .withColumn(
-            "score",
-            F.coalesce(
-                "structured",
-                S.search_score(F.when(legacy & F.col("structured").isNull(), F.col("content"))),
-            ),
-        )
+        .withColumn("structured", S.main_score(F.col("content")))
+        .withColumn("score", F.coalesce("structured", S.search_score(unscored)))
         .select("unit_dir", "stem", "place", "score")
     )
-    units = read_markers(documents)
+    units = read_markers(documents if done is None else done)
     matched = units.join(
         scored,
         (units.output_dir == scored.unit_dir)
         & ((F.col("place") == "legacy") | (F.col("stem") == F.col("wanted"))),
         "left",
     )
-    return matched.groupBy("output_dir", *UNIT).agg(
-        F.min_by(
-            "score", F.when(F.col("score").isNotNull(), _rank(F.col("place"), order))
-        ).alias("score")
-    )
+    rank = F.when(F.col("score").isNotNull(), _rank(F.col("place"), order))
+    return matched.groupBy("output_dir", *UNIT).agg(F.min_by("score", rank).alias("score"))
 
 
 def _details(df: DataFrame) -> DataFrame:
@@ -156,35 +152,48 @@ def _details(df: DataFrame) -> DataFrame:
     )
 
 
-def extract_scores(documents: DataFrame, order: Sequence[str] = EXTRACT_ORDER) -> DataFrame:
+def extract_scores(
+    documents: DataFrame, order: Sequence[str] = EXTRACT_ORDER, done: DataFrame | None = None
+) -> DataFrame:
     """One row per work unit with its main score, all scores and where they came from.
 
     The first result file of a unit, by path, decides; a unit without any falls back to the other
-    places next to its marker, in ``order``, taking the first that parses.
+    places next to its marker, in ``order``, taking the first that parses. The documents are read
+    once; ``done`` holds the markers if they were scanned on their own.
     """
     payload = [
         "main_score", "all_scores", "task_name", "mteb_version", "evaluation_time",
         "output_dir", "result_file",
     ]
-    primary = (
-        _details(result_files(documents))
-        .withColumn("rank", F.lit(0))
-        .withColumn("output_dir", R.parent(F.col("path"), 3))
-    )
-    done = read_markers(documents).select(F.col("output_dir").alias("unit_dir"), "task")
-    candidates = _with_unit(located(documents)).where(
-        F.col("place").isin(*order) & (F.col("stem") == F.col("task"))
+    primary = F.col("place") == "results"
+    places = [place for place in order if place != "results"]
+    named = F.col("stem") == F.when(primary, R.file_stem(F.col("unit_dir"))).otherwise(F.col("task"))
+    candidates = _details(
+        _with_unit(located(documents)).where(
+            F.col("layer").isNotNull() & F.col("place").isin("results", *places) & named
+        )
+    ).select(
+        *UNIT,
+        "unit_dir",
+        "path",
+        "parsed",
+        F.when(primary, 0).otherwise(_rank(F.col("place"), places)).alias("rank"),
+        F.when(primary, R.parent(F.col("path"), 3)).otherwise(F.col("unit_dir")).alias("output_dir"),
+        F.col("path").alias("result_file"),
+        *payload[:-2],
     )
-    fallback = (
-        _details(candidates.join(done, ["unit_dir", "task"], "left_semi"))
-        .where("parsed")
-        .withColumn("rank", _rank(F.col("place"), order).cast("int"))
-        .withColumn("output_dir", F.col("unit_dir"))
+    marked = (
+        read_markers(documents if done is None else done)
+        .select(F.col("output_dir").alias("unit_dir"), F.lit(True).alias("marked"))
+        .distinct()
     )
-    columns = [*UNIT, "rank", "path", "parsed", *payload[:-1]]
-    every = primary.select(*columns).unionByName(fallback.select(*columns))
-    every = every.where(F.col("layer").isNotNull()).withColumn("result_file", F.col("path"))
+    usable = (F.col("rank") == 0) | (F.col("parsed") & F.col("marked"))
     best = F.min_by(F.struct("parsed", *payload), F.struct("rank", "path")).alias("best")
-    return every.groupBy(*UNIT).agg(best).where("best.parsed").select(
-        *UNIT, *[f"best.{name}" for name in payload]
+    return (
+        candidates.join(marked, "unit_dir", "left")
+        .where(usable)
+        .groupBy(*UNIT)
+        .agg(best)
+        .where("best.parsed")
+        .select(*UNIT, *[f"best.{name}" for name in payload])
     )

@@ -65,6 +65,18 @@ def test_many_arms_per_task_are_flushed(matrix_frame, rng):
         np.testing.assert_allclose(r.scatter, (centred(x).T @ centred(x)).ravel(), atol=1e-9)
 
 
+def test_interleaved_arms_are_gathered_first(matrix_frame, rng, monkeypatch):
+    monkeypatch.setattr(P, "GATHERED_ROWS", 50)
+    arms = {f"a{i:02d}": rng.normal(size=(200 if i == 3 else 9, 40)) for i in range(20)}
+    frame = matrix_frame(**arms).repartition(12)
+    assert P.gathered(frame, KEYS) is not frame
+    assert P.gathered(frame.repartition(1), KEYS).count() == frame.count()
+    for r in P.moments(frame, KEYS).collect():
+        x = arms[r.arm]
+        np.testing.assert_allclose(r.scatter, (centred(x).T @ centred(x)).ravel(), atol=1e-9)
+        assert r.n == len(x)
+
+
 def test_vector_sums(frame, arms):
     rows = P.vector_sums(frame, KEYS).collect()
     for r in rows:
@@ -165,7 +177,9 @@ def test_all_metrics_in_one_row_per_arm(frame, arms):
     assert rows["tall"].n == 300
     assert all(rows["tall"][name] is not None for name in M.METRICS)
     single = by_arm(M.spectral_statistic(frame, KEYS, "effective_rank"), "effective_rank")
-    assert rows["wide"].effective_rank == single["wide"]
+    assert rows["wide"].effective_rank == pytest.approx(single["wide"])
+    cosine = by_arm(M.mean_pairwise_cosine(frame, KEYS), "mean_pairwise_cosine")
+    assert rows["tall"].mean_pairwise_cosine == pytest.approx(cosine["tall"])
 
 
 def test_null_vectors_are_left_out(spark):

@@ -24,6 +24,7 @@ def brute(x, probe, k):
 @pytest.mark.parametrize("limit", [1 << 30, 0], ids=["sent to the rows", "cogrouped"])
 def test_knn(arms, matrix_frame, monkeypatch, limit):
     monkeypatch.setattr(B, "CHUNK_ROWS", 64)
+    monkeypatch.setattr(B, "PROBE_ROWS", 12)
     frame = matrix_frame(**arms)
     probes = B.first_rows(frame, KEYS, 30, "row_id")
     rows = B.knn(frame, probes, KEYS, k=6, limit=limit).collect()
