@@ -9,12 +9,13 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..constants import CORPUS_COLUMNS, RECORD_KEYS
 from ..functions.text import joined, not_blank
 from ..session import broadcast_if_small
+from .ranking import top_rows
 
 CACHE_COLUMNS = {"task": "string", "pos": "bigint", "text": "string"}
 
@@ -66,8 +67,7 @@ def split_rows(sources: DataFrame, split: str, columns: Sequence[str] = ()) -> D
 def _limited(texts: DataFrame, limit: int | None, order: Sequence[str]) -> DataFrame:
     if limit is None:
         return texts
-    first = Window.partitionBy("task").orderBy(*order)
-    return texts.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= limit).drop("_n")
+    return top_rows(texts, ["task"], [F.col(c) for c in order], limit, "_n").drop("_n")
 
 
 def build_corpus(

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,8 +15,10 @@ from ..functions import vectors as V
 from ..session import broadcast_if_small, durable
 from .moments import BLOCK_ROWS, key_fields, moments, to_lists, to_matrix, vector_sums
 from .neighbors import curvature
+from .ranking import top_rows
 
 SAMPLE_ROWS = 1000
+_HASH_POWERS = 41
 _SPECTRAL = ["effective_rank", "logdet_covariance", "anisotropy", "spectral_norm", "condition_number"]
 
 
@@ -190,10 +192,22 @@ def sample_rows(
     df: DataFrame, keys: Sequence[str], n: int = SAMPLE_ROWS, seed: int = 0, row: str = "row_id"
 ) -> DataFrame:
     """Up to ``n`` rows per arm, the same ones on every run: the first by a seeded hash of the row
-    id. Spark limits each arm before the shuffle."""
-    mixed = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(row).cast("string")))
-    order = Window.partitionBy(*keys).orderBy(mixed, F.col(row))
-    return df.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= n).drop("_n")
+    id.
+
+    The key columns alone tell how many rows of an arm lie below each power of two of the hash
+    range. The vectors are then read only below the least power that holds enough.
+    """
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(row).cast("string")))
+    share = F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / float(16**13)
+    below = df.select(*keys, share.alias("_h")).groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_all"),
+        F.array(*[F.count_if(F.col("_h") < 2.0**-p) for p in range(_HASH_POWERS)]).alias("_c"),
+    )
+    enough = F.filter("_c", lambda c: c >= F.least(F.col("_all"), F.lit(n)))
+    bounds = below.select(*keys, F.pow(F.lit(2.0), 1 - F.size(enough)).alias("_bound"))
+    near = df.join(broadcast_if_small(bounds), list(keys)).where(share < F.col("_bound"))
+    hashed = near.withColumn("_d", digest).drop("_bound")
+    return top_rows(hashed, keys, [F.col("_d"), F.col(row)], n, "_n").drop("_d", "_n")
 
 
 def _pair_entropy(fields: Sequence[T.StructField], vector: str, bins: int):

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import EARLY_LAYERS, KEY_LAYERS, LATE_LAYERS, METRICS
 from ..functions import scores as S
 from .coverage import comma_list
-from .ranking import running_totals
+from .ranking import running_totals, top_rows
 
 
 def metric_entries(scores: DataFrame, keep: Sequence[str]) -> DataFrame:
@@ -161,17 +161,12 @@ def by_layer(metrics: DataFrame, names: Sequence[str] = METRICS, digits: int = 4
 
 
 def top_extremes(metrics: DataFrame, n: int = 10, names: Sequence[str] = METRICS) -> DataFrame:
-    """The ``n`` highest and lowest arms of every metric; fewer if there are fewer.
-
-    Spark limits each group before the shuffle, so only ``n`` rows per metric and task move.
-    """
+    """The ``n`` highest and lowest arms of every metric; fewer if there are fewer."""
     values = unpivot_metrics(metrics, ["checkpoint", "layer"], names).where("value IS NOT NULL")
     tie = [F.col("checkpoint"), F.col("layer")]
 
     def side(label: str, first) -> DataFrame:
-        best = Window.partitionBy("metric").orderBy(first, *tie)
-        ranked = values.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= n)
-        return ranked.withColumn("side", F.lit(label))
+        return top_rows(values, ["metric"], [first, *tie], n).withColumn("side", F.lit(label))
 
     return side("highest", F.col("value").desc()).unionByName(side("lowest", F.col("value").asc()))
 

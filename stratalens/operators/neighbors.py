@@ -11,13 +11,14 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..constants import EPS
 from ..session import broadcast_if_small, durable
 from .moments import arrow_keys, key_fields, matrices, to_lists, to_matrix
+from .ranking import top_rows
 
 PROBES = 100
 NEIGHBORS = 10
@@ -29,9 +30,13 @@ Best = tuple[np.ndarray, np.ndarray, np.ndarray]  # row ids, squared distances,
 
 
 def first_rows(df: DataFrame, keys: Sequence[str], n: int, row: str) -> DataFrame:
-    """The first ``n`` rows of each arm by row id."""
-    order = Window.partitionBy(*keys).orderBy(row)
-    return df.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= n).drop("_n")
+    """The first ``n`` rows of each arm by row id. The last id of each is found without the
+    vectors."""
+    first = top_rows(df.select(*keys, row), keys, [F.col(row)], n)
+    last = first.groupBy(*keys).agg(F.max(row).alias("_last"))
+    return df.join(broadcast_if_small(last), list(keys)).where(F.col(row) <= F.col("_last")).drop(
+        "_last"
+    )
 
 
 def _closest(probe_id: int, p: np.ndarray, ids: np.ndarray, x: np.ndarray, rough, k: int) -> Best:
@@ -168,8 +173,8 @@ def knn(
         partial = rows.mapInArrow(found, schema)
     else:
         partial = _cogrouped(rows, chosen, keys, row, vector, k, schema, fields)
-    order = Window.partitionBy(*keys, "probe_id").orderBy("squared", "neighbor_id")
-    ranked = partial.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    order = [F.col("squared"), F.col("neighbor_id")]
+    ranked = top_rows(partial, [*keys, "probe_id"], order, k)
     distance = F.sqrt("squared").alias("distance")
     return ranked.select(*keys, "probe_id", "neighbor_id", distance, "neighbor", "rank")
 

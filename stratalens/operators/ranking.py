@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..session import durable
 
+SALTS = 64
 _ROW_BITS = 33  # monotonically_increasing_id keeps the partition number above these
 
 
@@ -75,6 +76,22 @@ def positions(
     return placed.drop("_size")
 
 
+def top_rows(
+    df: DataFrame, group: Sequence[str], order: Sequence[Column], n: int, rank: str = "rank"
+) -> DataFrame:
+    """The first ``n`` rows of each group in ``order``, with their rank.
+
+    Spark limits each group per task before it shuffles. The rows that leave the tasks are limited
+    per salt first, so that a group found in very many tasks does not meet in one of them.
+    """
+    salted = df.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(SALTS)))
+    kept = salted
+    for by in ([*group, "_salt"], list(group)):
+        place = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+        kept = kept.withColumn(rank, place).where(F.col(rank) <= n)
+    return kept.drop("_salt")
+
+
 def average_ranks(df: DataFrame, value: str, weight: str, name: str) -> DataFrame:
     """``(value, rank)``: average rank of each distinct value, every row counting ``weight``."""
     counted = df.groupBy(value).agg(F.sum(weight).alias("_w"))

@@ -1,5 +1,7 @@
 """Matrix statistics against numpy, on matrices spread over several tasks."""
 
+import hashlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -143,6 +145,9 @@ def test_sample_is_bounded_and_stable(frame):
     other = {(r.arm, r.row_id) for r in M.sample_rows(frame, KEYS, 20, seed=1).collect()}
     assert first == again != other
     assert len(first) == 20 + 15 + 20
+    for arm, n in ("tall", 300), ("wide", 15):
+        ranked = sorted(range(n), key=lambda i: hashlib.md5(f"0:{i}".encode()).hexdigest())
+        assert {row for name, row in first if name == arm} == set(ranked[:20])
 
 
 def test_flat_and_tiny_arms(matrix_frame, rng):

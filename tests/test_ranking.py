@@ -38,6 +38,16 @@ def test_running_totals(skewed):
     assert [r["sum"] for r in rows] == list(np.cumsum([r.v for r in rows]))
 
 
+def test_top_rows_of_a_group_spread_over_many_tasks(skewed):
+    rows = K.top_rows(skewed.repartition(40), ["g"], [F.col("v").desc(), F.col("id")], 5).collect()
+    every = skewed.collect()
+    for group in "a", "b", "hot":
+        best = sorted((r for r in every if r.g == group), key=lambda r: (-r.v, r.id))[:5]
+        own = sorted((r for r in rows if r.g == group), key=lambda r: r["rank"])
+        assert [r.id for r in own] == [r.id for r in best]
+        assert [r["rank"] for r in own] == [1, 2, 3, 4, 5]
+
+
 def test_average_ranks(spark, skewed):
     ranks = K.average_ranks(skewed.withColumn("w", F.lit(1)), "v", "w", "r").collect()
     values = np.array([r.v for r in skewed.collect()])
