@@ -17,8 +17,7 @@ def is_checkpoint(revision: Column) -> Column:
 
 def step_of(revision: Column) -> Column:
     """Step number of ``step<N>`` or ``step-<N>``, else NULL."""
-    digits = F.regexp_extract(revision, r"^step-?(\d+)$", 1)
-    return F.when(digits != "", digits.cast("long"))
+    return F.regexp_extract(revision, r"^step-?(\d+)$", 1).try_cast("long")
 
 
 def revision_kind(revision: Column) -> Column:
@@ -79,7 +78,7 @@ def unit_of(path: Column) -> dict[str, Column]:
         "model_family": part(1),
         "model_size": part(2),
         "revision": part(3),
-        "layer": part(4).cast("int"),
+        "layer": part(4).try_cast("int"),
         "task": part(5),
     }
 

@@ -183,6 +183,31 @@ def replay(
     )
 
 
+def progress(
+    pulls: DataFrame,
+    scores: DataFrame,
+    baseline: DataFrame,
+    model_size: str,
+    at: Column,
+    keys: Sequence[str] = ARM,
+) -> DataFrame:
+    """The log of a replay: one row per pulled arm and task with its raw score, its reward and the
+    arm's aggregated reward."""
+    chosen = F.broadcast(pulls.select(*keys, "aggregated_reward"))
+    scored = scores.where(F.col("main_score").isNotNull()).join(chosen, list(keys))
+    return RW.task_reward(scored, baseline).select(
+        at.alias("timestamp"),
+        F.lit(model_size).alias("model_size"),
+        F.col("revision").alias("arm_checkpoint"),
+        F.col("layer").alias("arm_layer"),
+        "task",
+        F.col("main_score").alias("raw_score"),
+        "reward",
+        "aggregated_reward",
+        F.lit("ok").alias("status"),
+    )
+
+
 def final_result(pulls: DataFrame, keys: Sequence[str] = ARM) -> DataFrame:
     """One row: best arm, pulls with a reward, arms evaluated and budget used."""
     mean = F.round("aggregated_reward", 12)

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from ..constants import CONTEXT_METRICS, EPS, HISTOGRAM_BINS, METRICS
 from ..functions import vectors as V
 from ..session import broadcast_if_small, durable
-from .moments import BLOCK_ROWS, key_fields, moments, to_lists, to_matrix, vector_sums
+from .moments import BLOCK_ROWS, key_fields, moments, to_lists, to_matrix, unit_sums, vector_sums
 from .neighbors import curvature
 from .ranking import top_rows
 
@@ -257,9 +257,7 @@ def mean_pairwise_cosine(
     With ``sample`` the pairs of that many sampled rows only.
     """
     rows = df if sample is None else sample_rows(df, keys, sample, seed)
-    units = rows.select(*keys, V.unit(V.as_double(F.col(vector)), EPS).alias("_u"))
-    own = units.select(*keys, F.concat("_u", F.array(V.dot(F.col("_u"), F.col("_u")))).alias("_u"))
-    sums = vector_sums(own, keys, "_u")
+    sums = vector_sums(rows, keys, vector, unit_sums)
     whole = F.slice("total", 1, F.size("total") - 1)
     pairs = F.col("n") * (F.col("n") - 1)
     value = (V.dot(whole, whole) - F.element_at("total", -1)) / F.nullif(pairs, F.lit(0))

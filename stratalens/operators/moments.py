@@ -71,11 +71,20 @@ def matrices(
         yield key, rows, to_matrix(column.take(pa.array(rows))) if whole is None else whole[rows]
 
 
+def unit_sums(x: np.ndarray) -> np.ndarray:
+    """Sum of the rows scaled to length one, and as a last element that of their squares."""
+    unit = x / (np.linalg.norm(x, axis=1, keepdims=True) + EPS)
+    return np.append(unit.sum(axis=0), (unit**2).sum())
+
+
+def plain_sums(x: np.ndarray) -> np.ndarray:
+    return x.sum(axis=0)
+
+
 def _fold(x: np.ndarray) -> Partial:
     mean = x.mean(axis=0)
     centred = x - mean
-    unit = x / (np.linalg.norm(x, axis=1, keepdims=True) + EPS)
-    return len(x), mean, centred.T @ centred, np.append(unit.sum(axis=0), (unit**2).sum())
+    return len(x), mean, centred.T @ centred, unit_sums(x)
 
 
 def merge(left: Partial, right: Partial, rows: slice = slice(None)) -> Partial:
@@ -199,9 +208,15 @@ def moments(df: DataFrame, keys: Sequence[str], vector: str = "embedding") -> Da
     return first.drop("salt").groupBy(*keys, "block").applyInArrow(_merge_blocks, schema)
 
 
-def vector_sums(df: DataFrame, keys: Sequence[str], vector: str = "embedding") -> DataFrame:
+def vector_sums(
+    df: DataFrame,
+    keys: Sequence[str],
+    vector: str = "embedding",
+    sums: Callable[[np.ndarray], np.ndarray] = plain_sums,
+) -> DataFrame:
     """``(keys…, n, total)``: element-wise sum of the vectors of each group, folded in each task
-    before the shuffle and merged by position after it. The row count travels as a last element."""
+    before the shuffle and merged by position after it. The row count travels as a last element.
+    ``sums`` takes a matrix to what is added up."""
     fields = key_fields(df, keys)
     schema = T.StructType(fields + [T.StructField("total", T.ArrayType(T.DoubleType()))])
     names = [*keys, "total"]
@@ -217,7 +232,7 @@ def vector_sums(df: DataFrame, keys: Sequence[str], vector: str = "embedding") -
 
         for batch in batches:
             for key, rows, x in matrices(batch, keys, vector):
-                held[key] = held.get(key, 0.0) + np.append(x.sum(axis=0), len(rows))
+                held[key] = held.get(key, 0.0) + np.append(sums(x), len(rows))
             if len(held) > HELD_SUMS:
                 yield from out()
         yield from out()

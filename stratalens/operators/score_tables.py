@@ -188,9 +188,8 @@ def task_summary(
 def average_main_score(scores: DataFrame, tasks: DataFrame) -> DataFrame:
     """Mean over the expected tasks per layer, with how many of them have a score."""
     expected = tasks.agg(F.count_distinct("task")).scalar()
-    rows = scores.where(F.col("main_score").isNotNull()).join(
-        F.broadcast(tasks.select("task")), "task", "left_semi"
-    )
+    scored = scores.where(F.col("main_score").isNotNull())
+    rows = scored.join(tasks.select("task"), "task", "left_semi")
     means = rows.groupBy("layer").agg(
         F.avg("main_score").alias("average_main_score"),
         F.count_distinct("task").alias("num_tasks"),
@@ -250,7 +249,7 @@ def task_type_stats(
     scores: DataFrame, task_types: DataFrame, first_layer: int = 15, last_layer: int = 23
 ) -> DataFrame:
     """Score statistics per task type and layer, and the gain in percent between two layers."""
-    typed = scores.where(F.col("main_score").isNotNull()).join(F.broadcast(task_types), "task")
+    typed = scores.where(F.col("main_score").isNotNull()).join(task_types, "task")
     score = F.col("main_score")
     stats = typed.groupBy("task_type", "layer").agg(
         F.avg(score).alias("mean_score"),
@@ -274,7 +273,7 @@ def read_reference_values(content: DataFrame) -> DataFrame:
     nested = F.from_json("content", "map<string,map<string,double>>")
     return content.select(F.explode(nested).alias("task", "layers")).select(
         "task", F.explode("layers").alias("l", "reference")
-    ).select("task", F.col("l").cast("int").alias("layer"), "reference")
+    ).select("task", F.col("l").try_cast("int").alias("layer"), "reference")
 
 
 def compare_reference(ours: DataFrame, reference: DataFrame, how: str = "inner") -> DataFrame:

@@ -49,3 +49,13 @@ def status_counts(items: DataFrame) -> DataFrame:
 
 def pairs_by_checkpoint(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("revision").agg(F.count(F.lit(1)).alias("n_layers"))
+
+
+def progress_rows(log: DataFrame, digits: int = 3) -> DataFrame:
+    """Log rows as they are written: time to the second, elapsed seconds to three digits."""
+    return log.withColumns(
+        {
+            "timestamp": F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss"),
+            "elapsed_sec": F.bround("elapsed_sec", digits),
+        }
+    )

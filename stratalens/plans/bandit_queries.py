@@ -247,8 +247,8 @@ _REPLAY = f"""{_TASK}, {_CONTEXT_SQL}, arms AS (SELECT DISTINCT revision, layer
     FROM chosen LEFT JOIN rewarded USING (revision, layer) GROUP BY revision, layer)"""
 
 
-def _replayed(spark, folder) -> DataFrame:
-    scores = V.scores(spark, folder)
+def _replayed(spark, folder, scores: DataFrame | None = None) -> DataFrame:
+    scores = V.scores(spark, folder) if scores is None else scores
     arms = scores.select("revision", "layer").distinct()
     features = _features(scores).select(
         "revision", "layer", F.array("c1", "c2", "c3", "c4").alias("context")
@@ -270,3 +270,14 @@ def bandit_replay(spark, folder):
   FROM replayed""", "scores"))
 def final_result(spark, folder):
     return B.final_result(_replayed(spark, folder))
+
+
+@query("bandit_progress", with_views(f""", {_REPLAY} SELECT '2024-01-01 00:00:00' AS "timestamp",
+  '410m' AS model_size, revision AS arm_checkpoint, layer AS arm_layer, task, main_score AS raw_score,
+  {r("reward")} AS reward, {r("aggregated_reward")} AS aggregated_reward, 'ok' AS status
+  FROM rewarded JOIN replayed USING (revision, layer)""", "scores"))
+def bandit_progress(spark, folder):
+    scores = V.scores(spark, folder)
+    pulls = _replayed(spark, folder, scores)
+    log = B.progress(pulls, scores, _baseline(scores), "410m", F.lit("2024-01-01 00:00:00"))
+    return rounded(log, "reward", "aggregated_reward")

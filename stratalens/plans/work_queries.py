@@ -147,6 +147,15 @@ def revision_order(spark, folder):
     return K.positions(names, R.revision_order(F.col("name")))
 
 
+@query("known_checkpoints", f"""SELECT DISTINCT name AS revision FROM (SELECT {_NAMES} AS name FROM part
+    UNION ALL SELECT {V.revision_sql("o_custkey")} FROM orders)
+  WHERE regexp_matches(name, '^step[0-9]+$') OR name = 'main'""")
+def known_checkpoints(spark, folder):
+    branches = V.table(spark, folder, "part").select(F.expr(_NAMES).alias("revision"))
+    tags = V.table(spark, folder, "orders").select(V._revision(F.col("o_custkey")).alias("revision"))
+    return G.known_checkpoints(branches, tags)
+
+
 _SQUARES = "concat('step', cast(1000 * ((l_partkey * l_partkey) % 143) AS string))"
 
 
@@ -229,10 +238,7 @@ def status_counts(spark, folder):
 @query("progress_rows", f"""SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS "timestamp",
   {r("value / 8", 3)} AS elapsed_sec FROM events""")
 def progress_rows(spark, folder):
-    """Log rows as they are written: seconds to three digits, time to the second."""
     rows = V.table(spark, folder, "events").select(
-        "event_id",
-        F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("timestamp"),
-        (F.col("value") / 8).alias("elapsed_sec"),
+        "event_id", F.col("ts").alias("timestamp"), (F.col("value") / 8).alias("elapsed_sec")
     )
-    return rounded(rows, "elapsed_sec", digits=3)
+    return rounded(W.progress_rows(rows, digits=12), "elapsed_sec", digits=3)

@@ -2,8 +2,6 @@
 
 from .constants import METRICS
 
-ARM = ("model_size string, revision string, layer int")
-WORK_UNIT = ("model_size string, revision string, layer int, task string")
 WORK_ITEM = (
     "model_size string, checkpoint string, layer int, status string, "
     "worker_id string, result_path string, error string"
@@ -13,10 +11,6 @@ SCORES = (
     "main_score double, all_scores string, task_name string, mteb_version string, "
     "evaluation_time string, output_dir string, result_file string"
 )
-COLLECTED = (
-    "model_family string, model_size string, revision string, layer int, task string, "
-    "score double, output_dir string"
-)
 MARKER = (
     "status string, model_family string, model_id string, model_size string, revision string, "
     "layer int, task string, num_shards int, shard_id int, timestamp string, error string"
@@ -34,7 +28,3 @@ METRIC_CHUNK = (
     + ",".join(f"{name}:double" for name in METRICS)
     + ">>"
 )
-EMBEDDINGS = (
-    "model_size string, revision string, layer int, row_id long, embedding array<float>"
-)
-BANDIT_STATE = ("revision string, layer int, a array<double>, b array<double>, n long")

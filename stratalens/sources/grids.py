@@ -20,9 +20,17 @@ GRADED_RANGES = [(1000, 10000, 1000), (15000, 50000, 5000), (60000, 143000, 1000
 
 def task_dim(spark: SparkSession) -> DataFrame:
     """``(task, task_type, ord)``, one row per benchmark task."""
-    types = {task: kind for kind, group in TASKS_BY_TYPE.items() for task in group}
-    rows = [(task, types[task], i) for i, task in enumerate(TASKS)]
-    return spark.createDataFrame(rows, "task string, task_type string, ord int")
+    types = [kind for kind, group in TASKS_BY_TYPE.items() for _ in group]
+    listed = spark.range(1).select(F.posexplode(F.lit(TASKS)).alias("ord", "task"))
+    return listed.select("task", F.get(F.lit(types), F.col("ord")).alias("task_type"), "ord")
+
+
+def known_checkpoints(*names: DataFrame) -> DataFrame:
+    """Distinct checkpoint names of several ``(revision)`` lists, such as branches and tags."""
+    every = names[0]
+    for more in names[1:]:
+        every = every.unionByName(more)
+    return every.where(R.is_checkpoint(F.col("revision"))).select("revision").distinct()
 
 
 def _every(interval: int, first: int | None = None, last: int = LAST_STEP) -> Column:

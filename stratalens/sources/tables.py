@@ -17,9 +17,14 @@ def read_scores(spark: SparkSession, path: str, schema=SCORES) -> DataFrame:
     return spark.read.schema(schema).options(**CSV_OPTIONS).csv(path)
 
 
-def read_progress(spark: SparkSession, run_dir: str, pattern: str = "progress_shard*.csv"):
-    """The progress logs of all shards, by header."""
-    reader = spark.read.schema(SWEEP_PROGRESS).options(**CSV_OPTIONS, enforceSchema=False)
+def read_progress(
+    spark: SparkSession,
+    run_dir: str,
+    pattern: str = "progress_shard*.csv",
+    schema: str = SWEEP_PROGRESS,
+) -> DataFrame:
+    """The progress logs of all shards, by header; the bandit's with ``BANDIT_PROGRESS``."""
+    reader = spark.read.schema(schema).options(**CSV_OPTIONS, enforceSchema=False)
     return reader.option("timestampFormat", "yyyy-MM-dd HH:mm:ss").csv(f"{run_dir}/{pattern}")
 
 
@@ -29,7 +34,7 @@ def completed_pairs(progress: DataFrame, status: str | None = None) -> DataFrame
     named = F.coalesce(F.col("revision"), F.lit("")) != ""
     digits = F.col("layer").cast("string").rlike(r"^\d+$")
     return rows.where(named & digits).select(
-        "revision", F.col("layer").cast("int").alias("layer")
+        "revision", F.col("layer").try_cast("int").alias("layer")
     ).distinct()
 
 

@@ -141,3 +141,14 @@ def test_queue_log(spark, tmp_path):
     assert {r.status: r.n for r in counts} == {
         "pending": 2, "processing": 0, "completed": 0, "failed": 1,
     }
+
+
+def test_bandit_log(spark, tmp_path):
+    from stratalens.schemas import BANDIT_PROGRESS
+
+    header = "timestamp,model_size,arm_checkpoint,arm_layer,task,raw_score,reward,aggregated_reward,status\n"
+    line = "2024-01-02 03:04:05,70m,step1,3,STS12,0.5,-1.25,0.75,ok\n"
+    (tmp_path / "bandit_progress.csv").write_text(header + line)
+    log = T.read_progress(spark, str(tmp_path), "bandit_progress.csv", BANDIT_PROGRESS)
+    row = log.first()
+    assert (row.arm_checkpoint, row.arm_layer, row.raw_score, row.reward) == ("step1", 3, 0.5, -1.25)
