@@ -2,23 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..constants import CONTEXT_METRICS, EPS, HISTOGRAM_BINS, METRICS
 from ..functions import vectors as V
 from ..session import broadcast_if_small, durable
-from .moments import BLOCK_ROWS, key_fields, moments, to_lists, to_matrix, unit_sums, vector_sums
+from .moments import BLOCK_ROWS, key_fields, matrices, moments, to_lists, to_matrix, unit_sums, vector_sums
 from .neighbors import curvature
 from .ranking import top_rows
 
 SAMPLE_ROWS = 1000
-_HASH_POWERS = 41
+AXES_BYTES = 128 << 20
+_HASH_LEVELS = 48
 _SPECTRAL = ["effective_rank", "logdet_covariance", "anisotropy", "spectral_norm", "condition_number"]
 
 
@@ -158,19 +159,43 @@ def histogram_entropy(
     )
 
 
-def _row_bytes(df: DataFrame, vector: str = "axis") -> int:
-    width = df.select(F.max(F.size(vector))).first()[0] or 0
-    return 16 * width + 256
+def _projector(keys: Sequence[str], vector: str, axes: dict):
+    def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            score = np.empty(batch.num_rows)
+            for key, rows, x in matrices(batch, keys, vector):
+                mean, axis = axes[key]
+                score[rows] = (x - mean) @ axis
+            columns = [batch.column(k) for k in keys] + [pa.array(score)]
+            yield pa.RecordBatch.from_arrays(columns, names=[*keys, "axis_score"])
+
+    return project
 
 
 def axis_scores(
-    df: DataFrame, arms: DataFrame, keys: Sequence[str], vector: str = "embedding"
+    df: DataFrame,
+    arms: DataFrame,
+    keys: Sequence[str],
+    vector: str = "embedding",
+    limit: int = AXES_BYTES,
 ) -> DataFrame:
-    """Coordinate of every row on its arm's first principal axis. ``arms`` are written spectra."""
-    axes = broadcast_if_small(arms.select(*keys, "mean", "axis"), _row_bytes(arms))
+    """Coordinate of every row on its arm's first principal axis. ``arms`` are written spectra.
+
+    Axes up to the limit go to every task, which projects whole batches; beyond it they are joined.
+    """
+    rows = df.where(F.col(vector).isNotNull()).select(*keys, vector)
+    axes = arms.select(*keys, "mean", "axis")
+    size = axes.agg(F.sum(16 * F.size("axis") + 64)).first()[0] or 0
+    if size <= limit:
+        known = {
+            tuple(r[k] for k in keys): (np.array(r["mean"]), np.array(r["axis"]))
+            for r in axes.collect()
+        }
+        schema = key_fields(df, keys) + [T.StructField("axis_score", T.DoubleType())]
+        return rows.mapInArrow(_projector(keys, vector, known), T.StructType(schema))
     centred = F.zip_with(V.as_double(F.col(vector)), F.col("mean"), lambda x, m: x - m)
     score = V.dot(centred, F.col("axis"))
-    return df.join(axes, list(keys)).select(*keys, score.alias("axis_score"))
+    return rows.join(axes, list(keys)).select(*keys, score.alias("axis_score"))
 
 
 def prompt_entropy(
@@ -194,18 +219,23 @@ def sample_rows(
     """Up to ``n`` rows per arm, the same ones on every run: the first by a seeded hash of the row
     id.
 
-    The key columns alone tell how many rows of an arm lie below each power of two of the hash
-    range. The vectors are then read only below the least power that holds enough.
+    Counts by the hash's magnitude, from the key columns alone, tell how small a hash has to be;
+    the vectors are then read only up to there.
     """
     digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(row).cast("string")))
     share = F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / float(16**13)
-    below = df.select(*keys, share.alias("_h")).groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_all"),
-        F.array(*[F.count_if(F.col("_h") < 2.0**-p) for p in range(_HASH_POWERS)]).alias("_c"),
+    level = F.least(F.floor(-F.log2(F.greatest(share, F.lit(2.0**-52)))), F.lit(_HASH_LEVELS))
+    counts = df.select(*keys, level.alias("_level")).groupBy(*keys, "_level").agg(
+        F.count(F.lit(1)).alias("_c")
+    )
+    # a few dozen levels per arm
+    arm = Window.partitionBy(*keys)
+    so_far = F.sum("_c").over(arm.orderBy(F.desc("_level")))
+    enough = so_far >= F.least(F.sum("_c").over(arm), F.lit(n))
+    bounds = counts.withColumn("_enough", enough).where("_enough").groupBy(*keys).agg(
+        F.max("_level").alias("_bound")
     )
-    enough = F.filter("_c", lambda c: c >= F.least(F.col("_all"), F.lit(n)))
-    bounds = below.select(*keys, F.pow(F.lit(2.0), 1 - F.size(enough)).alias("_bound"))
-    near = df.join(broadcast_if_small(bounds), list(keys)).where(share < F.col("_bound"))
+    near = df.join(broadcast_if_small(bounds), list(keys)).where(level >= F.col("_bound"))
     hashed = near.withColumn("_d", digest).drop("_bound")
     return top_rows(hashed, keys, [F.col("_d"), F.col(row)], n, "_n").drop("_d", "_n")
 

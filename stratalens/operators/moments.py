@@ -1,9 +1,9 @@
 """Means and scatter matrices of embeddings, per arm, in one pass.
 
 Each task folds its rows into ``(n, mean, scatter)`` per arm, and the sum of their unit vectors, and
-emits that, cut into blocks of matrix rows. Partial results are merged pairwise-exactly (Chan, Golub and LeVeque), first within a
-salt and then across salts, so a hot arm's partials are spread over many tasks too. Vectors
-themselves are never shuffled.
+emits that, cut into blocks of matrix rows. Partials merge without loss of precision (Chan, Golub
+and LeVeque), those of neighbouring tasks first, so that a hot arm's partials are spread over many
+tasks too. Vectors themselves are not shuffled unless arms lie interleaved.
 """
 
 from __future__ import annotations
@@ -21,9 +21,9 @@ from ..constants import EPS
 from ..session import broadcast_if_small
 
 BLOCK_ROWS = 64  # scatter rows per emitted block
-HELD_ARMS = 16  # arms a task folds at a time before it emits the oldest
-HELD_SUMS = 1024  # the same for plain sums
-SALTS = 64
+HELD_BYTES = 128 << 20  # scatter matrices a task folds at a time before it emits the oldest
+HELD_SUMS = 1024  # groups a task adds up at a time
+MERGED_TASKS = 32  # neighbouring tasks whose partials are merged first
 GATHERED_ROWS = 100_000  # rows of an arm per task where they have to be moved
 
 Partial = tuple[int, np.ndarray, np.ndarray, np.ndarray]
@@ -134,7 +134,7 @@ def _folder(fields, vector: str) -> Callable:
                 partial = _fold(x)
                 known = held.pop(key, None)
                 held[key] = partial if known is None else merge(known, partial)
-            while len(held) > HELD_ARMS:
+            while len(held) > 1 and sum(p[2].nbytes for p in held.values()) > HELD_BYTES:
                 oldest = next(iter(held))
                 yield from _emit(fields, oldest, held.pop(oldest))
         for key, partial in held.items():
@@ -201,7 +201,7 @@ def moments(df: DataFrame, keys: Sequence[str], vector: str = "embedding") -> Da
         .where(F.col(vector).isNotNull())
         .select(*keys, F.col(vector))
         .mapInArrow(_folder(fields, vector), schema)
-        .withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(SALTS)))
+        .withColumn("salt", F.floor(F.spark_partition_id() / MERGED_TASKS).cast("int"))
     )
     salted = T.StructType(schema.fields + [T.StructField("salt", T.IntegerType())])
     first = partials.groupBy(*keys, "block", "salt").applyInArrow(_merge_blocks, salted)

@@ -17,16 +17,18 @@ from pyspark.sql import types as T
 
 from ..constants import EPS
 from ..session import broadcast_if_small, durable
-from .moments import arrow_keys, key_fields, matrices, to_lists, to_matrix
+from .moments import HELD_BYTES, arrow_keys, key_fields, matrices, to_lists, to_matrix
 from .ranking import top_rows
 
 PROBES = 100
 NEIGHBORS = 10
+SPARE = 6  # rows taken beyond k by rough distance
 CHUNK_ROWS = 20_000
 PROBE_ROWS = 1_000
 PROBE_BYTES = 64 << 20  # probes up to this size go to every task
 
-Best = tuple[np.ndarray, np.ndarray, np.ndarray]  # row ids, squared distances, vectors per probe
+# row ids, squared distances and vectors, a row per probe; infinite distances are no neighbours
+Best = tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
 def first_rows(df: DataFrame, keys: Sequence[str], n: int, row: str) -> DataFrame:
@@ -39,37 +41,60 @@ def first_rows(df: DataFrame, keys: Sequence[str], n: int, row: str) -> DataFram
     )
 
 
-def _closest(probe_id: int, p: np.ndarray, ids: np.ndarray, x: np.ndarray, rough, k: int) -> Best:
-    """The ``k`` rows closest to a probe, itself left out; equal distances go by row id."""
-    near = np.argpartition(rough, k)[: k + 1] if len(rough) > k + 1 else np.arange(len(rough))
-    if len(rough) > k + 1:
-        near = np.flatnonzero(rough <= rough[near].max() + 1e-9 * (1 + (p**2).sum()))
-    near = near[ids[near] != probe_id]
-    exact = ((x[near] - p) ** 2).sum(axis=1)
-    order = np.lexsort((ids[near], exact))[:k]
-    return ids[near][order], exact[order], x[near][order]
+def _distances(p: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Squared distances by the expanded square: fast, but not exact in the last digits."""
+    return (p**2).sum(axis=1)[:, None] + (x**2).sum(axis=1)[None, :] - 2 * p @ x.T
 
 
-def _search(probe_ids, p: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> list[Best]:
-    rough = (p**2).sum(axis=1)[:, None] + (x**2).sum(axis=1)[None, :] - 2 * p @ x.T
-    return [_closest(i, v, ids, x, r, k) for i, v, r in zip(probe_ids, p, rough)]
+def _ranked(ids: np.ndarray, squared: np.ndarray, vectors: np.ndarray, k: int) -> Best:
+    """The first ``k`` per probe; equal distances go by row id."""
+    order = np.lexsort((ids, squared), axis=1)[:, :k]
+    return (
+        np.take_along_axis(ids, order, axis=1),
+        np.take_along_axis(squared, order, axis=1),
+        np.take_along_axis(vectors, order[:, :, None], axis=1),
+    )
+
+
+def _search(probe_ids: np.ndarray, p: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> Best:
+    """The ``k`` rows closest to each probe, itself left out, with exact distances.
+
+    A few more than ``k`` are taken by rough distance. Where rows beyond those could tie with the
+    last one kept, all rows up to that distance are looked at.
+    """
+    rough = _distances(p, x)
+    rough[ids[None, :] == probe_ids[:, None]] = np.inf
+    width = min(len(x), k + SPARE)
+    near = np.argpartition(rough, width - 1, axis=1)[:, :width]
+    found = np.take_along_axis(rough, near, axis=1)
+    last = np.sort(found, axis=1)[:, min(k, width) - 1] + 1e-9 * (1 + (p**2).sum(axis=1))
+
+    def exact(rows: np.ndarray, probes: np.ndarray, left_out: np.ndarray) -> Best:
+        squared = ((x[rows] - probes[:, None, :]) ** 2).sum(axis=2)
+        return _ranked(ids[rows], np.where(left_out, np.inf, squared), x[rows], k)
+
+    best = exact(near, p, np.isinf(found))
+    if width < len(x):
+        for i in np.flatnonzero(found.max(axis=1) <= last):
+            rows = np.flatnonzero(rough[i] <= last[i])[None, :]
+            wider = exact(rows, p[i : i + 1], np.isinf(rough[i][rows]))
+            for whole, part in zip(best, wider):
+                whole[i] = part[0]
+    return best
 
 
 def _join_best(left: Best, right: Best, k: int) -> Best:
-    ids = np.concatenate([left[0], right[0]])
-    dist = np.concatenate([left[1], right[1]])
-    order = np.lexsort((ids, dist))[:k]
-    return ids[order], dist[order], np.concatenate([left[2], right[2]])[order]
-
-
-def _rows(fields, key: tuple, probe_ids, best: Sequence[Best]) -> pa.RecordBatch:
-    counts = [len(b[0]) for b in best]
-    total = sum(counts)
-    columns = arrow_keys(fields, [key] * total) + [
-        pa.array(np.repeat(np.asarray(probe_ids, dtype=np.int64), counts)),
-        pa.array(np.concatenate([b[0] for b in best]).astype(np.int64)),
-        pa.array(np.concatenate([b[1] for b in best])),
-        to_lists(np.concatenate([b[2] for b in best])),
+    return _ranked(*[np.concatenate(pair, axis=1) for pair in zip(left, right)], k)
+
+
+def _rows(fields, key: tuple, probe_ids: np.ndarray, best: Best) -> pa.RecordBatch:
+    ids, squared, vectors = best
+    probe, place = np.nonzero(np.isfinite(squared))
+    columns = arrow_keys(fields, [key] * len(probe)) + [
+        pa.array(np.asarray(probe_ids, dtype=np.int64)[probe]),
+        pa.array(ids[probe, place].astype(np.int64)),
+        pa.array(squared[probe, place]),
+        to_lists(vectors[probe, place]),
     ]
     names = [f.name for f in fields] + ["probe_id", "neighbor_id", "squared", "neighbor"]
     return pa.RecordBatch.from_arrays(columns, names=names)
@@ -79,19 +104,20 @@ def _finder(fields, row: str, vector: str, probes: dict, k: int):
     keys = [f.name for f in fields]
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple, list[Best]] = {}
+        held: dict[tuple, Best] = {}
         for batch in batches:
             ids = batch.column(row).to_numpy(zero_copy_only=False)
             for key, rows, x in matrices(batch, keys, vector):
                 if key not in probes:
                     continue
                 found = _search(*probes[key], ids[rows], x, k)
-                if key in held:
-                    found = [_join_best(a, b, k) for a, b in zip(held[key], found)]
-                held[key] = found
+                known = held.pop(key, None)
+                held[key] = found if known is None else _join_best(known, found, k)
+            while len(held) > 1 and sum(b[2].nbytes for b in held.values()) > HELD_BYTES:
+                oldest = next(iter(held))
+                yield _rows(fields, oldest, probes[oldest][0], held.pop(oldest))
         for key, best in held.items():
-            if any(len(b[0]) for b in best):
-                yield _rows(fields, key, probes[key][0], best)
+            yield _rows(fields, key, probes[key][0], best)
 
     return find
 
@@ -134,8 +160,6 @@ def _cogrouped(df, probes, keys, row, vector, k, schema, fields) -> DataFrame:
             probe_ids, to_matrix(near.column(f"_p_{vector}")),
             base.column(row).to_numpy(), to_matrix(base.column(vector)), k,
         )
-        if not any(len(b[0]) for b in best):
-            return empty
         arm = tuple(value.as_py() for value in key[: len(keys)])
         return pa.Table.from_batches([_rows(fields, arm, probe_ids, best)])
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..session import durable
 
-SALTS = 64
+LIMITED_TASKS = 256  # neighbouring tasks whose rows are limited together first
 _ROW_BITS = 33  # monotonically_increasing_id keeps the partition number above these
 
 
@@ -82,9 +82,9 @@ def top_rows(
     """The first ``n`` rows of each group in ``order``, with their rank.
 
     Spark limits each group per task before it shuffles. The rows that leave the tasks are limited
-    per salt first, so that a group found in very many tasks does not meet in one of them.
+    per run of tasks first, so that a group found in very many tasks does not meet in one of them.
     """
-    salted = df.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(SALTS)))
+    salted = df.withColumn("_salt", F.floor(F.spark_partition_id() / LIMITED_TASKS))
     kept = salted
     for by in ([*group, "_salt"], list(group)):
         place = F.row_number().over(Window.partitionBy(*by).orderBy(*order))

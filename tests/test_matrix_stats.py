@@ -121,6 +121,15 @@ def test_prompt_entropy(frame, arms):
         assert found[name] == pytest.approx(histogram_entropy(u[:, 0] * s[0]), abs=1e-6)
 
 
+def test_both_ways_to_project_agree(frame, arms):
+    spectra = M.spectra(frame, KEYS).cache()
+    sent = M.axis_scores(frame, spectra, KEYS)
+    joined = M.axis_scores(frame, spectra, KEYS, limit=0)
+    for name in arms:
+        a, b = (sorted(r.axis_score for r in f.where(F.col("arm") == name).collect()) for f in (sent, joined))
+        np.testing.assert_allclose(a, b, atol=1e-9)
+
+
 def test_norm_entropy(frame, arms):
     found = by_arm(M.norm_entropy(frame, KEYS), "norm_entropy")
     for name, x in arms.items():

@@ -38,7 +38,8 @@ def test_running_totals(skewed):
     assert [r["sum"] for r in rows] == list(np.cumsum([r.v for r in rows]))
 
 
-def test_top_rows_of_a_group_spread_over_many_tasks(skewed):
+def test_top_rows_of_a_group_spread_over_many_tasks(skewed, monkeypatch):
+    monkeypatch.setattr(K, "LIMITED_TASKS", 8)
     rows = K.top_rows(skewed.repartition(40), ["g"], [F.col("v").desc(), F.col("id")], 5).collect()
     every = skewed.collect()
     for group in "a", "b", "hot":
