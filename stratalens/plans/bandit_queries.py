@@ -79,13 +79,13 @@ _register_aggregate("robust_mean", "median(reward)")
 
 _CONTEXT_SQL = """contexts AS (SELECT revision, layer, round(avg(main_score) + 1e-10, 6) AS c1,
     round(coalesce(stddev_samp(main_score), 0) + 1e-10, 6) AS c2, min(main_score) AS c3,
-    max(main_score) AS c4 FROM scores WHERE revision <> 'step142000' GROUP BY revision, layer)"""
+    max(main_score) AS c4 FROM scores GROUP BY revision, layer)"""
 
 
 def _features(scores: DataFrame) -> DataFrame:
-    """Four features per arm; one revision has none, as if its metrics were not computed."""
+    """Four features per arm."""
     score = F.col("main_score")
-    rows = scores.where("revision <> 'step142000'").groupBy("revision", "layer").agg(
+    rows = scores.groupBy("revision", "layer").agg(
         F.avg(score).alias("c1"),
         F.coalesce(F.stddev(score), F.lit(0.0)).alias("c2"),
         F.min(score).alias("c3"),

@@ -336,13 +336,13 @@ def scan_scores_csv(spark, folder):
 
 @query("metrics_scan", with_views("""
   , arms AS (SELECT DISTINCT revision AS checkpoint, cast(layer AS int) AS layer FROM scores)
-  SELECT checkpoint, layer, effective_rank, curvature FROM arms LEFT JOIN
-    (SELECT * FROM metrics WHERE checkpoint <> 'main') USING (checkpoint, layer)""",
+  SELECT checkpoint, layer, effective_rank, curvature FROM arms LEFT JOIN metrics
+    USING (checkpoint, layer)""",
   "scores", "metrics"))
 def metrics_scan(spark, folder):
     path = f"{shared_folder(spark)}/metrics-{uuid.uuid4().hex}"
     cached = V.metrics(spark, folder).withColumnRenamed("checkpoint", "revision")
-    K.write_arms(cached.where("revision <> 'main'"), path)
+    K.write_arms(cached, path)
     arms = V.scores(spark, folder, once=True).select("revision", "layer").distinct()
     back = T.with_cached_metrics(arms, T.read_arms(spark, path), ["revision", "layer"])
     return back.select(

@@ -49,6 +49,14 @@ def test_top_rows_of_a_group_spread_over_many_tasks(skewed, monkeypatch):
         assert [r["rank"] for r in own] == [1, 2, 3, 4, 5]
 
 
+def test_large_limits_are_applied_before_the_shuffle(spark, skewed):
+    top = K.top_rows(skewed, ["g"], [F.col("id")], 1500)
+    plan = top._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and "Partial" in plan
+    counts = {r.g: r["count"] for r in top.groupBy("g").count().collect()}
+    assert counts["hot"] == 1500
+
+
 def test_average_ranks(spark, skewed):
     ranks = K.average_ranks(skewed.withColumn("w", F.lit(1)), "v", "w", "r").collect()
     values = np.array([r.v for r in skewed.collect()])

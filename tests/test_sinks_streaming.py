@@ -74,6 +74,14 @@ def test_arm_cache_is_pruned_by_arm(spark, tmp_path):
     assert "PartitionFilters" in plan and "layer" in plan.split("PartitionFilters")[1]
 
 
+def test_arms_without_cached_metrics_stay(spark, tmp_path):
+    path = str(tmp_path / "metrics")
+    K.write_arms(spark.createDataFrame([("main", 0, 2.5)], "revision string, layer int, curvature double"), path)
+    arms = spark.createDataFrame([("main", 0), ("main", 1)], "revision string, layer int")
+    found = T.with_cached_metrics(arms, T.read_arms(spark, path), ["revision", "layer"])
+    assert sorted((r.layer, r.curvature) for r in found.collect()) == [(0, 2.5), (1, None)]
+
+
 def test_one_directory_per_task(spark, scores, tmp_path):
     K.write_task_tables(scores.drop("all_scores"), str(tmp_path / "tasks"))
     names = sorted(p.name for p in Path(tmp_path / "tasks").glob("task_safe=*"))
