@@ -232,22 +232,59 @@ def anisotropy(spark, folder):
     return rounded(M.anisotropy(V.arm_embeddings(spark, folder), ARM), "anisotropy")
 
 
-def _register_spectral(name: str, statistic: str) -> None:
-    @query(name)
-    def run(spark, folder):
-        rows = V.arm_embeddings(spark, folder)
-        return rounded(M.spectral_statistic(rows, ARM, statistic), statistic)
-
-
-_register_spectral("effective_rank", "effective_rank")
-_register_spectral("logdet_cov", "logdet_covariance")
-_register_spectral("spectral_norm", "spectral_norm")
-_register_spectral("condition_number", "condition_number")
-
-
-@query("prompt_entropy")
-def prompt_entropy(spark, folder):
-    return rounded(M.prompt_entropy(V.arm_embeddings(spark, folder), ARM), "prompt_entropy")
+_SQUARINGS = 14
+_SCALED = "c / sum(CASE WHEN i = j THEN c END) OVER (PARTITION BY revision, layer) AS c"
+
+
+def _axis_sql(matrix: str, axis: str) -> str:
+    """The leading eigenvector of a symmetric matrix, by squaring it until only that direction is
+    left."""
+    p = f"{axis}_p"
+    steps = [f"{p}0 AS MATERIALIZED (SELECT revision, layer, i, j, {_SCALED} FROM {matrix})"]
+    for k in range(1, _SQUARINGS + 1):
+        steps.append(
+            f"""{p}{k} AS MATERIALIZED (SELECT revision, layer, i, j, {_SCALED} FROM
+    (SELECT a.revision, a.layer, a.i, b.j, sum(a.c * b.c) AS c FROM {p}{k - 1} a JOIN {p}{k - 1} b
+     ON a.revision = b.revision AND a.layer = b.layer AND a.j = b.i GROUP BY ALL))"""
+        )
+    last = f"{p}{_SQUARINGS}"
+    steps.append(
+        f"""{axis} AS MATERIALIZED (SELECT revision, layer, i,
+    c / sqrt(sum(c * c) OVER (PARTITION BY revision, layer)) AS v FROM {last} JOIN
+    (SELECT revision, layer, arg_max(i, c) AS j FROM {last} WHERE i = j GROUP BY revision, layer)
+    USING (revision, layer, j))"""
+    )
+    return ", ".join(steps)
+
+
+def _rayleigh_sql(matrix: str, axis: str) -> str:
+    return f"""SELECT m.revision, m.layer, sum(a.v * m.c * b.v) AS value FROM {matrix} m
+  JOIN {axis} a ON a.revision = m.revision AND a.layer = m.layer AND a.i = m.i
+  JOIN {axis} b ON b.revision = m.revision AND b.layer = m.layer AND b.i = m.j GROUP BY ALL"""
+
+
+_AXIS = f"{_COV}, {_axis_sql('cov', 'axis')}"
+# The inverse by Gauss-Jordan elimination; its largest eigenvalue is the inverse of the least one.
+_INVERSE = f"""{_AXIS}, gj AS (SELECT revision, layer, 0 AS k, i, j, c FROM cov UNION ALL
+    SELECT revision, layer, 0, i, 64 + j, CASE WHEN i = j THEN 1.0::DOUBLE ELSE 0 END FROM cov),
+  steps AS (SELECT * FROM gj UNION ALL
+    SELECT a.revision, a.layer, a.k + 1, a.i, a.j,
+      CASE WHEN a.i = a.k THEN a.c / p.c ELSE a.c - x.c * y.c / p.c END FROM steps a
+    JOIN steps x ON x.revision = a.revision AND x.layer = a.layer AND x.i = a.i AND x.j = a.k
+    JOIN steps y ON y.revision = a.revision AND y.layer = a.layer AND y.i = a.k AND y.j = a.j
+    JOIN steps p ON p.revision = a.revision AND p.layer = a.layer AND p.i = a.k AND p.j = a.k
+    WHERE a.k < 64),
+  inv AS MATERIALIZED (SELECT revision, layer, i, j - 64 AS j, c FROM steps WHERE k = 64 AND j >= 64),
+  {_axis_sql("inv", "thin")}, high AS ({_rayleigh_sql("cov", "axis")}),
+  low AS ({_rayleigh_sql("inv", "thin")})"""
+_LOGDET = f"""{_COV}, ridge AS MATERIALIZED (SELECT revision, layer, i, j,
+    c + CASE WHEN i = j THEN 1e-10 ELSE 0 END AS c FROM cov),
+  lu AS (SELECT revision, layer, 0 AS k, i, j, c FROM ridge UNION ALL
+    SELECT a.revision, a.layer, a.k + 1, a.i, a.j, a.c - x.c * y.c / p.c FROM lu a
+    JOIN lu x ON x.revision = a.revision AND x.layer = a.layer AND x.i = a.i AND x.j = a.k
+    JOIN lu y ON y.revision = a.revision AND y.layer = a.layer AND y.i = a.k AND y.j = a.j
+    JOIN lu p ON p.revision = a.revision AND p.layer = a.layer AND p.i = a.k AND p.j = a.k
+    WHERE a.i > a.k AND a.j > a.k)"""
 
 
 def _histogram_sql(values: str, name: str) -> str:
@@ -261,6 +298,33 @@ def _histogram_sql(values: str, name: str) -> str:
   FROM terms GROUP BY revision, layer"""
 
 
+def _register_spectral(name: str, statistic: str, oracle: str | None = None) -> None:
+    @query(name, oracle)
+    def run(spark, folder):
+        rows = V.arm_embeddings(spark, folder)
+        return rounded(M.spectral_statistic(rows, ARM, statistic), statistic)
+
+
+_register_spectral("effective_rank", "effective_rank")
+_register_spectral("condition_number", "condition_number", with_views(f""", {_INVERSE}
+  SELECT revision, layer, {r("high.value / (1 / low.value + 1e-10)")} AS condition_number
+  FROM high JOIN low USING (revision, layer)""", "arm_embeddings").replace("WITH", "WITH RECURSIVE", 1))
+_register_spectral("spectral_norm", "spectral_norm", with_views(f""", {_AXIS}
+  SELECT revision, layer, {r("value")} AS spectral_norm FROM ({_rayleigh_sql("cov", "axis")})""",
+  "arm_embeddings"))
+_register_spectral("logdet_cov", "logdet_covariance", with_views(f""", {_LOGDET}
+  SELECT revision, layer, {r("sum(ln(c))")} AS logdet_covariance FROM lu WHERE i = k AND j = k
+  GROUP BY revision, layer""", "arm_embeddings").replace("WITH", "WITH RECURSIVE", 1))
+
+
+@query("prompt_entropy", with_views(f", {_AXIS}" + _histogram_sql(
+    """SELECT revision, layer, row_id, sum(x * v) AS v FROM centred
+    JOIN axis USING (revision, layer, i) GROUP BY ALL""", "prompt_entropy"),
+    "arm_embeddings"))
+def prompt_entropy(spark, folder):
+    return rounded(M.prompt_entropy(V.arm_embeddings(spark, folder), ARM), "prompt_entropy")
+
+
 @query("norm_entropy", with_views(_histogram_sql(
     f"SELECT revision, layer, {_NORM} AS v FROM arm_embeddings", "norm_entropy"),
     "arm_embeddings"))
