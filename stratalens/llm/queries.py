@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, token_file
+from . import fertility, packing, repeats, secret_scan, token_file, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,3 +40,80 @@ def best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
 @query("op8_token_file")
 def token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_file.token_documents(table(spark, folder, "documents"), vocabulary())
+
+
+@query(
+    "op3_warc",
+    """
+    WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes,
+                      sha1(coalesce(html, '')) AS payload_digest FROM pages),
+         l AS (SELECT payload_digest, max(page_id) AS leader FROM p WHERE payload_bytes >= 1000
+               GROUP BY payload_digest)
+    SELECT page_id, payload_bytes, payload_digest,
+           CASE WHEN page_id <> leader THEN 'revisit' ELSE 'response' END AS record_type,
+           CASE WHEN page_id <> leader THEN leader END AS refers_to
+    FROM p LEFT JOIN l USING (payload_digest)""",
+)
+def warc_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.archive_round_trip(table(spark, folder, "pages"))
+
+
+@query("op10_tokeniser_fertility")
+def tokeniser_fertility(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return fertility.quality_rules(docs, vocabulary(), vocabulary("piece_bpe_32k.model"))
+
+
+def _secret_sql() -> str:
+    """The same spans by splitting and extracting; the base rules as they are stated."""
+    parts = []
+    for k, rule in enumerate(secret_scan.RULES):
+        pattern = rule.pattern.replace("'", "''")
+        parts.append(f"""
+        SELECT row, {k} AS rule, '{rule.kind}' AS kind, unnest(range(1, len(f) + 1)) AS i, f, b,
+               regexp_extract_all(t, '{pattern}', {rule.group}) AS g, {rule.least} AS least
+        FROM (SELECT row, t, regexp_extract_all(t, '{pattern}') AS f,
+                     string_split_regex(t, '{pattern}') AS b FROM d)""")
+    return f"""
+    WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS t FROM documents),
+    m AS ({" UNION ALL ".join(parts)}),
+    s AS (SELECT row, rule, kind, list_sum(list_transform(b[1:i], lambda x: length(x)))
+                 + coalesce(list_sum(list_transform(f[1:i-1], lambda x: length(x))), 0) AS s,
+                 length(f[i]) AS n FROM m WHERE length(g[i]) >= least),
+    a AS (SELECT row, count(*) FILTER (kind = 'assign') AS n_assign,
+                 count(*) FILTER (kind = 'access') AS n_access,
+                 count(*) FILTER (kind = 'hex') AS n_hex,
+                 string_agg(concat(kind, ':', s::BIGINT, ':', (s + n)::BIGINT), ',' ORDER BY s, rule)
+                   FILTER (rule < 3) AS base,
+                 string_agg(concat(kind, ':', s::BIGINT, ':', (s + n)::BIGINT), ',' ORDER BY s, rule)
+                   AS spans FROM s GROUP BY row)
+    SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access,
+           coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256,
+           coalesce(spans, '') AS spans
+    FROM d LEFT JOIN a USING (row)"""
+
+
+@query("op5_secret_scan", _secret_sql())
+def secrets_found(spark: SparkSession, folder: str) -> DataFrame:
+    return secret_scan.secret_digest(table(spark, folder, "documents"))
+
+
+@query(
+    "op9_substring_dedup",
+    """
+    WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w
+               FROM documents),
+    p AS (SELECT doc_id, unnest(range(1, len(w) - 11)) AS i, w FROM w WHERE len(w) >= 13),
+    h AS (SELECT doc_id, i, md5(array_to_string(w[i:i+12], ' ')) AS h FROM p),
+    f AS (SELECT h, min(doc_id) AS least FROM h GROUP BY h),
+    r AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS i FROM h JOIN f USING (h)
+          WHERE least < doc_id),
+    g AS (SELECT doc_id, list(i) AS gone FROM r GROUP BY doc_id),
+    k AS (SELECT doc_id, len(w) AS n_words, len(coalesce(gone, [])) AS n_removed, w,
+                 list_filter(w, lambda x, i: NOT list_contains(coalesce(gone, []), i)) AS kept
+          FROM w LEFT JOIN g USING (doc_id))
+    SELECT doc_id, n_words, n_removed, sha256(coalesce(array_to_string(kept, ' '), '')) AS kept_sha256
+    FROM k""",
+)
+def substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return repeats.without_repeats(table(spark, folder, "documents"))

@@ -133,7 +133,7 @@ class TokenFile:
 class _Writer:
     def __init__(self, path: str):
         system, name = fs.FileSystem.from_uri(path)
-        self.sink = system.open_output_stream(name)
+        self.sink = system.open_output_stream(name, compression=None)
         self.places, self.held, self.size, self.n_tokens = [0], [], 0, 0
         self.docs: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
