@@ -6,7 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fertility, packing, repeats, secret_scan, token_file, warc
+from . import (
+    containment,
+    fertility,
+    line_crf,
+    packing,
+    repeats,
+    secret_scan,
+    token_file,
+    warc,
+)
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -117,3 +126,17 @@ def secrets_found(spark: SparkSession, folder: str) -> DataFrame:
 )
 def substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return repeats.without_repeats(table(spark, folder, "documents"))
+
+
+@query("op2_line_crf")
+def line_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return line_crf.quality_scores(
+        table(spark, folder, "documents"), table(spark, folder, "labels")
+    )
+
+
+@query("op4_benchmark_containment")
+def benchmark_containment(spark: SparkSession, folder: str) -> DataFrame:
+    return containment.containment_search(
+        table(spark, folder, "documents"), table(spark, folder, "benchmark")
+    )
