@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import shared_folder
@@ -86,3 +87,37 @@ def spans(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     ends = np.cumsum(lengths)
     total = int(ends[-1]) if len(ends) else 0
     return np.repeat(starts - (ends - lengths), lengths) + np.arange(total)
+
+
+def by_group(df: DataFrame, key: str, run, kinds: str, rows: int = 20_000) -> DataFrame:
+    """``run(chunk, starts)`` for whole groups of equal ``key``: ``chunk`` holds the rows of some groups, one
+    group after the other, ``starts`` where each begins and where the last ends. Yields batches.
+
+    For bounded groups only. Rows are shuffled and sorted by key and pass in batches, so small groups
+    cost no call each.
+    """
+    at = df.columns.index(key)
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def cut(whole: pa.Table, last: bool):
+            keys = whole.column(at).combine_chunks()
+            new = np.flatnonzero(np.asarray(pa.compute.not_equal(keys[1:], keys[:-1]))) + 1
+            starts = np.concatenate(([0], new, [len(keys)] if last else []))
+            done = whole.slice(0, int(starts[-1]))
+            return done, starts.astype(np.int64), whole.slice(int(starts[-1]))
+
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+            if sum(b.num_rows for b in held) >= rows:
+                done, starts, rest = cut(pa.Table.from_batches(held), False)
+                if done.num_rows:
+                    yield from run(done.combine_chunks(), starts)
+                held = rest.combine_chunks().to_batches()
+        if held:
+            done, starts, _ = cut(pa.Table.from_batches(held), True)
+            yield from run(done.combine_chunks(), starts)
+
+    return df.repartition(key).sortWithinPartitions(key).mapInArrow(apply, kinds)

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import (
+    chosen_path,
     containment,
     fertility,
     line_crf,
@@ -140,3 +141,9 @@ def benchmark_containment(spark: SparkSession, folder: str) -> DataFrame:
     return containment.containment_search(
         table(spark, folder, "documents"), table(spark, folder, "benchmark")
     )
+
+
+@query("op7_chosen_path_join")
+def near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    found = chosen_path.similar_documents(table(spark, folder, "documents"))
+    return found.select("doc_id", "class_id", "n_links")
