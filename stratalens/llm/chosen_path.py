@@ -29,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import batch_of, by_group, spread, stored, texts_of
@@ -415,3 +415,20 @@ def similar_documents(docs: DataFrame) -> DataFrame:
         "salt",
         F.when(empty, F.lit(None)).otherwise(F.col("class")).alias("class_key"),
     )
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """``docs`` with one document of each class, that of the least id, with all columns. Documents
+    without words are each a class and stay."""
+    found = similar_documents(docs)
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc")
+    some = found.where("class_key IS NOT NULL").select(key, "salt", "class_key")
+    keep = some.groupBy("class_key").agg(F.min(F.struct("doc", "salt")).alias("k"))
+    none = found.where("class_key IS NULL").select(key, "salt").distinct()
+    keep = stored(keep.select("k.doc", "k.salt").unionByName(none), "kept")
+    rows = _rows(docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")), "row")
+    rows = rows.join(keep, ["doc", "salt"])
+    # rows that share id and text are one group too
+    nth = F.row_number().over(Window.partitionBy("doc", "salt").orderBy(F.xxhash64("row")))
+    rows = rows.withColumn("nth", nth).where((F.col("nth") == 1) | (F.length("text") == 0))
+    return rows.select("row.*")

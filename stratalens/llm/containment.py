@@ -101,52 +101,88 @@ class Items:
         return np.unique(np.concatenate([self.owner[a:b] for a, b in zip(low, high)]))
 
 
-def containment_search(
-    docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK_SHINGLES
-) -> DataFrame:
-    """All ``(doc_id, item_id)`` where ``threshold`` or more of the item's shingles are in the
-    document; see :data:`FOUND`."""
-    spark = docs.sparkSession
+def _matches(index: Items, factor: float, threshold: float, texts: list[str]) -> Iterator[tuple]:
+    """``(text, item, shingles of the item, shared ones)`` by their numbers."""
+    for first, _, hashes, counts in _hashed([t.lower() for t in texts]):
+        ends = np.cumsum(counts).tolist()
+        for i, n in enumerate(counts.tolist()):
+            for size in index.sizes if n else ():
+                own = np.unique(shingles(hashes[ends[i] - n : ends[i]], size))
+                for item in index.holding(sketch(own, factor)).tolist():
+                    asked = index.sets[item]
+                    at = np.minimum(np.searchsorted(own, asked), len(own) - 1)
+                    shared = int((own[at] == asked).sum())
+                    if shared >= threshold * len(asked):
+                        yield first + i, item, len(asked), shared
+
+
+def _blocks(items: DataFrame, threshold: float, block: int) -> Iterator[tuple[Items, float]]:
+    """The items in blocks, each with the sketches' factor."""
     asked = items.select(F.col("item_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     asked = asked.distinct()
     # an item has no more shingles than half its characters
     size = asked.agg(F.sum(F.length("text") / 2 + 1)).first()[0] or 0
     n_blocks = max(1, math.ceil(size / block))
-    rows = spread(docs.select(F.col("doc_id").cast("long"), "text"))
-    schema = pa.schema([(c.split()[0], pa.int64()) for c in FOUND.split(", ")][:-1] + [("containment", pa.float64())])
-    out = None
     for number in range(n_blocks):
         own = asked.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == number)
         got = sorted(own.collect(), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
         index = Items([r[0] for r in got], [r[1] for r in got])
         least = min((math.ceil(threshold * len(s)) for s in index.sets), default=1)
-        factor = bins_factor(least)
-        sent = spark.sparkContext.broadcast(index.__dict__)
+        yield index, bins_factor(least)
+
+
+def _opened(sent) -> Items:
+    """A block as the driver sent it; classes travel by value, so only its fields are sent."""
+    index = Items([], [])
+    index.__dict__ = sent.value
+    return index
+
+
+def containment_search(
+    docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK_SHINGLES
+) -> DataFrame:
+    """All ``(doc_id, item_id)`` where ``threshold`` or more of the item's shingles are in the
+    document; see :data:`FOUND`."""
+    rows = spread(docs.select(F.col("doc_id").cast("long"), "text"))
+    names = [c.split()[0] for c in FOUND.split(", ")]
+    schema = pa.schema(list(zip(names, [*[pa.int64()] * 4, pa.float64()])))
+    out = None
+    for index, factor in _blocks(items, threshold, block):
+        sent = docs.sparkSession.sparkContext.broadcast(index.__dict__)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent, factor=factor):
-            index = Items([], [])
-            index.__dict__ = sent.value
+            index = _opened(sent)
             for batch in batches:
                 ids = batch.column(0).to_pylist()
-                found: list[tuple] = []
-                texts = [t.lower() for t in texts_of(batch.column(1))]
-                for first, end, hashes, counts in _hashed(texts):
-                    ends = np.cumsum(counts).tolist()
-                    for i, n in enumerate(counts.tolist()):
-                        if not n:
-                            continue
-                        text = hashes[ends[i] - n : ends[i]]
-                        distinct = [np.unique(shingles(text, s)) for s in index.sizes]
-                        for own in distinct:
-                            for item in index.holding(sketch(own, factor)).tolist():
-                                asked = index.sets[item]
-                                at = np.minimum(np.searchsorted(own, asked), len(own) - 1)
-                                shared = int((own[at] == asked).sum())
-                                if shared >= threshold * len(asked):
-                                    row = ids[first + i], index.ids[item], len(asked), shared
-                                    found.append((*row, shared / len(asked)))
+                found = [
+                    (ids[i], index.ids[item], asked, shared, shared / asked)
+                    for i, item, asked, shared in _matches(
+                        index, factor, threshold, texts_of(batch.column(1))
+                    )
+                ]
                 yield batch_of(schema, *(list(c) for c in zip(*found)) if found else [[]] * 5)
 
         part = rows.mapInArrow(run, FOUND)
         out = part if out is None else out.unionByName(part)
     return out
+
+
+def without_items(
+    docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK_SHINGLES
+) -> DataFrame:
+    """``docs`` without the documents that hold an item, with all columns."""
+    text_at, schema = docs.columns.index("text"), docs.schema
+    rows = spread(docs)
+    for index, factor in _blocks(items, threshold, block):
+        sent = docs.sparkSession.sparkContext.broadcast(index.__dict__)
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent, factor=factor):
+            index = _opened(sent)
+            for batch in batches:
+                texts = texts_of(batch.column(text_at))
+                keep = np.ones(len(texts), bool)
+                keep[[m[0] for m in _matches(index, factor, threshold, texts)]] = False
+                yield batch.filter(pa.array(keep))
+
+        rows = rows.mapInArrow(run, schema)
+    return rows

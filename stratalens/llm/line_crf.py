@@ -316,3 +316,11 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.select(
         "doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
     )
+
+
+def accepted(docs: DataFrame, field: Field | None) -> DataFrame:
+    """``docs`` with a score of 0.5 or more, with all columns."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    # the struct keeps a column of the name score apart
+    rows = score(docs.select("text", row), field).where("score >= 0.5")
+    return rows.select("row.*")

@@ -130,13 +130,14 @@ def seeds(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, ...]:
     return text, first - first_word[text], number, best[starts].view(np.int64), span.view(np.int64)
 
 
-def _rows(docs: DataFrame) -> DataFrame:
+def _rows(docs: DataFrame, *more: str) -> DataFrame:
     """``doc`` orders, ``salt`` tells rows with one id apart."""
     text = F.coalesce("text", F.lit(""))
     return docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"),
         F.xxhash64(text).bitwiseAND(0xFFFFFF).alias("salt"),
         text.alias("text"),
+        *more,
     )
 
 

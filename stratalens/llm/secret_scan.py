@@ -121,8 +121,10 @@ def trigram_query(pattern: str) -> list[list[frozenset[str]]]:
 
 
 def _key(df: DataFrame) -> DataFrame:
-    text = F.coalesce("text", F.lit(""))
-    return df.select("doc_id", text.alias("text")).withColumn("_h", F.xxhash64("text"))
+    """All columns as the struct ``row``, so that their names meet no others."""
+    rows = df.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
+    rows = rows.withColumn("text", F.coalesce("text", F.lit("")))
+    return rows.withColumn("_h", F.xxhash64("text"))
 
 
 def postings(keyed: DataFrame, vocabulary: list[str]) -> DataFrame:
@@ -187,9 +189,9 @@ def _matches(rule: Rule) -> Column:
 
 
 def find_secrets(docs: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
-    """``(doc_id, text, spans)``: all matches as structs of start, order of the rule, end, kind, by
-    start and then rule; a row for each document."""
-    keyed = _key(spread(docs.select("doc_id", "text")))
+    """``(row, text, spans)``: all matches as structs of start, order of the rule, end, kind, by
+    start and then rule; a row for each document, whose columns are in ``row``."""
+    keyed = _key(spread(docs))
     queries = {rule.kind: trigram_query(rule.pattern) for rule in rules}
     vocabulary = sorted({t for q in queries.values() for g in q for a in g for t in a})
     index = stored(postings(keyed, vocabulary), "trigram-postings")
@@ -208,7 +210,7 @@ def find_secrets(docs: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
             listed = F.array_contains(F.coalesce("rules", F.array().cast("array<string>")), rule.kind)
             matches = F.when(listed, matches).otherwise(F.array().cast(kinds))
         spans.append(matches.cast(kinds))
-    return rows.select("doc_id", "text", F.array_sort(F.concat(*spans)).alias("spans"))
+    return rows.select("row", "text", F.array_sort(F.concat(*spans)).alias("spans"))
 
 
 def _listed(spans: Column) -> Column:
@@ -218,11 +220,11 @@ def _listed(spans: Column) -> Column:
 
 def secret_digest(docs: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
     """Counts of the base kinds, the hash of their spans, and all spans."""
-    rows = find_secrets(docs, rules)
+    rows = find_secrets(docs.select("doc_id", "text"), rules)
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
     base = F.filter("spans", lambda s: s["kind"].isin(BASE))
     return rows.select(
-        "doc_id",
+        "row.doc_id",
         *[count(kind).alias(f"n_{kind}") for kind in BASE],
         F.sha2(_listed(base), 256).alias("base_sha256"),
         _listed(F.col("spans")).alias("spans"),
@@ -235,16 +237,15 @@ MASK = "[SECRET]"
 def redacted(docs: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
     """``docs`` with every secret in ``text`` replaced by :data:`MASK`, overlapping ones by one; a
     null text stays null. All columns are kept; ``n_chars`` is counted anew where there is one."""
-    found = find_secrets(docs, rules).where(F.size("spans") > 0)
-    # spans are sorted by start: what of each lies behind the ends before it is left out
-    state = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    found = find_secrets(docs, rules)
+    # spans come by start: one that begins before the end of another adds to that one's mask
     masked = F.aggregate(
         "spans",
-        state,
+        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
         lambda s, x: F.struct(
             F.greatest(s["at"], x["end"]).alias("at"),
             F.when(
-                (x["start"] >= s["at"]) | (s["at"] == 0),
+                (x["start"] >= s["at"]) | (s["out"] == ""),
                 F.concat(
                     s["out"],
                     F.col("text").substr(s["at"] + 1, x["start"] - s["at"]),
@@ -256,15 +257,14 @@ def redacted(docs: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
         ),
         lambda s: F.concat(s["out"], F.col("text").substr(s["at"] + 1, F.length("text"))),
     )
-    # a text has one masked form, so it is enough to look texts up by their hashes
-    masks = found.select(
-        F.sha2("text", 256).alias("_text"), masked.alias("_masked")
-    ).dropDuplicates(["_text"])
-    rows = docs.withColumn("_key", F.sha2("text", 256)).join(
-        masks, F.col("_key") == F.col("_text"), "left"
-    )
-    rows = rows.withColumn("text", F.coalesce("_masked", "text"))
-    if "n_chars" in docs.columns:
-        changed = F.when(F.col("_masked").isNotNull(), F.length("text")).otherwise(F.col("n_chars"))
-        rows = rows.withColumn("n_chars", changed.cast(docs.schema["n_chars"].dataType))
-    return rows.select(*docs.columns)
+    changed = F.size("spans") > 0
+    rows = found.withColumn("masked", F.when(changed, masked).otherwise(F.col("row.text")))
+    out = []
+    for c in docs.columns:
+        column = F.col(f"row.`{c}`")
+        if c == "text":
+            column = F.col("masked")
+        elif c == "n_chars":
+            column = F.when(changed, F.length("masked")).otherwise(column).cast(docs.schema[c].dataType)
+        out.append(column.alias(c))
+    return rows.select(*out)
