@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import (
     chosen_path,
     containment,
     fertility,
+    license_scan,
     line_crf,
     packing,
     repeats,
@@ -147,3 +149,12 @@ def benchmark_containment(spark: SparkSession, folder: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     found = chosen_path.similar_documents(table(spark, folder, "documents"))
     return found.select("doc_id", "class_id", "n_links")
+
+
+@query("op6_license_scan")
+def licenses(spark: SparkSession, folder: str) -> DataFrame:
+    """The table has no paths: a document lies under its source and language, a hundred ids to a
+    directory."""
+    docs = table(spark, folder, "documents")
+    names = F.col("source"), F.col("lang"), F.floor(F.col("doc_id") / 100), F.col("doc_id")
+    return license_scan.licenses(docs, F.concat_ws("/", *[n.cast("string") for n in names]))
