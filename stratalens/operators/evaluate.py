@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
@@ -15,10 +16,10 @@ from pyspark.sql import types as T
 from ..functions import vectors as V
 from ..session import broadcast_if_small, durable
 from .moments import to_matrix, vector_sums
-from .ranking import average_ranks, running_totals
+from .ranking import average_ranks, positions, running_totals
 
 BLOCK_VECTORS = 256
-CENTROID_BYTES = 64 << 20  # centroids up to this size travel with the tasks
+CENTROID_BYTES = 64 << 20  # centroids that travel with the tasks at a time
 
 
 def cosine_pairwise(
@@ -55,12 +56,10 @@ def cosine_matrix(
         return V.unit(v) if normalize else v
 
     packed = durable(blocks_of(right, right_row, unit(F.col("embedding"))))
-    width = packed.select(F.max(F.size(F.get("members", F.lit(0))["v"]))).first()[0] or 0
     numbers = packed.agg(F.collect_list("block")).scalar()
     rows = left.select(F.col(left_row).alias("left_id"), unit(F.col("embedding")).alias("_u"))
     spread = rows.withColumn("block", F.explode(numbers))
-    row_bytes = 2 * BLOCK_VECTORS * (8 * width + 32)
-    pairs = spread.join(broadcast_if_small(packed, row_bytes), "block")
+    pairs = spread.join(broadcast_if_small(packed), "block")
     scored = pairs.select("left_id", F.explode(
         F.transform(
             "members",
@@ -173,57 +172,60 @@ def clustering(df: DataFrame, k: int | None = None, seed: int = 0) -> DataFrame:
     return v_measure(model.transform(rows).select("cluster", "label"))
 
 
-def _nearest_in_task(test: DataFrame, labels: list, centroids: np.ndarray) -> DataFrame:
-    """Closest centroid of each row; the centroids travel with the task."""
-    offsets = (centroids**2).sum(axis=1)
-    schema = "label int, predicted int"
+def _nearer(centroids: Broadcast, first: int):
+    """Moves rows on to a closer centroid of this block. Distances are sums of squared differences;
+    centroids come in the order of their labels and only a smaller distance counts, so ties go to the
+    lower label, whatever the blocks."""
 
-    def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 x = to_matrix(batch.column("embedding"))
-                best = np.argmin(offsets - 2 * x @ centroids.T, axis=1)
-                found = pa.array(np.asarray(labels, dtype=np.int32)[best])
-                label = batch.column("label").cast(pa.int32())
-                yield pa.RecordBatch.from_arrays([label, found], names=["label", "predicted"])
+                best = np.array(batch.column("best").to_numpy(zero_copy_only=False))
+                place = np.array(batch.column("place").to_numpy(zero_copy_only=False))
+                for i, centroid in enumerate(centroids.value):
+                    distance = ((x - centroid) ** 2).sum(axis=1)
+                    closer = distance < best
+                    best[closer] = distance[closer]
+                    place[closer] = first + i
+                columns = [batch.column("label"), batch.column("embedding"), pa.array(best), pa.array(place)]
+                yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
-    return test.select("label", "embedding").mapInArrow(predict, T.StructType.fromDDL(schema))
-
-
-def _nearest_by_block(test: DataFrame, centroids: DataFrame) -> DataFrame:
-    packed = durable(blocks_of(centroids, "label", F.col("centroid")))
-    numbers = packed.agg(F.collect_list("block")).scalar()
-    rows = test.select("row_id", "label", V.as_double(F.col("embedding")).alias("_x"))
-    pairs = rows.withColumn("block", F.explode(numbers)).join(packed, "block")
-
-    def distance(v: Column) -> Column:
-        return V.total(F.zip_with(F.col("_x"), v, lambda a, b: (a - b) * (a - b)))
-
-    near = F.array_min(
-        F.transform("members", lambda m: F.struct(distance(m["v"]).alias("d"), m["id"].alias("id")))
-    )
-    best = pairs.select("row_id", "label", near.alias("near"))
-    return best.groupBy("row_id", "label").agg(F.min("near").alias("near")).select(
-        "label", F.col("near.id").alias("predicted")
-    )
+    return move
 
 
 def centroid_accuracy(
-    train: DataFrame, test: DataFrame, limit: int = CENTROID_BYTES
+    train: DataFrame, test: DataFrame, block: int = CENTROID_BYTES
 ) -> DataFrame:
-    """Share of test rows whose closest label centroid is their own label's."""
-    sums = vector_sums(train, ["label"])
+    """Share of test rows whose closest label centroid is their own label's; labels of any type that has
+    an order. Rows without a vector or a label are no rows.
+
+    Centroids are numbered by label and sent to the tasks in blocks of at most ``block`` bytes, one
+    pass for each: a row carries its closest one so far from block to block.
+    """
+    sums = vector_sums(train.where("label IS NOT NULL"), ["label"])
     centre = F.transform("total", lambda x: x / F.col("n"))
-    centroids = durable(sums.select("label", centre.alias("centroid")))
-    size = centroids.agg(F.sum(8 * F.size("centroid") + 16)).first()[0] or 0
-    if 0 < size <= limit:
-        rows = centroids.orderBy("label").collect()
-        matrix = np.array([r.centroid for r in rows])
-        predicted = _nearest_in_task(test, [r.label for r in rows], matrix)
-    else:
-        predicted = _nearest_by_block(test, centroids)
-    hit = (F.col("label") == F.col("predicted")).cast("int")
-    return predicted.agg(F.count(F.lit(1)).alias("n_rows"), F.avg(hit).alias("main_score"))
+    centroids = positions(sums.select("label", centre.alias("centroid")), [F.col("label")], name="_place")
+    centroids = durable(centroids.withColumn("_place", F.col("_place") - 1))
+    widest = centroids.agg(F.max(F.size("centroid")), F.count(F.lit(1))).first()
+    size = max(1, block // (8 * (widest[0] or 1) + 16))
+    rows = test.where("label IS NOT NULL AND embedding IS NOT NULL").select(
+        "label",
+        V.as_double(F.col("embedding")).alias("embedding"),
+        F.lit(float("inf")).alias("best"),
+        F.lit(-1).cast("long").alias("place"),
+    )
+    for first in range(0, widest[1], size):
+        own = centroids.where(F.col("_place").between(first, first + size - 1)).orderBy("_place")
+        sent = test.sparkSession.sparkContext.broadcast(
+            np.array([r["centroid"] for r in own.select("centroid").collect()])
+        )
+        rows = rows.mapInArrow(_nearer(sent, first), rows.schema)
+    found = rows.join(
+        centroids.select(F.col("label").alias("_predicted"), F.col("_place").alias("place")), "place", "left"
+    )
+    hit = F.coalesce((F.col("label") == F.col("_predicted")).cast("int"), F.lit(0))
+    return found.agg(F.count(F.lit(1)).alias("n_rows"), F.avg(hit).alias("main_score"))
 
 
 def label_centroids(df: DataFrame) -> DataFrame:

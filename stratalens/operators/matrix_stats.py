@@ -6,6 +6,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,13 +14,12 @@ from pyspark.sql import types as T
 from ..constants import CONTEXT_METRICS, EPS, HISTOGRAM_BINS, METRICS
 from ..functions import vectors as V
 from ..session import broadcast_if_small, durable
-from .moments import BLOCK_ROWS, key_fields, matrices, moments, to_lists, to_matrix, unit_sums, vector_sums
+from .moments import BLOCK_ROWS, key_fields, moments, to_lists, to_matrix, unit_sums, vector_sums
 from .neighbors import curvature
-from .ranking import top_rows
+from .sampling import sample_rows
 
-SAMPLE_ROWS = 1000
-AXES_BYTES = 128 << 20
-_HASH_LEVELS = 48
+PAIR_ROWS = 1000  # rows of a block whose pairs meet in one group
+NOT_FINITE = "a vector is not finite"
 _SPECTRAL = ["effective_rank", "logdet_covariance", "anisotropy", "spectral_norm", "condition_number"]
 
 
@@ -37,7 +37,9 @@ def _spectrum(n: int, scatter: np.ndarray) -> tuple[dict[str, float | None], np.
     )
     if n > 1:
         cov = values / (n - 1)
-        kept = cov[cov > EPS]
+        # beyond the rank of n centred rows there is rounding noise only
+        kept = cov[: min(n - 1, d)]
+        kept = kept[kept > EPS]
         stats["logdet_covariance"] = float(np.log(cov + EPS).sum())
         stats["anisotropy"] = float(cov.std() / (cov.mean() + EPS))
         stats["spectral_norm"] = float(cov[0])
@@ -56,13 +58,20 @@ def _solver(fields: Sequence[T.StructField]):
         d = mean.shape[1]
         flat = table.column("scatter").combine_chunks().flatten().to_numpy(zero_copy_only=False)
         n = table.column("n")[0].as_py()
-        stats, axis = _spectrum(n, flat.reshape(d, d))
+        unit = to_matrix(table.column("unit").slice(0, 1))[0]
+        finite = bool(np.isfinite(flat).all() and np.isfinite(mean).all())
+        stats, axis = _spectrum(n, flat.reshape(d, d)) if finite else (dict.fromkeys(_SPECTRAL), None)
         keys = [table.column(name).slice(0, 1) for name in names]
         columns = [*keys, pa.array([n]), *[pa.array([stats[s]], pa.float64()) for s in _SPECTRAL]]
-        unit = to_matrix(table.column("unit").slice(0, 1))[0]
-        cosine = (unit[:-1] @ unit[:-1] - unit[-1]) / (n * (n - 1)) if n > 1 else None
-        columns += [pa.array([cosine], pa.float64()), to_lists(mean), to_lists(axis.reshape(1, -1))]
-        out = [*names, "n", *_SPECTRAL, "mean_pairwise_cosine", "mean", "axis"]
+        pairs = n * (n - 1)
+        cosine = (unit[:-1] @ unit[:-1] - unit[-1]) / pairs if finite and pairs else None
+        columns.append(pa.array([cosine], pa.float64()))
+        if finite:
+            columns += [to_lists(mean), to_lists(axis.reshape(1, -1))]
+        else:
+            columns += [pa.nulls(1, pa.list_(pa.float64()))] * 2
+        columns.append(pa.array([None if finite else NOT_FINITE], pa.string()))
+        out = [*names, "n", *_SPECTRAL, "mean_pairwise_cosine", "mean", "axis", "reason"]
         return pa.Table.from_arrays(columns, names=out)
 
     return solve
@@ -70,13 +79,14 @@ def _solver(fields: Sequence[T.StructField]):
 
 def spectra(df: DataFrame, keys: Sequence[str], vector: str = "embedding") -> DataFrame:
     """Per arm its row count, spectral statistics, mean pairwise cosine, mean and first principal
-    axis, from one pass over the rows.
+    axis, from one pass over the rows. An arm with a vector that is not finite has a ``reason``
+    instead.
 
     Only the d x d scatter matrix of an arm meets in one task; d is the embedding width.
     """
     fields = key_fields(df, keys)
     tail = ", ".join(f"{name} double" for name in _SPECTRAL)
-    ddl = f"n long, {tail}, mean_pairwise_cosine double, mean array<double>, axis array<double>"
+    ddl = f"n long, {tail}, mean_pairwise_cosine double, mean array<double>, axis array<double>, reason string"
     schema = T.StructType(fields + T.StructType.fromDDL(ddl).fields)
     return moments(df, keys, vector).groupBy(*keys).applyInArrow(_solver(fields), schema)
 
@@ -139,63 +149,56 @@ def histogram_entropy(
     df: DataFrame, keys: Sequence[str], value: str, name: str, bins: int = HISTOGRAM_BINS
 ) -> DataFrame:
     """Entropy of the equal-width histogram of ``value`` over its range, per arm; 0 below two rows.
+    NULLs are no rows; an arm with a value that is not finite has no entropy.
 
     Rows are counted per bin before the shuffle, so an arm of any size costs one row per bin and
     task.
     """
-    values = durable(df.select(*keys, value))
+    values = durable(df.where(F.col(value).isNotNull()).select(*keys, value))
+    odd = F.isnan(value) | (F.abs(value) == float("inf"))
     ranges = values.groupBy(*keys).agg(
-        F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.count(value).alias("_n")
+        F.min(value).alias("_lo"),
+        F.max(value).alias("_hi"),
+        F.count(value).alias("_n"),
+        F.some(odd).alias("_odd"),
     )
     placed = values.join(broadcast_if_small(ranges), list(keys))
     flat = F.col("_hi") == F.col("_lo")
     low = F.when(flat, F.col("_lo") - 0.5).otherwise(F.col("_lo"))
     width = F.when(flat, 1.0).otherwise(F.col("_hi") - F.col("_lo"))
     cell = F.least(F.floor((F.col(value) - low) / width * bins), F.lit(bins - 1))
-    counts = placed.groupBy(*keys, "_n", cell.alias("_bin")).agg(F.count(F.lit(1)).alias("_c"))
+    counts = placed.groupBy(*keys, "_n", "_odd", cell.alias("_bin"))
+    counts = counts.agg(F.count(F.lit(1)).alias("_c"))
     entropy = _entropy(F.col("_c"), F.col("_n"), bins)
-    return counts.groupBy(*keys, "_n").agg(entropy.alias("_e")).select(
-        *keys, F.when(F.col("_n") < 2, 0.0).otherwise(F.col("_e")).alias(name)
-    )
-
+    found = counts.groupBy(*keys, "_n", "_odd").agg(entropy.alias("_e"))
+    known = F.when(F.col("_n") < 2, 0.0).otherwise(F.col("_e"))
+    return found.select(*keys, F.when(~F.col("_odd"), known).alias(name))
 
-def _projector(keys: Sequence[str], vector: str, axes: dict):
-    def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            score = np.empty(batch.num_rows)
-            for key, rows, x in matrices(batch, keys, vector):
-                mean, axis = axes[key]
-                score[rows] = (x - mean) @ axis
-            columns = [batch.column(k) for k in keys] + [pa.array(score)]
-            yield pa.RecordBatch.from_arrays(columns, names=[*keys, "axis_score"])
 
-    return project
+def _project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The last three columns are vector, mean and axis; rows of one batch may differ in width."""
+    for batch in batches:
+        *keys, x, _, _ = batch.columns
+        score = np.empty(batch.num_rows)
+        widths = np.asarray(pa.compute.list_value_length(x))
+        for width in np.unique(widths):
+            rows = np.flatnonzero(widths == width)
+            own = [to_matrix(c.take(pa.array(rows))) for c in batch.columns[-3:]]
+            score[rows] = ((own[0] - own[1]) * own[2]).sum(axis=1)
+        names = [*batch.schema.names[: len(keys)], "axis_score"]
+        yield pa.RecordBatch.from_arrays([*keys, pa.array(score)], names=names)
 
 
 def axis_scores(
-    df: DataFrame,
-    arms: DataFrame,
-    keys: Sequence[str],
-    vector: str = "embedding",
-    limit: int = AXES_BYTES,
+    df: DataFrame, arms: DataFrame, keys: Sequence[str], vector: str = "embedding"
 ) -> DataFrame:
-    """Coordinate of every row on its arm's first principal axis. ``arms`` are written spectra.
-
-    Axes up to the limit go to every task, which projects whole batches; beyond it they are joined.
-    """
+    """Coordinate of every row on its arm's first principal axis. ``arms`` are written spectra; arms
+    without an axis have no scores."""
     rows = df.where(F.col(vector).isNotNull()).select(*keys, vector)
-    axes = arms.select(*keys, "mean", "axis")
-    size = axes.agg(F.sum(16 * F.size("axis") + 64)).first()[0] or 0
-    if size <= limit:
-        known = {
-            tuple(r[k] for k in keys): (np.array(r["mean"]), np.array(r["axis"]))
-            for r in axes.collect()
-        }
-        schema = key_fields(df, keys) + [T.StructField("axis_score", T.DoubleType())]
-        return rows.mapInArrow(_projector(keys, vector, known), T.StructType(schema))
-    centred = F.zip_with(V.as_double(F.col(vector)), F.col("mean"), lambda x, m: x - m)
-    score = V.dot(centred, F.col("axis"))
-    return rows.join(axes, list(keys)).select(*keys, score.alias("axis_score"))
+    axes = arms.where("axis IS NOT NULL").select(*keys, "mean", "axis")
+    joined = rows.join(broadcast_if_small(axes), list(keys)).select(*keys, vector, "mean", "axis")
+    schema = key_fields(df, keys) + [T.StructField("axis_score", T.DoubleType())]
+    return joined.mapInArrow(_project, T.StructType(schema))
 
 
 def prompt_entropy(
@@ -213,66 +216,104 @@ def norm_entropy(df: DataFrame, keys: Sequence[str], vector: str = "embedding")
     return histogram_entropy(norms, keys, "norm", "norm_entropy")
 
 
-def sample_rows(
-    df: DataFrame, keys: Sequence[str], n: int = SAMPLE_ROWS, seed: int = 0, row: str = "row_id"
-) -> DataFrame:
-    """Up to ``n`` rows per arm, the same ones on every run: the first by a seeded hash of the row
-    id.
-
-    Counts by the hash's magnitude, from the key columns alone, tell how small a hash has to be;
-    the vectors are then read only up to there.
-    """
-    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(row).cast("string")))
-    share = F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / float(16**13)
-    level = F.least(F.floor(-F.log2(F.greatest(share, F.lit(2.0**-52)))), F.lit(_HASH_LEVELS))
-    counts = df.select(*keys, level.alias("_level")).groupBy(*keys, "_level").agg(
-        F.count(F.lit(1)).alias("_c")
-    )
-    # a few dozen levels per arm
-    arm = Window.partitionBy(*keys)
-    so_far = F.sum("_c").over(arm.orderBy(F.desc("_level")))
-    enough = so_far >= F.least(F.sum("_c").over(arm), F.lit(n))
-    bounds = counts.withColumn("_enough", enough).where("_enough").groupBy(*keys).agg(
-        F.max("_level").alias("_bound")
-    )
-    near = df.join(broadcast_if_small(bounds), list(keys)).where(level >= F.col("_bound"))
-    hashed = near.withColumn("_d", digest).drop("_bound")
-    return top_rows(hashed, keys, [F.col("_d"), F.col(row)], n, "_n").drop("_d", "_n")
+def _unit_rows(table: pa.Table, vector: str) -> np.ndarray:
+    x = to_matrix(table.column(vector))
+    return x / (np.linalg.norm(x, axis=1, keepdims=True) + EPS)
 
 
-def _pair_entropy(fields: Sequence[T.StructField], vector: str, bins: int):
-    names = [f.name for f in fields]
+def _pair_distances(table: pa.Table, vector: str) -> np.ndarray:
+    """Cosine distances of a group: within its block, or between its two blocks."""
+    table = table.sort_by([("_own", "ascending"), ("_row", "ascending")])
+    unit = _unit_rows(table, vector)
+    own = table.column("_own").to_numpy()
+    first = own == own[0]
+    if first.all() and table.column("_a")[0] == table.column("_b")[0]:
+        return (1 - unit @ unit.T)[np.triu_indices(len(unit), k=1)]
+    return (1 - unit[first] @ unit[~first].T).ravel() if not first.all() else np.empty(0)
 
-    def entropy(table: pa.Table) -> pa.Table:
-        x = to_matrix(table.column(vector))
-        value = 0.0
-        if len(x) > 1:
-            unit = x / (np.linalg.norm(x, axis=1, keepdims=True) + EPS)
-            distance = (1 - unit @ unit.T)[np.triu_indices(len(x), k=1)]
-            share = np.histogram(distance, bins=bins)[0] + EPS
-            share = share / share.sum()
-            value = float(-np.sum(share * np.log(share)))
-        keys = [table.column(name).slice(0, 1) for name in names]
-        return pa.Table.from_arrays([*keys, pa.array([value])], names=[*names, "dataset_entropy"])
 
-    return entropy
+def _pair_blocks(df: DataFrame, keys: Sequence[str], vector: str, row: str) -> DataFrame:
+    """Each row once for every pair of blocks of its arm that its own block is in."""
+    parts = F.ceil(F.count(F.lit(1)) / PAIR_ROWS).cast("int").alias("_m")
+    rows = df.join(broadcast_if_small(df.groupBy(*keys).agg(parts)), list(keys))
+    own = F.pmod(F.xxhash64(row), F.col("_m")).cast("int")
+    others = F.explode(F.sequence(F.lit(0), F.col("_m") - 1))
+    rows = rows.withColumn("_own", own).withColumn("_other", others)
+    return rows.select(
+        *keys,
+        F.col(row).alias("_row"),
+        vector,
+        "_own",
+        F.least("_own", "_other").alias("_a"),
+        F.greatest("_own", "_other").alias("_b"),
+    )
 
 
 def dataset_entropy(
     df: DataFrame,
     keys: Sequence[str],
+    n: int | None,
     vector: str = "embedding",
-    n: int = SAMPLE_ROWS,
     seed: int = 0,
     row: str = "row_id",
 ) -> DataFrame:
-    """Histogram entropy of the pairwise cosine distances of a sample of at most ``n`` rows."""
+    """Histogram entropy of the cosine distances of all pairs of an arm's rows, or with ``n`` of
+    the pairs of that many sampled rows; with the rows there are and those used.
+
+    Rows are laid out in blocks and every pair of blocks is one group, which yields 50 counts; pairs
+    themselves are not written. Rows without a vector are no rows. An arm with a vector that is not
+    finite has no entropy.
+    """
     fields = key_fields(df, keys)
-    sample = sample_rows(df.select(*keys, row, vector), keys, n, seed, row)
-    schema = T.StructType(fields + [T.StructField("dataset_entropy", T.DoubleType())])
-    return sample.groupBy(*keys).applyInArrow(
-        _pair_entropy(fields, vector, HISTOGRAM_BINS), schema
+    own = df.where(F.col(vector).isNotNull()).select(*keys, row, vector)
+    counts = own.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"))
+    if n is not None:
+        counts = counts.withColumn("n_used", F.least("n_rows", F.lit(n)).cast("long"))
+        own = durable(sample_rows(own, keys, n, seed, row))
+    else:
+        counts = counts.withColumn("n_used", F.col("n_rows"))
+    pairs = _pair_blocks(own, keys, vector, row)
+    names = [f.name for f in fields]
+
+    def extent(table: pa.Table) -> pa.Table:
+        distance = _pair_distances(table, vector)
+        known = len(distance) > 0
+        values = [distance.min() if known else None, distance.max() if known else None]
+        columns = [table.column(k).slice(0, 1) for k in names]
+        columns += [pa.array([v], pa.float64()) for v in values]
+        columns += [pa.array([bool(np.isfinite(distance).all())])]
+        return pa.Table.from_arrays(columns, names=[*names, "_lo", "_hi", "_finite"])
+
+    extents = T.StructType(
+        fields + T.StructType.fromDDL("_lo double, _hi double, _finite boolean").fields
+    )
+    by = [*keys, "_a", "_b"]
+    ranges = pairs.groupBy(*by).applyInArrow(extent, extents).groupBy(*keys)
+    ranges = ranges.agg(
+        F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"), F.every("_finite").alias("_finite")
+    )
+    ranges = durable(ranges)
+
+    def fill(table: pa.Table) -> pa.Table:
+        span = table.column("_lo")[0].as_py(), table.column("_hi")[0].as_py()
+        filled = np.histogram(_pair_distances(table, vector), HISTOGRAM_BINS, span)[0]
+        bins = np.flatnonzero(filled)
+        columns = [pa.chunked_array([table.column(k).slice(0, 1).combine_chunks()] * len(bins)) if len(bins)
+                   else table.column(k).slice(0, 0) for k in names]
+        columns += [pa.array(bins.astype(np.int32)), pa.array(filled[bins].astype(np.int64))]
+        return pa.Table.from_arrays(columns, names=[*names, "_bin", "_c"])
+
+    counted = T.StructType(fields + T.StructType.fromDDL("_bin int, _c long").fields)
+    known = ranges.where("_finite AND _lo IS NOT NULL").drop("_finite")
+    bins = pairs.join(broadcast_if_small(known), list(keys)).groupBy(*by).applyInArrow(fill, counted)
+    bins = bins.groupBy(*keys, "_bin").agg(F.sum("_c").alias("_c"))
+    total = F.sum("_c").over(Window.partitionBy(*keys))
+    entropy = bins.withColumn("_n", total).groupBy(*keys).agg(
+        _entropy(F.col("_c"), F.col("_n"), HISTOGRAM_BINS).alias("_e")
     )
+    found = counts.join(entropy, list(keys), "left")
+    value = F.when(F.col("n_used") < 2, 0.0).otherwise(F.col("_e"))
+    return found.select(*keys, "n_rows", "n_used", value.alias("dataset_entropy"))
 
 
 def mean_pairwise_cosine(
@@ -284,31 +325,51 @@ def mean_pairwise_cosine(
 ) -> DataFrame:
     """Mean cosine over all pairs of an arm, in one pass: ``(|sum u|^2 - sum |u|^2) / n(n-1)``.
 
-    With ``sample`` the pairs of that many sampled rows only.
+    With ``sample`` the pairs of that many sampled rows only. Rows without a vector are no rows.
     """
-    rows = df if sample is None else sample_rows(df, keys, sample, seed)
+    own = df.where(F.col(vector).isNotNull())
+    rows = own if sample is None else sample_rows(own, keys, sample, seed)
     sums = vector_sums(rows, keys, vector, unit_sums)
     whole = F.slice("total", 1, F.size("total") - 1)
     pairs = F.col("n") * (F.col("n") - 1)
     value = (V.dot(whole, whole) - F.element_at("total", -1)) / F.nullif(pairs, F.lit(0))
-    return sums.select(*keys, value.alias("mean_pairwise_cosine"))
+    found = sums.select(*keys, F.col("n").alias("n_used"), value.alias("mean_pairwise_cosine"))
+    if sample is None:
+        return found.drop("n_used")
+    counts = own.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"))
+    return found.join(counts, list(keys)).select(
+        *keys, "n_rows", "n_used", "mean_pairwise_cosine"
+    )
 
 
 def representation_metrics(
-    df: DataFrame, keys: Sequence[str], row: str = "row_id", vector: str = "embedding", seed: int = 0
+    df: DataFrame,
+    keys: Sequence[str],
+    pairs: int | None = None,
+    probes: int | None = None,
+    row: str = "row_id",
+    vector: str = "embedding",
+    seed: int = 0,
 ) -> DataFrame:
     """All eight statistics of every arm. One pass yields the spectral ones, the mean cosine and the
-    axis; the others each need their own look at the rows."""
+    axis; the others each need their own look at the rows.
+
+    ``pairs`` and ``probes`` bound the rows of the pairwise entropy and of the curvature; without them
+    all rows are used. An arm that cannot be measured has NULL statistics and a ``reason``.
+    """
     arms = durable(spectra(df, keys, vector))
     parts = [
         prompt_entropy(df, keys, vector, arms),
-        dataset_entropy(df, keys, vector, seed=seed, row=row),
-        curvature(df, keys, row, vector),
+        dataset_entropy(df, keys, pairs, vector, seed, row).drop("n_rows", "n_used"),
+        curvature(df, keys, probes, row, vector, seed=seed).drop("n_rows", "n_probes"),
     ]
     shared = [name for name in METRICS if name in arms.columns]
-    joined = arms.select(*keys, "n", *shared)
+    joined = arms.select(*keys, "n", "reason", *shared)
     for part in parts:
         joined = joined.join(part, list(keys), "left")
-    filled = joined.fillna(0.0, CONTEXT_METRICS)
-    return filled.select(*keys, "n", *METRICS)
+    columns = []
+    for name in METRICS:
+        value = F.coalesce(name, F.lit(0.0)) if name in CONTEXT_METRICS else F.col(name)
+        columns.append(F.when(F.col("reason").isNull(), value).alias(name))
+    return joined.select(*keys, "n", *columns, "reason")
 

@@ -11,6 +11,7 @@ from ..constants import EARLY_LAYERS, KEY_LAYERS, LATE_LAYERS, METRICS
 from ..functions import scores as S
 from .coverage import comma_list
 from .ranking import running_totals, top_rows
+from .score_tables import settled
 
 
 def metric_entries(scores: DataFrame, keep: Sequence[str]) -> DataFrame:
@@ -140,7 +141,7 @@ def describe(metrics: DataFrame, names: Sequence[str] = METRICS) -> DataFrame:
 def _summaries(names: Sequence[str], digits: int) -> list:
     steps = {"mean": F.avg, "std": F.stddev, "min": F.min, "max": F.max}
     return [
-        F.bround(how(name), digits).alias(f"{name}_{label}")
+        F.bround(settled(how(name)), digits).alias(f"{name}_{label}")
         for name in names
         for label, how in steps.items()
     ]
@@ -177,11 +178,16 @@ def report(metrics: DataFrame) -> DataFrame:
     bend = F.col("curvature")
     arm = F.concat_ws("@", "checkpoint", F.col("layer").cast("string"))
 
+    def first(value):
+        """The arm of the least value; an arm without a value never."""
+        order = F.struct(value, F.col("checkpoint"), F.col("layer"))
+        return F.min_by(F.when(value.isNotNull(), arm), F.when(value.isNotNull(), order))
+
     def first_max(value):
-        return F.min_by(arm, F.struct(-value, F.col("checkpoint"), F.col("layer")))
+        return first(-value)
 
     def first_min(value):
-        return F.min_by(arm, F.struct(value, F.col("checkpoint"), F.col("layer")))
+        return first(value)
 
     overall = metrics.agg(
         F.count(F.lit(1)).alias("n_arms"),
@@ -194,7 +200,7 @@ def report(metrics: DataFrame) -> DataFrame:
         first_max(bend).alias("max_curvature_arm"),
         first_min(bend).alias("min_curvature_arm"),
     )
-    layers = metrics.groupBy("layer").agg(F.bround(F.avg(rank), 4).alias("m"))
+    layers = metrics.groupBy("layer").agg(F.bround(settled(F.avg(rank)), 4).alias("m"))
     halves = layers.agg(
         F.avg(F.when(F.col("layer").isin(EARLY_LAYERS), F.col("m"))).alias("early_rank"),
         F.avg(F.when(F.col("layer").isin(LATE_LAYERS), F.col("m"))).alias("late_rank"),

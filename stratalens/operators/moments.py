@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..constants import EPS
-from ..session import broadcast_if_small
+from ..session import broadcast_if_small, durable
 
 BLOCK_ROWS = 64  # scatter rows per emitted block
 HELD_BYTES = 128 << 20  # scatter matrices a task folds at a time before it emits the oldest
@@ -173,21 +173,26 @@ def gathered(df: DataFrame, keys: Sequence[str], vector: str = "embedding") -> D
     """``df`` laid out so that a task sees many rows of few arms.
 
     Embeddings cached by arm are so already and stay where they are; this is found out from the key
-    columns alone. Where a task sees fewer rows of an arm than half the vector's width, a partial
-    scatter matrix would be larger than the rows it stands for: rows then move once, by arm, large
-    arms to several tasks.
+    columns alone, for each arm. Where tasks see fewer rows of an arm than half the vector's width, a
+    partial scatter matrix would be larger than the rows it stands for: that arm's rows then move
+    once, large arms to several tasks, dealt by a hash of the row.
     """
     part = F.spark_partition_id().alias("_part")
-    seen = df.groupBy(part, *keys).agg(F.count(F.lit(1)).alias("n"))
-    rows = seen.agg(F.avg("n")).first()[0] or 0.0
-    head = df.where(F.col(vector).isNotNull()).select(F.size(vector).alias("d")).head()
-    if head is None or rows >= head.d / 2:
-        return df
-    sizes = df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / GATHERED_ROWS).cast("int").alias("_m"))
-    split = df.join(broadcast_if_small(sizes), list(keys)).withColumn(
-        "_s", F.pmod(F.monotonically_increasing_id(), F.col("_m"))
+    own = df.where(F.col(vector).isNotNull())
+    seen = own.groupBy(part, *keys).agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vector)).alias("d"))
+    sizes = seen.groupBy(*keys).agg(
+        (F.avg("n") < F.max("d") / 2).alias("_thin"),
+        F.ceil(F.sum("n") / GATHERED_ROWS).cast("int").alias("_m"),
+        F.count(F.lit(1)).alias("_tasks"),
     )
-    return split.repartition(*keys, "_s").drop("_m", "_s")
+    thin = durable(sizes.where("_thin AND _tasks > _m").drop("_thin", "_tasks"))
+    if thin.isEmpty():
+        return df
+    marked = own.join(broadcast_if_small(thin), list(keys), "left")
+    salt = F.pmod(F.xxhash64(vector), F.col("_m"))
+    moved = marked.where("_m IS NOT NULL").withColumn("_s", salt).repartition(*keys, "_s")
+    stay = marked.where("_m IS NULL")
+    return stay.drop("_m").unionByName(moved.drop("_m", "_s"))
 
 
 def moments(df: DataFrame, keys: Sequence[str], vector: str = "embedding") -> DataFrame:

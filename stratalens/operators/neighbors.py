@@ -1,13 +1,12 @@
-"""Nearest neighbours of a bounded set of probe rows, and the local curvature built on them.
+"""Nearest neighbours of a set of probe rows, and the local curvature built on them.
 
-A task keeps, per arm and probe, only the best ``k`` rows it has met, and emits those. Where the
-probes are small enough every task gets all of them and the embeddings stay where they are; above
-the limit the rows of an arm are spread over chunks and each chunk meets its arm's probes.
+The rows of an arm are spread over chunks, its probes over blocks; every chunk meets every block in a
+group of bounded size, which emits only the best ``k`` rows of each probe.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -17,30 +16,19 @@ from pyspark.sql import types as T
 
 from ..constants import EPS
 from ..session import broadcast_if_small, durable
-from .moments import HELD_BYTES, arrow_keys, key_fields, matrices, to_lists, to_matrix
+from .moments import arrow_keys, key_fields, to_lists, to_matrix
 from .ranking import top_rows
+from .sampling import sample_rows
 
-PROBES = 100
 NEIGHBORS = 10
 SPARE = 6  # rows taken beyond k by rough distance
 CHUNK_ROWS = 20_000
 PROBE_ROWS = 1_000
-PROBE_BYTES = 64 << 20  # probes up to this size go to every task
 
 # row ids, squared distances and vectors, a row per probe; infinite distances are no neighbours
 Best = tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
-def first_rows(df: DataFrame, keys: Sequence[str], n: int, row: str) -> DataFrame:
-    """The first ``n`` rows of each arm by row id. The last id of each is found without the
-    vectors."""
-    first = top_rows(df.select(*keys, row), keys, [F.col(row)], n)
-    last = first.groupBy(*keys).agg(F.max(row).alias("_last"))
-    return df.join(broadcast_if_small(last), list(keys)).where(F.col(row) <= F.col("_last")).drop(
-        "_last"
-    )
-
-
 def _distances(p: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Squared distances by the expanded square: fast, but not exact in the last digits."""
     return (p**2).sum(axis=1)[:, None] + (x**2).sum(axis=1)[None, :] - 2 * p @ x.T
@@ -83,10 +71,6 @@ def _search(probe_ids: np.ndarray, p: np.ndarray, ids: np.ndarray, x: np.ndarray
     return best
 
 
-def _join_best(left: Best, right: Best, k: int) -> Best:
-    return _ranked(*[np.concatenate(pair, axis=1) for pair in zip(left, right)], k)
-
-
 def _rows(fields, key: tuple, probe_ids: np.ndarray, best: Best) -> pa.RecordBatch:
     ids, squared, vectors = best
     probe, place = np.nonzero(np.isfinite(squared))
@@ -100,36 +84,6 @@ def _rows(fields, key: tuple, probe_ids: np.ndarray, best: Best) -> pa.RecordBat
     return pa.RecordBatch.from_arrays(columns, names=names)
 
 
-def _finder(fields, row: str, vector: str, probes: dict, k: int):
-    keys = [f.name for f in fields]
-
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple, Best] = {}
-        for batch in batches:
-            ids = batch.column(row).to_numpy(zero_copy_only=False)
-            for key, rows, x in matrices(batch, keys, vector):
-                if key not in probes:
-                    continue
-                found = _search(*probes[key], ids[rows], x, k)
-                known = held.pop(key, None)
-                held[key] = found if known is None else _join_best(known, found, k)
-            while len(held) > 1 and sum(b[2].nbytes for b in held.values()) > HELD_BYTES:
-                oldest = next(iter(held))
-                yield _rows(fields, oldest, probes[oldest][0], held.pop(oldest))
-        for key, best in held.items():
-            yield _rows(fields, key, probes[key][0], best)
-
-    return find
-
-
-def _collected(probes: DataFrame, keys: Sequence[str], row: str, vector: str) -> dict:
-    """Probe ids and matrix per arm; called for a checked number of bytes only."""
-    table = probes.select(*keys, row, vector).toArrow().combine_chunks()
-    batch = table.to_batches()[0]
-    ids = batch.column(row).to_numpy(zero_copy_only=False)
-    return {key: (ids[rows], x) for key, rows, x in matrices(batch, keys, vector)}
-
-
 def _parts(df: DataFrame, keys: Sequence[str], rows: int, name: str) -> DataFrame:
     """How many parts of about ``rows`` rows each arm makes, sent to the tasks if few enough."""
     count = F.ceil(F.count(F.lit(1)) / rows).cast("int").alias(name)
@@ -182,67 +136,72 @@ def knn(
     k: int = NEIGHBORS,
     row: str = "row_id",
     vector: str = "embedding",
-    limit: int = PROBE_BYTES,
 ) -> DataFrame:
     """``(keys…, probe_id, neighbor_id, distance, neighbor, rank)``: the ``k`` nearest rows of the
-    same arm by Euclidean distance, never the probe itself."""
+    same arm by Euclidean distance, never the probe itself. Rows whose distance is not a number are no
+    neighbours."""
     fields = key_fields(df, keys)
     ddl = "probe_id long, neighbor_id long, squared double, neighbor array<double>"
     schema = T.StructType(fields + T.StructType.fromDDL(ddl).fields)
     rows = df.where(F.col(vector).isNotNull()).select(*keys, row, vector)
-    chosen = durable(probes.where(F.col(vector).isNotNull()).select(*keys, row, vector))
-    size = chosen.agg(F.sum(8 * F.size(vector) + 64)).first()[0] or 0
-    if 0 < size <= limit:
-        found = _finder(fields, row, vector, _collected(chosen, keys, row, vector), k)
-        partial = rows.mapInArrow(found, schema)
-    else:
-        partial = _cogrouped(rows, chosen, keys, row, vector, k, schema, fields)
+    chosen = probes.where(F.col(vector).isNotNull()).select(*keys, row, vector)
+    partial = _cogrouped(rows, chosen, keys, row, vector, k, schema, fields)
     order = [F.col("squared"), F.col("neighbor_id")]
     ranked = top_rows(partial, [*keys, "probe_id"], order, k)
     distance = F.sqrt("squared").alias("distance")
     return ranked.select(*keys, "probe_id", "neighbor_id", distance, "neighbor", "rank")
 
 
-def _curvature_of(fields: Sequence[T.StructField]):
+def _condition_of(fields: Sequence[T.StructField]):
     names = [f.name for f in fields]
 
-    def mean_condition(table: pa.Table) -> pa.Table:
+    def conditions(table: pa.Table) -> pa.Table:
         x = to_matrix(table.column("neighbor"))
         probes = table.column("probe_id").to_numpy()
-        conditions = []
+        found = []
         for probe in np.unique(probes):
             near = x[probes == probe]
             if len(near) < 2:
                 continue
             centred = near - near.mean(axis=0)
             # same nonzero spectrum as the d x d covariance
-            values = np.linalg.eigvalsh(centred @ centred.T / (len(near) - 1))
+            values = np.linalg.eigvalsh(centred @ centred.T / (len(near) - 1))[::-1]
+            # beyond the rank of the centred rows there is rounding noise only
+            values = values[: min(len(near) - 1, x.shape[1])]
             values = values[values > EPS]
             if len(values) > 1:
-                conditions.append(values.max() / (values.min() + EPS))
-        value = float(np.mean(conditions)) if conditions else 0.0
-        keys = [table.column(name).slice(0, 1) for name in names]
-        return pa.Table.from_arrays([*keys, pa.array([value])], names=[*names, "curvature"])
+                found.append(float(values.max() / (values.min() + EPS)))
+        keys = [table.column(name).combine_chunks().take(pa.array([0] * len(found), pa.int64())) for name in names]
+        return pa.Table.from_arrays([*keys, pa.array(found, pa.float64())], names=[*names, "_condition"])
 
-    return mean_condition
+    return conditions
 
 
 def curvature(
     df: DataFrame,
     keys: Sequence[str],
+    probes: int | None,
     row: str = "row_id",
     vector: str = "embedding",
-    probes: int = PROBES,
     k: int = NEIGHBORS,
+    seed: int = 0,
 ) -> DataFrame:
-    """Mean condition number of the covariance of each probe's ``min(k, n-1)`` neighbours, over the
-    first ``probes`` rows of an arm; 0 below three rows."""
+    """Mean condition number of the covariance of each probe's ``min(k, n-1)`` neighbours; 0 below
+    three rows. Every row is a probe, or with ``probes`` that many of an arm's, chosen by hash. With the
+    rows there are and the probes used."""
     fields = key_fields(df, keys)
-    near = knn(df, first_rows(df, keys, probes, row), keys, k, row, vector)
-    schema = T.StructType(fields + [T.StructField("curvature", T.DoubleType())])
-    found = near.select(*keys, "probe_id", "neighbor").groupBy(*keys).applyInArrow(
-        _curvature_of(fields), schema
+    own = df.where(F.col(vector).isNotNull()).select(*keys, row, vector)
+    chosen = own if probes is None else durable(sample_rows(own, keys, probes, seed, row))
+    near = knn(own, chosen, keys, k, row, vector)
+    schema = T.StructType(fields + [T.StructField("_condition", T.DoubleType())])
+    parts = _parts(chosen, keys, PROBE_ROWS, "_b")
+    block = F.pmod(F.xxhash64("probe_id"), F.col("_b")).alias("_block")
+    near = near.join(parts, list(keys)).select(*keys, "probe_id", "neighbor", block)
+    found = near.groupBy(*keys, "_block").applyInArrow(_condition_of(fields), schema)
+    found = found.groupBy(*keys).agg(F.avg("_condition").alias("curvature"))
+    sizes = own.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"))
+    used = F.col("n_rows") if probes is None else F.least("n_rows", F.lit(probes).cast("long"))
+    value = F.when(F.col("n_rows") < 3, 0.0).otherwise(F.coalesce("curvature", F.lit(0.0)))
+    return sizes.join(found, list(keys), "left").select(
+        *keys, "n_rows", used.alias("n_probes"), value.alias("curvature")
     )
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    value = F.when(F.col("_n") < 3, 0.0).otherwise(F.coalesce("curvature", F.lit(0.0)))
-    return sizes.join(found, list(keys), "left").select(*keys, value.alias("curvature"))

@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from ..session import durable
 
 LIMITED_TASKS = 256  # neighbouring tasks whose rows are limited together first
-_GROUP_LIMIT = "spark.sql.optimizer.windowGroupLimitThreshold"
 _ROW_BITS = 33  # monotonically_increasing_id keeps the partition number above these
 
 
@@ -82,12 +81,11 @@ def top_rows(
 ) -> DataFrame:
     """The first ``n`` rows of each group in ``order``, with their rank.
 
-    Spark limits each group per task before it shuffles. The rows that leave the tasks are limited
-    per run of tasks first, so that a group found in very many tasks does not meet in one of them.
+    Spark limits each group per task before it shuffles, as long as ``n`` is not above its own setting
+    for that (1000 unless changed); the session's settings are left as they are. The rows that leave the
+    tasks are limited per run of tasks first, so that a group found in very many tasks does not meet in
+    one of them.
     """
-    conf = df.sparkSession.conf
-    if n > int(conf.get(_GROUP_LIMIT, "1000")):
-        conf.set(_GROUP_LIMIT, str(n))  # above it Spark would not limit before the shuffle
     salted = df.withColumn("_salt", F.floor(F.spark_partition_id() / LIMITED_TASKS))
     kept = salted
     for by in ([*group, "_salt"], list(group)):

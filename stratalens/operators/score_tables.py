@@ -17,7 +17,7 @@ from .coverage import SINGLE_REVISION, complete_tasks, in_last_layers, layer_ske
 _DIGITS = 12
 
 
-def _settled(value: Column) -> Column:
+def settled(value: Column) -> Column:
     return F.round(value, _DIGITS)
 
 
@@ -47,7 +47,7 @@ def _means(scores: DataFrame, slice_id: str, last_n: int) -> DataFrame:
 def layer_profile(scores: DataFrame, slice_id: str = "S1", last_n: int = 8) -> DataFrame:
     """Mean score per revision and layer, ranked within the revision; at most ``last_n`` rows
     each."""
-    by_mean = Window.partitionBy("revision").orderBy(_settled(F.col("mean_main_score")).desc())
+    by_mean = Window.partitionBy("revision").orderBy(settled(F.col("mean_main_score")).desc())
     return _means(scores, slice_id, last_n).withColumn(
         "rank_within_revision", F.rank().over(by_mean)
     )
@@ -56,7 +56,7 @@ def layer_profile(scores: DataFrame, slice_id: str = "S1", last_n: int = 8) -> D
 def best_layer(scores: DataFrame, slice_id: str = "S1", last_n: int = 8) -> DataFrame:
     """Best layer of each revision and its margin to the second best, 0 if there is none."""
     ranked = Window.partitionBy("revision").orderBy(
-        _settled(F.col("mean_main_score")).desc(), F.col("layer")
+        settled(F.col("mean_main_score")).desc(), F.col("layer")
     )
     means = _means(scores, slice_id, last_n)
     second = F.lead("mean_main_score").over(ranked)
@@ -103,7 +103,7 @@ def task_sensitivity(scores: DataFrame, slice_id: str = "S1", last_n: int = 8) -
         F.avg("main_score").alias("m")
     )
     top = F.max("m")
-    best = F.max_by("layer", F.struct(_settled(F.col("m")), -F.col("layer")))
+    best = F.max_by("layer", F.struct(settled(F.col("m")), -F.col("layer")))
     return layers.groupBy("task").agg(
         (top - F.min("m")).alias("range_over_layers"),
         F.stddev("m").alias("std_over_layers"),
@@ -201,8 +201,8 @@ def average_main_score(scores: DataFrame, tasks: DataFrame) -> DataFrame:
 def average_extremes(averages: DataFrame) -> DataFrame:
     """Mean, lowest and highest layer average, and the layers they are at."""
     value = F.col("average_main_score")
-    low = F.struct(_settled(value), F.col("layer"))
-    high = F.struct(_settled(value), -F.col("layer"))
+    low = F.struct(settled(value), F.col("layer"))
+    high = F.struct(settled(value), -F.col("layer"))
     return averages.agg(
         F.avg(value).alias("mean_across_layers"),
         F.min(value).alias("min_score"),

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..constants import STATUSES
 from ..functions import revisions as R
+from .score_tables import settled
 
 UNIT = ("model_size", "revision", "layer", "task")
 
@@ -56,6 +57,6 @@ def progress_rows(log: DataFrame, digits: int = 3) -> DataFrame:
     return log.withColumns(
         {
             "timestamp": F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss"),
-            "elapsed_sec": F.bround("elapsed_sec", digits),
+            "elapsed_sec": F.bround(settled(F.col("elapsed_sec")), digits),
         }
     )

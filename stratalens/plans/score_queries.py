@@ -12,6 +12,7 @@ from ..sources import grids as G
 from ..sources import sinks as K
 from . import views as V
 from .registry import query, rounded
+from .registry import sql_half_even as half_even
 from .registry import sql_round as r
 from .views import with_views
 
@@ -338,27 +339,22 @@ def metrics_describe(spark, folder):
 def _summary_sql(names) -> str:
     steps = {"mean": "avg", "std": "stddev_samp", "min": "min", "max": "max"}
     return ", ".join(
-        f"{r(f'{how}({n})', 4)} AS {n}_{label}" for n in names for label, how in steps.items()
+        f"{half_even(f'{how}({n})', 4)} AS {n}_{label}" for n in names for label, how in steps.items()
     )
 
 
-def _summary(table, names=METRICS):
-    columns = [f"{n}_{s}" for n in names for s in ("mean", "std", "min", "max")]
-    return rounded(table, *columns, digits=4)
-
-
 @query("metrics_by_checkpoint", with_views(f"""
   SELECT checkpoint, {_summary_sql(METRICS)}, count(layer) AS num_layers
   FROM metrics GROUP BY checkpoint""", "metrics"))
 def metrics_by_checkpoint(spark, folder):
-    return _summary(M.by_checkpoint(V.metrics(spark, folder), digits=12))
+    return M.by_checkpoint(V.metrics(spark, folder))
 
 
 @query("metrics_by_layer", with_views(f"""
   SELECT layer, {_summary_sql(METRICS)}, count(DISTINCT checkpoint) AS num_checkpoints
   FROM metrics GROUP BY layer""", "metrics"))
 def metrics_by_layer(spark, folder):
-    return _summary(M.by_layer(V.metrics(spark, folder), digits=12))
+    return M.by_layer(V.metrics(spark, folder))
 
 
 @query("top_extremes", with_views(f"""
@@ -378,7 +374,7 @@ def top_extremes(spark, folder):
 @query("metrics_report", with_views(f"""
   , halves AS (SELECT avg(m) FILTER (layer IN (0, 1, 2, 3)) AS early,
       avg(m) FILTER (layer IN (20, 21, 22, 23)) AS late FROM
-      (SELECT layer, round_even(avg(effective_rank), 4) AS m FROM metrics GROUP BY layer)),
+      (SELECT layer, {half_even("avg(effective_rank)", 4)} AS m FROM metrics GROUP BY layer)),
   named AS (SELECT *, concat(checkpoint, '@', layer) AS arm FROM metrics)
   SELECT count(*) AS n_arms, count(DISTINCT checkpoint) AS n_checkpoints,
     count(DISTINCT layer) AS n_layers,
@@ -398,13 +394,12 @@ def metrics_report(spark, folder):
 
 
 @query("key_layer_ranks", with_views(f"""
-  SELECT layer, {r("avg(effective_rank)", 4)} AS effective_rank_mean,
-    {r("stddev_samp(effective_rank)", 4)} AS effective_rank_std,
+  SELECT layer, {half_even("avg(effective_rank)", 4)} AS effective_rank_mean,
+    {half_even("stddev_samp(effective_rank)", 4)} AS effective_rank_std,
     count(DISTINCT checkpoint) AS num_checkpoints FROM metrics
   WHERE layer IN (0, 1, 2, 3, 5, 10, 15, 20, 22, 23) GROUP BY layer""", "metrics"))
 def key_layer_ranks(spark, folder):
-    ranks = M.key_layer_ranks(V.metrics(spark, folder), digits=12)
-    return rounded(ranks, "effective_rank_mean", "effective_rank_std", digits=4)
+    return M.key_layer_ranks(V.metrics(spark, folder))
 
 
 @query("arm_json", with_views("""

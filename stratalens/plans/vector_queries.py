@@ -11,6 +11,7 @@ from ..operators import encode as N
 from ..operators import evaluate as E
 from ..operators import matrix_stats as M
 from ..operators import neighbors as B
+from ..operators.sampling import sample_rows
 from . import views as V
 from .registry import query, rounded
 from .registry import sql_round as r
@@ -335,14 +336,38 @@ def norm_entropy(spark, folder):
 _UNIT = f"list_transform(embedding, lambda x: x / ({_NORM} + 1e-10))"
 _SAMPLED = f"""SELECT a.revision, a.layer, 1 - list_dot_product(a.u, b.u) AS v FROM sampled a JOIN sampled b
   ON a.revision = b.revision AND a.layer = b.layer AND a.row_id < b.row_id"""
-_SAMPLE = f""", sampled AS (SELECT revision, layer, row_id, {_UNIT} AS u FROM arm_embeddings
-  QUALIFY row_number() OVER (PARTITION BY revision, layer ORDER BY md5(concat('0:', row_id)), row_id) <= 1000)"""
+_COUNTED = "count(*) OVER (PARTITION BY revision, layer) AS n_rows"
+
+
+def _sample(n: int | None) -> str:
+    """All rows, or the first ``n`` by the sampling hash, as unit vectors."""
+    first = "" if n is None else (
+        "QUALIFY row_number() OVER (PARTITION BY revision, layer "
+        f"ORDER BY md5(concat('0:', row_id)), row_id) <= {n}"
+    )
+    return f", sampled AS MATERIALIZED (SELECT revision, layer, row_id, {_UNIT} AS u, {_COUNTED} FROM arm_embeddings {first})"
+
+
+def _dataset_entropy_sql(n: int | None) -> str:
+    found = _sample(n) + _histogram_sql(_SAMPLED, "dataset_entropy")
+    head, _, tail = found.rpartition("\n  SELECT revision, layer, ")
+    return with_views(
+        f"""{head}, found AS (SELECT revision, layer, {tail})
+  SELECT revision, layer, max(n_rows) AS n_rows, count(*) AS n_used, max(dataset_entropy) AS dataset_entropy
+  FROM sampled JOIN found USING (revision, layer) GROUP BY revision, layer""",
+        "arm_embeddings",
+    )
+
 
+def _register_dataset_entropy(name: str, n: int | None) -> None:
+    @query(name, _dataset_entropy_sql(n))
+    def run(spark, folder):
+        found = M.dataset_entropy(V.arm_embeddings(spark, folder), ARM, n)
+        return rounded(found, "dataset_entropy")
 
-@query("dataset_entropy", with_views(
-    _SAMPLE + _histogram_sql(_SAMPLED, "dataset_entropy"), "arm_embeddings"))
-def dataset_entropy(spark, folder):
-    return rounded(M.dataset_entropy(V.arm_embeddings(spark, folder), ARM), "dataset_entropy")
+
+_register_dataset_entropy("dataset_entropy", None)
+_register_dataset_entropy("dataset_entropy_of_100", 100)
 
 
 _PAIR_COS = f"""SELECT a.revision, a.layer, {r("avg(list_dot_product(a.u, b.u))")} AS mean_pairwise_cosine
@@ -358,29 +383,48 @@ def mean_pairwise_cosine(spark, folder):
 
 
 @query("mean_pairwise_cosine_sampled", with_views(
-    _SAMPLE.replace("<= 1000", "<= 100") + " " + _PAIR_COS, "arm_embeddings"))
+    f"""{_sample(100)}, found AS ({_PAIR_COS}) SELECT revision, layer, max(n_rows) AS n_rows,
+  count(*) AS n_used, max(mean_pairwise_cosine) AS mean_pairwise_cosine
+  FROM sampled JOIN found USING (revision, layer) GROUP BY revision, layer""", "arm_embeddings"))
 def mean_pairwise_cosine_sampled(spark, folder):
     rows = V.arm_embeddings(spark, folder)
     return rounded(M.mean_pairwise_cosine(rows, ARM, sample=100), "mean_pairwise_cosine")
 
 
-@query("knn_join", with_views(f""", probes AS (SELECT * FROM arm_embeddings
-    QUALIFY row_number() OVER (PARTITION BY revision, layer ORDER BY row_id) <= 100),
+def _probes_sql(n: int | None) -> str:
+    if n is None:
+        return "probes AS (SELECT * FROM arm_embeddings)"
+    return f"""probes AS MATERIALIZED (SELECT * FROM arm_embeddings QUALIFY row_number() OVER
+    (PARTITION BY revision, layer ORDER BY md5(concat('0:', row_id)), row_id) <= {n})"""
+
+
+def _near_sql(n: int | None) -> str:
+    return f""", {_probes_sql(n)},
   pairs AS (SELECT p.revision, p.layer, p.row_id AS probe_id, e.row_id AS neighbor_id,
-    list_distance(p.embedding, e.embedding) AS d FROM probes p JOIN arm_embeddings e
-    ON p.revision = e.revision AND p.layer = e.layer AND p.row_id <> e.row_id)
-  SELECT revision, layer, probe_id, neighbor_id, {r("d")} AS distance,
-    cast(row_number() OVER (PARTITION BY revision, layer, probe_id ORDER BY d, neighbor_id) AS int) AS rank
-  FROM pairs QUALIFY rank <= 10""", "arm_embeddings"))
-def knn_join(spark, folder):
-    rows = V.arm_embeddings(spark, folder)
-    found = B.knn(rows, B.first_rows(rows, ARM, B.PROBES, "row_id"), ARM)
-    return rounded(found.drop("neighbor"), "distance")
+    list_distance(p.embedding, e.embedding) AS d, e.embedding AS v FROM probes p JOIN arm_embeddings e
+    ON p.revision = e.revision AND p.layer = e.layer AND p.row_id <> e.row_id),
+  near AS MATERIALIZED (SELECT *, cast(row_number() OVER (PARTITION BY revision, layer, probe_id
+    ORDER BY d, neighbor_id) AS int) AS rank FROM pairs QUALIFY rank <= 10)"""
+
+
+def _register_knn(name: str, n: int | None) -> None:
+    """Every row is a probe, or ``n`` of each arm chosen by hash."""
+
+    @query(name, with_views(f"""{_near_sql(n)}
+  SELECT revision, layer, probe_id, neighbor_id, {r("d")} AS distance, rank FROM near""", "arm_embeddings"))
+    def run(spark, folder):
+        rows = V.arm_embeddings(spark, folder)
+        probes = rows if n is None else sample_rows(rows, ARM, n)
+        return rounded(B.knn(rows, probes, ARM).drop("neighbor"), "distance")
+
+
+_register_knn("knn_join", None)
+_register_knn("knn_join_of_100", 100)
 
 
 @query("curvature")
 def curvature(spark, folder):
-    return rounded(B.curvature(V.arm_embeddings(spark, folder), ARM), "curvature")
+    return rounded(B.curvature(V.arm_embeddings(spark, folder), ARM, None), "curvature")
 
 
 @query("repr_metrics")
@@ -389,6 +433,29 @@ def repr_metrics(spark, folder):
     return rounded(table, *M.METRICS)
 
 
+def _with_odd_rows(spark, folder) -> DataFrame:
+    """The arms, some vectors of layer 1 missing and one of layer 2 not finite."""
+    rows = V.arm_embeddings(spark, folder)
+    first = F.col("row_id") == 2
+    vector = F.when(first, F.transform("embedding", lambda x: x * float("nan")))
+    missing = (F.col("layer") == 1) & (F.col("row_id") % 3 == 0)
+    return rows.withColumn("embedding", F.when(~missing, F.coalesce(vector, "embedding")))
+
+
+@query("odd_vectors", with_views(f""", kept AS (SELECT * FROM arm_embeddings
+    WHERE NOT (layer = 1 AND row_id % 3 = 0)), sums AS (SELECT revision, layer, count(*) AS n,
+    {r(f"avg({_NORM})")} AS mean_norm FROM kept GROUP BY revision, layer)
+  SELECT revision, layer, n, CASE WHEN layer <> 2 THEN mean_norm END AS mean_norm,
+    CASE WHEN layer = 2 THEN 'a vector is not finite' END AS reason FROM sums""", "arm_embeddings"))
+def odd_vectors(spark, folder):
+    """Rows without a vector are left out; an arm that cannot be measured has a reason."""
+    rows = _with_odd_rows(spark, folder)
+    norms = rows.where("embedding IS NOT NULL").groupBy(*ARM).agg(F.avg(X.norm(F.col("embedding"))).alias("m"))
+    arms = M.representation_metrics(rows, ARM).join(norms, ARM)
+    mean = F.when(F.col("reason").isNull() & F.col("effective_rank").isNotNull(), F.col("m"))
+    return rounded(arms.select(*ARM, "n", mean.alias("mean_norm"), "reason"), "mean_norm")
+
+
 # ---- task scores ----------------------------------------------------------------------------
 
 _PAIRS = f"""{_VECTORS}, pairs AS (SELECT a.vec_id, cast(a.label = b.label AS int) AS gold,

@@ -12,6 +12,7 @@ from ..sources import grids as G
 from ..sources import tables as T
 from . import views as V
 from .registry import query, rounded
+from .registry import sql_half_even as half_even
 from .registry import sql_round as r
 from .views import with_views
 
@@ -236,9 +237,9 @@ def status_counts(spark, folder):
 
 
 @query("progress_rows", f"""SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS "timestamp",
-  {r("value / 8", 3)} AS elapsed_sec FROM events""")
+  {half_even("value / 8", 3)} AS elapsed_sec FROM events""")
 def progress_rows(spark, folder):
     rows = V.table(spark, folder, "events").select(
         "event_id", F.col("ts").alias("timestamp"), (F.col("value") / 8).alias("elapsed_sec")
     )
-    return rounded(W.progress_rows(rows, digits=12), "elapsed_sec", digits=3)
+    return W.progress_rows(rows)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def get_session(app: str = "stratalens", master: str | None = None, **conf: str) -> SparkSession:
@@ -27,10 +29,13 @@ def get_session(app: str = "stratalens", master: str | None = None, **conf: str)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors see; a temporary one only where none is configured (tests)."""
+    """The folder all executors see, as the cluster names it; without one only a local master gets a
+    temporary folder, as elsewhere other machines would not see it."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         configured = spark.conf.get("spark.checkpoint.dir", None)
+        if not configured and not re.match(r"local(\[|$)", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="stratalens-"))
     return context.getCheckpointDir()
 
@@ -45,13 +50,27 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-BROADCAST_BYTES = 256 << 20
+BROADCAST_BYTES = 64 << 20
 
 
-def broadcast_if_small(df: DataFrame, row_bytes: int = 256, limit: int = BROADCAST_BYTES):
-    """``df`` marked for broadcast if its rows, written once and counted, fit the limit.
+def _bytes(name: str, kind: T.DataType):
+    """The bytes a value takes, of strings and arrays by their contents."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(name), F.lit(0)) + 16
+    if isinstance(kind, T.ArrayType) and not isinstance(
+        kind.elementType, (T.StringType, T.BinaryType, T.ArrayType, T.MapType, T.StructType)
+    ):
+        return F.greatest(F.size(name), F.lit(0)) * 8 + 24
+    if isinstance(kind, (T.ArrayType, T.MapType, T.StructType, T.VariantType)):
+        return F.coalesce(F.octet_length(F.to_json(name)), F.lit(0)) + 24
+    return F.lit(8)
 
-    Otherwise the written frame as it is, to be joined by shuffle.
+
+def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """``df``, written once, marked for broadcast if its rows' measured bytes fit the limit.
+
+    Otherwise the written frame as it is, to be joined by shuffle. The join is the same either way.
     """
     kept = durable(df)
-    return F.broadcast(kept) if kept.count() * row_bytes <= limit else kept
+    size = sum((_bytes(f.name, f.dataType) for f in df.schema.fields), F.lit(16))
+    return F.broadcast(kept) if (kept.agg(F.sum(size)).first()[0] or 0) <= limit else kept

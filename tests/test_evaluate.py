@@ -84,7 +84,7 @@ def test_clustering_finds_separate_blobs(blobs):
     assert E.clustering(blobs, seed=3).first().main_score > 0.8
 
 
-@pytest.mark.parametrize("limit", [1 << 30, 0], ids=["sent to the rows", "by block"])
+@pytest.mark.parametrize("limit", [1 << 30, 1], ids=["one block", "a block each"])
 def test_centroid_accuracy(blobs, limit, rng):
     noisy = blobs.withColumn("label", F.when(F.col("row_id") % 10 == 3, 0).otherwise(F.col("label")))
     test = F.col("row_id") % 5 == 0
@@ -102,6 +102,15 @@ def test_centroid_accuracy(blobs, limit, rng):
     assert row.n_rows == len(hits) and row.main_score == pytest.approx(np.mean(hits))
 
 
+@pytest.mark.parametrize("limit", [1 << 30, 1], ids=["one block", "a block each"])
+def test_centroids_far_out_and_close_together(spark, limit):
+    ddl = "row_id long, embedding array<double>, label string"
+    train = spark.createDataFrame([(0, [1e8], "b"), (1, [1e8 + 0.5], "a"), (2, None, "a"), (3, [0.0], None)], ddl)
+    test = [(0, [1e8 + 0.4], "a"), (1, [1e8 + 0.1], "b"), (2, [1e8 + 0.25], "a"), (3, [1e8 + 0.2], "b"), (4, None, "a")]
+    row = E.centroid_accuracy(train, spark.createDataFrame(test, ddl), limit).first()
+    assert (row.n_rows, row.main_score) == (4, 1.0)  # the tie goes to the lower label
+
+
 @pytest.mark.parametrize("normalize", [True, False])
 def test_cosine_matrix_and_rows(spark, rng, monkeypatch, normalize):
     monkeypatch.setattr(E, "BLOCK_VECTORS", 4)

@@ -121,13 +121,17 @@ def test_prompt_entropy(frame, arms):
         assert found[name] == pytest.approx(histogram_entropy(u[:, 0] * s[0]), abs=1e-6)
 
 
-def test_both_ways_to_project_agree(frame, arms):
+def test_projections(frame, arms, monkeypatch):
     spectra = M.spectra(frame, KEYS).cache()
+    rows = {r.arm: r for r in spectra.collect()}
     sent = M.axis_scores(frame, spectra, KEYS)
-    joined = M.axis_scores(frame, spectra, KEYS, limit=0)
-    for name in arms:
+    monkeypatch.setattr(M, "broadcast_if_small", lambda df: df)
+    joined = M.axis_scores(frame, spectra, KEYS)
+    for name, x in arms.items():
         a, b = (sorted(r.axis_score for r in f.where(F.col("arm") == name).collect()) for f in (sent, joined))
-        np.testing.assert_allclose(a, b, atol=1e-9)
+        assert a == b
+        expected = (x - np.array(rows[name].mean)) @ np.array(rows[name].axis)
+        np.testing.assert_allclose(a, sorted(expected), atol=1e-8)
 
 
 def test_norm_entropy(frame, arms):
@@ -138,7 +142,7 @@ def test_norm_entropy(frame, arms):
 
 
 def test_dataset_entropy_and_mean_cosine(frame, arms):
-    entropy = by_arm(M.dataset_entropy(frame, KEYS), "dataset_entropy")
+    entropy = by_arm(M.dataset_entropy(frame, KEYS, None), "dataset_entropy")
     cosine = by_arm(M.mean_pairwise_cosine(frame, KEYS), "mean_pairwise_cosine")
     for name in "tall", "wide":
         x = arms[name]
@@ -167,7 +171,7 @@ def test_flat_and_tiny_arms(matrix_frame, rng):
     entropy = by_arm(M.prompt_entropy(frame, KEYS), "prompt_entropy")
     assert entropy["one"] == 0.0 and entropy["same"] == pytest.approx(0, abs=1e-6)
     assert entropy["two"] == pytest.approx(np.log(2), abs=1e-6)
-    pairs = by_arm(M.dataset_entropy(frame, KEYS), "dataset_entropy")
+    pairs = by_arm(M.dataset_entropy(frame, KEYS, None), "dataset_entropy")
     assert pairs["one"] == 0.0
     fallback = by_arm(M.effective_rank_fro(frame, KEYS), "effective_rank_fro")
     assert fallback["one"] == 1.0 and fallback["same"] == 1.0
@@ -196,6 +200,65 @@ def test_all_metrics_in_one_row_per_arm(frame, arms):
     assert rows["tall"].mean_pairwise_cosine == pytest.approx(cosine["tall"])
 
 
+def test_pair_blocks_give_what_all_pairs_give(frame, arms, monkeypatch):
+    whole = by_arm(M.dataset_entropy(frame, KEYS, None), "dataset_entropy")
+    monkeypatch.setattr(M, "PAIR_ROWS", 40)
+    rows = M.dataset_entropy(frame, KEYS, None).collect()
+    assert {r.arm: r.dataset_entropy for r in rows} == pytest.approx(whole, abs=1e-6)
+    sample = {r.arm: (r.n_rows, r.n_used) for r in M.dataset_entropy(frame, KEYS, 20).collect()}
+    assert sample == {"tall": (300, 20), "wide": (15, 15), "far": (60, 20)}
+
+
+def test_condition_number_does_not_change_with_the_scale(matrix_frame, rng):
+    x = rng.normal(size=(15, 40))
+    frame = matrix_frame(plain=x, large=1e3 * x)
+    found = by_arm(M.spectral_statistic(frame, KEYS, "condition_number"), "condition_number")
+    values = np.linalg.eigvalsh(np.cov(x.T))[::-1][:14]
+    assert found["plain"] == pytest.approx(values[0] / values[-1], rel=1e-6)
+    assert found["large"] == pytest.approx(found["plain"], rel=1e-6)
+
+
+def odd_frame(spark, rng):
+    ddl = "arm string, row_id long, embedding array<double>"
+    vectors = rng.normal(size=(30, 4))
+    rows = [("good", i, [float(v) for v in x]) for i, x in enumerate(vectors)]
+    rows += [("some", i, [float(v) for v in x]) for i, x in enumerate(vectors)]
+    rows += [("some", 100 + i, None) for i in range(20)]
+    rows += [("bad", i, [float(v) for v in x]) for i, x in enumerate(vectors)]
+    rows += [("bad", 99, [1.0, float("nan"), 0.0, 0.0]), ("inf", 0, [float("inf"), 1.0]), ("inf", 1, [0.0, 1.0])]
+    rows += [("none", 0, None)]
+    return spark.createDataFrame(rows, ddl).repartition(4)
+
+
+def test_null_vectors_and_vectors_that_are_not_finite(spark, rng):
+    frame = odd_frame(spark, rng)
+    rows = {r.arm: r for r in M.representation_metrics(frame, KEYS).collect()}
+    assert set(rows) == {"good", "some", "bad", "inf"}
+    assert rows["some"][1:-1] == pytest.approx(rows["good"][1:-1]) and rows["good"].reason is None
+    for arm in "bad", "inf":
+        assert rows[arm].reason == M.NOT_FINITE
+        assert all(rows[arm][name] is None for name in M.METRICS)
+    for measure, name in (
+        (M.norm_entropy, "norm_entropy"),
+        (M.prompt_entropy, "prompt_entropy"),
+        (lambda f, k: M.dataset_entropy(f, k, None), "dataset_entropy"),
+        (lambda f, k: M.dataset_entropy(f, k, 30), "dataset_entropy"),
+    ):
+        found = by_arm(measure(frame, KEYS), name)
+        assert found["some"] == pytest.approx(found["good"]) and found.get("bad") is None
+    sampled = M.mean_pairwise_cosine(frame, KEYS, sample=30)
+    assert {r.arm: r.n_used for r in sampled.collect()}["some"] == 30
+
+
+def test_thin_arms_move_beside_a_hot_one(matrix_frame, rng):
+    arms = {f"a{i:02d}": rng.normal(size=(4, 30)) for i in range(30)} | {"hot": rng.normal(size=(900, 30))}
+    frame = matrix_frame(**arms)
+    laid = P.gathered(frame, KEYS)
+    seen = laid.groupBy(F.spark_partition_id().alias("p"), "arm").count().groupBy("arm").count().collect()
+    assert all(r["count"] == 1 for r in seen if r.arm != "hot")
+    assert laid.count() == frame.count()
+
+
 def test_null_vectors_are_left_out(spark):
     ddl = "arm string, row_id long, embedding array<float>"
     rows = [("a", 0, [1.0, 0.0]), ("a", 1, None), ("a", 2, [0.0, 1.0]), ("a", 3, [1.0, 1.0])]

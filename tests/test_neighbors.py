@@ -1,4 +1,4 @@
-"""Nearest neighbours and curvature against brute force, on both ways to reach the probes."""
+"""Nearest neighbours and curvature against brute force, in chunks and blocks."""
 
 import numpy as np
 import pytest
@@ -21,13 +21,11 @@ def brute(x, probe, k):
     return order[:k]
 
 
-@pytest.mark.parametrize("limit", [1 << 30, 0], ids=["sent to the rows", "cogrouped"])
-def test_knn(arms, matrix_frame, monkeypatch, limit):
+def test_knn(arms, matrix_frame, monkeypatch):
     monkeypatch.setattr(B, "CHUNK_ROWS", 64)
     monkeypatch.setattr(B, "PROBE_ROWS", 12)
     frame = matrix_frame(**arms)
-    probes = B.first_rows(frame, KEYS, 30, "row_id")
-    rows = B.knn(frame, probes, KEYS, k=6, limit=limit).collect()
+    rows = B.knn(frame, frame.where("row_id < 30"), KEYS, k=6).collect()
     for name, x in arms.items():
         for probe in range(min(30, len(x))):
             own = sorted((r for r in rows if r.arm == name and r.probe_id == probe), key=lambda r: r.rank)
@@ -40,16 +38,26 @@ def test_knn(arms, matrix_frame, monkeypatch, limit):
 
 
 def test_curvature(arms, matrix_frame):
-    found = {r.arm: r.curvature for r in B.curvature(matrix_frame(**arms), KEYS).collect()}
+    frame = matrix_frame(**arms)
+    found = {r.arm: r.curvature for r in B.curvature(frame, KEYS, None).collect()}
+    some = {r.arm: (r.n_rows, r.n_probes) for r in B.curvature(frame, KEYS, 5).collect()}
+    assert some == {"hot": (400, 5), "small": (7, 5), "two": (2, 2)}
     for name, x in arms.items():
         conditions = []
-        for probe in range(min(100, len(x))):
+        for probe in range(len(x)):
             near = x[brute(x, probe, 10)]
             if len(x) < 3 or len(near) < 2:
                 continue
-            values = np.linalg.eigvalsh(np.cov(near.T))
+            values = np.linalg.eigvalsh(np.cov(near.T))[::-1][: min(len(near) - 1, x.shape[1])]
             values = values[values > 1e-10]
             if len(values) > 1:
                 conditions.append(values.max() / (values.min() + 1e-10))
         expected = np.mean(conditions) if conditions else 0.0
         assert found[name] == pytest.approx(expected, rel=1e-6)
+
+
+def test_curvature_does_not_change_with_the_scale(matrix_frame, rng):
+    x = rng.normal(size=(60, 20))  # more dimensions than neighbours
+    frame = matrix_frame(plain=x, large=1024 * x)
+    found = {r.arm: r.curvature for r in B.curvature(frame, KEYS, None).collect()}
+    assert found["large"] == pytest.approx(found["plain"], rel=1e-6) and found["plain"] < 1e4

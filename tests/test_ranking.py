@@ -49,12 +49,16 @@ def test_top_rows_of_a_group_spread_over_many_tasks(skewed, monkeypatch):
         assert [r["rank"] for r in own] == [1, 2, 3, 4, 5]
 
 
-def test_large_limits_are_applied_before_the_shuffle(spark, skewed):
-    top = K.top_rows(skewed, ["g"], [F.col("id")], 1500)
-    plan = top._jdf.queryExecution().executedPlan().toString()
+def test_limits_are_applied_before_the_shuffle_and_settings_stay(spark, skewed):
+    setting = "spark.sql.optimizer.windowGroupLimitThreshold"
+    before = spark.conf.get(setting, "1000")
+    plan = K.top_rows(skewed, ["g"], [F.col("id")], 1000)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and "Partial" in plan
-    counts = {r.g: r["count"] for r in top.groupBy("g").count().collect()}
-    assert counts["hot"] == 1500
+    top = K.top_rows(skewed, ["g"], [F.col("id")], 1500)
+    counts = {r["g"]: r["count"] for r in skewed.groupBy("g").count().collect()}
+    kept = {r["g"]: r["count"] for r in top.groupBy("g").count().collect()}
+    assert kept == {g: min(n, 1500) for g, n in counts.items()}
+    assert spark.conf.get(setting, "1000") == before
 
 
 def test_average_ranks(spark, skewed):
