@@ -55,6 +55,15 @@ def is_list(value: Column) -> Column:
     return F.schema_of_variant(value).startswith("ARRAY")
 
 
+def is_document(content: Column) -> Column:
+    """Whether the text is JSON; a bare NaN, as Python writes it, is let pass."""
+    return (
+        F.from_json(content, "map<string,variant>").isNotNull()
+        | F.from_json(content, "array<variant>").isNotNull()
+        | F.try_parse_json(content).isNotNull()
+    )
+
+
 def split_scores(content: Column) -> Column:
     """Split name -> list of metric objects, in document order; unwraps an outer result list."""
     schema = "scores map<string,variant>"
@@ -154,7 +163,7 @@ def find_score(document: object) -> float | None:
 def _find_in_text(text: str | None) -> float | None:
     try:
         score = find_score(json.loads(text)) if text else None
-    except ValueError:
+    except (ValueError, RecursionError):  # no JSON, or nested too deeply to be read
         return None
     return None if score is None or score != score else score
 

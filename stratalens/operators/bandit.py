@@ -15,19 +15,18 @@ from pyspark.sql import functions as F
 
 from ..constants import CONTEXT_METRICS, UNSEEN_ARM_SCORE
 from ..functions import vectors as V
+from ..session import broadcast_if_small
 from . import rewards as RW
 from .ranking import positions
 
-ARM = ("revision", "layer")
-
-
 def context_features(
     arms: DataFrame,
     metrics: DataFrame,
-    keys: Sequence[str] = ARM,
+    keys: Sequence[str] | None = None,
     names: Sequence[str] = CONTEXT_METRICS,
 ) -> DataFrame:
     """Adds ``context``: the arm's metrics in order, 0 for any that is missing."""
+    keys = list(keys or RW.arm_keys(arms))
     joined = arms.join(metrics.select(*keys, *names), list(keys), "left")
     features = [F.coalesce(F.col(n).cast("double"), F.lit(0.0)) for n in names]
     return joined.withColumn("context", F.array(*features)).drop(*names)
@@ -42,12 +41,13 @@ def _checked(context: Column, dim: int) -> Column:
 
 
 def linucb_state(
-    history: DataFrame, dim: int, keys: Sequence[str] = ARM, prior: DataFrame | None = None
+    history: DataFrame, dim: int, keys: Sequence[str] | None = None, prior: DataFrame | None = None
 ) -> DataFrame:
     """``(arm…, a, b, n)`` after the pulls ``(arm…, reward, context)``; ``a`` is row-major.
 
     ``prior`` is an earlier state the pulls come on top of.
     """
+    keys = list(keys or RW.arm_keys(history))
     x = [F.get("_x", F.lit(i)) for i in range(dim)]
     pairs = {(i, j): F.sum(x[i] * x[j]) for i in range(dim) for j in range(i, dim)}
     rows = history.withColumn("_x", _checked(F.col("context"), dim))
@@ -99,10 +99,11 @@ def _ucb(alpha: float):
 
 
 def linucb_score(
-    arms: DataFrame, state: DataFrame, dim: int, alpha: float = 1.0, keys: Sequence[str] = ARM
+    arms: DataFrame, state: DataFrame, dim: int, alpha: float = 1.0, keys: Sequence[str] | None = None
 ) -> DataFrame:
     """Adds ``ucb = x'A^-1 b + alpha sqrt(x'A^-1 x)``. An arm without pulls starts from ``A = I``;
     one without context scores high enough to be tried first."""
+    keys = list(keys or RW.arm_keys(arms))
     joined = arms.join(state.select(*keys, "a", "b"), list(keys), "left")
     unit = F.lit([float(v) for v in np.eye(dim).ravel()])
     score = _ucb(alpha)(
@@ -113,9 +114,10 @@ def linucb_score(
     return joined.withColumn("ucb", score).drop("a", "b")
 
 
-def closed_form(history: DataFrame, alpha: float = 1.0, keys: Sequence[str] = ARM) -> DataFrame:
+def closed_form(history: DataFrame, alpha: float = 1.0, keys: Sequence[str] | None = None) -> DataFrame:
     """The same score where an arm's context never changes, from ``q = x'x``, pulls and their
     reward sum: mean ``R q / (1 + m q)``, spread ``alpha sqrt(q / (1 + m q))``."""
+    keys = list(keys or RW.arm_keys(history))
     q = F.max(V.dot(F.col("context"), F.col("context")))
     sums = history.groupBy(*keys).agg(
         q.alias("q"), F.count(F.lit(1)).alias("m"), F.sum("reward").alias("r")
@@ -132,18 +134,20 @@ def closed_form(history: DataFrame, alpha: float = 1.0, keys: Sequence[str] = AR
     )
 
 
-def select_arm(scored: DataFrame, order: Sequence[str] = ARM) -> DataFrame:
+def select_arm(scored: DataFrame, order: Sequence[str] | None = None) -> DataFrame:
     """The arm with the highest score; the first in list order wins ties."""
-    return scored.orderBy(F.desc("ucb"), *order).limit(1)
+    return scored.orderBy(F.desc("ucb"), *(order or RW.arm_keys(scored))).limit(1)
 
 
-def trajectory(history: DataFrame, keys: Sequence[str] = ARM, seq: str = "seq") -> DataFrame:
+def trajectory(history: DataFrame, keys: Sequence[str] | None = None, seq: str = "seq") -> DataFrame:
     """Every pull with its arm's running pull count. A hot arm may span many tasks."""
+    keys = list(keys or RW.arm_keys(history))
     return positions(history, [F.col(seq).asc()], group=keys, name="count")
 
 
-def best_arm(history: DataFrame, keys: Sequence[str] = ARM, seq: str = "seq") -> DataFrame:
+def best_arm(history: DataFrame, keys: Sequence[str] | None = None, seq: str = "seq") -> DataFrame:
     """The arm with the highest mean reward; the one pulled first wins ties."""
+    keys = list(keys or RW.arm_keys(history))
     means = history.groupBy(*keys).agg(
         F.avg("reward").alias("mean_reward"),
         F.count(F.lit(1)).alias("n"),
@@ -159,7 +163,7 @@ def replay(
     budget: int,
     alpha: float = 1.0,
     method: str = "mean",
-    keys: Sequence[str] = ARM,
+    keys: Sequence[str] | None = None,
 ) -> DataFrame:
     """Spend a budget of arm evaluations on logged scores.
 
@@ -167,6 +171,7 @@ def replay(
     that of ``alpha |x|``: the first ``budget`` arms in one sort. Arms without scores use budget
     but earn no reward.
     """
+    keys = list(keys or RW.arm_keys(contexts))
     first = F.coalesce(alpha * V.norm(F.col("context")), F.lit(UNSEEN_ARM_SCORE))
     chosen = contexts.withColumn("ucb", first).orderBy(F.round("ucb", 12).desc(), *keys).limit(budget)
     # at most ``budget`` rows
@@ -174,7 +179,7 @@ def replay(
     pulls = chosen.withColumn("seq", F.row_number().over(order)).select(*keys, "seq", "ucb")
     scored = scores.where(F.col("main_score").isNotNull())
     earned = RW.aggregate_rewards(
-        RW.task_reward(scored.join(F.broadcast(pulls.select(*keys)), list(keys), "left_semi"), baseline),
+        RW.task_reward(scored.join(broadcast_if_small(pulls.select(*keys)), list(keys), "left_semi"), baseline),
         keys,
         method,
     )
@@ -187,17 +192,18 @@ def progress(
     pulls: DataFrame,
     scores: DataFrame,
     baseline: DataFrame,
-    model_size: str,
+    model_size: str | None,
     at: Column,
-    keys: Sequence[str] = ARM,
+    keys: Sequence[str] | None = None,
 ) -> DataFrame:
     """The log of a replay: one row per pulled arm and task with its raw score, its reward and the
-    arm's aggregated reward."""
-    chosen = F.broadcast(pulls.select(*keys, "aggregated_reward"))
+    arm's aggregated reward. ``model_size`` names the size of arms that have none of their own."""
+    keys = list(keys or RW.arm_keys(pulls))
+    chosen = broadcast_if_small(pulls.select(*keys, "aggregated_reward"))
     scored = scores.where(F.col("main_score").isNotNull()).join(chosen, list(keys))
     return RW.task_reward(scored, baseline).select(
         at.alias("timestamp"),
-        F.lit(model_size).alias("model_size"),
+        (F.col("model_size") if "model_size" in keys else F.lit(model_size)).alias("model_size"),
         F.col("revision").alias("arm_checkpoint"),
         F.col("layer").alias("arm_layer"),
         "task",
@@ -208,8 +214,9 @@ def progress(
     )
 
 
-def final_result(pulls: DataFrame, keys: Sequence[str] = ARM) -> DataFrame:
+def final_result(pulls: DataFrame, keys: Sequence[str] | None = None) -> DataFrame:
     """One row: best arm, pulls with a reward, arms evaluated and budget used."""
+    keys = list(keys or RW.arm_keys(pulls))
     mean = F.round("aggregated_reward", 12)
     best = F.max_by(F.struct(*keys), F.when(mean.isNotNull(), F.struct(mean, -F.col("seq"))))
     return pulls.agg(

@@ -9,6 +9,19 @@ from pyspark.sql import functions as F
 
 from ..constants import EPS
 
+SIZE = "model_size"
+
+
+def arm_keys(df: DataFrame) -> list[str]:
+    """The columns that name an arm: model size, where the table has it, revision and layer."""
+    return [SIZE] * (SIZE in df.columns) + ["revision", "layer"]
+
+
+def _size(*frames: DataFrame) -> list[str]:
+    """The model size, where all frames have it: sizes are then kept apart."""
+    return [SIZE] * all(SIZE in f.columns for f in frames)
+
+
 BASELINE_METHODS = {"mean": F.avg, "max": F.max, "min": F.min}
 
 
@@ -19,7 +32,8 @@ def baseline_scores(
     layers: Sequence[int] | None = None,
     tasks: Sequence[str] | None = None,
 ) -> DataFrame:
-    """``(task, layer, baseline)`` of the final checkpoint. No layers or tasks means all."""
+    """``(model_size, task, layer, baseline)`` of the final checkpoint; without a size if the scores
+    have none. No layers or tasks means all."""
     rows = scores.where((F.col("revision") == final_checkpoint) & F.col("main_score").isNotNull())
     if model_size is not None:
         rows = rows.where(F.col("model_size") == model_size)
@@ -27,20 +41,26 @@ def baseline_scores(
         rows = rows.where(F.col("layer").isin(list(layers)))
     if tasks:
         rows = rows.where(F.col("task").isin(list(tasks)))
-    return rows.groupBy("task", "layer").agg(F.avg("main_score").alias("baseline"))
+    return rows.groupBy(*_size(rows), "task", "layer").agg(F.avg("main_score").alias("baseline"))
 
 
 def baseline_by_task(baseline: DataFrame, method: str = "mean") -> DataFrame:
-    """``(task, centre, spread, n)`` over the layers; the spread is the population's."""
+    """``(model_size, task, centre, spread, n)`` over the layers; the spread is the population's."""
     if method not in BASELINE_METHODS:
         raise ValueError(f"unknown baseline method: {method}")
-    return baseline.groupBy("task").agg(
+    return baseline.groupBy(*_size(baseline), "task").agg(
         BASELINE_METHODS[method]("baseline").alias("centre"),
         F.stddev_pop("baseline").alias("spread"),
         F.count("baseline").alias("n"),
     )
 
 
+def _left(scores: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
+    """Scores with what belongs to their keys, and to their model size if both name one."""
+    own = [*_size(scores, other), *keys]
+    return scores.join(other.select(*own, *[c for c in other.columns if c not in (*own, SIZE)]), own, "left")
+
+
 def _scaled(score: Column, centre: Column, spread: Column) -> Column:
     return F.when(spread < EPS, score - centre).otherwise((score - centre) / spread)
 
@@ -52,7 +72,7 @@ def zscore_reward(scores: DataFrame, baseline: DataFrame, method: str = "mean")
     reward = F.when(F.col("centre").isNull(), 0.0).otherwise(
         _scaled(F.col("main_score"), F.col("centre"), spread)
     )
-    return scores.join(stats, "task", "left").withColumn("reward", reward).drop(
+    return _left(scores, stats, ["task"]).withColumn("reward", reward).drop(
         "centre", "spread", "n"
     )
 
@@ -60,7 +80,7 @@ def zscore_reward(scores: DataFrame, baseline: DataFrame, method: str = "mean")
 def task_reward(scores: DataFrame, baseline: DataFrame) -> DataFrame:
     """Adds ``reward``: the score against its layer's baseline, or the task mean without one."""
     stats = baseline_by_task(baseline)
-    joined = scores.join(baseline, ["task", "layer"], "left").join(stats, "task", "left")
+    joined = _left(_left(scores, baseline, ["task", "layer"]), stats, ["task"])
     spread = F.when(F.col("n") > 1, F.col("spread")).otherwise(1.0)
     centre = F.coalesce("baseline", "centre")
     reward = F.when(centre.isNull(), 0.0).otherwise(_scaled(F.col("main_score"), centre, spread))
@@ -68,9 +88,9 @@ def task_reward(scores: DataFrame, baseline: DataFrame) -> DataFrame:
 
 
 def aggregate_rewards(
-    rewards: DataFrame, keys: Sequence[str] = ("revision", "layer"), method: str = "mean"
+    rewards: DataFrame, keys: Sequence[str] | None = None, method: str = "mean"
 ) -> DataFrame:
-    """One reward per arm: mean, harmonic mean of the positive ones, or robust mean (median)."""
+    """One reward per arm, by :func:`arm_keys` unless others are named: mean, harmonic mean of the positive ones, or robust mean (median)."""
     reward = F.col("reward")
     positive = F.when(reward > 0, reward)
     methods = {
@@ -82,7 +102,7 @@ def aggregate_rewards(
     }
     if method not in methods:
         raise ValueError(f"unknown aggregation method: {method}")
-    return rewards.groupBy(*keys).agg(
+    return rewards.groupBy(*(keys or arm_keys(rewards))).agg(
         F.coalesce(methods[method], F.lit(0.0)).alias("aggregated_reward"),
         F.count(reward).alias("n_tasks"),
     )

@@ -60,3 +60,13 @@ def progress_rows(log: DataFrame, digits: int = 3) -> DataFrame:
             "elapsed_sec": F.bround(settled(F.col("elapsed_sec")), digits),
         }
     )
+
+
+def arms_left(arms: DataFrame, evaluated: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Arms that were not evaluated yet, so that a replay can go on from an earlier log."""
+    return arms.join(evaluated.select(*keys).distinct(), list(keys), "left_anti")
+
+
+def with_model_size(arms: DataFrame, sizes: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Arms with the model size that ``sizes`` has for their ``by`` columns; NULL where it has none."""
+    return arms.join(sizes.select(*by, "model_size").distinct(), list(by), "left")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import bandit as B
 from ..operators import rewards as W
+from ..operators import work as K
 from . import views as V
 from .registry import query, rounded
 from .registry import sql_round as r
@@ -281,3 +282,60 @@ def bandit_progress(spark, folder):
     pulls = _replayed(spark, folder, scores)
     log = B.progress(pulls, scores, _baseline(scores), "410m", F.lit("2024-01-01 00:00:00"))
     return rounded(log, "reward", "aggregated_reward")
+
+
+# ---- model sizes kept apart -----------------------------------------------------------------
+
+_SIZED_SQL = """sized AS (SELECT concat(CASE WHEN l % 2 = 0 THEN '70' ELSE '410' END, 'm') AS model_size, revision,
+    layer, task, main_score * CASE WHEN l % 2 = 0 THEN 1 ELSE 2 END AS main_score FROM
+    (SELECT *, unnest([0, 1]) AS l FROM scores))"""
+_SIZED_BASE = f"""{_SIZED_SQL}, base AS (SELECT model_size, task, layer, avg(main_score) AS baseline FROM sized
+    WHERE revision = 'main' GROUP BY ALL),
+  stats AS (SELECT model_size, task, avg(baseline) AS mean, stddev_pop(baseline) AS s, count(*) AS n
+    FROM base GROUP BY ALL),
+  rewarded AS (SELECT model_size, revision, layer, task, main_score, CASE
+    WHEN coalesce(baseline, mean) IS NULL THEN 0.0
+    WHEN (CASE WHEN n > 1 THEN s ELSE 1.0 END) < 1e-10 THEN main_score - coalesce(baseline, mean)
+    ELSE (main_score - coalesce(baseline, mean)) / (CASE WHEN n > 1 THEN s ELSE 1.0 END) END AS reward
+  FROM sized LEFT JOIN base USING (model_size, task, layer) LEFT JOIN stats USING (model_size, task))"""
+
+
+def _sized(spark, folder) -> DataFrame:
+    """The scores of two model sizes, the larger one twice as good."""
+    sizes = F.explode(F.map_from_arrays(F.lit(["70m", "410m"]), F.lit([1.0, 2.0]))).alias("model_size", "k")
+    rows = V.scores(spark, folder).select("*", sizes)
+    return rows.withColumn("main_score", F.col("main_score") * F.col("k")).drop("k")
+
+
+@query("baseline_scores_by_size", with_views(
+    f", {_SIZED_BASE} SELECT model_size, task, layer, {r('baseline')} AS baseline FROM base", "scores"))
+def baseline_scores_by_size(spark, folder):
+    return rounded(_baseline(_sized(spark, folder)), "baseline")
+
+
+@query("reward_by_size", with_views(f""", {_SIZED_BASE}
+  SELECT model_size, revision, layer, {r('avg(reward)')} AS aggregated_reward, count(reward) AS n_tasks
+  FROM rewarded GROUP BY model_size, revision, layer""", "scores"))
+def reward_by_size(spark, folder):
+    scores = _sized(spark, folder)
+    return rounded(W.aggregate_rewards(W.task_reward(scores, _baseline(scores))), "aggregated_reward")
+
+
+@query("arms_left", with_views(f""", {_SIZED_SQL}, arms AS (SELECT DISTINCT model_size, revision, layer FROM sized)
+  SELECT * FROM arms WHERE NOT (model_size = '70m' AND layer % 3 = 0)""", "scores"))
+def arms_left(spark, folder):
+    """Arms not in the log of an earlier replay, which got to every third layer of the small model."""
+    arms = _sized(spark, folder).select(*W.arm_keys(_sized(spark, folder))).distinct()
+    log = _sized(spark, folder).where("model_size = '70m' AND layer % 3 = 0")
+    return K.arms_left(arms, log, W.arm_keys(arms))
+
+
+@query("arm_model_size", with_views(f""", {_SIZED_SQL}, sizes AS (SELECT DISTINCT revision, layer, model_size
+    FROM sized WHERE layer % 2 = 0 AND model_size = '410m')
+  SELECT a.revision, a.layer, model_size FROM (SELECT DISTINCT revision, layer FROM scores) a
+  LEFT JOIN sizes s ON a.revision = s.revision AND a.layer = s.layer""", "scores"))
+def arm_model_size(spark, folder):
+    """Arms of a log without sizes get those of the score table; odd layers are not in it."""
+    arms = V.scores(spark, folder).select("revision", "layer").distinct()
+    sizes = _sized(spark, folder).where("layer % 2 = 0 AND model_size = '410m'")
+    return K.with_model_size(arms, sizes, ["revision", "layer"])

@@ -1,7 +1,7 @@
 """Evaluation-result files to score tables.
 
-Files are ``(path, content)`` rows. Every score is read where the file was scanned, so only short
-typed columns are shuffled, never the JSON text.
+Files are ``(path, content)`` rows. Every score is read where the file was scanned. Documents are not
+shuffled; of a candidate's, only the metric objects of its splits are.
 """
 
 from __future__ import annotations
@@ -142,7 +142,7 @@ def _details(df: DataFrame) -> DataFrame:
 
     return df.withColumns(
         {
-            "parsed": F.expr("try_parse_json(content)").isNotNull(),
+            "parsed": S.is_document(content),
             "main_score": S.main_score(content),
             "all_scores": S.all_scores(content),
             "task_name": text("task_name", F.col("task")),

@@ -152,3 +152,25 @@ def test_bandit_log(spark, tmp_path):
     log = T.read_progress(spark, str(tmp_path), "bandit_progress.csv", BANDIT_PROGRESS)
     row = log.first()
     assert (row.arm_checkpoint, row.arm_layer, row.raw_score, row.reward) == ("step1", 3, 0.5, -1.25)
+
+
+def test_nan_keeps_its_unit_and_does_not_get_in(spark, tmp_path):
+    from stratalens.functions import scores as S
+    from stratalens.sources import tables
+
+    texts = ['{"a": NaN, "scores": {"test": [{"main_score": 0.5}]}}', "{bad", "[1, NaN]", "", None, "3"]
+    frame = spark.createDataFrame([(t,) for t in texts], "content string")
+    found = [r[0] for r in frame.select(S.is_document(frame.content)).collect()]
+    assert [bool(f) for f in found] == [True, False, True, False, False, True]
+    deep = "[" * 100_000 + "]" * 100_000
+    deep_frame = spark.createDataFrame([(deep,)], "content string")
+    assert deep_frame.select(S.search_score("content")).first()[0] is None
+    write(tmp_path / "chunks" / "computed_metrics_chunk_00.json", {"main_layer_1": {"curvature": float("nan")}})
+    chunks = tables.read_metric_chunks(spark, str(tmp_path / "chunks"))
+    assert tables.merge_chunks(chunks).first().curvature is None
+    (tmp_path / "s.csv").write_text("x,y\n1.5,NaN\nNaN,b\n")
+    rows = tables.read_scores(spark, str(tmp_path / "s.csv"), "x double, y double").collect()
+    assert [tuple(r) for r in rows] == [(1.5, None), (None, None)]
+    path = str(tmp_path / "arms")
+    spark.createDataFrame([(float("nan"),)], "curvature double").write.parquet(path)
+    assert tables.read_arms(spark, path).first().curvature is None

@@ -253,3 +253,15 @@ def test_context_features_default_to_zero(spark):
     )
     found = {r.revision: r.context for r in B.context_features(arms, metrics).collect()}
     assert found == {"a": [1.0, 0.0, 3.0, 4.0], "b": [0.0] * 4}
+
+
+def test_model_sizes_are_kept_apart(spark):
+    rows = [(s, rev, 0, "t", x) for s, x in (("70m", 0.2), ("410m", 0.8)) for rev in ("main", "step1")]
+    frame = spark.createDataFrame(rows, "model_size string, revision string, layer int, task string, main_score double")
+    base = W.baseline_scores(frame)
+    assert {(r.model_size, r.baseline) for r in base.collect()} == {("70m", 0.2), ("410m", 0.8)}
+    rewards = W.aggregate_rewards(W.task_reward(frame, base)).collect()
+    assert len(rewards) == 4 and all(r.aggregated_reward == 0.0 for r in rewards)
+    assert W.zscore_reward(frame, base).where("reward <> 0").count() == 0
+    # a baseline without sizes serves all of them
+    assert W.task_reward(frame, base.where("model_size = '70m'").drop("model_size")).count() == 4
