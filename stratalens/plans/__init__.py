@@ -2,6 +2,7 @@
 
 from . import (  # noqa: F401
     bandit_queries,
+    file_queries,
     ingest_queries,
     score_queries,
     vector_queries,

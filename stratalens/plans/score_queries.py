@@ -416,17 +416,24 @@ def arm_json(spark, folder):
 
 
 @query("layer_json", with_views("""
-  SELECT cast(layer AS varchar) AS "key", count(DISTINCT task) AS num_tasks,
-    string_agg(task, ', ' ORDER BY task) AS tasks
-  FROM (SELECT DISTINCT layer, task FROM scores WHERE revision = 'step137000') GROUP BY layer""",
+  SELECT cast(layer AS varchar) AS "key", count(*) AS num_tasks, string_agg(task, ', ' ORDER BY task) AS tasks,
+    string_agg(cast(cast(round(main_score * 1000000) AS bigint) AS varchar), ', ' ORDER BY task) AS micro_scores,
+    round(avg(main_score) + 1e-10, 6) AS average_main_score
+  FROM scores WHERE revision = 'step137000' GROUP BY layer""",
   "scores"))
 def layer_json(spark, folder):
     rows = V.scores(spark, folder).where("revision = 'step137000'")
     averages = S.average_main_score(rows, G.task_dim(spark))
     written = K.layer_json(averages, rows)
-    schema = "num_tasks long, task_scores map<string,double>"
+    schema = "average_main_score double, num_tasks long, task_scores map<string,double>"
     back = F.from_json("json", schema)
-    names = F.array_sort(F.map_keys(back["task_scores"]))
-    return written.select(
-        "key", back["num_tasks"].alias("num_tasks"), F.array_join(names, ", ").alias("tasks")
+    scores = F.array_sort(F.map_entries(back["task_scores"]))
+    micro = F.transform(scores, lambda e: F.round(e["value"] * 1_000_000).cast("long").cast("string"))
+    read = written.select(
+        "key",
+        back["num_tasks"].alias("num_tasks"),
+        F.array_join(F.transform(scores, lambda e: e["key"]), ", ").alias("tasks"),
+        F.array_join(micro, ", ").alias("micro_scores"),
+        back["average_main_score"].alias("average_main_score"),
     )
+    return rounded(read, "average_main_score")
