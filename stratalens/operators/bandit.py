@@ -178,11 +178,8 @@ def replay(
     order = Window.orderBy(F.round("ucb", 12).desc(), *keys)
     pulls = chosen.withColumn("seq", F.row_number().over(order)).select(*keys, "seq", "ucb")
     scored = scores.where(F.col("main_score").isNotNull())
-    earned = RW.aggregate_rewards(
-        RW.task_reward(scored.join(broadcast_if_small(pulls.select(*keys)), list(keys), "left_semi"), baseline),
-        keys,
-        method,
-    )
+    scored = scored.join(broadcast_if_small(pulls.select(*keys)), list(keys), "left_semi")
+    earned = RW.aggregate_rewards(RW.task_reward(scored, baseline), keys, method)
     return pulls.join(earned, list(keys), "left").withColumn(
         "n_tasks", F.coalesce("n_tasks", F.lit(0))
     )

@@ -171,7 +171,8 @@ def _condition_of(fields: Sequence[T.StructField]):
             values = values[values > EPS]
             if len(values) > 1:
                 found.append(float(values.max() / (values.min() + EPS)))
-        keys = [table.column(name).combine_chunks().take(pa.array([0] * len(found), pa.int64())) for name in names]
+        first = pa.array([0] * len(found), pa.int64())
+        keys = [table.column(name).combine_chunks().take(first) for name in names]
         return pa.Table.from_arrays([*keys, pa.array(found, pa.float64())], names=[*names, "_condition"])
 
     return conditions

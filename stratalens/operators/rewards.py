@@ -58,7 +58,8 @@ def baseline_by_task(baseline: DataFrame, method: str = "mean") -> DataFrame:
 def _left(scores: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
     """Scores with what belongs to their keys, and to their model size if both name one."""
     own = [*_size(scores, other), *keys]
-    return scores.join(other.select(*own, *[c for c in other.columns if c not in (*own, SIZE)]), own, "left")
+    rest = [c for c in other.columns if c not in (*own, SIZE)]
+    return scores.join(other.select(*own, *rest), own, "left")
 
 
 def _scaled(score: Column, centre: Column, spread: Column) -> Column:
@@ -90,7 +91,8 @@ def task_reward(scores: DataFrame, baseline: DataFrame) -> DataFrame:
 def aggregate_rewards(
     rewards: DataFrame, keys: Sequence[str] | None = None, method: str = "mean"
 ) -> DataFrame:
-    """One reward per arm, by :func:`arm_keys` unless others are named: mean, harmonic mean of the positive ones, or robust mean (median)."""
+    """One reward per arm, by :func:`arm_keys` unless others are named: mean, harmonic mean of the
+    positive ones, or robust mean (median)."""
     reward = F.col("reward")
     positive = F.when(reward > 0, reward)
     methods = {
