@@ -90,8 +90,8 @@ def spans(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 def by_group(df: DataFrame, key: str, run, kinds: str, rows: int = 20_000) -> DataFrame:
-    """``run(chunk, starts)`` for whole groups of equal ``key``: ``chunk`` holds the rows of some groups, one
-    group after the other, ``starts`` where each begins and where the last ends. Yields batches.
+    """``run(chunk, starts)`` for whole groups of equal ``key``: ``chunk`` holds the rows of some
+    groups, one after the other, ``starts`` where each begins and where the last ends. Yields batches.
 
     For bounded groups only. Rows are shuffled and sorted by key and pass in batches, so small groups
     cost no call each.

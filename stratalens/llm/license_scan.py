@@ -115,7 +115,8 @@ def _best(units: DataFrame, idf: dict, vectors: dict, threshold: float) -> DataF
     )
     terms = stored(terms.select(*key, "token", "w"), "license-terms")
     norms = terms.groupBy(*key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    dots = terms.join(entries, "token").groupBy(*key, "license").agg(F.sum(F.col("w") * F.col("entry")).alias("dot"))
+    dots = terms.join(entries, "token").groupBy(*key, "license")
+    dots = dots.agg(F.sum(F.col("w") * F.col("entry")).alias("dot"))
     same = (
         F.col("l.doc_id").eqNullSafe(F.col("r.doc_id"))
         & (F.col("l._h") == F.col("r._h"))
@@ -154,7 +155,8 @@ def licenses(
     lines = lines.where(F.col("line").rlike(cue)).withColumn("tokens", _tokens(F.col("line")))
     own = _best(lines.drop("line"), idf, vectors, line_cosine)
     order = F.struct(-F.col("cosine"), "license", "unit")
-    own = own.groupBy("doc_id", "_h").agg(F.min_by(F.struct("license", "cosine", "unit"), order).alias("own"))
+    first = F.min_by(F.struct("license", "cosine", "unit"), order)
+    own = own.groupBy("doc_id", "_h").agg(first.alias("own"))
     whole = cued.select("doc_id", "_h", F.lit(-1).alias("unit"), _tokens(F.col("text")).alias("tokens"))
     whole = _best(whole, idf, vectors, file_cosine)
     whole = whole.select("doc_id", "_h", F.struct("license", "cosine").alias("file"))
@@ -181,14 +183,13 @@ def licenses(
     parts = F.split("path", "/")
     depth = F.least(F.size(parts) - 1, F.lit(MAX_DEPTH))
     bare = narrow.where("own IS NULL AND file IS NULL AND path IS NOT NULL").where(F.instr("path", "/") > 0)
-    above = bare.select(
-        "path",
-        F.explode(
-            F.transform(
-                F.sequence(F.lit(1), depth), lambda k: F.struct(k.alias("depth"), F.array_join(F.slice(parts, 1, k), "/").alias("directory"))
-            )
-        ).alias("a"),
-    ).distinct()
+    ancestors = F.transform(
+        F.sequence(F.lit(1), depth),
+        lambda k: F.struct(
+            k.alias("depth"), F.array_join(F.slice(parts, 1, k), "/").alias("directory")
+        ),
+    )
+    above = bare.select("path", F.explode(ancestors).alias("a")).distinct()
     above = above.select("path", "a.*").join(files, "directory")
     nearest = above.groupBy("path").agg(F.max(F.struct("depth", "directory", "from_license")).alias("near"))
     result = narrow.join(nearest, "path", "left")

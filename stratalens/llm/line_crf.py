@@ -105,7 +105,8 @@ def line_measures(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     distinct = np.bincount(line[order][fresh], minlength=n_lines).astype(float)
     # lines with words that their text holds twice
     value = np.zeros(n_lines, np.uint64)
-    np.add.at(value, line, word * (np.uint64(2) * np.arange(len(word), dtype=np.uint64) + np.uint64(1) - np.uint64(2) * (np.cumsum(n_words) - n_words).astype(np.uint64)[line]))
+    nth = np.arange(len(word)) - (np.cumsum(n_words) - n_words).astype(np.int64)[line]
+    np.add.at(value, line, word * (2 * nth + 1).astype(np.uint64))
     text = np.repeat(np.arange(len(texts)), counts)
     order = np.lexsort((value, text))
     same = (value[order][1:] == value[order][:-1]) & (text[order][1:] == text[order][:-1])
@@ -313,9 +314,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     field = train(docs, labels)
     rows = score(docs.select(F.col("doc_id").cast("long"), "text"), field)
     # only the id and the score leave the tasks' rows
-    return rows.select(
-        "doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
-    )
+    predicted = (F.col("score") >= 0.5).cast("int").alias("predicted")
+    return rows.select("doc_id", held_out().alias("held_out"), "score", predicted)
 
 
 def accepted(docs: DataFrame, field: Field | None) -> DataFrame:

@@ -96,7 +96,8 @@ class Rolling:
         self.sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(values * powers)))
 
     def __call__(self, first: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.sums[end] - self.sums[first]) * self.back[first] + U(1) * (end - first).astype(np.uint64))
+        width = (end - first).astype(np.uint64)
+        return mix((self.sums[end] - self.sums[first]) * self.back[first] + width)
 
 
 def seeds(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, ...]:
