@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# The checkpoints that were measured on their own.
 PAIR_REVISIONS = ("step138000", "step139000")
 SINGLE_REVISION = "step137000"
 

@@ -105,6 +105,8 @@ def average_precision(pairs: DataFrame, label: str, similarity: str) -> DataFram
 def reranking(candidates: DataFrame) -> DataFrame:
     """Mean average precision and mean reciprocal rank over ``(query_id, candidate_id, similarity,
     relevant)``; queries without a relevant candidate are left out."""
+    # sorting reads its input twice: once for the ranges
+    candidates = durable(candidates.select("query_id", "candidate_id", "similarity", "relevant"))
     order = [F.col("query_id"), F.col("similarity").desc(), F.col("candidate_id")]
     one = {"_rank": F.lit(1), "_hits": F.col("relevant").cast("long")}
     upto = running_totals(candidates, order, one)

@@ -422,7 +422,42 @@ _register_knn("knn_join", None)
 _register_knn("knn_join_of_100", 100)
 
 
-@query("curvature")
+def _curvature_sql(k: int = 10) -> str:
+    """Condition numbers of the neighbours' centred Gram matrices, one of ``k`` rows a probe.
+
+    The matrix's one null direction, that of equal entries, is lifted to the trace; the least eigenvalue
+    is then the inverse of the inverse's largest. ``layer`` numbers the probes for the shared steps.
+    """
+    gram = f"""{_near_sql(None)},
+  places AS (SELECT revision, layer * 1000000 + probe_id AS layer, layer AS arm, rank - 1 AS i, v FROM near),
+  entries AS (SELECT revision, layer, i, unnest(v) AS x, unnest(range(0, 64)) AS e FROM places),
+  middle AS (SELECT revision, layer, i, e, x - avg(x) OVER (PARTITION BY revision, layer, e) AS x FROM entries),
+  rows10 AS MATERIALIZED (SELECT revision, layer, i, list(x ORDER BY e) AS x FROM middle GROUP BY ALL),
+  gram AS MATERIALIZED (SELECT a.revision, a.layer, a.i, b.i AS j, list_dot_product(a.x, b.x) / {k - 1} AS c
+    FROM rows10 a JOIN rows10 b USING (revision, layer)),
+  traces AS (SELECT revision, layer, sum(c) AS t FROM gram WHERE i = j GROUP BY ALL),
+  lifted AS MATERIALIZED (SELECT revision, layer, i, j, c + t / {k} AS c FROM gram JOIN traces USING (revision, layer))"""
+    inverse = f""", gj AS (SELECT revision, layer, 0 AS k, i, j, c FROM lifted UNION ALL
+    SELECT revision, layer, 0, i, {k} + j, CASE WHEN i = j THEN 1.0::DOUBLE ELSE 0 END FROM lifted),
+  steps AS (SELECT * FROM gj UNION ALL
+    SELECT a.revision, a.layer, a.k + 1, a.i, a.j,
+      CASE WHEN a.i = a.k THEN a.c / p.c ELSE a.c - x.c * y.c / p.c END FROM steps a
+    JOIN steps x ON x.revision = a.revision AND x.layer = a.layer AND x.i = a.i AND x.j = a.k
+    JOIN steps y ON y.revision = a.revision AND y.layer = a.layer AND y.i = a.k AND y.j = a.j
+    JOIN steps p ON p.revision = a.revision AND p.layer = a.layer AND p.i = a.k AND p.j = a.k
+    WHERE a.k < {k}),
+  inv AS MATERIALIZED (SELECT revision, layer, i, j - {k} AS j, c FROM steps WHERE k = {k} AND j >= {k})"""
+    return with_views(
+        f"""{gram}{inverse}, {_axis_sql("gram", "wide")}, {_axis_sql("inv", "thin")},
+  high AS ({_rayleigh_sql("gram", "wide")}), low AS ({_rayleigh_sql("inv", "thin")})
+  SELECT revision, cast(high.layer // 1000000 AS int) AS layer, count(*) AS n_rows, count(*) AS n_probes,
+    {r("avg(high.value / (1 / low.value + 1e-10))")} AS curvature
+  FROM high JOIN low USING (revision, layer) GROUP BY ALL""",
+        "arm_embeddings",
+    ).replace("WITH", "WITH RECURSIVE", 1)
+
+
+@query("curvature", _curvature_sql())
 def curvature(spark, folder):
     return rounded(B.curvature(V.arm_embeddings(spark, folder), ARM, None), "curvature")
 
