@@ -39,28 +39,29 @@ MANIFEST = "part int, path string, n_records long, n_bytes long"
 
 
 def record_chunks(pages: DataFrame, revisit_bytes: int = REVISIT_BYTES) -> DataFrame:
-    """Pages ``(page_id, url, html)`` as chunk rows with their record's type, in no order."""
+    """Pages ``(page_id, url, html)`` as chunk rows with their record's type. A record's chunks lie in
+    one partition: payloads are shuffled once, for the join with the leaders and for the copies' numbers
+    alike."""
     rows = pages.select(
-        F.col("page_id").cast("long"),
+        F.coalesce(F.col("page_id").cast("long"), F.lit(0)).alias("page"),
+        F.col("page_id").isNull().alias("nameless"),
         "url",
         F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"),
     ).withColumns({"digest": F.sha1("payload"), "n_bytes": F.octet_length("payload").cast("long")})
-    long = rows.where(F.col("n_bytes") >= revisit_bytes).select("page_id", "digest")
-    leaders = long.groupBy("digest").agg(F.max("page_id").alias("leader"), F.count("*").alias("n"))
+    key = ["page", "nameless", "digest"]
+    long = rows.where(F.col("n_bytes") >= revisit_bytes).select(*key)
+    own_id = F.when(~F.col("nameless"), F.col("page"))
+    leaders = long.groupBy("digest").agg(F.max(own_id).alias("leader"), F.count("*").alias("n"))
     leaders = leaders.where("n > 1 AND leader IS NOT NULL").drop("n")
-    led = long.distinct().join(leaders, "digest")
-    led = led.select(F.col("page_id").alias("p"), F.col("digest").alias("d"), "leader")
-    rows = rows.join(
-        led, F.col("page_id").eqNullSafe(F.col("p")) & (F.col("digest") == F.col("d")), "left"
-    ).drop("p", "d")
-    copy = F.row_number().over(Window.partitionBy("page_id", "digest").orderBy("url"))
-    rows = rows.withColumn("copy", copy)
-    own = F.col("leader").isNull() | (F.col("page_id").eqNullSafe(F.col("leader")) & (F.col("copy") == 1))
+    rows = rows.join(long.distinct().join(leaders, "digest"), key, "left")
+    rows = rows.withColumn("copy", F.row_number().over(Window.partitionBy(*key).orderBy("url")))
+    first = ~F.col("nameless") & (F.col("page") == F.col("leader")) & (F.col("copy") == 1)
+    own = F.col("leader").isNull() | first
     number = F.when(own, F.greatest(F.lit(1), F.ceil(F.col("n_bytes") / CHUNK))).otherwise(1)
     rows = rows.withColumn("chunk_no", F.explode(F.sequence(F.lit(0), number.cast("int") - 1)))
     data = F.col("payload").substr(F.col("chunk_no") * CHUNK + 1, F.lit(CHUNK))
     return rows.select(
-        "page_id",
+        own_id.alias("page_id"),
         "digest",
         "copy",
         "chunk_no",
@@ -140,7 +141,8 @@ class _Archive:
 
 
 def write_archives(chunks: DataFrame, folder: str) -> DataFrame:
-    """Write :func:`record_chunks` as WARC files; the stored manifest."""
+    """Write :func:`record_chunks`, a record's chunks in one partition, as WARC files; the stored
+    manifest."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
@@ -167,8 +169,7 @@ def write_archives(chunks: DataFrame, folder: str) -> DataFrame:
 
     system, name = fs.FileSystem.from_uri(folder)
     system.create_dir(name, recursive=True)
-    ordered = chunks.repartition("page_id", "digest", "copy")
-    ordered = ordered.sortWithinPartitions("page_id", "digest", "copy", "chunk_no")
+    ordered = chunks.sortWithinPartitions("page_id", "digest", "copy", "chunk_no")
     return stored(ordered.mapInArrow(write, MANIFEST), "warc-manifest")
 
 
