@@ -39,9 +39,9 @@ SHINGLE = 5
 THRESHOLD = 0.8
 RECALL = 0.999
 COORDINATES = 64
-SMALL = 64
+SMALL = 256
 START = 2
-DEPTH = 8
+DEPTH = 6
 BLOCK = 256
 #: Sketches this similar tie their sets: three standard deviations below the threshold.
 TIED = THRESHOLD - 3 * math.sqrt(THRESHOLD * (1 - THRESHOLD) / COORDINATES)
@@ -348,7 +348,8 @@ def _verified(chunk: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
 def _links(docs: DataFrame, members: DataFrame, repeated: bool) -> DataFrame:
     """:data:`LINKS` rows: a row for each set and block pair. ``repeated``: some rows share id and
     text, so a representative can be found more than once."""
-    rows = _rows(docs).join(members, ["doc", "salt"])
+    # members grow with the table, so both sides are shuffled at every size
+    rows = _rows(docs).join(members.hint("merge"), ["doc", "salt"])
     names = ["hi", "lo", "n_docs", "alone", "place", "groups"]
     kinds = "hi long, lo long, n_docs long, alone boolean, place string, groups array<string>"
     rows = rows.select("text", *names)
@@ -426,7 +427,8 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     keep = some.groupBy("class_key").agg(F.min(F.struct("doc", "salt")).alias("k"))
     none = found.where("class_key IS NULL").select(key, "salt").distinct()
     keep = stored(keep.select("k.doc", "k.salt").unionByName(none), "kept")
-    rows = _rows(docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")), "row")
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rows = _rows(docs.select("doc_id", "text", whole), "row")
     rows = rows.join(keep, ["doc", "salt"])
     # rows that share id and text are one group too
     nth = F.row_number().over(Window.partitionBy("doc", "salt").orderBy(F.xxhash64("row")))
