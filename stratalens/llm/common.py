@@ -41,12 +41,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def worker_state(key: str, make):
-    """What a Python worker keeps from task to task. Task functions are sent by value, so their
-    module's globals would be new in every task."""
+    """What a Python worker keeps from task to task, one thing at a time: what an earlier stage left
+    goes when the next one needs another. Task functions are sent by value, so their module's globals
+    would be new in every task."""
     module = sys.modules.setdefault("_stratalens_worker", types.ModuleType("_stratalens_worker"))
-    if key not in module.__dict__:
-        module.__dict__[key] = make()
-    return module.__dict__[key]
+    kept = module.__dict__.setdefault("kept", {})
+    if key not in kept:
+        kept.clear()
+        kept[key] = make()
+    return kept[key]
 
 
 def words(text: str) -> list[str]:
