@@ -129,9 +129,10 @@ def _key(df: DataFrame) -> DataFrame:
 
 def postings(keyed: DataFrame, vocabulary: list[str]) -> DataFrame:
     """``(trigram, doc_id, _h)`` for the trigrams of ``vocabulary`` that a text holds."""
-    lower = F.lower("text")
-    held = [F.when(F.contains(lower, F.lit(t)), F.lit(t)) for t in vocabulary]
-    found = keyed.select("doc_id", "_h", F.array_compact(F.array(*held)).alias("trigrams"))
+    # a projection of its own: lower-cased once, not once a trigram
+    low = keyed.select("doc_id", "_h", F.lower("text").alias("low"))
+    held = [F.when(F.contains("low", F.lit(t)), F.lit(t)) for t in vocabulary]
+    found = low.select("doc_id", "_h", F.array_compact(F.array(*held)).alias("trigrams"))
     return found.select(F.explode("trigrams").alias("trigram"), "doc_id", "_h")
 
 
@@ -214,7 +215,9 @@ def find_secrets(docs: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
 
 
 def _listed(spans: Column) -> Column:
-    one = lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))
+    def one(s: Column) -> Column:
+        return F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))
+
     return F.array_join(F.transform(spans, one), ",")
 
 
