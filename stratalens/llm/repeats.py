@@ -249,7 +249,8 @@ def without_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     """What is left of each document; ``keep_text`` adds the kept words, joined by spaces."""
     docs = spread(docs.select("doc_id", "text"))
     marks = stored(repeated_windows(docs), "repeats").groupBy("doc", "salt")
-    marks = marks.agg(F.collect_list("place").alias("places"), F.collect_list("mask").alias("masks"))
+    # a set: rows that share id and text have the same marks
+    marks = marks.agg(F.collect_set(F.struct("place", "mask")).alias("marks"))
     rows = _rows(docs).withColumn("known", F.col("doc") != LAST).join(marks, ["doc", "salt"], "left")
     kinds = [(n, pa.int64()) for n in ("doc_id", "n_words", "n_removed")]
     schema = pa.schema([*kinds, ("kept_sha256", pa.string())] + [("text", pa.string())] * keep_text)
@@ -263,9 +264,9 @@ def without_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
             for i, text in enumerate(texts_of(column["text"])):
                 found = words(text)
                 removed = 0
-                if (places := column["places"][i].values) is not None:
+                if (own := column["marks"][i].values) is not None:
                     change = np.zeros(len(found) + 1, np.int32)
-                    place, mask = np.asarray(places), np.asarray(column["masks"][i].values)
+                    place, mask = np.asarray(own.field("place")), np.asarray(own.field("mask"))
                     for k in range(WINDOW - GRAM + 1):
                         at = place[mask >> k & 1 == 1] + k
                         np.add.at(change, at, 1)
@@ -279,5 +280,5 @@ def without_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
                 out.append(row + (left,) * keep_text)
             yield batch_of(schema, *(list(c) for c in zip(*out)) if out else [[]] * len(schema))
 
-    columns = ["doc", "known", "text", "places", "masks"]
+    columns = ["doc", "known", "text", "marks"]
     return rows.select(*columns).mapInArrow(run, KEPT + (", text string" if keep_text else ""))
