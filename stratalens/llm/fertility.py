@@ -1,10 +1,13 @@
 """Quality rules on word counts and on how well public vocabularies fit a text.
 
 Fertility: characters per token under each vocabulary, the share of byte-fallback tokens and the
-entropy of the tokens. Which values are odd depends on the language, so the rejection bands are
-fitted per language over the whole table: quartiles by mergeable sketches, widened on both sides by
-``WIDTH`` times their distance (and at least by a floor), from the texts that pass the base rules.
-Languages with fewer than ``BAND_ROWS`` such texts take the band of all.
+entropy of the tokens. A text's entropy grows with its length, so what is judged is the mean entropy of
+stretches of ``BLOCK`` tokens. Which values are odd depends on the language, so the rejection bands are
+fitted per language over the whole table, from the texts that pass the base rules: ``WIDTH`` deviations
+on both sides of a centre. Centre and deviation are the median and the median distance from it, in
+which a source weighs as the root of its number of texts, so that a hot one does not set them. They are
+taken from mergeable sketches by source. A language is judged by its own texts at any number of them:
+there are least deviations, and few texts or a short one widen the band by degrees.
 
 The base rules fail a text of less than 50 words, or with more than half of its words in three-word
 windows that occur twice or more in it.
@@ -20,26 +23,40 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, groups_of, spread, stored, texts_of, words
+from .common import batch_of, groups_of, spans, spread, stored, texts_of, words
 from .vocabulary import chunk_table
 
 MIN_WORDS = 50
 REPEAT_PERCENT = 50
-WIDTH = 3.0
-BAND_ROWS = 100
+#: Tokens to a stretch; a text that passes the base rules has as many.
+BLOCK = MIN_WORDS
+WIDTH = 4.5
+#: A text of fewer tokens has a band wider by the root of the ratio.
+FULL_TOKENS = 500
+#: A language with this many texts has a band twice as wide as one with very many.
+FEW = 8
+#: Of a source's texts, the quantiles that stand for it.
+QUANTILES = [q / 40 for q in range(1, 40, 2)]
 SYMBOLS = "#*$%&|<>"
-#: Measure -> the least distance of a band's ends from the quartiles.
-FLOORS = {"word_chars_per_token": 0.5, "piece_chars_per_token": 0.5, "byte_share": 0.02, "entropy": 1.5}
+MEASURES = ["word_chars_per_token", "piece_chars_per_token", "byte_share", "entropy", "block_entropy"]
+#: Judged measure -> its least deviation, as a share of the centre and absolute. Those of the ratios and
+#: of entropy are about the least of the four languages of the test data.
+LEAST = {
+    "word_chars_per_token": (0.016, 0.0),
+    "piece_chars_per_token": (0.016, 0.0),
+    "byte_share": (0.0, 0.01),
+    "block_entropy": (0.009, 0.0),
+}
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 MEASURED = (
-    "doc_id long, language string, "
+    "doc_id long, language string, source string, "
     + ", ".join(f"{n} long" for n in COUNTS)
     + ", n_tokens long, "
-    + ", ".join(f"{n} double" for n in FLOORS)
+    + ", ".join(f"{n} double" for n in MEASURES)
 )
 
 
@@ -73,7 +90,8 @@ def repeated_words(numbers: np.ndarray, owner: np.ndarray, n_texts: int) -> np.n
 
 def measure(docs: DataFrame, word_file: str, piece_file: str) -> DataFrame:
     """The counts and the tokenisers' measures of every whole text, in one pass."""
-    kinds = [pa.int64(), pa.string(), *[pa.int64()] * (len(COUNTS) + 1), *[pa.float64()] * 4]
+    kinds = [pa.int64(), pa.string(), pa.string()]
+    kinds += [pa.int64()] * (len(COUNTS) + 1) + [pa.float64()] * len(MEASURES)
     schema = pa.schema(list(zip([c.split()[0] for c in MEASURED.split(", ")], kinds)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,14 +108,35 @@ def measure(docs: DataFrame, word_file: str, piece_file: str) -> DataFrame:
                     schema,
                     batch.column(0).slice(first, end - first),
                     batch.column(2).slice(first, end - first),
+                    batch.column(3).slice(first, end - first),
                     *_measured(part, table, is_byte),
                 )
 
     lang = F.coalesce(F.col("lang").cast("string"), F.lit("und"))
-    rows = docs.select(F.col("doc_id").cast("long"), "text", lang.alias("language"))
+    source = F.col("source").cast("string") if "source" in docs.columns else F.lit(None).cast("string")
+    rows = docs.select(
+        F.col("doc_id").cast("long"), "text", lang.alias("language"), source.alias("source")
+    )
     return spread(rows).mapInArrow(run, MEASURED)
 
 
+def block_entropy(ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The mean entropy of each text's stretches of ``BLOCK`` tokens, the last of which ends with the
+    text; 0 for a shorter text. ``ids`` are the tokens of all texts in order."""
+    texts = np.flatnonzero(counts >= BLOCK)
+    number = -(-counts[texts] // BLOCK)
+    text = np.repeat(texts, number)
+    nth = spans(np.zeros(len(number), np.int64), number)
+    place = (np.cumsum(counts) - counts)[text] + np.minimum(nth * BLOCK, counts[text] - BLOCK)
+    blocks = np.sort(ids[place[:, None] + np.arange(BLOCK)], axis=1)
+    new = np.ones(blocks.shape, bool)
+    new[:, 1:] = blocks[:, 1:] != blocks[:, :-1]
+    starts = np.flatnonzero(new)
+    share = np.diff(np.append(starts, new.size)) / BLOCK
+    sums = np.bincount(text[starts // BLOCK], -(share * np.log2(share)), len(counts))
+    return sums / np.maximum(1, np.bincount(text, minlength=len(counts)))
+
+
 def _measured(texts: list[str], table, is_byte: np.ndarray) -> list[np.ndarray]:
     table.trim()
     found = [words(t) for t in texts]
@@ -130,23 +169,47 @@ def _measured(texts: list[str], table, is_byte: np.ndarray) -> list[np.ndarray]:
             np.where(n > 0, chars / n, 0.0) for n in (n_tokens.astype(float), n_pieces)
         ]
         share = np.where(n_pieces > 0, n_bytes / n_pieces, 0.0)
-    return [n_words, chars, symbols, duplicates, repeats, n_tokens, *ratios, share, entropy]
+    even = block_entropy(word_ids, n_tokens)
+    return [n_words, chars, symbols, duplicates, repeats, n_tokens, *ratios, share, entropy, even]
 
 
-def bands(measured: DataFrame, width: float = WIDTH, rows: int = BAND_ROWS) -> DataFrame:
-    """``language, <measure>_low, <measure>_high`` per language; of all texts under a null language."""
-    passed = measured.where(~F.col("base_failed"))
+def _medians(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """``language, n`` and the columns' medians per language, a source weighing as the root of its
+    number of rows."""
+    sketched = [F.percentile_approx(c, QUANTILES, 1000).alias(c) for c in columns]
+    sources = rows.groupBy("language", "source").agg(F.count("*").alias("n"), *sketched)
+    each = sources.select("language", "n", F.posexplode(F.arrays_zip(*columns)).alias("nth", "q"))
+    weight = F.ceil(100 * F.sqrt("n"))
+    # rounded, so that a language has a bounded number of values
+    middle = [F.percentile(F.round(f"q.{c}", 4), 0.5, weight).alias(c) for c in columns]
+    return each.groupBy("language").agg(F.sum(F.expr("if(nth = 0, n, 0)")).alias("n"), *middle)
 
-    def band(name: str, floor: float) -> list:
-        low, high = (F.percentile_approx(name, q, 1000) for q in (0.25, 0.75))
-        more = F.greatest(width * (high - low), F.lit(floor))
-        return [(low - more).alias(f"{name}_low"), (high + more).alias(f"{name}_high")]
 
-    columns = [c for name, floor in FLOORS.items() for c in band(name, floor)]
-    # from per-language sketches to one over all languages
-    every = passed.agg(*columns).withColumn("language", F.lit(None).cast("string"))
-    own = passed.groupBy("language").agg(F.count("*").alias("n"), *columns).where(F.col("n") >= rows)
-    return own.drop("n").unionByName(every)
+def _ease() -> Column:
+    """By how much a text's length widens its band."""
+    return F.sqrt(F.greatest(F.lit(1.0), FULL_TOKENS / F.greatest(F.col("n_tokens"), F.lit(1))))
+
+
+def bands(measured: DataFrame, width: float = WIDTH) -> DataFrame:
+    """``language, <measure>_mid, <measure>_reach`` per language, the reach of texts of
+    ``FULL_TOKENS`` tokens or more."""
+    passed = measured.where(~F.col("base_failed"))
+    names = list(LEAST)
+    mids = _medians(passed, names)
+    mids = mids.select("language", "n", *[F.col(c).alias(f"{c}_mid") for c in names])
+    mids = stored(mids, "fertility-centres")
+    far = passed.join(mids, "language").select(
+        "language", "source", *[(F.abs(F.col(c) - F.col(f"{c}_mid")) / _ease()).alias(c) for c in names]
+    )
+    far = _medians(far, names).drop("n")
+    rows = mids.join(far, "language")
+    few = 1 + FEW / F.col("n")
+    reach = [
+        # 1.4826 median distances are a standard deviation
+        (width * few * F.greatest(1.4826 * F.col(c), share * F.col(f"{c}_mid") + least)).alias(f"{c}_reach")
+        for c, (share, least) in LEAST.items()
+    ]
+    return rows.select("language", *[f"{c}_mid" for c in names], *reach)
 
 
 def judge(measured: DataFrame) -> DataFrame:
@@ -155,18 +218,13 @@ def judge(measured: DataFrame) -> DataFrame:
         100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words")
     )
     rows = measured.withColumn("base_failed", failed)
-    fitted = stored(bands(rows), "fertility-bands")
-    own = fitted.where("language IS NOT NULL")
-    every = fitted.where("language IS NULL").drop("language")
-    every = every.select([F.col(c).alias(f"all_{c}") for c in every.columns])
-    # one row, so no product
-    rows = rows.join(own, "language", "left").join(F.broadcast(every), F.lit(True), "left")
+    rows = rows.join(stored(bands(rows), "fertility-bands"), "language", "left")
     odd = F.lit(False)
-    for name in FLOORS:
-        low, high = (F.coalesce(f"{name}_{e}", f"all_{name}_{e}") for e in ("low", "high"))
-        odd |= F.coalesce((F.col(name) < low) | (F.col(name) > high), F.lit(False))
+    for name in LEAST:
+        far = F.abs(F.col(name) - F.col(f"{name}_mid")) > F.col(f"{name}_reach") * _ease()
+        odd |= F.coalesce(far, F.lit(False))
     return rows.withColumn("kept", ~F.col("base_failed") & ~odd).select(
-        "doc_id", *COUNTS, "base_failed", "kept", "n_tokens", *FLOORS
+        "doc_id", *COUNTS, "base_failed", "kept", "n_tokens", *MEASURES
     )
 
 

@@ -1,5 +1,6 @@
 """Counts against plain Python; bands and verdicts on odd tables."""
 
+import random
 import re
 from collections import Counter
 
@@ -71,3 +72,39 @@ def test_measures_are_those_of_the_libraries(spark, word_file, piece_file):
 
 def test_empty(nothing, word_file, piece_file):
     assert fertility.quality_rules(nothing, word_file, piece_file).count() == 0
+
+
+def menu(seed, n):
+    """Fragments of few words, each three in a row different enough for the base rules."""
+    pick = random.Random(seed)
+    few = ["home", "login", "cart", "next", "prev", "help", "menu", "page", "top"]
+    return " ".join(w + str(pick.randrange(3)) for w in pick.choices(few, k=n))
+
+
+BANDED = "doc_id long, text string, lang string, source string"
+
+
+def test_fragments_are_rejected_in_a_band_that_a_hot_source_does_not_set(spark, word_file, piece_file):
+    clean = [(i, prose(i, 200 + i), "en", f"s{i % 8}") for i in range(120)]
+    bad = [(1000 + i, menu(i, 300), "en", f"s{i % 8}") for i in range(12)]
+    for hot in (0, 180):
+        # copies of one fragment text are most of the rows, from one source
+        rows = clean + bad + [(2000 + i, menu(99, 300), "en", "hot") for i in range(hot)]
+        frame = spark.createDataFrame(rows, BANDED).repartition(3)
+        got = fertility.quality_rules(frame, word_file, piece_file).collect()
+        assert not any(r["base_failed"] for r in got)
+        assert {r["doc_id"] for r in got if r["kept"]} == set(range(120))
+
+
+def test_block_entropy():
+    rng = np.random.default_rng(2)
+    counts = np.array([0, 49, 50, 51, 137, 300])
+    ids = rng.integers(0, 30, counts.sum())
+    got, at = fertility.block_entropy(ids, counts), 0
+    for n, value in zip(counts.tolist(), got):
+        own, each = ids[at : at + n], []
+        at += n
+        for k in range(0, n if n >= 50 else 0, 50):
+            share = np.array(list(Counter(own[min(k, n - 50) :][:50].tolist()).values())) / 50
+            each.append(-(share * np.log2(share)).sum())
+        assert value == pytest.approx(np.mean(each) if each else 0)
