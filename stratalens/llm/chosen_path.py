@@ -93,12 +93,12 @@ def children(keys: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return mix(keys[rows] * BASES[1] ^ mix(token + BASES[0])), rows
 
 
-SETS = "doc long, salt long, hi long, lo long, n long, sketch binary"
+SETS = "doc long, salt binary, hi long, lo long, n long, sketch binary"
 
 
 def _sets(docs: DataFrame) -> DataFrame:
     """Each document's set as 128 bits, its size and sketch."""
-    kinds = [(n, pa.int64()) for n in ("doc", "salt", "hi", "lo", "n")]
+    kinds = [("doc", pa.int64()), ("salt", pa.binary()), *[(n, pa.int64()) for n in ("hi", "lo", "n")]]
     schema = pa.schema([*kinds, ("sketch", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,7 +119,7 @@ def _sets(docs: DataFrame) -> DataFrame:
                 yield batch_of(
                     schema,
                     np.asarray(batch.column(0))[part],
-                    np.asarray(batch.column(1))[part],
+                    batch.column(1).slice(first, end - first),
                     named[:, 0],
                     named[:, 1],
                     sizes,

@@ -132,11 +132,11 @@ def seeds(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 def _rows(docs: DataFrame, *more: str) -> DataFrame:
-    """``doc`` orders, ``salt`` tells rows with one id apart."""
+    """``doc`` orders, ``salt`` tells rows with one id apart: 128 bits of their text."""
     text = F.coalesce("text", F.lit(""))
     return docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"),
-        F.xxhash64(text).bitwiseAND(0xFFFFFF).alias("salt"),
+        F.unhex(F.md5(text)).alias("salt"),
         text.alias("text"),
         *more,
     )
@@ -152,21 +152,23 @@ def _hashed(texts: list[str]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray
 
 
 def _seed_rows(docs: DataFrame, whole: bool) -> DataFrame:
-    """``anchor, doc``, or also the span's hash and ``at``: place, salt and number of windows."""
-    names = ["anchor", "doc", "span", "at"] if whole else ["anchor", "doc"]
-    schema = pa.schema([(n, pa.int64()) for n in names])
+    """``anchor, doc``, or also the span's hash, ``at`` (place and number of windows) and salt."""
+    kinds = {n: pa.int64() for n in ("anchor", "doc", "span", "at")} | {"salt": pa.binary()}
+    schema = pa.schema(list(kinds.items())[: 5 if whole else 2])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            doc, salt = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+            doc, salt = np.asarray(batch.column(0)), batch.column(1)
             for first, _, hashes, counts in _hashed(texts_of(batch.column(2))):
                 text, place, number, anchor, span = seeds(hashes, counts)
                 own = first + text
-                at = place << 32 | salt[own] << 8 | number
-                columns = [anchor, doc[own], span, at][: len(names)]
+                columns = [anchor, doc[own]]
+                if whole:
+                    columns += [span, place << 32 | number, salt.take(pa.array(own))]
                 yield batch_of(schema, *columns)
 
-    return _rows(docs).mapInArrow(run, ", ".join(f"{n} long" for n in names))
+    longs = "anchor long, doc long"
+    return _rows(docs).mapInArrow(run, f"{longs}, span long, at long, salt binary" if whole else longs)
 
 
 def _windows(docs: DataFrame, asked: DataFrame) -> DataFrame:
@@ -217,11 +219,10 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     shared = stored(shared.where("low < high").select("anchor"), "shared-anchors")
     found = stored(_seed_rows(docs, whole=True).join(shared, "anchor"), "shared-seeds")
 
-    first = found.groupBy("anchor", "span").agg(F.min(F.struct("doc", "at")).alias("first"))
-    first = stored(first.select("anchor", "span", "first.doc", "first.at"), "spans")
+    first = found.groupBy("anchor", "span").agg(F.min(F.struct("doc", "at", "salt")).alias("first"))
+    first = stored(first.select("anchor", "span", "first.doc", "first.at", "first.salt"), "spans")
     several = first.groupBy("anchor").count().where("count > 1").select("anchor")
-    asked = first.join(several, "anchor").withColumn("salt", F.expr("shiftright(at, 8) & 16777215"))
-    windows = stored(_windows(docs, asked), "windows")
+    windows = stored(_windows(docs, first.join(several, "anchor")), "windows")
     least = windows.groupBy("anchor", "window").agg(F.min("doc").alias("least"))
     masks = windows.join(least, ["anchor", "window"]).where("least < doc")
     masks = masks.groupBy("anchor", "span").agg(F.bit_or("bit").alias("mask"))
@@ -235,7 +236,7 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
         .where("mask <> 0")
         .select(
             "doc",
-            F.expr("shiftright(at, 8) & 16777215").alias("salt"),
+            "salt",
             F.expr("cast(shiftright(at, 32) AS int)").alias("place"),
             F.col("mask").cast("int").alias("mask"),
         )

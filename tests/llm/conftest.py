@@ -4,6 +4,7 @@ whose names the operators use themselves."""
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 SCHEMA = (
     "doc_id long, text string, lang string, source string, n_chars long, score double, "
@@ -54,3 +55,13 @@ def word_file():
 @pytest.fixture(scope="session")
 def piece_file():
     return pytest.importorskip("public_tokenizers").path("piece_bpe_32k.model")
+
+
+@pytest.fixture(scope="session")
+def like_salted(spark):
+    """Two texts of 40 words of their own whose 64-bit hashes agree in the lower 24 bits."""
+    words = F.transform(F.sequence(F.lit(0), F.lit(39)), lambda k: F.concat_ws("x", "id", k))
+    texts = spark.range(20_000).select(F.array_join(words, " ").alias("text"))
+    key = F.xxhash64("text").bitwiseAND(0xFFFFFF)
+    pair = texts.groupBy(key).agg(F.collect_list("text").alias("texts")).where("size(texts) > 1")
+    return sorted(pair.first()["texts"])[:2]

@@ -66,3 +66,12 @@ def test_empty(nothing):
     assert "doc_id" in SCHEMA
     with pytest.raises(Exception):
         repeats.without_repeats(nothing.drop("text"))
+
+
+def test_different_texts_of_one_id_are_told_apart(spark, like_salted):
+    a, b = like_salted
+    for key in (None, 7):
+        for held, other in ((a, " ".join(b.split()[:14])), (a, b), (b, a)):
+            rows = [(1, f"first {held} last"), (key, a), (key, b), (2, other)]
+            frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+            assert Counter(map(tuple, repeats.without_repeats(frame).collect())) == brute(rows)

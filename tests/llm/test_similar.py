@@ -142,3 +142,15 @@ def test_sketch_recall_over_sizes():
                 asked = rng.choice(own, least, replace=False)
                 lost += not np.isin(asked, containment.sketch(own, factor)).any()
             assert lost <= 3
+
+
+def test_different_texts_of_one_id_are_told_apart(spark, like_salted):
+    a, b = like_salted
+    for key in (None, 7):
+        rows = [(key, a), (key, b), (9, a + " more"), (None, b + " of it")]
+        frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+        got = chosen_path.similar_documents(frame).select("doc_id", "class_id", "n_links").collect()
+        assert Counter(map(tuple, got)) == brute(rows)
+        for some in (rows[:2], rows):
+            left = chosen_path.one_of_each(spark.createDataFrame(some, "doc_id long, text string"))
+            assert sorted(r["text"].split()[0] for r in left.collect()) == sorted(x.split()[0] for x in (a, b))
