@@ -108,3 +108,14 @@ def test_block_entropy():
             share = np.array(list(Counter(own[min(k, n - 50) :][:50].tolist()).values())) / 50
             each.append(-(share * np.log2(share)).sum())
         assert value == pytest.approx(np.mean(each) if each else 0)
+
+
+def test_a_rare_language_is_judged_alike_at_any_number_of_texts(spark, word_file, piece_file):
+    greek = str.maketrans("anreoutishéw", "ανρεουτισηέω")
+    rare = [(1000 + i, prose(i, 300).translate(greek), "el", f"s{i % 8}") for i in range(101)]
+    common = [(i, prose(500 + i, 300), "en", f"s{i % 8}") for i in range(150)]
+    for n in (1, 2, 5, 99, 101):
+        frame = spark.createDataFrame(common + rare[:n], BANDED).repartition(3)
+        got = fertility.quality_rules(frame, word_file, piece_file).collect()
+        assert not any(r["base_failed"] for r in got)
+        assert sorted(r["doc_id"] for r in got if r["kept"]) == sorted(r[0] for r in common + rare[:n])
