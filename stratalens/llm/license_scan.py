@@ -1,7 +1,9 @@
 """Licences by sparse TF-IDF cosine to templates, and by inheritance from directories.
 
-Every line of a document is compared with the templates' notices, and every document as a whole with
-them as a licence file. Weights are ``(1 + ln tf) * idf``; the inverse document frequencies of the
+Every line of a document is compared with the templates and notices, and every document as a whole with
+them as a licence file. Blocks are compared as well: of each line with a cue (below) and those after it, as
+many tokens as a notice has, for each notice's length. So a header is found that is wrapped or lies in a
+longer text. Weights are ``(1 + ln tf) * idf``; the inverse document frequencies of the
 templates' tokens are counted over all lines of the corpus, any other token weighs as one never seen. Only
 units that hold a rare enough token are compared: for each template the tokens are taken from the rarest
 on until what is left could not reach the threshold alone, so no unit that could match is missed.
@@ -32,7 +34,7 @@ FILE_COSINE = 0.6
 MAX_DEPTH = 64
 WORD = r"[^a-z0-9.]+"
 
-#: Notices as the licences' publishers word them. Fixed values.
+#: One line for each licence. Fixed values.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "BSD-3-Clause": (
@@ -51,6 +53,79 @@ TEMPLATES = {
     "Unlicense": "This is free and unencumbered software released into the public domain.",
 }
 
+_DISCLAIMER = (
+    "the software is provided as is without warranty of any kind express or implied including but not "
+    "limited to the warranties of merchantability fitness for a particular purpose and noninfringement in "
+    "no event shall the authors or copyright holders be liable for any claim damages or other liability "
+    "whether in an action of contract tort or otherwise arising from out of or in connection with the "
+    "software or the use or other dealings in the software"
+)
+_CONDITIONS = (
+    "redistribution and use in source and binary forms with or without modification are permitted provided "
+    "that the following conditions are met redistributions of source code must retain the above copyright "
+    "notice this list of conditions and the following disclaimer redistributions in binary form must "
+    "reproduce the above copyright notice this list of conditions and the following disclaimer in the "
+    "documentation and or other materials provided with the distribution"
+)
+#: Published headers and short licence texts, several to a licence. Of the long licences the header and
+#: the opening. Fixed values.
+NOTICES = {
+    "Apache-2.0": (
+        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except "
+        "in compliance with the License. You may obtain a copy of the License at "
+        "http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in "
+        "writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT "
+        "WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific "
+        "language governing permissions and limitations under the License.",
+        "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR "
+        "USE, REPRODUCTION, AND DISTRIBUTION",
+    ),
+    "BSD-3-Clause": (
+        _CONDITIONS + " neither the name of the copyright holder nor the names of its contributors may be "
+        "used to endorse or promote products derived from this software without specific prior written "
+        "permission",
+    ),
+    "BSD-2-Clause": (_CONDITIONS,),
+    "CC-BY-NC-4.0": (
+        "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+    ),
+    "GPL-3.0": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU "
+        "General Public License as published by the Free Software Foundation, either version 3 of the "
+        "License, or (at your option) any later version. This program is distributed in the hope that it "
+        "will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or "
+        "FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should "
+        "have received a copy of the GNU General Public License along with this program. If not, see "
+        "https://www.gnu.org/licenses/",
+        "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc. "
+        "Everyone is permitted to copy and distribute verbatim copies of this license document, but changing "
+        "it is not allowed.",
+    ),
+    "ISC": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without "
+        "fee is hereby granted, provided that the above copyright notice and this permission notice appear "
+        "in all copies.",
+    ),
+    "MIT": (
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and "
+        "associated documentation files (the \"Software\"), to deal in the Software without restriction, "
+        "including without limitation the rights to use, copy, modify, merge, publish, distribute, "
+        "sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is "
+        "furnished to do so, subject to the following conditions: The above copyright notice and this "
+        "permission notice shall be included in all copies or substantial portions of the Software. "
+        + _DISCLAIMER,
+    ),
+    "MPL-2.0": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of "
+        "the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    ),
+    "Unlicense": (
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, "
+        "modify, publish, use, compile, sell, or distribute this software, either in source code form or as "
+        "a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    ),
+}
+
 
 def tokens(text: str) -> list[str]:
     return [t for t in (t.strip(".") for t in re.split(WORD, text.lower())) if t]
@@ -126,23 +201,47 @@ def _best(units: DataFrame, idf: dict, vectors: dict, threshold: float) -> DataF
     rows = dots.alias("l").join(norms.alias("r"), same)
     rows = rows.select("l.doc_id", "l._h", "l.unit", "license", cosine).where(F.col("cosine") >= threshold)
     best = F.min_by(F.struct("license", "cosine"), F.struct(-F.col("cosine"), "license"))
-    return rows.groupBy(*key).agg(best.alias("b")).select(*key, "b.*")
+    best = rows.groupBy(*key).agg(best.alias("b"))
+    # a vector's name is that of its licence and a number
+    return best.select(*key, F.substring_index("b.license", "#", 1).alias("license"), "b.cosine")
+
+
+def _blocks(cued: DataFrame, cue: str, lengths: list[int]) -> DataFrame:
+    """``doc_id, _h, unit, tokens``: the first tokens from each line with a cue on, as many as each of
+    ``lengths``. A unit is the line and the length's number."""
+    lines = F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("at"), _tokens(x).alias("t"), x.rlike(cue).alias("cued")))
+    lines = F.filter(lines, lambda x: F.size(x["t"]) > 0)
+    rows = cued.select("doc_id", "_h", lines.alias("lines"))
+    starts = F.filter(
+        F.transform("lines", lambda x, i: F.struct(x["at"].alias("at"), i.alias("nth"), x["cued"].alias("cued"))),
+        lambda x: x["cued"],
+    )
+    rows = rows.select("doc_id", "_h", F.explode(starts).alias("s"), F.transform("lines", lambda x: x["t"]).alias("lines"))
+    # a line has one token at least
+    rest = F.flatten(F.slice("lines", F.col("s.nth") + 1, max(lengths)))
+    rows = rows.select("doc_id", "_h", F.col("s.at").alias("at"), rest.alias("rest"))
+    cuts = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(n).alias("n")) for k, n in enumerate(lengths)])
+    rows = rows.select("doc_id", "_h", "at", "rest", F.explode(cuts).alias("c"))
+    unit = F.col("at") * len(lengths) + F.col("c.k")
+    return rows.select("doc_id", "_h", unit.alias("unit"), F.slice("rest", 1, F.col("c.n")).alias("tokens"))
 
 
 def licenses(
     docs: DataFrame,
     path: Column,
     templates: dict[str, str] = TEMPLATES,
+    notices: dict[str, tuple[str, ...]] = NOTICES,
     line_cosine: float = LINE_COSINE,
     file_cosine: float = FILE_COSINE,
 ) -> DataFrame:
-    """``doc_id, license, origin`` (line, file, inherited or null)``, cosine, line`` (of a line's match)
+    """``doc_id, license, origin`` (line, block, file, inherited or null)``, cosine, line`` (of a line's match)
     ``, directory`` (that a licence is inherited from), a row for each document. ``path`` has ``/``."""
     rows = spread(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), path.alias("path"))
     rows = rows.withColumn("_h", F.xxhash64("text"))
     text = rows.select("doc_id", "_h", "text")
     lines = text.select("doc_id", "_h", F.posexplode(F.split("text", "\n")).alias("unit", "line"))
     lines = lines.withColumn("tokens", _tokens(F.col("line")))
+    templates = templates | {f"{n}#{i}": x for n, some in notices.items() for i, x in enumerate(some)}
     vocabulary = sorted({t for x in templates.values() for t in tokens(x)})
     idf = _idf(lines, vocabulary)
     vectors = template_weights(idf, templates)
@@ -154,8 +253,15 @@ def licenses(
     lines = cued.select("doc_id", "_h", F.posexplode(F.split("text", "\n")).alias("unit", "line"))
     lines = lines.where(F.col("line").rlike(cue)).withColumn("tokens", _tokens(F.col("line")))
     own = _best(lines.drop("line"), idf, vectors, line_cosine)
-    order = F.struct(-F.col("cosine"), "license", "unit")
-    first = F.min_by(F.struct("license", "cosine", "unit"), order)
+    own = own.withColumn("kind", F.lit("line"))
+    lengths = sorted({len(tokens(x)) for some in notices.values() for x in some})
+    if lengths:
+        blocks = _best(_blocks(cued, cue, lengths), idf, vectors, line_cosine)
+        line = F.floor(F.col("unit") / len(lengths)).cast("int")
+        own = own.unionByName(blocks.withColumn("unit", line).withColumn("kind", F.lit("block")))
+    # of equals the line
+    order = F.struct(-F.col("cosine"), "license", "unit", F.col("kind") != "line")
+    first = F.min_by(F.struct("license", "cosine", "unit", "kind"), order)
     own = own.groupBy("doc_id", "_h").agg(first.alias("own"))
     whole = cued.select("doc_id", "_h", F.lit(-1).alias("unit"), _tokens(F.col("text")).alias("tokens"))
     whole = _best(whole, idf, vectors, file_cosine)
@@ -199,7 +305,7 @@ def licenses(
         "doc_id",
         F.coalesce("file.license", "own.license", near("from_license")).alias("license"),
         F.when(F.col("file").isNotNull(), "file")
-        .when(F.col("own").isNotNull(), "line")
+        .when(F.col("own").isNotNull(), F.col("own.kind"))
         .when(F.col("near").isNotNull() & inherits, "inherited")
         .alias("origin"),
         F.coalesce("file.cosine", "own.cosine").alias("cosine"),

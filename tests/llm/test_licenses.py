@@ -87,3 +87,51 @@ def test_empty_and_native(spark, frame):
     assert license_scan.licenses(none, F.col("path")).count() == 0
     plan = license_scan.licenses(frame, F.col("path"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def wrapped(text, prefix, width):
+    w = text.split()
+    return "\n".join(prefix + " ".join(w[i : i + width]) for i in range(0, len(w), width))
+
+
+#: As published, not taken from the module.
+GPL_HEADER = (
+    "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General "
+    "Public License as published by the Free Software Foundation, either version 3 of the License, or (at your "
+    "option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY "
+    "WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the "
+    "GNU General Public License for more details."
+)
+MIT_TEXT = (
+    "MIT License Copyright (c) 2024 Some Author Permission is hereby granted, free of charge, to any person "
+    "obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the "
+    "Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, "
+    "distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is "
+    "furnished to do so, subject to the following conditions:"
+)
+APACHE_HEADER = (
+    "Copyright 2024 Some Author Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use "
+    "this file except in compliance with the License. You may obtain a copy of the License at "
+    "http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software "
+    "distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY "
+    "KIND, either express or implied."
+)
+
+
+def test_published_headers_in_longer_texts(spark):
+    some = [("GPL-3.0", GPL_HEADER), ("MIT", MIT_TEXT), ("Apache-2.0", APACHE_HEADER)]
+    rows, expected = [(99, prose(99, 300), "p/99")], {99: None}
+    for i, (name, text) in enumerate(some):
+        for j, (prefix, width) in enumerate((("# ", 6), (" * ", 11), ("", 16))):
+            doc = 10 * i + j
+            body = prose(doc, 200) + "\n" + wrapped(text, prefix, width) + "\n" + prose(50 + doc, 200)
+            rows.append((doc, body, f"p{doc}/{doc}"))
+            expected[doc] = name
+        rows.append((100 + i, wrapped(text, "", 12), f"q{i}/LICENSE"))
+        rows.append((200 + i, prose(200 + i, 60), f"q{i}/a/b"))
+        expected |= {100 + i: name, 200 + i: name}
+    frame = spark.createDataFrame(rows, "doc_id long, text string, path string").repartition(3)
+    got = {r["doc_id"]: r for r in license_scan.licenses(frame, F.col("path")).collect()}
+    assert {d: r["license"] for d, r in got.items()} == expected
+    assert {got[d]["origin"] for d in (100, 101, 102)} == {"file"}
+    assert {got[d]["origin"] for d in (200, 201, 202)} == {"inherited"}
