@@ -10,7 +10,7 @@ on until what is left could not reach the threshold alone, so no unit that could
 
 A document takes the licence of its best line; a licence file is a document whose whole text
 matches. Other documents take that of the nearest directory above them that holds a licence file: their
-paths are exploded into ancestors, at most ``MAX_DEPTH``, and joined with the files' directories.
+paths are exploded into all ancestors and joined with the files' directories.
 
 Only DataFrame functions are used. Null and empty texts match nothing and may inherit. Documents
 without a path inherit nothing. Equal cosines go to the first template by name, then the first line;
@@ -31,7 +31,6 @@ from .common import spread, stored
 
 LINE_COSINE = 0.6
 FILE_COSINE = 0.6
-MAX_DEPTH = 64
 WORD = r"[^a-z0-9.]+"
 
 #: One line for each licence. Fixed values.
@@ -287,7 +286,7 @@ def licenses(
     )
     files = stored(files, "license-directories")
     parts = F.split("path", "/")
-    depth = F.least(F.size(parts) - 1, F.lit(MAX_DEPTH))
+    depth = F.size(parts) - 1
     bare = narrow.where("own IS NULL AND file IS NULL AND path IS NOT NULL").where(F.instr("path", "/") > 0)
     ancestors = F.transform(
         F.sequence(F.lit(1), depth),

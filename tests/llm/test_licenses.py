@@ -135,3 +135,11 @@ def test_published_headers_in_longer_texts(spark):
     assert {d: r["license"] for d, r in got.items()} == expected
     assert {got[d]["origin"] for d in (100, 101, 102)} == {"file"}
     assert {got[d]["origin"] for d in (200, 201, 202)} == {"inherited"}
+
+
+def test_deep_paths_inherit_from_the_nearest_directory(spark):
+    deep = "/".join(f"d{i}" for i in range(90))
+    rows = [(1, MIT, "d0/LICENSE"), (2, GPL, f"{deep}/LICENSE"), (3, prose(1, 50), f"{deep}/e/f")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, path string")
+    got = {r["doc_id"]: r for r in license_scan.licenses(frame, F.col("path")).collect()}
+    assert (got[3]["license"], got[3]["directory"]) == ("GPL-3.0", deep)
