@@ -11,13 +11,16 @@ from . import (
     chosen_path,
     containment,
     fertility,
+    identifiers,
     license_scan,
     line_crf,
     packing,
     repeats,
     secret_scan,
     token_file,
+    vector_codes,
     warc,
+    whitening,
 )
 from .common import table
 
@@ -158,3 +161,57 @@ def licenses(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     names = F.col("source"), F.col("lang"), F.floor(F.col("doc_id") / 100), F.col("doc_id")
     return license_scan.licenses(docs, F.concat_ws("/", *[n.cast("string") for n in names]))
+
+
+@query("op11_embedding_whitening")
+def embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whitening_digest(table(spark, folder, "embeddings"))
+
+
+def _codes_sql() -> str:
+    """The same steps as joins of parts and entries; the nearest entry is the least distance * 16 + index."""
+    steps = [
+        """
+    v AS (SELECT vec_id, label, row_number() OVER () AS row,
+                 list_transform(embedding, lambda c: CAST(floor(4096::DOUBLE * c) AS BIGINT)) AS x
+          FROM embeddings WHERE len(embedding) > 0
+            AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+    t AS MATERIALIZED (SELECT row, vec_id, p, x[p * len(x) // 8 + 1 : (p + 1) * len(x) // 8] AS a
+                       FROM v, range(8) AS r(p)),
+    u AS MATERIALIZED (SELECT row, p, unnest(a) AS x, unnest(range(len(a))) AS i FROM t),
+    b0 AS MATERIALIZED (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id, a) - 1 AS e, a AS c
+                        FROM t QUALIFY e < 16)"""
+    ]
+    for k in range(vector_codes.ROUNDS + 1):
+        steps.append(f"""
+    n{k} AS MATERIALIZED (
+      SELECT row, p, min(16 * CAST(list_sum(list_transform(list_zip(a, c), lambda z: (z[1] - z[2]) ** 2))
+                                   AS BIGINT) + e) AS near FROM t JOIN b{k} USING (p) GROUP BY row, p)""")
+        if k < vector_codes.ROUNDS:
+            steps.append(f"""
+    m{k} AS (SELECT p, near % 16 AS e, i, CAST(floor(sum(x) / count(*)) AS BIGINT) AS y
+             FROM n{k} JOIN u USING (row, p) GROUP BY ALL),
+    b{k + 1} AS MATERIALIZED (
+      SELECT p, e, coalesce(any_value(g.c), any_value(b.c)) AS c FROM b{k} AS b
+      LEFT JOIN (SELECT p, e, list(y ORDER BY i) AS c FROM m{k} GROUP BY p, e) AS g USING (p, e)
+      GROUP BY p, e)""")
+    last = vector_codes.ROUNDS
+    return f"""
+    WITH {",".join(steps)},
+    h AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) AS h FROM b{last}),
+    s AS (SELECT row, string_agg(format('{{:02x}}', near % 16), '' ORDER BY p) AS code,
+                 CAST(sum(near // 16) AS BIGINT) AS error FROM n{last} GROUP BY row)
+    SELECT vec_id, code, error,
+           CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, h AS codebooks_sha256
+    FROM v JOIN s USING (row), h"""
+
+
+@query("op12_vector_codes", _codes_sql())
+def vector_code_compression(spark: SparkSession, folder: str) -> DataFrame:
+    found = vector_codes.product_codes(table(spark, folder, "embeddings"))
+    return found.drop("label")
+
+
+@query("op13_personal_identifiers")
+def personal_identifiers(spark: SparkSession, folder: str) -> DataFrame:
+    return identifiers.identifier_digest(table(spark, folder, "documents"))
