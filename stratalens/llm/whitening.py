@@ -144,9 +144,21 @@ def _product(vectors: DataFrame, centre, n: int, block: np.ndarray) -> tuple[np.
     return out[:, :k] / n, float(out[:, k].sum()) / n
 
 
+def counting(df: DataFrame, column: str, keys: list[str] = []) -> DataFrame:  # noqa: B006
+    """``keys`` and ``vector`` of the rows that count, written once: the passes read nothing else and
+    test no entry again."""
+    vectors = df.where(finite(F.col(column))).select(*keys, F.col(column).alias("vector"))
+    return stored(vectors, "vectors")
+
+
 def principal_components(df: DataFrame, column: str, components: int = 8) -> Components:
     """The ``components`` largest principal components of a column of vectors."""
-    vectors = df.where(finite(F.col(column))).select(F.col(column).alias("vector"))
+    return components_of(counting(df, column), components)
+
+
+def components_of(vectors: DataFrame, components: int = 8) -> Components:
+    """The same for the column ``vector`` of rows that all count but for their length."""
+    vectors = vectors.select("vector")
     n, sums = _sums(vectors)
     width, passes = len(sums), 1
     none = Components(n, sums, 0.0, np.zeros(0), np.zeros((width, 0)), np.zeros(0), passes)
@@ -202,8 +214,9 @@ def _projected(rows: np.ndarray, found: Components) -> np.ndarray:
     return _centred(rows, found.centre) @ found.vectors / np.sqrt(found.values)
 
 
-def identity_error(df: DataFrame, column: str, found: Components) -> float:
-    """The largest absolute entry of the whitened rows' covariance minus the identity, measured."""
+def identity_error(vectors: DataFrame, found: Components) -> float:
+    """The largest absolute entry of the whitened rows' covariance minus the identity, measured over
+    the column ``vector``."""
     k, width = len(found.values), len(found.sums)
     names = [f"c{j}" for j in range(k + 1)]
 
@@ -218,7 +231,7 @@ def identity_error(df: DataFrame, column: str, found: Components) -> float:
         yield pa.RecordBatch.from_arrays(columns, ["i", *names])
 
     kinds = "i int, " + ", ".join(f"{c} double" for c in names)
-    vectors = df.where(finite(F.col(column)) & (F.size(column) == width)).select(column)
+    vectors = vectors.where(F.size("vector") == width).select("vector")
     added = vectors.mapInArrow(run, kinds).groupBy("i").agg(*[F.sum(c).alias(c) for c in names])
     out = np.zeros((k, k + 1))
     for row in added.collect():  # as many as components
@@ -253,8 +266,9 @@ def whitening_digest(embeddings: DataFrame, components: int = 8) -> DataFrame:
     """
     x = floored(F.col("embedding"), 1024, 100_000)
     rows = embeddings.where(finite(F.col("embedding"))).select("vec_id", x.alias("x"))
-    found = principal_components(rows, "x", components)
-    error = identity_error(rows, "x", found) if len(found.values) else None
+    rows = counting(rows, "x", ["vec_id"])
+    found = components_of(rows, components)
+    error = identity_error(rows, found) if len(found.values) else None
     width, n, sums = len(found.sums), found.n, found.sums
     values = [
         (i + 1, float(e / found.trace), float(r))
@@ -296,5 +310,5 @@ def whitening_digest(embeddings: DataFrame, components: int = 8) -> DataFrame:
                 [c.split(" ")[0] for c in kinds.split(", ")],
             )
 
-    kept = rows.where(F.size("x") == width) if values else rows.limit(0)
+    kept = rows.where(F.size("vector") == width) if values else rows.limit(0)
     return kept.mapInArrow(run, kinds)
