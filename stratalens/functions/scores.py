@@ -1,18 +1,14 @@
 """Column expressions that read scores out of evaluation-result JSON.
 
-All of them take the JSON text column and stay inside the JVM, except :func:`search_score`,
-which has to walk documents of any depth.
+All of them take the JSON text column and stay inside the JVM.
 """
 
 from __future__ import annotations
 
-import json
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from .let import let
 
@@ -77,7 +73,7 @@ def _entry_score(split: Column) -> Column:
     return number_of(F.try_variant_get(split, "$[0].main_score", "variant"))
 
 
-def main_score(content: Column, preferred: Sequence[str] = DEFAULT_SPLITS) -> Column:
+def split_score(splits: Column, preferred: Sequence[str] = DEFAULT_SPLITS) -> Column:
     """``main_score`` of the first preferred split that has one, else of any split in order."""
 
     def pick(splits: Column) -> Column:
@@ -86,7 +82,12 @@ def main_score(content: Column, preferred: Sequence[str] = DEFAULT_SPLITS) -> Co
         others = F.filter(every, lambda s: s.isNotNull())
         return F.coalesce(*named, F.get(others, F.lit(0)))
 
-    return let(split_scores(content), pick)
+    return let(splits, pick)
+
+
+def main_score(content: Column, preferred: Sequence[str] = DEFAULT_SPLITS) -> Column:
+    """The same of a document's splits."""
+    return split_score(split_scores(content), preferred)
 
 
 def all_scores(content: Column) -> Column:
@@ -124,51 +125,3 @@ def mean_of_numbers(value: Column) -> Column:
 def metric_value(value: Column) -> Column:
     """Numbers and booleans as double, numeric lists as their mean, anything else NULL."""
     return let(value, lambda v: F.when(is_list(v), mean_of_numbers(v)).otherwise(_number(v)))
-
-
-def _numeric(value: object) -> bool:
-    return isinstance(value, (int, float))
-
-
-def _structured(node: dict) -> float | None:
-    splits = node.get("scores")
-    if not isinstance(splits, dict):
-        return None
-    named = [splits[name] for name in DEFAULT_SPLITS if name in splits]
-    for split in named + list(splits.values()):
-        head = split[0] if isinstance(split, list) and split else None
-        if isinstance(head, dict) and _numeric(head.get("main_score")):
-            return float(head["main_score"])
-    return None
-
-
-def find_score(document: object) -> float | None:
-    """First score met walking the document from the top, depth first and in document order."""
-    pending = [document]
-    while pending:
-        node = pending.pop()
-        if isinstance(node, dict):
-            score = _structured(node)
-            if score is not None:
-                return score
-            direct = [node[key] for key in SCORE_KEYS if _numeric(node.get(key))]
-            if direct:
-                return float(direct[0])
-            pending.extend(reversed(list(node.values())))
-        elif isinstance(node, list):
-            pending.extend(reversed(node))
-    return None
-
-
-def _find_in_text(text: str | None) -> float | None:
-    try:
-        score = find_score(json.loads(text)) if text else None
-    except (ValueError, RecursionError):  # no JSON, or nested too deeply to be read
-        return None
-    return None if score is None or score != score else score
-
-
-@F.pandas_udf(DoubleType())
-def search_score(content: pd.Series) -> pd.Series:
-    """Best-effort score of a legacy return value of any shape; pass NULL to skip a row."""
-    return content.map(_find_in_text, na_action="ignore").astype("float64")

@@ -23,13 +23,14 @@ CENTROID_BYTES = 64 << 20  # centroids that travel with the tasks at a time
 
 
 def cosine_pairwise(
-    left: DataFrame, right: DataFrame, row: str = "row_id", normalize: bool = True
+    left: DataFrame, right: DataFrame, row: str | list[str] = "row_id", normalize: bool = True
 ) -> DataFrame:
-    """``(row_id, cosine)`` of the vectors two tables hold under the same id."""
-    a = left.select(row, V.as_double(F.col("embedding")).alias("_a"))
-    b = right.select(row, V.as_double(F.col("embedding")).alias("_b"))
+    """``(row_id, cosine)`` of the vectors two tables hold under the same id, or list of key columns."""
+    row = [row] if isinstance(row, str) else list(row)
+    a = left.select(*row, V.as_double(F.col("embedding")).alias("_a"))
+    b = right.select(*row, V.as_double(F.col("embedding")).alias("_b"))
     value = V.cosine(F.col("_a"), F.col("_b"), normalize)
-    return a.join(b, row).select(row, value.alias("cosine"))
+    return a.join(b, row).select(*row, value.alias("cosine"))
 
 
 def blocks_of(df: DataFrame, row: str, vector: Column, size: int = BLOCK_VECTORS) -> DataFrame:

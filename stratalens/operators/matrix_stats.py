@@ -14,7 +14,16 @@ from pyspark.sql import types as T
 from ..constants import CONTEXT_METRICS, EPS, HISTOGRAM_BINS, METRICS
 from ..functions import vectors as V
 from ..session import broadcast_if_small, durable
-from .moments import BLOCK_ROWS, key_fields, moments, to_lists, to_matrix, unit_sums, vector_sums
+from .moments import (
+    BLOCK_ROWS,
+    key_fields,
+    moments,
+    to_lists,
+    to_matrix,
+    unit_only,
+    unit_sums,
+    vector_sums,
+)
 from .neighbors import curvature
 from .sampling import sample_rows
 
@@ -216,23 +225,56 @@ def norm_entropy(df: DataFrame, keys: Sequence[str], vector: str = "embedding")
     return histogram_entropy(norms, keys, "norm", "norm_entropy")
 
 
-def _unit_rows(table: pa.Table, vector: str) -> np.ndarray:
-    x = to_matrix(table.column(vector))
-    return x / (np.linalg.norm(x, axis=1, keepdims=True) + EPS)
+def _centre_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The last two columns are a vector and the mean unit vector of its arm. Of the vector's unit
+    vector ``u``, the difference to the mean and ``1 - |u|^2`` are kept, both without cancellation."""
+    for batch in batches:
+        *keys, x, mean = batch.columns
+        off, short = [None] * batch.num_rows, np.empty(batch.num_rows)
+        widths = np.asarray(pa.compute.list_value_length(x))
+        for width in np.unique(widths):
+            rows = np.flatnonzero(widths == width)
+            vectors, centre = (to_matrix(c.take(pa.array(rows))) for c in (x, mean))
+            size = np.linalg.norm(vectors, axis=1, keepdims=True)
+            lacking = EPS / (size + EPS)
+            for i, own in zip(rows, vectors / (size + EPS) - centre):
+                off[i] = own
+            short[rows] = (lacking * (2 - lacking))[:, 0]
+        names = [*batch.schema.names[: len(keys)], "_u", "_short"]
+        yield pa.RecordBatch.from_arrays(
+            [*keys, pa.array(off, pa.list_(pa.float64())), pa.array(short)], names=names
+        )
 
 
-def _pair_distances(table: pa.Table, vector: str) -> np.ndarray:
-    """Cosine distances of a group: within its block, or between its two blocks."""
+def _centred_units(df: DataFrame, keys: Sequence[str], vector: str, row: str) -> DataFrame:
+    """``(keys…, row, _u, _short)``: each row's unit vector without the mean of its arm's."""
+    sums = vector_sums(df, keys, vector, unit_only)
+    mean = F.transform("total", lambda x: x / F.col("n"))
+    rows = df.join(broadcast_if_small(sums.select(*keys, mean.alias("_mean"))), list(keys))
+    fields = key_fields(df, [*keys, row])
+    schema = T.StructType(fields + T.StructType.fromDDL("_u array<double>, _short double").fields)
+    return rows.select(*keys, row, vector, "_mean").mapInArrow(_centre_units, schema)
+
+
+def _pair_distances(table: pa.Table) -> np.ndarray:
+    """Cosine distances of a group: within its block, or between its two blocks.
+
+    ``1 - u.v`` is half of ``|u - v|^2`` and of what ``|u|^2`` and ``|v|^2`` lack to 1. Taken from
+    vectors without their mean, it keeps its digits where all vectors point the same way.
+    """
     table = table.sort_by([("_own", "ascending"), ("_row", "ascending")])
-    unit = _unit_rows(table, vector)
+    unit = to_matrix(table.column("_u"))
+    half = (np.einsum("ij,ij->i", unit, unit) + table.column("_short").to_numpy()) / 2
     own = table.column("_own").to_numpy()
     first = own == own[0]
     if first.all() and table.column("_a")[0] == table.column("_b")[0]:
-        return (1 - unit @ unit.T)[np.triu_indices(len(unit), k=1)]
-    return (1 - unit[first] @ unit[~first].T).ravel() if not first.all() else np.empty(0)
+        return (half[:, None] + half - unit @ unit.T)[np.triu_indices(len(unit), k=1)]
+    if first.all():
+        return np.empty(0)
+    return (half[first][:, None] + half[~first] - unit[first] @ unit[~first].T).ravel()
 
 
-def _pair_blocks(df: DataFrame, keys: Sequence[str], vector: str, row: str) -> DataFrame:
+def _pair_blocks(df: DataFrame, keys: Sequence[str], row: str) -> DataFrame:
     """Each row once for every pair of blocks of its arm that its own block is in."""
     parts = F.ceil(F.count(F.lit(1)) / PAIR_ROWS).cast("int").alias("_m")
     rows = df.join(broadcast_if_small(df.groupBy(*keys).agg(parts)), list(keys))
@@ -242,7 +284,8 @@ def _pair_blocks(df: DataFrame, keys: Sequence[str], vector: str, row: str) -> D
     return rows.select(
         *keys,
         F.col(row).alias("_row"),
-        vector,
+        "_u",
+        "_short",
         "_own",
         F.least("_own", "_other").alias("_a"),
         F.greatest("_own", "_other").alias("_b"),
@@ -272,11 +315,11 @@ def dataset_entropy(
         own = durable(sample_rows(own, keys, n, seed, row))
     else:
         counts = counts.withColumn("n_used", F.col("n_rows"))
-    pairs = _pair_blocks(own, keys, vector, row)
+    pairs = _pair_blocks(durable(_centred_units(own, keys, vector, row)), keys, row)
     names = [f.name for f in fields]
 
     def extent(table: pa.Table) -> pa.Table:
-        distance = _pair_distances(table, vector)
+        distance = _pair_distances(table)
         known = len(distance) > 0
         values = [distance.min() if known else None, distance.max() if known else None]
         columns = [table.column(k).slice(0, 1) for k in names]
@@ -296,7 +339,7 @@ def dataset_entropy(
 
     def fill(table: pa.Table) -> pa.Table:
         span = table.column("_lo")[0].as_py(), table.column("_hi")[0].as_py()
-        filled = np.histogram(_pair_distances(table, vector), HISTOGRAM_BINS, span)[0]
+        filled = np.histogram(_pair_distances(table), HISTOGRAM_BINS, span)[0]
         bins = np.flatnonzero(filled)
         columns = [pa.chunked_array([table.column(k).slice(0, 1).combine_chunks()] * len(bins)) if len(bins)
                    else table.column(k).slice(0, 0) for k in names]

@@ -77,6 +77,11 @@ def unit_sums(x: np.ndarray) -> np.ndarray:
     return np.append(unit.sum(axis=0), (unit**2).sum())
 
 
+def unit_only(x: np.ndarray) -> np.ndarray:
+    """Sum of the rows scaled to length one."""
+    return (x / (np.linalg.norm(x, axis=1, keepdims=True) + EPS)).sum(axis=0)
+
+
 def plain_sums(x: np.ndarray) -> np.ndarray:
     return x.sum(axis=0)
 
@@ -175,7 +180,8 @@ def gathered(df: DataFrame, keys: Sequence[str], vector: str = "embedding") -> D
     Embeddings cached by arm are so already and stay where they are; this is found out from the key
     columns alone, for each arm. Where tasks see fewer rows of an arm than half the vector's width, a
     partial scatter matrix would be larger than the rows it stands for: that arm's rows then move
-    once, large arms to several tasks, dealt by a hash of the row.
+    once, large arms to several tasks, dealt by a hash of the vector and of the task that read it: no
+    task holds many rows of such an arm, so copies of one vector are spread too.
     """
     part = F.spark_partition_id().alias("_part")
     own = df.where(F.col(vector).isNotNull())
@@ -189,7 +195,7 @@ def gathered(df: DataFrame, keys: Sequence[str], vector: str = "embedding") -> D
     if thin.isEmpty():
         return df
     marked = own.join(broadcast_if_small(thin), list(keys), "left")
-    salt = F.pmod(F.xxhash64(vector), F.col("_m"))
+    salt = F.pmod(F.xxhash64(vector, F.spark_partition_id()), F.col("_m"))
     moved = marked.where("_m IS NOT NULL").withColumn("_s", salt).repartition(*keys, "_s")
     stay = marked.where("_m IS NULL")
     return stay.drop("_m").unionByName(moved.drop("_m", "_s"))

@@ -185,12 +185,15 @@ def task_summary(
     )
 
 
-def average_main_score(scores: DataFrame, tasks: DataFrame) -> DataFrame:
-    """Mean over the expected tasks per layer, with how many of them have a score."""
+def average_main_score(
+    scores: DataFrame, tasks: DataFrame, arm: Sequence[str] = ("layer",)
+) -> DataFrame:
+    """Mean over the expected tasks per layer, or per ``arm`` of several columns, with how many of
+    them have a score."""
     expected = tasks.agg(F.count_distinct("task")).scalar()
     scored = scores.where(F.col("main_score").isNotNull())
     rows = scored.join(tasks.select("task"), "task", "left_semi")
-    means = rows.groupBy("layer").agg(
+    means = rows.groupBy(*arm).agg(
         F.avg("main_score").alias("average_main_score"),
         F.count_distinct("task").alias("num_tasks"),
     )

@@ -11,6 +11,7 @@ from ..functions import revisions as R
 from ..functions import scores as S
 from ..functions import text as X
 from ..operators import metric_tables as M
+from ..operators.score_search import search_scores
 from ..session import durable, shared_folder
 from ..sources import results as P
 from ..sources import sinks as K
@@ -201,7 +202,7 @@ _RANK = " ".join(f"WHEN '{k}' THEN {i}" for i, k in enumerate(S.SCORE_KEYS))
 def score_search(spark, folder):
     orders = _orders(spark, folder)
     docs = orders.select(F.col("o_orderkey").alias("doc_id"), F.expr(_LEGACY).alias("content"))
-    return docs.select("doc_id", S.search_score("content").alias("score"))
+    return docs.select("doc_id").join(search_scores(docs, "doc_id"), "doc_id", "left")
 
 
 # Result files of one run: every order writes a document to one of four places of a unit.

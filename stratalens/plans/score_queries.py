@@ -416,14 +416,14 @@ def arm_json(spark, folder):
 
 
 @query("layer_json", with_views("""
-  SELECT cast(layer AS varchar) AS "key", count(*) AS num_tasks, string_agg(task, ', ' ORDER BY task) AS tasks,
+  SELECT concat(revision, '_layer_', layer) AS "key", count(*) AS num_tasks, string_agg(task, ', ' ORDER BY task) AS tasks,
     string_agg(cast(cast(round(main_score * 1000000) AS bigint) AS varchar), ', ' ORDER BY task) AS micro_scores,
     round(avg(main_score) + 1e-10, 6) AS average_main_score
-  FROM scores WHERE revision = 'step137000' GROUP BY layer""",
+  FROM scores GROUP BY revision, layer""",
   "scores"))
 def layer_json(spark, folder):
-    rows = V.scores(spark, folder).where("revision = 'step137000'")
-    averages = S.average_main_score(rows, G.task_dim(spark))
+    rows = V.scores(spark, folder)
+    averages = S.average_main_score(rows, G.task_dim(spark), ["revision", "layer"])
     written = K.layer_json(averages, rows)
     schema = "average_main_score double, num_tasks long, task_scores map<string,double>"
     back = F.from_json("json", schema)

@@ -98,8 +98,9 @@ def corpus_records(spark, folder):
     FROM documents),
   cells AS (SELECT doc_id, ('0x' || substr(md5(w), 1, 8))::UBIGINT % 64 AS i, count(*) AS x
     FROM tokens WHERE w <> '' GROUP BY ALL)
-  SELECT doc_id, cast(sum(x) AS double) AS n_tokens, count(*) AS n_filled,
-    cast(sum(x * (i + 1)) AS double) AS weighted FROM cells GROUP BY doc_id""")
+  SELECT doc_id, coalesce(cast(sum(x) AS double), 0.0::DOUBLE) AS n_tokens, count(x) AS n_filled,
+    coalesce(cast(sum(x * (i + 1)) AS double), 0.0::DOUBLE) AS weighted
+  FROM documents LEFT JOIN cells USING (doc_id) GROUP BY doc_id""")
 def embed_corpus(spark, folder):
     vectors = N.encode_texts(V.spread(V.table(spark, folder, "documents")), ["doc_id"])
     v = F.col("embedding")
@@ -109,7 +110,7 @@ def embed_corpus(spark, folder):
         X.total(v).alias("n_tokens"),
         F.size(F.filter(v, lambda x: x > 0)).cast("long").alias("n_filled"),
         weighted.alias("weighted"),
-    ).where("n_tokens > 0")
+    )
 
 
 # ---- vectors --------------------------------------------------------------------------------
@@ -184,12 +185,14 @@ _COS = (
 )
 
 
-@query("cosine_pairwise", with_views(f"""SELECT a.row_id, {r(_COS.format(a="a.embedding", b="b.embedding"))} AS cosine
-  FROM arm_embeddings a JOIN arm_embeddings b USING (row_id) WHERE a.revision = 0 AND b.revision = 1""",
-  "arm_embeddings"))
+@query("cosine_pairwise", with_views(f"""SELECT a.layer, b.revision, a.row_id, {r(_COS.format(a="a.embedding", b="b.embedding"))} AS cosine
+  FROM arm_embeddings a JOIN arm_embeddings b ON a.layer = b.layer AND a.row_id = b.row_id
+    AND b.revision = a.revision + 1""", "arm_embeddings"))
 def cosine_pairwise(spark, folder):
+    """Every row of an arm against the same row one revision later."""
     rows = V.arm_embeddings(spark, folder)
-    return rounded(E.cosine_pairwise(rows.where("revision = 0"), rows.where("revision = 1")), "cosine")
+    before = rows.withColumn("revision", F.col("revision") + 1)
+    return rounded(E.cosine_pairwise(before, rows, ["layer", "revision", "row_id"]), "cosine")
 
 
 _VECTORS = """vectors AS (SELECT vec_id, label, list_transform(embedding, lambda x: cast(x AS double)) AS v

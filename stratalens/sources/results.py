@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 
 from ..functions import revisions as R
 from ..functions import scores as S
+from ..operators.score_search import search_scores
 from ..schemas import MARKER
+from ..session import durable
 
 UNIT = ["model_family", "model_size", "revision", "layer", "task"]
 
@@ -112,15 +114,18 @@ def collect_results(
 ) -> DataFrame:
     """One row per marker with the score of the first place that yields one, else NULL.
 
-    ``done`` holds the markers if they were scanned on their own.
+    Documents are read once; of their texts only those of legacy files without a score in the usual
+    place are kept, to be searched. ``done`` holds the markers if they were scanned on their own.
     """
-    legacy = F.col("place") == "legacy"
-    unscored = F.when(legacy & F.col("structured").isNull(), F.col("content"))
-    scored = (
+    odd = (F.col("place") == "legacy") & F.col("structured").isNull()
+    read = durable(
         located(documents)
         .withColumn("structured", S.main_score(F.col("content")))
-        .withColumn("score", F.coalesce("structured", S.search_score(unscored)))
-        .select("unit_dir", "stem", "place", "score")
+        .select("path", "unit_dir", "stem", "place", "structured", F.when(odd, F.col("content")).alias("content"))
+    )
+    found = search_scores(read.where("content IS NOT NULL"), "path")
+    scored = read.join(found, "path", "left").select(
+        "unit_dir", "stem", "place", F.coalesce("structured", "score").alias("score")
     )
     units = read_markers(documents if done is None else done)
     matched = units.join(

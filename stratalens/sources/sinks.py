@@ -49,15 +49,20 @@ def write_keyed_json(entries: DataFrame, path: str) -> None:
 
 
 def layer_json(averages: DataFrame, scores: DataFrame) -> DataFrame:
-    """``(key, json)`` per layer with its average, counts and task -> score map."""
-    per_layer = scores.groupBy("layer").agg(
+    """``(key, json)`` per layer of every model size and revision the tables have, with its average,
+    counts and task -> score map. The key is the layer, behind size and revision where there are any;
+    a task that has several scores there keeps its highest."""
+    arm = [c for c in ("model_size", "revision", "layer") if c in averages.columns]
+    best = scores.groupBy(*arm, "task").agg(F.max("main_score").alias("main_score"))
+    per_layer = best.groupBy(*arm).agg(
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("task", "main_score")))).alias(
             "task_scores"
         )
     )
-    joined = averages.join(per_layer, "layer")
+    joined = averages.join(per_layer, arm)
     fields = ["average_main_score", "num_tasks", "expected_tasks", "task_scores"]
-    return keyed_json(joined, F.col("layer").cast("string"), fields)
+    key = F.concat_ws("_", *arm[:-1], F.concat(F.lit("layer_"), F.col("layer").cast("string")))
+    return keyed_json(joined, key if arm[:-1] else F.col("layer").cast("string"), fields)
 
 
 def save_bandit_state(state: DataFrame, path: str) -> None:

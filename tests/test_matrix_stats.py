@@ -202,9 +202,10 @@ def test_all_metrics_in_one_row_per_arm(frame, arms):
 
 def test_pair_blocks_give_what_all_pairs_give(frame, arms, monkeypatch):
     whole = by_arm(M.dataset_entropy(frame, KEYS, None), "dataset_entropy")
-    monkeypatch.setattr(M, "PAIR_ROWS", 40)
-    rows = M.dataset_entropy(frame, KEYS, None).collect()
-    assert {r.arm: r.dataset_entropy for r in rows} == pytest.approx(whole, abs=1e-6)
+    for size in (7, 40):
+        monkeypatch.setattr(M, "PAIR_ROWS", size)
+        rows = M.dataset_entropy(frame, KEYS, None).collect()
+        assert {r.arm: r.dataset_entropy for r in rows} == pytest.approx(whole, abs=1e-12)
     sample = {r.arm: (r.n_rows, r.n_used) for r in M.dataset_entropy(frame, KEYS, 20).collect()}
     assert sample == {"tall": (300, 20), "wide": (15, 15), "far": (60, 20)}
 
@@ -264,3 +265,24 @@ def test_null_vectors_are_left_out(spark):
     rows = [("a", 0, [1.0, 0.0]), ("a", 1, None), ("a", 2, [0.0, 1.0]), ("a", 3, [1.0, 1.0])]
     frame = spark.createDataFrame(rows, ddl)
     assert M.spectra(frame, KEYS).select(F.max("n")).first()[0] == 3
+
+
+def test_copies_of_one_vector_are_spread(spark, matrix_frame, rng, monkeypatch):
+    """Interleaved arms, a third of the rows one vector: no task gets most of its copies."""
+    from pyspark.sql import functions as F
+
+    from stratalens.operators import moments as O
+
+    monkeypatch.setattr(O, "GATHERED_ROWS", 40)
+    for name, value in (("adaptive.coalescePartitions.enabled", "false"), ("shuffle.partitions", "8")):
+        spark.conf.set(f"spark.sql.{name}", value)
+    try:
+        rows = rng.normal(size=(600, 32))
+        rows[:200] = rows[0]
+        frame = matrix_frame(**{f"a{i}": rows for i in range(2)}).repartition(120, "row_id")
+        copies = O.gathered(frame, ["arm"]).where(F.col("embedding")[0] == float(rows[0][0]))
+        counts = [r["count"] for r in copies.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(counts) == 400 and max(counts) < 160
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")

@@ -1,12 +1,14 @@
 """Scores and metrics out of result JSON."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from stratalens.functions import scores as S
 from stratalens.operators import metric_tables as M
+from stratalens.operators.score_search import search_scores
 
 
 def column(spark, texts, expression):
@@ -54,25 +56,74 @@ def test_split_preferences(spark):
         assert column(spark, [text], S.main_score(F.col("content"), preferred)) == [score]
 
 
-@pytest.mark.parametrize(
-    "document, score",
-    [
-        ({"score": 0.4, "main_score": 0.5}, 0.5),
-        ({"a": {"b": {"c": {"d": {"accuracy": 0.25}}}}}, 0.25),
-        ([{"note": "n"}, [{"spearman": 3}]], 3.0),
-        ({"a": {"scores": {"odd": [{"main_score": 0.75}]}}}, 0.75),
-        ({"score": "0.5", "x": [True, {"cos_sim": True}]}, 1.0),
-        ({"a": [1, 2, "x"]}, None),
-        (None, None),
-    ],
-)
-def test_search_walks_any_depth(spark, document, score):
-    assert S.find_score(document) == score
-    assert column(spark, [json.dumps(document)], S.search_score("content")) == [score]
+SEARCHED = [
+    ({"score": 0.4, "main_score": 0.5}, 0.5),
+    ({"a": {"b": {"c": {"d": {"accuracy": 0.25}}}}}, 0.25),
+    ([{"note": "n"}, [{"spearman": 3}]], 3.0),
+    ({"a": {"scores": {"odd": [{"main_score": 0.75}]}}}, 0.75),
+    ({"score": "0.5", "x": [True, {"cos_sim": True}]}, 1.0),
+    ({"a": [1, 2, "x"]}, None),
+    (None, None),
+]
+
+
+def test_search_walks_any_depth(spark):
+    want = {i: score for i, (_, score) in enumerate(SEARCHED) if score is not None}
+    assert searched(spark, [json.dumps(document) for document, _ in SEARCHED]) == want
+    assert [walked(document) for document, _ in SEARCHED] == [score for _, score in SEARCHED]
+
+
+def searched(spark, texts):
+    frame = spark.createDataFrame(list(enumerate(texts)), "i int, content string")
+    return {r.i: r.score for r in search_scores(frame, "i").collect()}
+
+
+def walked(document):
+    """Depth first, in document order."""
+    number = lambda v: isinstance(v, (int, float))
+    pending = [document]
+    while pending:
+        node = pending.pop()
+        if isinstance(node, list):
+            pending += node[::-1]
+        if not isinstance(node, dict):
+            continue
+        splits = node["scores"] if isinstance(node.get("scores"), dict) else {}
+        order = [splits[n] for n in S.DEFAULT_SPLITS if n in splits] + list(splits.values())
+        heads = [x[0] for x in order if isinstance(x, list) and x and isinstance(x[0], dict)]
+        own = [h.get("main_score") for h in heads] + [node.get(k) for k in S.SCORE_KEYS]
+        own = [float(v) for v in own if number(v)]
+        if own:
+            return own[0]
+        pending += list(node.values())[::-1]
+    return None
 
 
 def test_search_skips_null_and_bad_text(spark):
-    assert column(spark, [None, "{bad", ""], S.search_score("content")) == [None] * 3
+    assert searched(spark, [None, "{bad", "", "3", '"score"']) == {}
+
+
+def test_search_walks_random_documents_in_order(spark):
+    pick = random.Random(5)
+    names = ["zz", "b", "score", "accuracy", "scores", "test", "main_score", "dev"]
+
+    def made(depth):
+        kind = pick.randrange(6 if depth else 3)
+        if kind < 3:
+            return pick.choice([1, 0.5, "0.5", '{"score": 9}', None, True, "t"]) if pick.random() < 0.3 else "s"
+        if kind == 3:
+            return [made(depth - 1) for _ in range(pick.randrange(4))]
+        return {n: made(depth - 1) for n in pick.sample(names, pick.randrange(5))}
+
+    documents = [made(pick.randrange(2, 9)) for _ in range(700)]
+    want = {i: s for i, d in enumerate(documents) if (s := walked(d)) is not None}
+    assert searched(spark, [json.dumps(d) for d in documents]) == want and len(want) > 40
+
+
+def test_search_goes_as_deep_as_the_reader(spark):
+    deep = [f'{{"a":{"[" * n}{{"score": {n}}}{"]" * n}}}' for n in (3, 8, 20)]
+    far = "[" * 100_000 + "]" * 100_000
+    assert searched(spark, [*deep, far]) == {0: 3.0, 1: 8.0, 2: 20.0}
 
 
 def test_all_scores_keeps_first_objects_in_order(spark):

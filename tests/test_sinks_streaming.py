@@ -61,6 +61,21 @@ def test_layer_json_holds_the_task_map(spark, scores):
     ]
 
 
+def test_layer_json_of_several_sizes_and_revisions(spark):
+    rows = [(size, rev, layer, task, 0.25 * layer + 0.5 * (rev == "b"))
+            for size in ("1b", "2b") for rev in ("a", "b") for layer in (0, 1) for task in ("t", "u")]
+    rows.append(("1b", "a", 0, "t", -1.0))
+    frame = spark.createDataFrame(
+        rows, "model_size string, revision string, layer int, task string, main_score double"
+    )
+    tasks = spark.createDataFrame([("t",), ("u",)], "task string")
+    averages = S.average_main_score(frame, tasks, ["model_size", "revision", "layer"])
+    found = {r.key: json.loads(r.json) for r in K.layer_json(averages, frame).collect()}
+    assert set(found) == {f"{m}_{r}_layer_{i}" for m in ("1b", "2b") for r in "ab" for i in (0, 1)}
+    assert found["2b_b_layer_1"]["task_scores"] == {"t": 0.75, "u": 0.75}
+    assert found["1b_a_layer_0"]["task_scores"] == {"t": 0.0, "u": 0.0}
+
+
 def test_arm_cache_is_pruned_by_arm(spark, tmp_path):
     path = str(tmp_path / "cache")
     frame = spark.createDataFrame(
