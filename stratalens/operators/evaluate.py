@@ -7,8 +7,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -166,13 +164,64 @@ def v_measure(assigned: DataFrame, cluster: str = "cluster", label: str = "label
     )
 
 
-def clustering(df: DataFrame, k: int | None = None, seed: int = 0) -> DataFrame:
+def _placed(centres: Broadcast, keep: str):
+    """Each row's nearest centre; of equally near ones the first."""
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x = to_matrix(batch.column("embedding"))
+                best, found = np.full(len(x), np.inf), np.zeros(len(x), np.int32)
+                for i, centre in enumerate(centres.value):
+                    distance = ((x - centre) ** 2).sum(axis=1)
+                    closer = distance < best
+                    best[closer], found[closer] = distance[closer], i
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(keep), pa.array(found)], names=[keep, "cluster"]
+                )
+
+    return place
+
+
+def kmeans(
+    df: DataFrame, keep: str, k: int, steps: int, seed: int = 0, row: str = "vec_id"
+) -> DataFrame:
+    """``(keep, cluster)`` after ``steps`` Lloyd steps. The first centres are the vectors of the first
+    ``k`` rows by a seeded hash of the row id; a centre without rows stays where it is.
+
+    A step folds sums and counts by cluster in every task and merges them; the driver holds the ``k``
+    centres. Rows without a vector, or with one that is not finite, are no rows.
+    """
+    spark = df.sparkSession
+    finite = F.forall("embedding", lambda x: F.abs(x) < float("inf"))
+    rows = df.where(F.coalesce(finite, F.lit(False))).select(
+        row, keep, V.as_double(F.col("embedding")).alias("embedding")
+    )
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(row).cast("string")))
+    first = rows.orderBy(digest, row).limit(k).select("embedding").collect()
+    centres = np.array([r.embedding for r in first])
+
+    def assigned(column: str) -> DataFrame:
+        kind = rows.schema[column].dataType.simpleString()
+        sent = spark.sparkContext.broadcast(centres)
+        own = rows.select(*dict.fromkeys([column, "embedding"]))
+        return own.mapInArrow(_placed(sent, column), f"`{column}` {kind}, cluster int")
+
+    for _ in range(steps if len(centres) else 0):
+        sums = vector_sums(assigned("embedding"), ["cluster"])
+        centres = centres.copy()
+        for r in sums.collect():  # a row a centre
+            centres[r.cluster] = np.array(r.total) / r.n
+    return assigned(keep)
+
+
+def clustering(
+    df: DataFrame, k: int | None = None, seed: int = 0, steps: int = 10, row: str = "vec_id"
+) -> DataFrame:
     """V-measure of k-means clusters against the labels; ``k`` defaults to the label count."""
-    rows = df.select("label", array_to_vector(V.as_double(F.col("embedding"))).alias("features"))
     if k is None:
         k = df.select(F.count_distinct("label")).first()[0]
-    model = KMeans(k=max(k, 2), seed=seed, predictionCol="cluster").fit(rows)
-    return v_measure(model.transform(rows).select("cluster", "label"))
+    return v_measure(kmeans(df, "label", max(k, 2), steps, seed, row))
 
 
 def _nearer(centroids: Broadcast, first: int):

@@ -1,7 +1,10 @@
 """Nearest neighbours of a set of probe rows, and the local curvature built on them.
 
-The rows of an arm are spread over chunks, its probes over blocks; every chunk meets every block in a
-group of bounded size, which emits only the best ``k`` rows of each probe.
+An exact search by pivots. Some rows of an arm, chosen by hash, are its pivots, and every row belongs to
+the cell of the pivot nearest to it. A probe is first held against its own cell, which bounds the
+distance of its k-th neighbour; of the other cells it goes to those only that the triangle inequality does
+not rule out. Cells and probes meet in groups of bounded size, which emit the best ``k`` rows of each
+probe. Where the vectors have no structure at all every cell is met, and the work is that of all pairs.
 """
 
 from __future__ import annotations
@@ -15,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..constants import EPS
+from ..functions import vectors as V
 from ..session import broadcast_if_small, durable
 from .moments import arrow_keys, key_fields, to_lists, to_matrix
 from .ranking import top_rows
@@ -24,6 +28,9 @@ NEIGHBORS = 10
 SPARE = 6  # rows taken beyond k by rough distance
 CHUNK_ROWS = 20_000
 PROBE_ROWS = 1_000
+CELL_ROWS = 2_000  # an arm of fewer rows is one cell
+PIVOT_BYTES = 64 << 20  # pivots that a group holds
+SLACK = 1e-9  # of a distance, for rounding: a cell this near the bound is still met
 
 # row ids, squared distances and vectors, a row per probe; infinite distances are no neighbours
 Best = tuple[np.ndarray, np.ndarray, np.ndarray]
@@ -129,27 +136,145 @@ def _cogrouped(df, probes, keys, row, vector, k, schema, fields) -> DataFrame:
     return left.cogroup(right).applyInArrow(find, schema)
 
 
+def _pivots(df: DataFrame, keys: Sequence[str], row: str, vector: str) -> DataFrame:
+    """``(keys…, _cell, _centre)``: about the root of an arm's rows as pivots, one for a small arm."""
+    sizes = df.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_n"), F.min(row).alias("_first"), F.max(F.size(vector)).alias("_d")
+    )
+    most = F.least(F.sqrt("_n"), PIVOT_BYTES / (8 * F.col("_d")))
+    wanted = F.when(F.col("_n") > CELL_ROWS, F.ceil(most)).otherwise(0)
+    sizes = broadcast_if_small(sizes.withColumn("_p", wanted))
+    chosen = (F.pmod(F.xxhash64(row), F.col("_n")) < F.col("_p")) | (F.col(row) == F.col("_first"))
+    found = df.join(sizes, list(keys)).where(chosen)
+    found = found.groupBy(*keys, F.col(row).alias("_cell")).agg(F.first(vector).alias("_centre"))
+    return durable(found)
+
+
+def _away(x: np.ndarray, centre: np.ndarray) -> np.ndarray:
+    return np.sqrt(((x - centre) ** 2).sum(axis=1))
+
+
+def _with_table(df, small, keys, rows: int, run, ddl: str, row: str) -> DataFrame:
+    """``run(rows, table)`` for bounded parts of an arm's rows, each with all of the arm's ``small``."""
+    cut = df.join(_parts(df, keys, rows, "_m"), list(keys))
+    cut = cut.withColumn("_part", F.pmod(F.xxhash64(row), F.col("_m")).cast("int")).drop("_m")
+    copies = small.join(_parts(df, keys, rows, "_m"), list(keys))
+    copies = copies.withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_m") - 1))).drop("_m")
+    copies = copies.select(*[F.col(c).alias(f"_s_{c}") for c in copies.columns])
+    schema = T.StructType(key_fields(df, keys) + T.StructType.fromDDL(ddl).fields)
+
+    def both(left: pa.Table, right: pa.Table) -> pa.Table:
+        names = list(keys)
+        if left.num_rows == 0 or right.num_rows == 0:
+            return pa.Table.from_batches([], schema=pa_schema)
+        picked, columns = run(left, right.sort_by("_s__cell"))
+        own = [left.column(c).take(picked) for c in names]
+        return pa.Table.from_arrays([*own, *columns], schema=pa_schema)
+
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    pa_schema = to_arrow_schema(schema)
+    grouped = cut.groupBy(*keys, "_part").cogroup(copies.groupBy(*[f"_s_{c}" for c in [*keys, "_part"]]))
+    return grouped.applyInArrow(both, schema)
+
+
+def _celled(df: DataFrame, pivots: DataFrame, keys: Sequence[str], row: str, vector: str) -> DataFrame:
+    """Rows with the ``_cell`` of their nearest pivot, the lower one of equals, and how far ``_off`` it is."""
+
+    def nearest(left: pa.Table, table: pa.Table):
+        x, centres = to_matrix(left.column(vector)), to_matrix(table.column("_s__centre"))
+        best, place = np.full(len(x), np.inf), np.zeros(len(x), np.int64)
+        for i, centre in enumerate(centres):
+            off = _away(x, centre)
+            closer = off < best
+            best[closer], place[closer] = off[closer], i
+        cells = table.column("_s__cell").to_numpy()[place]
+        columns = [left.column(row), to_lists(x), pa.array(cells), pa.array(best)]
+        return pa.array(np.arange(len(x))), columns
+
+    ddl = f"`{row}` long, `{vector}` array<double>, _cell long, _off double"
+    rows = df.select(*keys, F.col(row).cast("long").alias(row), vector)
+    return durable(_with_table(rows, pivots, keys, CHUNK_ROWS, nearest, ddl, row))
+
+
+def _routed(probes: DataFrame, cells: DataFrame, keys: Sequence[str], row: str, vector: str) -> DataFrame:
+    """Each probe once for every other cell that may hold a row within ``_bound`` of it.
+
+    No row of a cell is nearer than the probe's distance to its pivot less the cell's radius, nor than
+    the plane between the pivots of that cell and of the probe's own.
+    """
+
+    def route(left: pa.Table, table: pa.Table):
+        x, bound = to_matrix(left.column(vector)), left.column("_bound").to_numpy()
+        home, own = left.column("_cell").to_numpy(), left.column("_off").to_numpy()
+        centres, ids = to_matrix(table.column("_s__centre")), table.column("_s__cell").to_numpy()
+        at, radius = np.searchsorted(ids, home), table.column("_s__radius").to_numpy()
+        slack = SLACK * (1 + np.sqrt((x**2).sum(axis=1)))
+        picked, targets = [], []
+        for i, centre in enumerate(centres):
+            off = _away(x, centre)
+            apart = _away(centres, centre)[at]
+            plane = (off**2 - own**2) / np.maximum(2 * apart, 1e-300)
+            least = np.maximum(off - radius[i], np.where(apart > 0, plane, 0.0))
+            goes = np.flatnonzero((least <= bound + slack) & (at != i))
+            picked.append(goes)
+            targets.append(np.full(len(goes), ids[i]))
+        rows = np.concatenate(picked)
+        columns = [left.column(row).take(pa.array(rows)), to_lists(x[rows]), pa.array(np.concatenate(targets))]
+        return pa.array(rows), columns
+
+    ddl = f"`{row}` long, `{vector}` array<double>, _cell long"
+    return _with_table(probes, cells, keys, PROBE_ROWS, route, ddl, row)
+
+
 def knn(
     df: DataFrame,
-    probes: DataFrame,
+    probes: DataFrame | None,
     keys: Sequence[str],
     k: int = NEIGHBORS,
     row: str = "row_id",
     vector: str = "embedding",
 ) -> DataFrame:
     """``(keys…, probe_id, neighbor_id, distance, neighbor, rank)``: the ``k`` nearest rows of the
-    same arm by Euclidean distance, never the probe itself. Rows whose distance is not a number are no
-    neighbours."""
-    fields = key_fields(df, keys)
+    same arm by Euclidean distance, never the probe itself; without ``probes`` those of every row. Rows
+    whose distance is not a number are no neighbours."""
+    by = [*keys, "_cell"]
+    finite = F.forall(vector, lambda x: F.abs(x) < float("inf"))
+    rows = df.where(F.coalesce(finite, F.lit(False))).select(*keys, row, V.as_double(F.col(vector)).alias(vector))
+    pivots = _pivots(rows, keys, row, vector)
+    placed = _celled(rows, pivots, keys, row, vector)
+    asked = placed
+    if probes is not None:
+        chosen = probes.where(F.coalesce(finite, F.lit(False)))
+        chosen = chosen.select(*keys, row, V.as_double(F.col(vector)).alias(vector))
+        asked = _celled(chosen, pivots, keys, row, vector)
+    fields = key_fields(placed, by)
     ddl = "probe_id long, neighbor_id long, squared double, neighbor array<double>"
     schema = T.StructType(fields + T.StructType.fromDDL(ddl).fields)
-    rows = df.where(F.col(vector).isNotNull()).select(*keys, row, vector)
-    chosen = probes.where(F.col(vector).isNotNull()).select(*keys, row, vector)
-    partial = _cogrouped(rows, chosen, keys, row, vector, k, schema, fields)
     order = [F.col("squared"), F.col("neighbor_id")]
-    ranked = top_rows(partial, [*keys, "probe_id"], order, k)
+
+    def best(partial: DataFrame, rank: str) -> DataFrame:
+        return top_rows(partial.drop("_cell"), [*keys, "probe_id"], order, k, rank)
+
+    inside = _cogrouped(placed, asked.select(*by, row, vector), by, row, vector, k, schema, fields)
+    inside = durable(best(inside, "rank"))
     distance = F.sqrt("squared").alias("distance")
-    return ranked.select(*keys, "probe_id", "neighbor_id", distance, "neighbor", "rank")
+    columns = [*keys, "probe_id", "neighbor_id", distance, "neighbor", "rank"]
+    several = pivots.groupBy(*keys).agg(F.count(F.lit(1)).alias("_c")).where("_c > 1").drop("_c")
+    several = broadcast_if_small(several)
+    if several.isEmpty():  # arms of one cell have been searched as a whole
+        return inside.select(*columns)
+    bounds = inside.groupBy(*keys, F.col("probe_id").alias(row)).agg(
+        F.when(F.count(F.lit(1)) == k, F.sqrt(F.max("squared"))).alias("_bound")
+    )
+    far = F.coalesce("_bound", F.lit(float("inf"))).alias("_bound")
+    bounded = asked.join(bounds, [*keys, row], "left").select(*by, row, vector, "_off", far)
+    radii = placed.groupBy(*by).agg(F.max("_off").alias("_radius"))
+    cells = pivots.join(radii, by)
+    routed = _routed(bounded.join(several, list(keys)), cells, keys, row, vector)
+    outside = _cogrouped(placed, durable(routed), by, row, vector, k, schema, fields)
+    both = inside.drop("rank").unionByName(outside.drop("_cell"))
+    return best(both, "rank").select(*columns)
 
 
 def _condition_of(fields: Sequence[T.StructField]):
@@ -193,7 +318,7 @@ def curvature(
     fields = key_fields(df, keys)
     own = df.where(F.col(vector).isNotNull()).select(*keys, row, vector)
     chosen = own if probes is None else durable(sample_rows(own, keys, probes, seed, row))
-    near = knn(own, chosen, keys, k, row, vector)
+    near = knn(own, None if probes is None else chosen, keys, k, row, vector)
     schema = T.StructType(fields + [T.StructField("_condition", T.DoubleType())])
     parts = _parts(chosen, keys, PROBE_ROWS, "_b")
     block = F.pmod(F.xxhash64("probe_id"), F.col("_b")).alias("_block")

@@ -417,7 +417,7 @@ def _register_knn(name: str, n: int | None) -> None:
   SELECT revision, layer, probe_id, neighbor_id, {r("d")} AS distance, rank FROM near""", "arm_embeddings"))
     def run(spark, folder):
         rows = V.arm_embeddings(spark, folder)
-        probes = rows if n is None else sample_rows(rows, ARM, n)
+        probes = None if n is None else sample_rows(rows, ARM, n)
         return rounded(B.knn(rows, probes, ARM).drop("neighbor"), "distance")
 
 
@@ -560,12 +560,6 @@ def score_rerank_map(spark, folder):
     return rounded(E.reranking(candidates), "main_score", "mrr")
 
 
-@query("score_vmeasure")
-def score_vmeasure(spark, folder):
-    found = E.clustering(V.table(spark, folder, "embeddings"), seed=7)
-    return rounded(found, "homogeneity", "completeness", "main_score")
-
-
 def _h(by: str) -> str:
     return f"(SELECT sum(-c / n * ln(c / n)) FROM (SELECT sum(c) AS c FROM cells GROUP BY {by}), total)"
 
@@ -577,6 +571,35 @@ def _h_given(given: str) -> str:
     )
 
 
+def _clustered_sql(steps: int = 10, seed: int = 7) -> str:
+    """Lloyd steps one after the other, from the first vectors by the seeded hash of the id."""
+    parts = [
+        f"""WITH {_VECTORS}, k AS (SELECT greatest(count(DISTINCT label), 2) AS k FROM vectors),
+  c0 AS MATERIALIZED (SELECT cast(row_number() OVER (ORDER BY md5(concat('{seed}:', vec_id)), vec_id) - 1 AS int)
+    AS place, v AS c FROM vectors QUALIFY place < (SELECT k FROM k))"""
+    ]
+    for i in range(steps + 1):
+        parts.append(f"""a{i} AS MATERIALIZED (SELECT vec_id, any_value(label) AS label, any_value(v) AS v,
+    arg_min(place, (list_distance(v, c), place)) AS place FROM vectors, c{i} GROUP BY vec_id)""")
+        if i < steps:
+            parts.append(f"""c{i + 1} AS MATERIALIZED (SELECT c.place, coalesce(m.c, c.c) AS c FROM c{i} c LEFT JOIN
+    (SELECT place, list(x ORDER BY i) AS c FROM (SELECT place, i, avg(x) AS x FROM
+      (SELECT place, unnest(v) AS x, unnest(range(0, 64)) AS i FROM a{i}) GROUP BY ALL) GROUP BY place) m
+    ON m.place = c.place)""")
+    parts.append(f"cells AS (SELECT label, place AS cluster, count(*) AS c FROM a{steps} GROUP BY ALL)")
+    parts.append("total AS (SELECT sum(c) AS n FROM cells)")
+    return ", ".join(parts) + f""", hc AS (SELECT 1 - {_h_given("cluster")} / {_h("label")} AS h,
+    1 - {_h_given("label")} / {_h("cluster")} AS k)
+  SELECT (SELECT cast(n AS bigint) FROM total) AS n_rows, {r("h")} AS homogeneity, {r("k")} AS completeness,
+    {r("2 * h * k / (h + k)")} AS main_score FROM hc"""
+
+
+@query("score_vmeasure", _clustered_sql())
+def score_vmeasure(spark, folder):
+    found = E.clustering(V.table(spark, folder, "embeddings"), seed=7)
+    return rounded(found, "homogeneity", "completeness", "main_score")
+
+
 @query("v_measure", f"""WITH cells AS (SELECT label, vec_id % 7 + label % 2 AS cluster, count(*) AS c
     FROM embeddings GROUP BY ALL), total AS (SELECT sum(c) AS n FROM cells),
   hc AS (SELECT 1 - {_h_given("cluster")} / {_h("label")} AS h, 1 - {_h_given("label")} / {_h("cluster")} AS k)

@@ -21,9 +21,12 @@ def brute(x, probe, k):
     return order[:k]
 
 
-def test_knn(arms, matrix_frame, monkeypatch):
+@pytest.mark.parametrize("cell", [10_000, 20])
+def test_knn(arms, matrix_frame, monkeypatch, cell):
+    """In one cell an arm, and in some twenty."""
     monkeypatch.setattr(B, "CHUNK_ROWS", 64)
     monkeypatch.setattr(B, "PROBE_ROWS", 12)
+    monkeypatch.setattr(B, "CELL_ROWS", cell)
     frame = matrix_frame(**arms)
     rows = B.knn(frame, frame.where("row_id < 30"), KEYS, k=6).collect()
     for name, x in arms.items():
@@ -37,6 +40,38 @@ def test_knn(arms, matrix_frame, monkeypatch):
                 assert r.distance == pytest.approx(np.linalg.norm(x[probe] - x[r.neighbor_id]))
 
 
+def test_cells_of_all_rows_are_skipped_by_bounds(matrix_frame, rng, monkeypatch):
+    """Forty groups of rows far from the origin: the same as brute force, from a part of the pairs."""
+    monkeypatch.setattr(B, "CELL_ROWS", 50)
+    x = np.repeat(rng.normal(size=(40, 6)) * 20, 20, axis=0) + rng.normal(size=(800, 6)) + 1e6
+    frame = matrix_frame(only=x)
+    met, search = [], B._cogrouped
+
+    def counted(df, probes, keys, *rest):
+        rows, asked = (d.groupBy(*keys).count() for d in (df, probes))
+        both = rows.withColumnRenamed("count", "n").join(asked.withColumnRenamed("count", "m"), keys)
+        met.append(sum(r.n * r.m for r in both.collect()))
+        return search(df, probes, keys, *rest)
+
+    monkeypatch.setattr(B, "_cogrouped", counted)
+    rows = B.knn(frame, None, KEYS, k=5).collect()
+    found = {p: [] for p in range(800)}
+    for r in sorted(rows, key=lambda r: r.rank):
+        found[r.probe_id].append(r.neighbor_id)
+    assert all(found[p] == brute(x, p, 5) for p in range(800))
+    assert len(met) == 2 and sum(met) < 800 * 800 / 4
+
+
+def test_rows_without_a_finite_vector_are_no_neighbours(spark):
+    rows = [("a", i, [float(i), v]) for i, v in enumerate([0.0, float("nan"), 1.0, float("inf"), 2.0])]
+    rows += [("a", 9, None), ("b", 1, [1.0, 1.0])]
+    frame = spark.createDataFrame(rows, "arm string, row_id long, embedding array<double>")
+    found = B.knn(frame, None, KEYS, k=3).collect()
+    assert sorted((r.arm, r.probe_id, r.neighbor_id) for r in found) == [
+        ("a", p, n) for p in (0, 2, 4) for n in (0, 2, 4) if p != n
+    ]
+
+
 def test_curvature(arms, matrix_frame):
     frame = matrix_frame(**arms)
     found = {r.arm: r.curvature for r in B.curvature(frame, KEYS, None).collect()}
