@@ -184,7 +184,7 @@ def _placed(centres: Broadcast, keep: str):
 
 
 def kmeans(
-    df: DataFrame, keep: str, k: int, steps: int, seed: int = 0, row: str = "vec_id"
+    df: DataFrame, keep: str, k: int, steps: int, seed: int = 0, row: str = "row_id"
 ) -> DataFrame:
     """``(keep, cluster)`` after ``steps`` Lloyd steps. The first centres are the vectors of the first
     ``k`` rows by a seeded hash of the row id; a centre without rows stays where it is.
@@ -216,7 +216,7 @@ def kmeans(
 
 
 def clustering(
-    df: DataFrame, k: int | None = None, seed: int = 0, steps: int = 10, row: str = "vec_id"
+    df: DataFrame, k: int | None = None, seed: int = 0, steps: int = 10, row: str = "row_id"
 ) -> DataFrame:
     """V-measure of k-means clusters against the labels; ``k`` defaults to the label count."""
     if k is None:

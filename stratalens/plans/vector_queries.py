@@ -596,7 +596,7 @@ def _clustered_sql(steps: int = 10, seed: int = 7) -> str:
 
 @query("score_vmeasure", _clustered_sql())
 def score_vmeasure(spark, folder):
-    found = E.clustering(V.table(spark, folder, "embeddings"), seed=7)
+    found = E.clustering(V.table(spark, folder, "embeddings"), seed=7, row="vec_id")
     return rounded(found, "homogeneity", "completeness", "main_score")
 
 

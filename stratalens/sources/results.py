@@ -15,7 +15,7 @@ from ..functions import revisions as R
 from ..functions import scores as S
 from ..operators.score_search import search_scores
 from ..schemas import MARKER
-from ..session import durable
+from ..session import written
 
 UNIT = ["model_family", "model_size", "revision", "layer", "task"]
 
@@ -118,10 +118,11 @@ def collect_results(
     place are kept, to be searched. ``done`` holds the markers if they were scanned on their own.
     """
     odd = (F.col("place") == "legacy") & F.col("structured").isNull()
-    read = durable(
+    read = written(
         located(documents)
         .withColumn("structured", S.main_score(F.col("content")))
-        .select("path", "unit_dir", "stem", "place", "structured", F.when(odd, F.col("content")).alias("content"))
+        .select("path", "unit_dir", "stem", "place", "structured", F.when(odd, F.col("content")).alias("content")),
+        "result-scores",
     )
     found = search_scores(read.where("content IS NOT NULL"), "path")
     scored = read.join(found, "path", "left").select(

@@ -80,6 +80,27 @@ def blobs(spark, rng):
     return spark.createDataFrame(rows, "row_id long, embedding array<float>, label int").repartition(4)
 
 
+def test_kmeans_is_lloyd_from_the_first_rows_by_hash(spark, rng):
+    """Step by step against numpy; a centre that no row is nearest to stays."""
+    import hashlib
+
+    x = rng.normal(size=(90, 4)).round(1)
+    x[:30] = x[0]
+    rows = [(i, v.tolist(), i) for i, v in enumerate(x)]
+    rows += [(90, None, 90), (91, [float("nan")] * 4, 91)]
+    frame = spark.createDataFrame(rows, "row_id long, embedding array<double>, label int").repartition(4)
+    for steps in (0, 1, 6):
+        order = sorted(range(90), key=lambda i: hashlib.md5(f"3:{i}".encode()).hexdigest())
+        centres = x[order[:12]].copy()
+        for step in range(steps + 1):
+            place = ((x[:, None, :] - centres) ** 2).sum(axis=2).argmin(axis=1)
+            if step < steps:
+                for c in set(place.tolist()):
+                    centres[c] = x[place == c].mean(axis=0)
+        found = E.kmeans(frame, "label", 12, steps, seed=3).collect()
+        assert {r.label: r.cluster for r in found} == dict(enumerate(place.tolist()))
+
+
 def test_clustering_finds_separate_blobs(blobs):
     assert E.clustering(blobs, seed=3).first().main_score > 0.8
 
