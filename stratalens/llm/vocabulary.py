@@ -10,9 +10,12 @@ from __future__ import annotations
 import os
 import unicodedata
 from collections.abc import Callable, Iterable
-from itertools import repeat
+from itertools import chain, compress, repeat
+from operator import itemgetter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from .common import spans, worker_state
 
@@ -22,12 +25,17 @@ REMEMBERED = 600_000
 JOINED = 4_000
 
 
+#: Takes chunks to the ids of all of them, and where each one's ids begin and how many they are.
+Encoder = Callable[[list[str]], tuple[np.ndarray, np.ndarray, np.ndarray]]
+
+
 class ChunkTable:
     """Ids of chunks under some encoders. ``index`` numbers the chunks; under encoder e, chunk k
     has ``flat[e][starts[e][k] : starts[e][k] + sizes[e][k]]``."""
 
-    def __init__(self, encoders: list[Callable[[list[str]], list]]):
-        self.encoders = encoders
+    def __init__(self, encoders: list[Encoder], folds: bool = False):
+        """``folds``: the first encoder lower-cases, and takes marks behind a letter on their own."""
+        self.encoders, self.folds = encoders, folds
         self.clear()
 
     def clear(self) -> None:
@@ -55,20 +63,11 @@ class ChunkTable:
         first = len(self.index)
         self.index.update(zip(new, range(first, first + len(new))))
         for e, encode in enumerate(self.encoders):
-            ids = encode(new)
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-            total = int(sizes.sum())
+            ids, starts, sizes = encode(new)
             used = self.used[e]
-            if used + total > len(self.flat[e]):
-                more = np.zeros(max(2 * len(self.flat[e]), used + total), np.uint32)
-                more[:used] = self.flat[e][:used]
-                self.flat[e] = more
-            if total:
-                self.flat[e][used : used + total] = np.concatenate(
-                    [np.asarray(x, np.uint32) for x in ids if len(x)]
-                )
-            self.used[e] = used + total
-            self.starts[e] = _grown(self.starts[e], first, used + np.cumsum(sizes) - sizes)
+            self.flat[e] = _grown(self.flat[e], used, ids)
+            self.used[e] = used + len(ids)
+            self.starts[e] = _grown(self.starts[e], first, used + starts)
             self.sizes[e] = _grown(self.sizes[e], first, sizes)
 
     def ids(self, numbers: np.ndarray, encoder: int = 0) -> tuple[np.ndarray, np.ndarray]:
@@ -88,14 +87,14 @@ def _grown(array: np.ndarray, used: int, more: np.ndarray) -> np.ndarray:
 
 def _plain(word: str) -> bool:
     """Offsets into the text are sure to fall on this word."""
+    if word.isascii():
+        return "<|" not in word
     if "<|" in word:
         return False
-    if word.isascii():
-        return True
     return unicodedata.is_normalized("NFC", word) and len(word.lower()) == len(word)
 
 
-def word_encoder(path: str) -> Callable[[list[str]], list]:
+def word_encoder(path: str) -> Encoder:
     """Ids of chunks by a ``tokenizers`` file, without special tokens added.
 
     Chunks are joined by spaces, as one call for each costs twice the time; the tokens' offsets
@@ -106,44 +105,48 @@ def word_encoder(path: str) -> Callable[[list[str]], list]:
 
     tokenizer = Tokenizer.from_file(path)
 
-    def encode(chunks: list[str]) -> list:
-        out: list = [()] * len(chunks)
-        joined, alone, size = [[]], [], 0
-        for i, chunk in enumerate(chunks):
-            if not chunk:
-                continue
-            if not _plain(chunk):
-                alone.append(i)
-                continue
-            if size > JOINED:
-                joined.append([])
-                size = 0
-            joined[-1].append(i)
-            size += len(chunk) + 1
-        texts = [" ".join(chunks[i] for i in part) for part in joined]
-        for part, got in zip(joined, tokenizer.encode_batch(texts, add_special_tokens=False)):
-            if not part:
-                continue
-            sizes = np.fromiter((len(chunks[i]) + 1 for i in part), np.int64, len(part))
-            ids = np.array(got.ids, np.uint32)
-            at = np.fromiter((o[0] for o in got.offsets), np.int64, len(ids))
-            cuts = np.searchsorted(at, np.cumsum(sizes)[:-1])
-            for i, own in zip(part, np.split(ids, cuts)):
-                out[i] = own
-        got = tokenizer.encode_batch([chunks[i] for i in alone], add_special_tokens=False)
-        for i, own in zip(alone, got):
-            out[i] = own.ids
-        return out
+    def encode(chunks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        joins = np.fromiter(map(_plain, chunks), bool, len(chunks))
+        together = list(compress(chunks, joins))
+        alone = list(compress(chunks, ~joins))
+        ends = np.cumsum(np.fromiter(map(len, together), np.int64, len(together)) + 1)
+        cuts = np.searchsorted(ends, np.arange(JOINED, ends[-1] if len(ends) else 0, JOINED))
+        edges = np.unique(np.concatenate(([0], cuts, [len(together)]))).tolist()
+        texts = [" ".join(together[i:j]) for i, j in zip(edges, edges[1:])]
+        flat, counts = [], []
+        for got, i, j in zip(tokenizer.encode_batch(texts, add_special_tokens=False), edges, edges[1:]):
+            ids = got.ids
+            flat.append(np.array(ids, np.uint32))
+            at = np.fromiter(map(itemgetter(0), got.offsets), np.int64, len(ids))
+            before = ends[i - 1] if i else 0
+            upto = np.searchsorted(at, ends[i:j] - before)
+            counts.append(np.diff(upto, prepend=0))
+        for got in tokenizer.encode_batch(alone, add_special_tokens=False):
+            flat.append(np.array(got.ids, np.uint32))
+            counts.append(np.array([len(got.ids)]))
+        sizes, starts = np.zeros(len(chunks), np.int64), np.zeros(len(chunks), np.int64)
+        found = np.concatenate([*counts, np.zeros(0, np.int64)])
+        order = np.concatenate((np.flatnonzero(joins), np.flatnonzero(~joins)))
+        sizes[order] = found
+        starts[order] = np.cumsum(found) - found
+        return np.concatenate([*flat, np.zeros(0, np.uint32)]), starts, sizes
 
     return encode
 
 
-def piece_encoder(path: str) -> Callable[[list[str]], list]:
+def piece_encoder(path: str) -> Encoder:
     """Ids of chunks by a ``sentencepiece`` model."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
-    return lambda chunks: model.encode(chunks, num_threads=1)
+
+    def encode(chunks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        found = model.encode(chunks, num_threads=1)
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        ids = np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum()))
+        return ids, np.cumsum(sizes) - sizes, sizes
+
+    return encode
 
 
 def chunk_table(*files: str) -> ChunkTable:
@@ -151,13 +154,16 @@ def chunk_table(*files: str) -> ChunkTable:
 
     def make() -> ChunkTable:
         kinds = {True: piece_encoder, False: word_encoder}
-        return ChunkTable([kinds[f.endswith(".model")](f) for f in files])
+        encoders = [kinds[f.endswith(".model")](f) for f in files]
+        return ChunkTable(encoders, not files[0].endswith(".model"))
 
     return worker_state("chunks " + " ".join(files), make)
 
 
-#: Longest stretch of a text that is split into chunks at once.
+#: Longest stretch of a text that is split into chunks at once, and the characters of stretches
+#: that are numbered together.
 STRETCH = 1_000_000
+TOGETHER = 4_000_000
 
 
 def stretches(text: str) -> Iterable[str]:
@@ -172,31 +178,41 @@ def stretches(text: str) -> Iterable[str]:
     yield text[at:] if at else text
 
 
+#: A full stop or comma between a letter and a space is a word of its own.
+_MARKED = r"([a-z])([.,])( |$)"
+
+
 def encode_texts(table: ChunkTable, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all texts in order and the count of each, by the table's first encoder."""
-    chunks: list[str] = []
-    flat, per_text, held, size = [], np.zeros(len(texts), np.int64), [], 0
+    """Ids of all texts in order and the count of each, by the table's first encoder.
+
+    Chunks are cut and numbered by Arrow: Python sees each distinct one of some texts once.
+    """
+    flat, per_text, parts, owners, size = [], np.zeros(len(texts), np.int64), [], [], 0
 
     def flush() -> None:
-        nonlocal chunks, held, size
-        if chunks:
+        nonlocal parts, owners, size
+        if parts:
             table.trim()
-            ids, sizes = table.ids(table.numbers(chunks))
+            spaced = pc.replace_substring(pa.array(parts, pa.large_string()), "\n", " ")
+            if table.folds and not pc.any(pc.match_substring(spaced, "<|")).as_py():
+                # fewer distinct chunks: a special token's text alone is not the same in lower case
+                spaced = pc.replace_substring_regex(pc.ascii_lower(spaced), _MARKED, r"\1 \2 ")
+            cut = pc.split_pattern(spaced, " ")
+            chunks = cut.flatten().dictionary_encode()
+            known = table.numbers(chunks.dictionary.to_pylist())
+            ids, sizes = table.ids(known[chunks.indices.to_numpy()])
             flat.append(ids)
             total = np.concatenate(([0], np.cumsum(sizes)))
-            first = 0
-            for i, n in held:
-                per_text[i] += total[first + n] - total[first]
-                first += n
-        chunks, held, size = [], [], 0
+            ends = np.cumsum(pc.list_value_length(cut).to_numpy())
+            np.add.at(per_text, owners, np.diff(total[np.concatenate(([0], ends))]))
+        parts, owners, size = [], [], 0
 
     for i, text in enumerate(texts):
         for part in stretches(text):
-            found = part.replace("\n", " ").split(" ")
-            chunks += found
-            held.append((i, len(found)))
+            parts.append(part)
+            owners.append(i)
             size += len(part)
-            if size > STRETCH:
+            if size > TOGETHER:
                 flush()
     flush()
     return (np.concatenate(flat) if flat else np.zeros(0, np.uint32)), per_text

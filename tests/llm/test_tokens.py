@@ -39,6 +39,16 @@ def test_ids_by_chunks_are_those_of_the_text(tokenizer, word_file, text):
     assert counts.tolist() == [len(expected), 0, len(expected)]
 
 
+@pytest.mark.parametrize(
+    "text",
+    ["Ab, c. D.", "a., b", "x.. y", "it's, I'M. 'S.", "é, É. e\u0301, E\u0301.", "1, 2. 3.5, a.b c,d", "A.\nB,\nC.",
+     "ΑΣ, Σ. İ, ẞ. K.", "<|EndOfText|>, A. b", "<|endoftext|>. A, b", ",. a", "a ,. b", "A,", "a\t, b. \x0b", "Z. "],
+)
+def test_marks_and_capitals(tokenizer, word_file, text):
+    ids, _ = vocabulary.encode_texts(vocabulary.chunk_table(word_file), [text, text])
+    assert ids.tolist() == tokenizer.encode(text, add_special_tokens=False).ids * 2
+
+
 def test_forgetting_changes_nothing(tokenizer, word_file, monkeypatch):
     monkeypatch.setattr(vocabulary, "REMEMBERED", 3)
     monkeypatch.setattr(vocabulary, "STRETCH", 20)
