@@ -34,6 +34,18 @@ def baseline_scores(spark, folder):
     return rounded(_baseline(V.scores(spark, folder, once=True)), "baseline")
 
 
+_SOME = V.TASKS[::3]
+
+
+@query("baseline_of_some", with_views(f"""SELECT task, layer, {r('avg(main_score)')} AS baseline FROM scores
+  WHERE revision = 'step137000' AND layer IN (0, 5, 23) AND task IN ({", ".join(f"'{t}'" for t in _SOME)})
+  GROUP BY task, layer""", "scores"))
+def baseline_of_some(spark, folder):
+    """Another checkpoint's, for the layers and tasks that are given."""
+    scores = V.scores(spark, folder, once=True)
+    return rounded(W.baseline_scores(scores, "step137000", layers=[0, 5, 23], tasks=_SOME), "baseline")
+
+
 def _register_zscore(method: str) -> None:
     name = "zscore_reward" if method == "mean" else f"zscore_reward_{method}"
     sql = f""", {_BASE} SELECT revision, layer, task, main_score, {r(f'''CASE WHEN {method} IS NULL THEN 0.0

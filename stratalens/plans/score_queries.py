@@ -312,6 +312,21 @@ def compare_reference(spark, folder):
     return rounded(S.compare_reference(*_sides(spark, folder)), "diff", "pct_diff")
 
 
+@query("compare_reference_full", with_views(f"""
+  SELECT coalesce(o.task, p.task) AS task, coalesce(o.layer, p.layer) AS layer, o.main_score AS ours,
+    p.main_score AS reference, {r("o.main_score - p.main_score")} AS diff,
+    {r("CASE WHEN p.main_score = 0 THEN 'inf'::DOUBLE ELSE (o.main_score / p.main_score - 1) * 100 END")} AS pct_diff
+  FROM (SELECT * FROM scores WHERE revision = 'main') o
+  FULL JOIN (SELECT * FROM holey WHERE revision = 'step137000') p ON o.task = p.task AND o.layer = p.layer""",
+  "scores", "holey"))
+def compare_reference_full(spark, folder):
+    """Against a grid with holes, rows that only one side has kept."""
+    ours, _ = _sides(spark, folder)
+    rows = V.holey(spark, folder).where("revision = 'step137000'")
+    reference = rows.select("task", "layer", F.col("main_score").alias("reference"))
+    return rounded(S.compare_reference(ours, reference, how="full"), "diff", "pct_diff")
+
+
 @query("compare_summary", with_views(f"""{_DIFF}
   SELECT count(*) AS n, {r("avg(abs(diff))")} AS mean_abs_diff,
     {r("avg(abs(pct))")} AS mean_abs_pct_diff, count(*) FILTER (diff < 0) AS n_below,

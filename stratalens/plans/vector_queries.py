@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..functions import vectors as X
 from ..operators import corpus as C
 from ..operators import encode as N
@@ -113,6 +114,14 @@ def embed_corpus(spark, folder):
     )
 
 
+@query("pair_texts", f"""SELECT doc_id, {_SQL_STRIP.format("concat(lang, ' ', text)")} AS text FROM documents
+  WHERE lang IS NOT NULL AND text IS NOT NULL""")
+def pair_texts(spark, folder):
+    pair = T.pair_text(F.col("lang"), F.col("text"))
+    rows = V.table(spark, folder, "documents").select("doc_id", pair.alias("text"))
+    return rows.where("text IS NOT NULL")
+
+
 # ---- vectors --------------------------------------------------------------------------------
 
 _STATES = """states AS (SELECT vec_id AS row_id, list_transform(range(0, 8), lambda p:
@@ -147,6 +156,15 @@ def pool_mean(spark, folder):
     return _entries(_states(spark, folder).withColumn("pooled", pooled), "pooled", "row_id")
 
 
+@query("hidden_states", f"""WITH {_STATES} SELECT row_id, cast(unnest(range(0, 8)) AS int) AS dim,
+  {r("unnest(hidden[row_id % 7 + 2])")} AS value FROM states""")
+def hidden_states(spark, folder):
+    """The states of a layer that differs from row to row."""
+    layer = (F.col("row_id") % 7).cast("int")
+    states = X.hidden_state(F.col("hidden"), layer)
+    return _entries(_states(spark, folder).withColumn("state", states), "state", "row_id")
+
+
 @query("pool_cls", f"""WITH {_STATES} SELECT row_id, cast(unnest(range(0, 8)) AS int) AS dim,
   {r("unnest(hidden[1])")} AS value FROM states""")
 def pool_cls(spark, folder):

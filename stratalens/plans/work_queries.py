@@ -82,6 +82,12 @@ def work_grid(spark, folder):
     return _grid(spark, folder)
 
 
+@query("work_grid_of_size", f"SELECT * FROM ({_GRID_SQL}) WHERE model_size = '410m'")
+def work_grid_of_size(spark, folder):
+    revisions = V.cells(spark, folder).select("revision").distinct()
+    return G.work_grid(revisions, tasks=G.TASKS, only_size="410m")
+
+
 @query("resume_pending", with_views(
     f", grid AS ({_GRID_SQL}) SELECT * FROM grid EXCEPT {_DONE_SQL}", "cells"))
 def resume_pending(spark, folder):
