@@ -6,7 +6,9 @@ many tokens as a notice has, for each notice's length. So a header is found that
 longer text. Weights are ``(1 + ln tf) * idf``; the inverse document frequencies of the
 templates' tokens are counted over all lines of the corpus, any other token weighs as one never seen. Only
 units that hold a rare enough token are compared: for each template the tokens are taken from the rarest
-on until what is left could not reach the threshold alone, so no unit that could match is missed.
+on until what is left could not reach the threshold alone, so no unit that could match is missed. Cosines
+are summed within the row, by array functions over the sorted tokens: no term is exploded or
+shuffled, and a cued line costs the same number of bounded blocks wherever and how often it stands.
 
 A document takes the licence of its best line; a licence file is a document whose whole text
 matches. Other documents take that of the nearest directory above them that holds a licence file: their
@@ -14,24 +16,29 @@ paths are exploded into all ancestors and joined with the files' directories.
 
 Only DataFrame functions are used. Null and empty texts match nothing and may inherit. Documents
 without a path inherit nothing. Equal cosines go to the first template by name, then the first line;
-of several files in a directory the best one counts. Repeated rows are rows of their own with equal
-results; rows that share an id but not the text are told apart by a hash. An empty table gives no rows.
+of several files in a directory the best one counts. Repeated rows, and rows that share an id, are rows of
+their own. A very long text is read in one task, in time that grows with its length. An empty table gives no rows.
 Other columns are read only by the given path.
 """
 
 from __future__ import annotations
 
+import json
 import math
 import re
+import zlib
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.let import let
 from .common import spread, stored
 
 LINE_COSINE = 0.6
 FILE_COSINE = 0.6
 WORD = r"[^a-z0-9.]+"
+#: Places in the table of the templates' tokens.
+PLACES = 1024
 
 #: One line for each licence. Fixed values.
 TEMPLATES = {
@@ -166,63 +173,118 @@ def signature(vectors: dict[str, dict[str, float]], threshold: float) -> list[st
 def _idf(lines: DataFrame, vocabulary: list[str]) -> dict[str, float]:
     """Of the templates' tokens, by the number of lines that hold them; "" for any other token."""
     known = F.array(*[F.lit(t) for t in vocabulary])
-    held = lines.select(F.explode(F.array_intersect("tokens", known)).alias("token"))
-    counts = {r["token"]: r["count"] for r in held.groupBy("token").count().collect()}
-    n = lines.count()
+    # the empty token, which no line holds, counts the lines in the same pass
+    held = F.concat(F.array_intersect("tokens", known), F.array(F.lit("")))
+    counts = lines.select(F.explode(held).alias("token")).groupBy("token").count()
+    counts = {r["token"]: r["count"] for r in counts.collect()}
+    n = counts.pop("", 0)
     idf = lambda df: math.log((n + 1) / (df + 1)) + 1
     return {t: idf(counts.get(t, 0)) for t in vocabulary} | {"": idf(0)}
 
 
-def _best(units: DataFrame, idf: dict, vectors: dict, threshold: float) -> DataFrame:
-    """``doc_id, _h, unit, license, cosine``: the best template of each unit within the threshold.
-    ``units``: ``doc_id, _h, unit, tokens``."""
-    spark = units.sparkSession
-    known = [(t, w) for t, w in idf.items() if t]
-    entries = [(t, name, w) for name, v in vectors.items() for t, w in sorted(v.items())]
-    # as many rows as the templates have tokens
-    known = F.broadcast(spark.createDataFrame(known, "token string, idf double"))
-    entries = F.broadcast(spark.createDataFrame(entries, "token string, license string, entry double"))
-    key = ["doc_id", "_h", "unit"]
-    terms = units.select(*key, F.explode("tokens").alias("token")).groupBy(*key, "token").count()
-    terms = terms.join(known, "token", "left").withColumn(
-        "w", (1 + F.log("count")) * F.coalesce("idf", F.lit(idf[""]))
-    )
-    terms = stored(terms.select(*key, "token", "w"), "license-terms")
-    norms = terms.groupBy(*key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    dots = terms.join(entries, "token").groupBy(*key, "license")
-    dots = dots.agg(F.sum(F.col("w") * F.col("entry")).alias("dot"))
-    same = (
-        F.col("l.doc_id").eqNullSafe(F.col("r.doc_id"))
-        & (F.col("l._h") == F.col("r._h"))
-        & (F.col("l.unit") == F.col("r.unit"))
-    )
-    cosine = F.round(F.col("dot") / F.col("norm"), 6).alias("cosine")
-    rows = dots.alias("l").join(norms.alias("r"), same)
-    rows = rows.select("l.doc_id", "l._h", "l.unit", "license", cosine).where(F.col("cosine") >= threshold)
-    best = F.min_by(F.struct("license", "cosine"), F.struct(-F.col("cosine"), "license"))
-    best = rows.groupBy(*key).agg(best.alias("b"))
-    # a vector's name is that of its licence and a number
-    return best.select(*key, F.substring_index("b.license", "#", 1).alias("license"), "b.cosine")
-
-
-def _blocks(cued: DataFrame, cue: str, lengths: list[int]) -> DataFrame:
-    """``doc_id, _h, unit, tokens``: the first tokens from each line with a cue on, as many as each of
-    ``lengths``. A unit is the line and the length's number."""
-    lines = F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("at"), _tokens(x).alias("t"), x.rlike(cue).alias("cued")))
+def _place(token: Column) -> Column:
+    return (F.crc32(token) % PLACES).cast("int")
+
+
+def _entries(idf: dict[str, float], vectors: dict[str, dict[str, float]]) -> Column:
+    """A constant: at the place of each token of the templates its ``idf`` and its entry in every template.
+    Its size is that of the templates."""
+    table: list[list[dict]] = [[] for _ in range(PLACES)]
+    for t, w in idf.items():
+        if t:
+            row = {"t": t, "idf": w, "e": [v.get(t, 0.0) for v in vectors.values()]}
+            table[zlib.crc32(t.encode()) % PLACES].append(row)
+    kind = "at array<array<struct<t: string, idf: double, e: array<double>>>>"
+    return F.from_json(F.lit(json.dumps({"at": table})), kind)["at"]
+
+
+class _Cosines:
+    """Cosines of arrays of tokens to all templates, within the row: time is that of sorting the tokens."""
+
+    def __init__(self, idf: dict[str, float], vectors: dict[str, dict[str, float]]):
+        self.entries = _entries(idf, vectors)
+        self.unseen = F.lit(idf[""])
+        self.names = F.array(*[F.lit(n) for n in vectors])
+        self.zeros = F.array_repeat(F.lit(0.0), len(vectors))
+
+    def _entry(self, token: Column) -> Column:
+        return F.get(F.filter(F.get(self.entries, _place(token)), lambda e: e["t"] == token), F.lit(0))
+
+    def reaches(self, tokens: Column, threshold: float) -> Column:
+        """False if no part of ``tokens`` can be within the threshold of a template: the entries of the
+        tokens held bound the cosine, whatever the weights."""
+        found = F.filter(F.transform(F.array_distinct(tokens), self._entry), lambda e: e.isNotNull())
+        mass = F.aggregate(found, self.zeros, lambda a, e: F.zip_with(a, e["e"], lambda m, x: m + x * x))
+        return F.exists(mass, lambda m: m >= (threshold - 1e-6) ** 2)
+
+    def best(self, tokens: Column, threshold: float) -> Column:
+        """``less`` (the negated cosine) and ``name`` of the nearest template within the threshold, or null."""
+
+        def runs(ordered: Column) -> Column:
+            new = lambda i: (i == 0) | (F.get(ordered, i) != F.get(ordered, i - 1))
+            starts = F.filter(F.transform(ordered, lambda x, i: i), new)
+            return let(starts, lambda s: F.transform(s, lambda at, j: weighed(ordered, s, at, j)))
+
+        def weighed(ordered: Column, starts: Column, at: Column, j: Column) -> Column:
+            tf = F.coalesce(F.get(starts, j + 1), F.size(ordered)) - at
+            entry = self._entry(F.get(ordered, at))
+            w = lambda e: (1 + F.log(tf)) * F.coalesce(e["idf"], self.unseen)
+            return let(entry, lambda e: F.struct(w(e).alias("w"), e["e"].alias("e")))
+
+        def nearest(cells: Column) -> Column:
+            square = F.aggregate(cells, F.lit(0.0), lambda a, c: a + c["w"] * c["w"])
+            held = F.filter(cells, lambda c: c["e"].isNotNull())
+            add = lambda a, c: F.zip_with(a, c["e"], lambda d, x: d + c["w"] * x)
+            dots = F.aggregate(held, self.zeros, add)
+            return let(F.sqrt(square), lambda norm: F.array_min(F.filter(
+                F.zip_with(dots, self.names, lambda d, n: F.struct((-F.round(d / norm, 6)).alias("less"), n.alias("name"))),
+                lambda x: x["less"] <= -threshold,
+            )))
+
+        return let(F.array_sort(tokens), lambda ordered: let(runs(ordered), nearest))
+
+
+def _unit(best: Column, at: Column, kind: str) -> Column:
+    """In the order of preference: cosine, name, line, and of equals the line before the block. A vector's name is
+    that of its licence and a number."""
+    license = F.substring_index(best["name"], "#", 1)
+    block = F.lit(kind != "line")
+    unit = F.struct(best["less"].alias("less"), license.alias("license"), at.alias("unit"), block.alias("block"))
+    return F.when(best.isNotNull(), unit)
+
+
+def _matches(text: Column, cue: str, cosines: _Cosines, lengths: list[int], line_cosine: float, file_cosine: float) -> Column:
+    """``own`` (the best line or block) and ``file`` (the whole text's template) of a text."""
+    least = min(line_cosine, file_cosine)
+    lines = F.transform(F.split(text, "\n"), lambda x, i: F.struct(
+        i.alias("at"), _tokens(x).alias("t"), F.lower(x).rlike(cue).alias("cued")))
     lines = F.filter(lines, lambda x: F.size(x["t"]) > 0)
-    rows = cued.select("doc_id", "_h", lines.alias("lines"))
-    starts = F.filter(
-        F.transform("lines", lambda x, i: F.struct(x["at"].alias("at"), i.alias("nth"), x["cued"].alias("cued"))),
-        lambda x: x["cued"],
-    )
-    rows = rows.select("doc_id", "_h", F.explode(starts).alias("s"), F.transform("lines", lambda x: x["t"]).alias("lines"))
-    # a line has one token at least
-    rest = F.flatten(F.slice("lines", F.col("s.nth") + 1, max(lengths)))
-    rows = rows.select("doc_id", "_h", F.col("s.at").alias("at"), rest.alias("rest"))
-    cuts = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(n).alias("n")) for k, n in enumerate(lengths)])
-    rows = rows.select("doc_id", "_h", "at", "rest", F.explode(cuts).alias("c"))
-    unit = F.col("at") * len(lengths) + F.col("c.k")
-    return rows.select("doc_id", "_h", unit.alias("unit"), F.slice("rest", 1, F.col("c.n")).alias("tokens"))
+
+    def blocks(rest: Column, at: Column) -> Column:
+        cuts = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(m).alias("m")) for m, n in zip([0, *lengths], lengths)])
+        # a length beyond the text's end gives the block of the length before
+        cuts = F.filter(cuts, lambda c: c["m"] < F.size(rest))
+        one = lambda c: _unit(cosines.best(F.slice(rest, F.lit(1), c["n"]), line_cosine), at, "block")
+        return F.when(cosines.reaches(rest, line_cosine), F.array_min(F.transform(cuts, one)))
+
+    def found(lines: Column, parts: Column) -> Column:
+        starts = F.transform(lines, lambda x, i: F.struct(x["at"].alias("at"), i.alias("nth"), x["cued"].alias("cued")))
+        starts = F.filter(starts, lambda x: x["cued"])
+        own = F.transform(starts, lambda s: _unit(cosines.best(F.get(parts, s["nth"]), line_cosine), s["at"], "line"))
+        if lengths:
+            # a line has one token at least
+            rest = lambda s: F.flatten(F.slice(parts, s["nth"] + 1, F.lit(max(lengths))))
+            more = F.transform(starts, lambda s: let(rest(s), lambda r: blocks(r, s["at"])))
+            own = F.concat(own, more)
+        whole = cosines.best(F.flatten(parts), file_cosine)
+        return F.struct(F.array_min(own).alias("own"), let(whole, lambda b: _unit(b, F.lit(-1), "line")).alias("file"))
+
+    def looked(lines: Column) -> Column:
+        parts = F.transform(lines, lambda x: x["t"])
+        return let(parts, lambda p: F.when(cosines.reaches(F.flatten(p), least), found(lines, p)))
+
+    # a text without a cue has no line with one
+    return F.when(F.lower(text).rlike(cue), let(lines, looked))
 
 
 def licenses(
@@ -236,53 +298,21 @@ def licenses(
     """``doc_id, license, origin`` (line, block, file, inherited or null)``, cosine, line`` (of a line's match)
     ``, directory`` (that a licence is inherited from), a row for each document. ``path`` has ``/``."""
     rows = spread(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), path.alias("path"))
-    rows = rows.withColumn("_h", F.xxhash64("text"))
-    text = rows.select("doc_id", "_h", "text")
-    lines = text.select("doc_id", "_h", F.posexplode(F.split("text", "\n")).alias("unit", "line"))
-    lines = lines.withColumn("tokens", _tokens(F.col("line")))
+    lines = rows.select(F.explode(F.split("text", "\n")).alias("line"))
     templates = templates | {f"{n}#{i}": x for n, some in notices.items() for i, x in enumerate(some)}
     vocabulary = sorted({t for x in templates.values() for t in tokens(x)})
-    idf = _idf(lines, vocabulary)
+    idf = _idf(lines.select(_tokens(F.col("line")).alias("tokens")), vocabulary)
     vectors = template_weights(idf, templates)
-
-    cue = rf"(?i)\b({'|'.join(re.escape(t) for t in signature(vectors, min(line_cosine, file_cosine)))})\b"
-    # a text without a cue has no line with one
-    cued = text.where(F.col("text").rlike(cue)).dropDuplicates(["doc_id", "_h"])
-    cued = stored(cued, "license-cues")
-    lines = cued.select("doc_id", "_h", F.posexplode(F.split("text", "\n")).alias("unit", "line"))
-    lines = lines.where(F.col("line").rlike(cue)).withColumn("tokens", _tokens(F.col("line")))
-    own = _best(lines.drop("line"), idf, vectors, line_cosine)
-    own = own.withColumn("kind", F.lit("line"))
+    cue = rf"\b({'|'.join(re.escape(t) for t in signature(vectors, min(line_cosine, file_cosine)))})\b"
     lengths = sorted({len(tokens(x)) for some in notices.values() for x in some})
-    if lengths:
-        blocks = _best(_blocks(cued, cue, lengths), idf, vectors, line_cosine)
-        line = F.floor(F.col("unit") / len(lengths)).cast("int")
-        own = own.unionByName(blocks.withColumn("unit", line).withColumn("kind", F.lit("block")))
-    # of equals the line
-    order = F.struct(-F.col("cosine"), "license", "unit", F.col("kind") != "line")
-    first = F.min_by(F.struct("license", "cosine", "unit", "kind"), order)
-    own = own.groupBy("doc_id", "_h").agg(first.alias("own"))
-    whole = cued.select("doc_id", "_h", F.lit(-1).alias("unit"), _tokens(F.col("text")).alias("tokens"))
-    whole = _best(whole, idf, vectors, file_cosine)
-    whole = whole.select("doc_id", "_h", F.struct("license", "cosine").alias("file"))
-    found = own.alias("l").join(
-        whole.alias("r"),
-        F.col("l.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("l._h") == F.col("r._h")),
-        "full",
-    )
-    found = found.select(
-        F.coalesce("l.doc_id", "r.doc_id").alias("d"), F.coalesce("l._h", "r._h").alias("h"), "own", "file"
-    )
-    found = stored(found, "license-matches")
-    narrow = rows.select("doc_id", "_h", "path").join(
-        found, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("_h") == F.col("h")), "left"
-    ).drop("d", "h")
-    narrow = stored(narrow, "license-documents")
+    match = _matches(F.col("text"), cue, _Cosines(idf, vectors), lengths, line_cosine, file_cosine)
+    found = stored(rows.select("doc_id", "path", match.alias("m")), "license-documents")
+    narrow = found.select("doc_id", "path", "m.own", "m.file")
 
     parent = F.regexp_replace("path", "/[^/]*$", "")
     files = narrow.where("file IS NOT NULL AND path IS NOT NULL").where(F.instr("path", "/") > 0)
     files = files.groupBy(parent.alias("directory")).agg(
-        F.min_by("file.license", F.struct(-F.col("file.cosine"), "file.license")).alias("from_license")
+        F.min_by("file.license", F.struct("file.less", "file.license")).alias("from_license")
     )
     files = stored(files, "license-directories")
     parts = F.split("path", "/")
@@ -304,10 +334,10 @@ def licenses(
         "doc_id",
         F.coalesce("file.license", "own.license", near("from_license")).alias("license"),
         F.when(F.col("file").isNotNull(), "file")
-        .when(F.col("own").isNotNull(), F.col("own.kind"))
+        .when(F.col("own").isNotNull(), F.when(F.col("own.block"), "block").otherwise("line"))
         .when(F.col("near").isNotNull() & inherits, "inherited")
         .alias("origin"),
-        F.coalesce("file.cosine", "own.cosine").alias("cosine"),
+        (-F.coalesce("file.less", "own.less")).alias("cosine"),
         F.when(F.col("file").isNull(), F.col("own.unit")).alias("line"),
         near("directory").alias("directory"),
     )

@@ -143,3 +143,23 @@ def test_deep_paths_inherit_from_the_nearest_directory(spark):
     frame = spark.createDataFrame(rows, "doc_id long, text string, path string")
     got = {r["doc_id"]: r for r in license_scan.licenses(frame, F.col("path")).collect()}
     assert (got[3]["license"], got[3]["directory"]) == ("GPL-3.0", deep)
+
+
+def flat(seed, n):
+    return " ".join(prose(seed, n).split())
+
+
+def test_a_line_in_every_document_costs_the_same_anywhere(spark):
+    """The rows of each plan's step stay those of the documents: nothing is written for a term or a block."""
+    rows = [(i, f"{flat(i, 20)}\n{MIT}\n{prose(i + 1, 900)}", f"p/{i}") for i in range(400)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, path string").repartition(3)
+    got = license_scan.licenses(frame, F.col("path"))
+    assert {(r["license"], r["origin"], r["line"]) for r in got.collect()} == {("MIT", "line", 1)}
+    assert "token" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_many_cued_lines_in_one_text(spark):
+    text = "\n".join(MIT if i % 3 == 2 else flat(i, 12) for i in range(3000))
+    frame = spark.createDataFrame([(1, text, "p/1"), (2, "\n" * 5000 + APACHE, "p/2")], "doc_id long, text string, path string")
+    got = {r["doc_id"]: (r["license"], r["origin"], r["line"]) for r in license_scan.licenses(frame, F.col("path")).collect()}
+    assert got == {1: ("MIT", "line", 2), 2: ("Apache-2.0", "file", None)}
