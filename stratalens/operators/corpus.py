@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..constants import CORPUS_COLUMNS, RECORD_KEYS
 from ..functions.text import joined, not_blank
 from ..session import broadcast_if_small
-from .ranking import top_rows
+from .ranking import positions, top_rows
 
 CACHE_COLUMNS = {"task": "string", "pos": "bigint", "text": "string"}
 
@@ -107,11 +107,13 @@ def build_record_corpus(
     return _limited(texts.where(not_blank(F.col("text"))), max_per_task, ["pos", "part"])
 
 
-def in_task_order(corpus: DataFrame, tasks: Sequence[str]) -> DataFrame:
-    """The corpus as one sequence: tasks as listed, then position."""
+def in_task_order(corpus: DataFrame, tasks: Sequence[str], place: str | None = None) -> DataFrame:
+    """The corpus as one sequence: tasks as listed, then position; as ``place`` where each text stands
+    in it, from 1."""
     order = F.array_position(F.lit(list(tasks)), F.col("task"))
-    inner = [c for c in ("pos", "part") if c in corpus.columns]
-    return corpus.where(order > 0).orderBy(order, *inner)
+    inner = [F.col(c) for c in ("pos", "part") if c in corpus.columns]
+    listed = corpus.where(order > 0)
+    return positions(listed, [order, *inner], name=place) if place else listed.orderBy(order, *inner)
 
 
 def load_corpus(spark: SparkSession, path: str) -> DataFrame | None:

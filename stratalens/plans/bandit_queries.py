@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import bandit as B
 from ..operators import rewards as W
 from ..operators import work as K
+from ..session import shared_folder
+from ..streaming.bandit_state import follow_pulls, read_state
 from . import views as V
 from .registry import query, rounded
 from .registry import sql_round as r
@@ -161,6 +165,19 @@ def linucb_state_merged(spark, folder):
     return _state_columns(B.linucb_state(history.where(~early), 4, prior=first))
 
 
+@query("linucb_state_stream", with_views(
+    f", {_STATE} SELECT revision, layer, {_STATE_COLUMNS}, n FROM state", "pulls"))
+def linucb_state_stream(spark, folder):
+    """The state after a log that comes in three batches, the second one twice, each after a restart."""
+    root = f"{shared_folder(spark)}/bandit-{uuid.uuid4().hex}"
+    history = _history(spark, folder)
+    for part in (0, 1, 1, 2):
+        batch = history.where(F.col("user_id") % 3 == part)
+        batch.write.mode("append").parquet(f"{root}/log")
+        follow_pulls(spark, f"{root}/log", history.schema, f"{root}/table", f"{root}/stream", 4).awaitTermination()
+    return _state_columns(read_state(spark, f"{root}/table"))
+
+
 def _solve_sql(alpha: float) -> str:
     """UCB by a Cholesky factor: with L y = b and L z = x the score is y.z + alpha |z|."""
     steps, names = [], ["revision", "layer"]

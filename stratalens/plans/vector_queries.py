@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +16,8 @@ from ..operators import evaluate as E
 from ..operators import matrix_stats as M
 from ..operators import neighbors as B
 from ..operators.sampling import sample_rows
+from ..session import shared_folder
+from ..sources import corpus_cache as H
 from . import views as V
 from .registry import query, rounded
 from .registry import sql_round as r
@@ -65,6 +70,47 @@ def corpus(spark, folder):
     return C.build_corpus(_sources(spark, folder))
 
 
+def _cached(state: str, built: str, where: str = "") -> str:
+    sources = _SOURCES.replace("AS body FROM documents)", f"AS body FROM documents {where})")
+    return (
+        f"SELECT * FROM (WITH {sources} SELECT '{state}' AS state, {built} AS built, task, pos, body AS text "
+        f"FROM chosen WHERE {_NOT_BLANK})"
+    )
+
+
+@query("corpus_cache", " UNION ALL ".join([
+    _cached("new", "true"), _cached("good", "false"), _cached("stale", "true", "WHERE doc_id % 7 <> 0"),
+    _cached("broken", "true")]))
+def corpus_cache(spark, folder):
+    """A cache not made yet, a good one, one of other sources, and one whose rows were written over."""
+    path = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
+    sources = _sources(spark, folder)
+
+    def read(state: str, rows: DataFrame, name: str) -> DataFrame:
+        corpus, built = H.validated_corpus(spark, f"{path}/{name}", rows, C.build_corpus)
+        return corpus.select(F.lit(state).alias("state"), F.lit(built).alias("built"), "task", "pos", "text")
+
+    found = [read("new", sources, "a"), read("good", sources, "a")]
+    found.append(read("stale", sources.where("pos % 7 <> 0"), "a"))
+    read("new", sources, "b")
+    sources.select("task").where("pos % 7 = 0").write.mode("overwrite").parquet(H.rows_folder(spark, f"{path}/b"))
+    found.append(read("broken", sources, "b"))
+    return functools.reduce(DataFrame.unionByName, found)
+
+
+# every seventh first, so that the order is neither that of names nor of numbers
+_TASK_ORDER = [f"src{7 * n % 20}" for n in range(20)]
+
+
+@query("corpus_in_task_order", f"""WITH {_SOURCES} SELECT task, pos, row_number() OVER (ORDER BY
+    list_position({_TASK_ORDER}, task), pos) AS place FROM chosen
+  WHERE {_NOT_BLANK} AND list_contains({_TASK_ORDER}, task)""")
+def corpus_in_task_order(spark, folder):
+    """Where each text stands in the sequence of all tasks' texts."""
+    corpus = C.build_corpus(_sources(spark, folder)).select("task", "pos")
+    return C.in_task_order(corpus, _TASK_ORDER, place="place")
+
+
 @query("corpus_limited", f"""WITH {_SOURCES} SELECT task, pos, body AS text FROM chosen
   WHERE {_NOT_BLANK} QUALIFY row_number() OVER (PARTITION BY task ORDER BY pos) <= 5""")
 def corpus_limited(spark, folder):
