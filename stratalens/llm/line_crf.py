@@ -6,11 +6,12 @@ to the next. A document's quality is the mean of its lines' forward-backward mar
 their lengths, put on a probability scale by a logistic curve.
 
 The field is fitted on the driver by Adam over at most ``TRAIN_DOCS`` labelled documents, those with
-the least hashes of their ids among the rows whose crc32(doc_id) mod 3 is not 1; every line takes its
-document's label. The line measures of that sample are made in tasks, from whole texts. Scoring is one
+the least hashes of their ids among the rows whose crc32(doc_id) mod 3 is not 1. Of rows that share an id
+the different texts count, of all of them the ``TRAIN_DOCS`` with the least hashes of id and text, but for
+those that would take the sample above ``TRAIN_LINES`` lines. Every line takes its document's label. The line measures of that sample are made in tasks, from whole texts. Scoring is one
 pass without a shuffle. Labels, language, source and id are no inputs of a score.
 
-A null or empty text is one empty line. Ties of the sample cannot occur, as ids are distinct there; a
+A null or empty text is one empty line. Ties of hashes go by id; a
 document with several labels counts as good if one says so; null labels are left out. Repeated rows get
 equal scores, a row each. A null id is never held out. Without any label all scores are 0.5. Other columns
 are not read.
@@ -30,6 +31,7 @@ from pyspark.sql import functions as F
 from .common import batch_of, groups_of, spread, texts_of, worker_state
 
 TRAIN_DOCS = 6000
+TRAIN_LINES = 400_000
 STEPS = 120
 RATE = 0.1
 PENALTY = 1e-4
@@ -253,13 +255,29 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Field | None:
-    """A field from at most ``train_docs`` labelled documents that are not held out."""
+def train(
+    docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, train_lines: int = TRAIN_LINES
+) -> Field | None:
+    """A field from at most ``train_docs`` labelled documents that are not held out, with at most
+    ``train_lines`` lines together."""
     known = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").where(~held_out())
     known = known.groupBy(F.col("doc_id").alias("_id")).agg(F.max("quality").alias("_label"))
     sample = known.orderBy(F.xxhash64("_id"), "_id").limit(train_docs)
-    # a bounded number of rows
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("_id"))
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    # a bounded number of ids, any number of rows
+    rows = rows.join(F.broadcast(sample), F.col("doc_id") == F.col("_id")).withColumn("_h", F.xxhash64("text"))
+    lines = F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1
+    texts = rows.groupBy("_id", "_h").agg(F.max(lines).alias("lines"))
+    texts = texts.orderBy(F.xxhash64("_id", "_h"), "_id", "_h").limit(train_docs)
+    chosen, left = [], train_lines
+    for r in texts.collect():
+        if r["lines"] <= left:
+            chosen.append((r["_id"], r["_h"]))
+            left -= r["lines"]
+    if not chosen:
+        return None
+    chosen = docs.sparkSession.createDataFrame(chosen, rows.select("_id", "_h").schema)
+    rows = rows.join(F.broadcast(chosen), ["_id", "_h"]).dropDuplicates(["_id", "_h"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -82,3 +82,19 @@ def test_odd_rows_and_labels(spark, odd, nothing):
 def test_accepted_keeps_columns(odd, spark):
     kept = line_crf.accepted(odd, None)
     assert kept.schema == odd.schema and kept.count() == odd.count()
+
+
+def test_training_rows_are_bounded(spark, monkeypatch):
+    """A labelled id that a third of the rows share, copies of one text, and a text of very many lines."""
+    rows = [(0, f"some text {i}\nand more of it") for i in range(3000)] + [(0, "a copy")] * 1500
+    rows += [(i, f"text {i}") for i in range(1, 3000)] + [(1, "x\n" * 50_000), (1, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(3000)], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(line_crf, "fit", lambda measures, chars, counts, truth: seen.append((counts, truth)))
+    line_crf.train(docs, labels, 500, 800)
+    line_crf.train(docs, labels, 100_000, 1_000_000)
+    (few, truth), (every, _) = seen
+    assert len(few) == len(truth) <= 500 and few.sum() <= 800
+    known = {(d, t or "") for d, t in rows if zlib.crc32(str(d).encode()) % 3 != 1}
+    assert len(every) == len(known) and every.sum() == sum(t.count("\n") + 1 for _, t in known)
