@@ -3,15 +3,16 @@
 An id is cut into chunks of 8 bits. Level 0 holds the lowest chunk of every id and a bitmap that says
 which ids go on; level 1 holds the next chunk of only those, and so on. A directory with the number
 of set bits before every 512th position turns a position on one level into the place on the next, so
-any id is read from a few bytes of each level without decoding what stands before it.
+any id is read from a few bytes of each level without decoding what stands before it. Files are read by
+blocks: one id costs the reading of its block, and the decoding of one id.
 
 A file is a run of blocks of ``BLOCK`` ids (the last may be shorter), then the blocks' places, the
 documents' ids and lengths, and a trailer. Files are written by the tasks of a range sort on
 ``doc_id`` into the shared folder; each is named by its partition and attempt, and the returned
 manifest lists only those of finished tasks, so a repeated task leaves nothing wrong behind.
 
-Null texts are empty; null ids come first. Rows that share an id follow one another, each with a
-start of its own. An empty table gives no files and no rows. Other columns are not read.
+Null texts are empty; null ids come first. Rows that share an id follow one another in the order of the
+scan, over any number of tasks, each with a start of its own. An empty table gives no files and no rows. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -196,7 +197,10 @@ def write_token_files(docs: DataFrame, vocabulary: str, folder: str, parts: int)
             )
 
     rows = docs.select(F.col("doc_id").cast("long"), "text")
-    ordered = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
+    # rows of one id may be many: their places in the scan split them over tasks
+    order = ["doc_id", "_row"]
+    rows = rows.withColumn("_row", F.monotonically_increasing_id())
+    ordered = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_id", "text")
     fs_, name = fs.FileSystem.from_uri(folder)
     fs_.create_dir(name, recursive=True)
     return stored(ordered.mapInArrow(write, MANIFEST), "token-manifest")

@@ -153,6 +153,19 @@ def test_token_files(spark, odd, tokenizer, word_file, monkeypatch):
     assert Counter((r[0], r[2], r[3]) for r in rows) == expected
 
 
+def test_rows_of_one_id_are_split(spark, tokenizer, word_file):
+    rows = [(5, f"text {i}") for i in range(300)] + [(None, "same")] * 300 + [(i, f"word {i}") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    manifest = token_file.write_token_files(docs, word_file, scratch(spark, "t"), 9)
+    assert max(r["n_docs"] for r in manifest.collect()) < 250
+    got = token_file.read_token_documents(manifest).collect()
+    got.sort(key=lambda r: r["start"])
+    assert [r["doc_id"] for r in got] == sorted((r[0] for r in rows), key=lambda d: -1 if d is None else d)
+    assert Counter((r["doc_id"], r["ids_crc32"]) for r in got) == Counter(
+        (d, crc(whole(tokenizer, t))) for d, t in rows)
+    assert got[-1]["start"] + got[-1]["n_tokens"] == sum(r["n_tokens"] for r in got)
+
+
 def test_random_access_in_a_file(spark, odd, tokenizer, word_file):
     folder = scratch(spark, "tokens")
     manifest = token_file.write_token_files(odd.where("doc_id < 10"), word_file, folder, 1).collect()
