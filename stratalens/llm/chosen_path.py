@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batch_of, by_group, spread, stored, texts_of
+from .common import batch_of, by_group, spread, stored
 from .repeats import BASES, LAST, Rolling, _hashed, _rows, mix
 
 SHINGLE = 5
@@ -103,7 +103,7 @@ def _sets(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, end, hashes, counts in _hashed(texts_of(batch.column(2))):
+            for first, end, hashes, counts in _hashed(batch.column(2)):
                 cuts = np.cumsum(counts)[:-1]
                 own = [shingle_set(h) for h in np.split(hashes, cuts)]
                 sizes = np.array([len(s) for s in own], np.int64)
@@ -358,7 +358,7 @@ def _links(docs: DataFrame, members: DataFrame, repeated: bool) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, end, hashes, counts in _hashed(texts_of(batch.column(0))):
+            for first, end, hashes, counts in _hashed(batch.column(0)):
                 parts = np.split(hashes, np.cumsum(counts)[:-1])
                 own = [batch.column(n).slice(first, end - first) for n in names]
                 sets = pa.array([shingle_set(h).tobytes() for h in parts], pa.binary())

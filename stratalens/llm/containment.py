@@ -29,8 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, spread, texts_of, words
-from .repeats import BASES, Rolling, _hashed, mix, word_hashes
+from .common import batch_of, spread, texts_of
+from .repeats import BASES, Rolling, _hashed, mix
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -71,18 +71,24 @@ def sketch(distinct: np.ndarray, factor: float) -> np.ndarray:
     return distinct[first]
 
 
+def lowered(texts: list[str]) -> pa.Array:
+    return pa.array([t.lower() for t in texts], pa.string())
+
+
 class Items:
     """A block of items: their shingles, and for each shingle the items that hold it."""
 
     def __init__(self, ids: list, texts: list[str]):
-        folded = [words(t.lower()) for t in texts]
-        known = [i for i, w in enumerate(folded) if w]
-        self.ids = [ids[i] for i in known]
-        self.sets = []
-        for i in known:
-            hashes = word_hashes().of(folded[i])
-            self.sets.append(np.unique(shingles(hashes, min(SHINGLE, len(hashes)))))
-        self.sizes = sorted({min(SHINGLE, len(folded[i])) for i in known})
+        self.ids, self.sets, sizes = [], [], set()
+        for first, end, hashes, counts in _hashed(lowered(texts)):
+            parts = np.split(hashes, np.cumsum(counts)[:-1])
+            for i, own in zip(range(first, end), parts):
+                if len(own):
+                    size = min(SHINGLE, len(own))
+                    self.ids.append(ids[i])
+                    self.sets.append(np.unique(shingles(own, size)))
+                    sizes.add(size)
+        self.sizes = sorted(sizes)
         owner = np.repeat(np.arange(len(self.sets)), [len(s) for s in self.sets])
         every = np.concatenate(self.sets) if self.sets else np.zeros(0, np.uint64)
         order = np.argsort(every, kind="stable")
@@ -103,7 +109,7 @@ class Items:
 
 def _matches(index: Items, factor: float, threshold: float, texts: list[str]) -> Iterator[tuple]:
     """``(text, item, shingles of the item, shared ones)`` by their numbers."""
-    for first, _, hashes, counts in _hashed([t.lower() for t in texts]):
+    for first, _, hashes, counts in _hashed(lowered(texts)):
         ends = np.cumsum(counts).tolist()
         for i, n in enumerate(counts.tolist()):
             for size in index.sizes if n else ():

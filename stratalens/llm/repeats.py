@@ -27,14 +27,13 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, groups_of, spans, spread, stored, texts_of, words, worker_state
+from .common import batch_of, spans, spread, stored, texts_of, words
 
 WINDOW = 13
 GRAM = 5
@@ -43,41 +42,10 @@ U = np.uint64
 #: Odd multipliers of the rolling hashes and of the final mix.
 BASES = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F)
 MIXERS = U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
-REMEMBERED = 800_000
-
-
-class WordHashes:
-    """Two 64-bit digests of each word, remembered by the worker."""
-
-    def __init__(self):
-        self.index: dict[str, int] = {}
-        self.values = np.zeros((0, 2), np.uint64)
-
-    def of(self, found: list[str]) -> np.ndarray:
-        if len(self.index) > REMEMBERED:
-            self.__init__()
-        numbers = np.fromiter(map(self.index.get, found, repeat(-1)), np.int64, len(found))
-        missing = np.flatnonzero(numbers < 0).tolist()
-        if missing:
-            new = list(dict.fromkeys(found[i] for i in missing))
-            first = len(self.index)
-            self.index.update(zip(new, range(first, first + len(new))))
-            digest = b"".join(
-                hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=16).digest()
-                for w in new
-            )
-            own = np.frombuffer(digest, np.uint64).reshape(-1, 2)
-            if first + len(new) > len(self.values):
-                more = np.zeros((2 * (first + len(new)), 2), np.uint64)
-                more[:first] = self.values[:first]
-                self.values = more
-            self.values[first : first + len(new)] = own
-            numbers[missing] = [self.index[found[i]] for i in missing]
-        return self.values[numbers]
-
-
-def word_hashes() -> WordHashes:
-    return worker_state("word hashes", WordHashes)
+#: Bytes of the longest word that is digested together with others.
+LONG = 64
+#: Bytes of the texts that are worked on together.
+GROUP_BYTES = 2_000_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -86,6 +54,43 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
+def word_places(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of UTF-8 texts, one from each of ``bounds`` to the next: where each word starts and ends in
+    ``data``, and how many words each text has."""
+    gap = np.zeros(256, bool)
+    gap[[9, 10, 11, 12, 13, 32]] = True
+    inside = np.zeros(len(data) + 2, bool)
+    inside[1:-1] = ~gap[data]
+    begins = inside[1:] & ~inside[:-1]
+    ends = inside[:-1] & ~inside[1:]
+    # a text ends its last word, whatever the next text begins with
+    cut = bounds[1:-1][inside[bounds[1:-1]] & inside[bounds[1:-1] + 1]]
+    begins[cut] = ends[cut] = True
+    starts = np.flatnonzero(begins)
+    return starts, np.flatnonzero(ends), np.diff(np.searchsorted(starts, bounds))
+
+
+def word_digests(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Two independent 64-bit digests of each word: mixed from eight bytes at a time, those of words
+    over ``LONG`` bytes by Blake2."""
+    size = ends - starts
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    masks = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+    out = [mix(size.astype(np.uint64) + base) for base in BASES]
+    own = np.flatnonzero(size <= LONG)
+    for k in range(0, LONG, 8):
+        own = own[size[own] > k]
+        part = eight[starts[own] + k] & masks[np.minimum(size[own] - k, 8)]
+        for values, base in zip(out, BASES):
+            values[own] = mix((values[own] ^ part) * base)
+    hashes = np.stack(out, 1)
+    for i in np.flatnonzero(size > LONG).tolist():
+        digest = hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=16).digest()
+        hashes[i] = np.frombuffer(digest, "<u8")
+    return hashes
+
+
 class Rolling:
     """Hashes of any word ranges, by sums over powers of an odd base modulo 2^64."""
 
@@ -142,13 +147,23 @@ def _rows(docs: DataFrame, *more: str) -> DataFrame:
     )
 
 
-def _hashed(texts: list[str]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Groups of texts with their word digests and word counts."""
-    known = word_hashes()
-    for first, end in groups_of(texts):
-        found = [words(t) for t in texts[first:end]]
-        counts = np.fromiter(map(len, found), np.int64, len(found))
-        yield first, end, known.of([w for f in found for w in f]), counts
+def _hashed(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Groups of consecutive texts (none of them null) with their word digests and word counts."""
+    if not len(texts):
+        return
+    wide = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+    _, offsets, data = texts.buffers()
+    bounds = np.frombuffer(offsets, wide, len(texts) + 1, texts.offset * np.dtype(wide).itemsize)
+    bounds = bounds.astype(np.int64)
+    data = np.frombuffer(data or b"", np.uint8)
+    first = 0
+    while first < len(texts):
+        end = int(np.searchsorted(bounds, bounds[first] + GROUP_BYTES, "right"))
+        end = max(first + 1, min(end - 1, len(texts)))
+        own = data[bounds[first] : bounds[end]]
+        starts, ends, counts = word_places(own, bounds[first : end + 1] - bounds[first])
+        yield first, end, word_digests(own, starts, ends), counts
+        first = end
 
 
 def _seed_rows(docs: DataFrame, whole: bool) -> DataFrame:
@@ -159,7 +174,7 @@ def _seed_rows(docs: DataFrame, whole: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             doc, salt = np.asarray(batch.column(0)), batch.column(1)
-            for first, _, hashes, counts in _hashed(texts_of(batch.column(2))):
+            for first, _, hashes, counts in _hashed(batch.column(2)):
                 text, place, number, anchor, span = seeds(hashes, counts)
                 own = first + text
                 columns = [anchor, doc[own]]
@@ -189,7 +204,7 @@ def _windows(docs: DataFrame, asked: DataFrame) -> DataFrame:
             lengths = np.asarray(pa.compute.list_value_length(column["ats"])).astype(np.int64)
             ends = np.cumsum(lengths)
             flat = {n: np.asarray(column[n].flatten()) for n in ("anchors", "spans", "ats")}
-            for first, end, hashes, counts in _hashed(texts_of(column["text"])):
+            for first, end, hashes, counts in _hashed(column["text"]):
                 own = slice(int(ends[first] - lengths[first]), int(ends[end - 1]))
                 text = np.repeat(np.arange(end - first), lengths[first:end])
                 at, anchor, span = (flat[n][own] for n in ("ats", "anchors", "spans"))
@@ -266,12 +281,11 @@ def without_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
                 found = words(text)
                 removed = 0
                 if (own := column["marks"][i].values) is not None:
-                    change = np.zeros(len(found) + 1, np.int32)
                     place, mask = np.asarray(own.field("place")), np.asarray(own.field("mask"))
-                    for k in range(WINDOW - GRAM + 1):
-                        at = place[mask >> k & 1 == 1] + k
-                        np.add.at(change, at, 1)
-                        np.add.at(change, at + WINDOW, -1)
+                    run = np.arange(WINDOW - GRAM + 1)
+                    at = (place[:, None] + run)[mask[:, None] >> run & 1 == 1]
+                    n = len(found) + 1
+                    change = np.bincount(at, minlength=n) - np.bincount(at + WINDOW, minlength=n)
                     keep = np.cumsum(change)[:-1] == 0
                     removed = len(found) - int(keep.sum())
                     found = [found[j] for j in np.flatnonzero(keep).tolist()]

@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 
 from stratalens.llm import repeats
@@ -75,3 +76,21 @@ def test_different_texts_of_one_id_are_told_apart(spark, like_salted):
             rows = [(1, f"first {held} last"), (key, a), (key, b), (2, other)]
             frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
             assert Counter(map(tuple, repeats.without_repeats(frame).collect())) == brute(rows)
+
+
+@pytest.mark.parametrize("size", [1, 50, 2_000_000])
+def test_digests_tell_words_apart_as_the_rule_does(monkeypatch, size):
+    monkeypatch.setattr(repeats, "GROUP_BYTES", size)
+    pick = random.Random(3)
+    texts = ["".join(pick.choices("ab é　\x1c\U0001f600\t\n\x0b\x0c\r\x85", k=pick.randint(0, 40))) for _ in range(500)]
+    texts += ["", "x" * 300, " " + "y" * 65 + " " + "y" * 64 + " " + "y" * 63, "a", "a", ""]
+    seen, done = {}, 0
+    for first, end, hashes, counts in repeats._hashed(pa.array(["left out", *texts]).slice(1)):
+        found = [re.findall(r"[^\x20\x09-\x0D]+", t) for t in texts[first:end]]
+        assert first == done and counts.tolist() == [len(w) for w in found]
+        for word, digest in zip(sum(found, []), hashes.tolist(), strict=True):
+            assert seen.setdefault(word, digest) == digest
+        done = end
+    assert done == len(texts)
+    for k in (0, 1):
+        assert len({d[k] for d in seen.values()}) == len(seen)
