@@ -8,7 +8,8 @@ groups intersected into rules. Candidates are verified by the regex itself over
 that need no trigram (long hexadecimal runs) scan every text.
 
 A match's place is found without a UDF: a text split at the matches gives the pieces between them, and
-the lengths of pieces and matches add up to code-point offsets.
+the lengths of pieces and matches add up to code-point offsets. The work on a text is in proportion to
+its length and its matches.
 
 Null texts are empty: counts of 0 and empty span lists. Documents are told apart by id and text's hash;
 equal rows get equal results, a row each; null ids are kept. An empty table gives no rows. Other columns
@@ -18,6 +19,7 @@ are not read, whatever their names.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from re import _constants as sre  # the standard library's own parse of a regex
 from re import _parser
@@ -25,6 +27,7 @@ from re import _parser
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.let import let
 from .common import spread, stored
 
 
@@ -59,6 +62,8 @@ BASE = ["assign", "access", "hex"]
 
 #: Strings that are followed side by side while a regex is read.
 EXACT = 32
+#: Matches of a text whose places are added up in one go.
+STRETCH = 256
 
 
 def trigram_query(pattern: str) -> list[list[frozenset[str]]]:
@@ -157,36 +162,56 @@ def candidates(index: DataFrame, rules: list[Rule]) -> DataFrame:
     return held.groupBy("doc_id", "_h").agg(F.collect_set("kind").alias("rules"))
 
 
+def _running(values: Column, join: Callable[[Column, Column], Column]) -> Column:
+    """For whole numbers of 0 or more, each joined (``+``, the greater) with all before it. Appending
+    to an array copies it, so stretches of ``STRETCH`` are run on their own and then joined."""
+    none = F.array().cast("array<int>")
+
+    def scan(part: Column) -> Column:
+        return F.aggregate(
+            part,
+            F.struct(F.lit(0).alias("at"), none.alias("out")),
+            lambda s, x: let(
+                join(s["at"], x),
+                lambda at: F.struct(at.alias("at"), F.concat(s["out"], F.array(at)).alias("out")),
+            ),
+        )
+
+    def joined(parts: Column) -> Column:
+        ends = F.concat(F.array(F.lit(0)), scan(F.transform(parts, lambda p: p["at"]))["out"])
+        return F.flatten(
+            F.zip_with(
+                parts,
+                F.slice(ends, F.lit(1), F.size(parts)),
+                lambda p, before: F.transform(p["out"], lambda x: join(before, x)),
+            )
+        )
+
+    def stretches(whole: Column) -> Column:
+        numbers = F.sequence(F.lit(0), F.floor(F.size(whole) / STRETCH).cast("int"))
+        return F.transform(numbers, lambda k: scan(F.slice(whole, k * STRETCH + 1, STRETCH)))
+
+    return let(values, lambda whole: let(stretches(whole), joined))
+
+
 def _matches(rule: Rule) -> Column:
-    """The counting matches as structs of start, end (exclusive) and match."""
+    """The counting matches as structs of start and end (exclusive). Every array is made once a text
+    and walked once: a function of an element that names a regex would run it at every match."""
     regex = F.lit(rule.pattern)
-    found = F.regexp_extract_all("text", regex, F.lit(0))
-    between = F.split("text", rule.pattern, -1)
-    steps = F.transform(found, lambda m, i: F.struct(
-        (F.length(F.get(between, i)) + F.length(m)).alias("step"), F.length(m).alias("size")
-    ))
     zero = F.array().cast("array<struct<start:int,end:int>>")
-    placed = F.aggregate(
-        steps,
-        F.struct(F.lit(0).alias("at"), zero.alias("out")),
-        lambda s, x: F.struct(
-            (s["at"] + x["step"]).alias("at"),
-            F.concat(
-                s["out"],
-                F.array(
-                    F.struct(
-                        (s["at"] + x["step"] - x["size"]).alias("start"),
-                        (s["at"] + x["step"]).alias("end"),
-                    )
-                ),
-            ).alias("out"),
-        ),
-    )["out"]
-    if rule.least > 1:
-        lengths = F.regexp_extract_all("text", regex, F.lit(rule.group))
-        counted = lambda _, i: F.length(F.get(lengths, i)) >= rule.least
-        return F.filter(placed, counted)
-    return placed
+
+    def placed(found: Column) -> Column:
+        between = F.slice(F.split("text", rule.pattern, -1), F.lit(1), F.size(found))
+        steps = F.zip_with(between, found, lambda b, m: F.length(b) + F.length(m))
+        ends = _running(steps, lambda a, b: a + b)
+        out = F.zip_with(ends, found, lambda e, m: F.struct((e - F.length(m)).alias("start"), e.alias("end")))
+        if rule.least > 1:
+            lengths = F.regexp_extract_all("text", regex, F.lit(rule.group))
+            counted = F.zip_with(out, lengths, lambda p, g: F.when(F.length(g) >= rule.least, p))
+            out = F.array_compact(counted)
+        return F.when(F.size(found) > 0, out).otherwise(zero)
+
+    return let(F.regexp_extract_all("text", regex, F.lit(0)), placed)
 
 
 def find_secrets(docs: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
@@ -235,31 +260,37 @@ def secret_digest(docs: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
 
 
 MASK = "[SECRET]"
+#: Characters of the blocks from which the text between masks is cut.
+BLOCK = 4096
+
+
+def _masked(blocks: Column) -> Column:
+    """The text, given as blocks of ``BLOCK`` characters, with the union of ``spans`` masked. A piece
+    is cut from its own blocks: from the whole text it would cost the way to it."""
+
+    def piece(start: Column, end: Column) -> Column:
+        first = F.floor(start / BLOCK).cast("int")
+        held = F.slice(blocks, first + 1, F.floor(end / BLOCK).cast("int") - first + 1)
+        return F.array_join(held, "").substr(start - first * BLOCK + 1, end - start)
+
+    def joined(reach: Column) -> Column:
+        # spans come by start: one that begins before the end of an earlier one adds to its mask
+        before = F.slice(F.concat(F.array(F.lit(0)), reach), F.lit(1), F.size("spans"))
+        first = F.zip_with("spans", before, lambda s, r: s["start"] >= r)
+        starts = F.zip_with("spans", first, lambda s, f: F.when(f, s["start"]))
+        pieces = F.zip_with(starts, before, lambda s, r: F.when(s.isNotNull(), piece(r, s)))
+        # null at the spans that add to an earlier mask: joining leaves these out
+        head = F.array_join(F.transform(pieces, lambda p: F.concat(p, F.lit(MASK))), "")
+        return F.concat(head, piece(F.element_at(reach, -1), F.length("text")))
+
+    return let(_running(F.transform("spans", lambda s: s["end"]), F.greatest), joined)
 
 
 def redacted(docs: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
     """``docs`` with every secret in ``text`` replaced by :data:`MASK`, overlapping ones by one; a
     null text stays null. All columns are kept; ``n_chars`` is counted anew where there is one."""
     found = find_secrets(docs, rules)
-    # spans come by start: one that begins before the end of another adds to that one's mask
-    masked = F.aggregate(
-        "spans",
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda s, x: F.struct(
-            F.greatest(s["at"], x["end"]).alias("at"),
-            F.when(
-                (x["start"] >= s["at"]) | (s["out"] == ""),
-                F.concat(
-                    s["out"],
-                    F.col("text").substr(s["at"] + 1, x["start"] - s["at"]),
-                    F.lit(MASK),
-                ),
-            )
-            .otherwise(s["out"])
-            .alias("out"),
-        ),
-        lambda s: F.concat(s["out"], F.col("text").substr(s["at"] + 1, F.length("text"))),
-    )
+    masked = let(F.regexp_extract_all("text", F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0)), _masked)
     changed = F.size("spans") > 0
     rows = found.withColumn("masked", F.when(changed, masked).otherwise(F.col("row.text")))
     out = []

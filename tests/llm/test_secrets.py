@@ -113,3 +113,20 @@ def test_no_rules_with_trigrams_and_empty(spark, frame, nothing):
 def test_no_python_in_the_plan(frame):
     plan = secret_scan.secret_digest(frame)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_very_many_matches_in_a_text(spark):
+    parts = [f"{k:024x}{'-' if k % 3 else ' token=' + 'é'[: k % 2] + 'b' * 30 + ' '}" for k in range(100_000)]
+    texts = ["".join(parts), "".join(parts[:255]), "".join(parts[:256]), "".join(parts[:513])]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r for r in secret_scan.secret_digest(frame).collect()}
+    masked = {r["doc_id"]: r["text"] for r in secret_scan.redacted(frame).collect()}
+    for doc_id, text in enumerate(texts):
+        found = spans(text)
+        assert got[doc_id]["spans"] == listed(found)
+        assert got[doc_id]["n_hex"] == sum(s[3] == "hex" for s in found)
+        out, at = [], 0
+        for a, _, b, _ in found:
+            out += [text[at:a], secret_scan.MASK] if a >= at else []
+            at = max(at, b)
+        assert masked[doc_id] == "".join(out) + text[at:]
