@@ -3,8 +3,10 @@
 An exact search by pivots. Some rows of an arm, chosen by hash, are its pivots, and every row belongs to
 the cell of the pivot nearest to it. A probe is first held against its own cell, which bounds the
 distance of its k-th neighbour; of the other cells it goes to those only that the triangle inequality does
-not rule out. Cells and probes meet in groups of bounded size, which emit the best ``k`` rows of each
-probe. Where the vectors have no structure at all every cell is met, and the work is that of all pairs.
+not rule out. A probe left with many cells, as all are where the vectors have no structure, is not copied
+for each of them: an arm is cut into a few parts of rows and of probes, every part of one meets every part
+of the other in one group, and within it cells are ruled out again. So a row is copied a fixed number of
+times, while the work may be that of all pairs. Distances and ids are ranked; vectors are joined last.
 """
 
 from __future__ import annotations
@@ -25,70 +27,141 @@ from .ranking import top_rows
 from .sampling import sample_rows
 
 NEIGHBORS = 10
-SPARE = 6  # rows taken beyond k by rough distance
-CHUNK_ROWS = 20_000
+CHUNK_ROWS = 100_000  # rows of an arm that meet probes in one group, fewer where vectors are wide
+PART_BYTES = 64 << 20  # of such rows
+SWEEPS = 6  # parts of an arm's probes at least, each of which meets the rows
 PROBE_ROWS = 1_000
+PLACED_ROWS = 20_000
 CELL_ROWS = 2_000  # an arm of fewer rows is one cell
+FEW_CELLS = 4  # a probe with more cells to meet is swept over the whole arm
 PIVOT_BYTES = 64 << 20  # pivots that a group holds
 SLACK = 1e-9  # of a distance, for rounding: a cell this near the bound is still met
-
-# row ids, squared distances and vectors, a row per probe; infinite distances are no neighbours
-Best = tuple[np.ndarray, np.ndarray, np.ndarray]
-
-
-def _distances(p: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Squared distances by the expanded square: fast, but not exact in the last digits."""
-    return (p**2).sum(axis=1)[:, None] + (x**2).sum(axis=1)[None, :] - 2 * p @ x.T
-
-
-def _ranked(ids: np.ndarray, squared: np.ndarray, vectors: np.ndarray, k: int) -> Best:
-    """The first ``k`` per probe; equal distances go by row id."""
-    order = np.lexsort((ids, squared), axis=1)[:, :k]
-    return (
-        np.take_along_axis(ids, order, axis=1),
-        np.take_along_axis(squared, order, axis=1),
-        np.take_along_axis(vectors, order[:, :, None], axis=1),
-    )
-
-
-def _search(probe_ids: np.ndarray, p: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> Best:
+BLOCK_PROBES, BLOCK_ROWS = 256, 2048  # of a matrix of distances
+SLAB_BYTES = 32 << 20  # differences of pairs looked at exactly at a time
+
+FOUND = "probe_id long, neighbor_id long, squared double, _at long"
+
+# places of probes, places of rows and squared distances, a row per pair
+Pairs = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def _sides(p: np.ndarray, x: np.ndarray, share: float) -> tuple[np.ndarray, np.ndarray]:
+    """Matrices whose product is the squared distances, less ``share`` of the squared norms."""
+    one = (1 - share) * (p**2).sum(axis=1), (1 - share) * (x**2).sum(axis=1)
+    left = np.column_stack([-2 * p, one[0], np.ones(len(p))])
+    return left, np.column_stack([x, np.ones(len(x)), one[1]])
+
+
+def _exact(p: np.ndarray, x: np.ndarray, probe: np.ndarray, place: np.ndarray) -> np.ndarray:
+    squared = np.empty(len(probe))
+    step = max(1, SLAB_BYTES // (8 * max(x.shape[1], 1)))
+    for i in range(0, len(probe), step):
+        own = slice(i, i + step)
+        squared[own] = ((x[place[own]] - p[probe[own]]) ** 2).sum(axis=1)
+    return squared
+
+
+def _first(pairs: Pairs, ids: np.ndarray, k: int, probes: int, limit: np.ndarray) -> Pairs:
+    """The first ``k`` pairs per probe; equal distances go by row id. ``limit`` falls to the last of them."""
+    probe, place, squared = pairs
+    order = np.lexsort((ids[place], squared, probe))
+    probe, place, squared = probe[order], place[order], squared[order]
+    start = np.searchsorted(probe, np.arange(probes))
+    rank = np.arange(len(probe)) - start[probe]
+    last = rank == k - 1
+    limit[probe[last]] = np.minimum(limit[probe[last]], squared[last])
+    kept = rank < k
+    return probe[kept], place[kept], squared[kept]
+
+
+def _search(
+    probe_ids: np.ndarray,
+    p: np.ndarray,
+    ids: np.ndarray,
+    x: np.ndarray,
+    k: int,
+    bound: np.ndarray | None = None,
+    homes: np.ndarray | None = None,
+    cells: np.ndarray | None = None,
+) -> Pairs:
     """The ``k`` rows closest to each probe, itself left out, with exact distances.
 
-    A few more than ``k`` are taken by rough distance. Where rows beyond those could tie with the
-    last one kept, all rows up to that distance are looked at.
+    Blocks of probes meet blocks of rows in a matrix of lower bounds, from vectors without the rows'
+    mean; pairs that are not ruled out are looked at exactly. With ``bound`` only rows within that distance
+    of a probe are found, and with ``homes`` and ``cells`` none of the probe's own cell; cells are then
+    ruled out as a whole where they are too far for a block.
     """
-    rough = _distances(p, x)
-    rough[ids[None, :] == probe_ids[:, None]] = np.inf
-    width = min(len(x), k + SPARE)
-    near = np.argpartition(rough, width - 1, axis=1)[:, :width]
-    found = np.take_along_axis(rough, near, axis=1)
-    last = np.sort(found, axis=1)[:, min(k, width) - 1] + 1e-9 * (1 + (p**2).sum(axis=1))
-
-    def exact(rows: np.ndarray, probes: np.ndarray, left_out: np.ndarray) -> Best:
-        squared = ((x[rows] - probes[:, None, :]) ** 2).sum(axis=2)
-        return _ranked(ids[rows], np.where(left_out, np.inf, squared), x[rows], k)
-
-    best = exact(near, p, np.isinf(found))
-    if width < len(x):
-        for i in np.flatnonzero(found.max(axis=1) <= last):
-            rows = np.flatnonzero(rough[i] <= last[i])[None, :]
-            wider = exact(rows, p[i : i + 1], np.isinf(rough[i][rows]))
-            for whole, part in zip(best, wider):
-                whole[i] = part[0]
-    return best
-
-
-def _rows(fields, key: tuple, probe_ids: np.ndarray, best: Best) -> pa.RecordBatch:
-    ids, squared, vectors = best
-    probe, place = np.nonzero(np.isfinite(squared))
+    if cells is not None:
+        by_cell, by_home = np.argsort(cells, kind="stable"), np.argsort(homes, kind="stable")
+    else:
+        by_cell, by_home = np.arange(len(x)), np.arange(len(p))
+    middle = x.mean(axis=0)
+    rows, asked = x[by_cell] - middle, p[by_home] - middle
+    share = 4 * (x.shape[1] + 8) * np.finfo(float).eps  # above the rounding of such a product
+    left, right = _sides(asked, rows, share)
+    norms = (asked**2).sum(axis=1), (rows**2).sum(axis=1)
+    limits = np.full(len(p), np.inf) if bound is None else (bound**2 * (1 + 1e-12))[by_home]
+    if cells is not None:
+        known, start, sizes = np.unique(cells[by_cell], return_index=True, return_counts=True)
+        centres = np.add.reduceat(rows, start, axis=0) / sizes[:, None]
+        number = np.repeat(np.arange(len(known)), sizes)
+        radius = np.sqrt(np.maximum.reduceat(((rows - centres[number]) ** 2).sum(axis=1), start))
+        radius = radius + SLACK * (1 + np.sqrt(norms[1].max()))
+        to_centres, middles = _sides(asked, centres, share)
+        home = homes[by_home]
+    found = []
+    for i in range(0, len(p), BLOCK_PROBES):
+        block = slice(i, min(i + BLOCK_PROBES, len(p)))
+        limit, own, count = limits[block], probe_ids[by_home[block]], block.stop - i
+        taken = None
+        if cells is not None:
+            off = np.sqrt(np.maximum(to_centres[block] @ middles.T, 0.0))
+            need = ~(off - radius > np.sqrt(limit)[:, None]) & (known != home[block][:, None])
+            taken = np.flatnonzero(need.any(axis=0)[number])
+        best: Pairs = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+        for j in range(0, len(x) if taken is None else len(taken), BLOCK_ROWS):
+            at = np.arange(j, min(j + BLOCK_ROWS, len(x))) if taken is None else taken[j : j + BLOCK_ROWS]
+            whole = at[-1] - at[0] + 1 == len(at)
+            span = slice(at[0], at[-1] + 1) if whole else at
+            least = left[block] @ right[span].T
+            within = ~(least > limit[:, None])
+            if within.sum() > 4 * k * count:  # bounds too wide to be of use: take those of this block
+                least[ids[by_cell[at]][None, :] == own[:, None]] = np.inf
+                if cells is not None:
+                    least[cells[by_cell[at]][None, :] == home[block][:, None]] = np.inf
+                if len(at) >= k:
+                    near = np.partition(least, k - 1, axis=1)[:, k - 1]
+                    near = near + 2 * share * (norms[0][block] + norms[1][span].max())
+                    np.fmin(limit, near, out=limit)
+                within = ~(least > limit[:, None])
+            probe, place = np.nonzero(within)
+            place = by_cell[at[place]]
+            other = ids[place] != own[probe]
+            if cells is not None:
+                other &= cells[place] != home[block][probe]
+            probe, place = probe[other], place[other]
+            squared = _exact(p[by_home[block]], x, probe, place)
+            close = squared <= limit[probe]
+            new = probe[close], place[close], squared[close]
+            if len(new[0]):
+                pairs = tuple(np.concatenate(both) for both in zip(best, new))
+                best = _first(pairs, ids, k, count, limit)
+        found.append((by_home[block][best[0]], *best[1:]))
+    return tuple(np.concatenate(columns) for columns in zip(*found))
+
+
+def _rows(fields, key: tuple, probe_ids: np.ndarray, base: pa.Table, row: str, pairs: Pairs) -> pa.Table:
+    probe, place, squared = pairs
+    finite = np.isfinite(squared)
+    probe, place, squared = probe[finite], pa.array(place[finite]), squared[finite]
     columns = arrow_keys(fields, [key] * len(probe)) + [
         pa.array(np.asarray(probe_ids, dtype=np.int64)[probe]),
-        pa.array(ids[probe, place].astype(np.int64)),
-        pa.array(squared[probe, place]),
-        to_lists(vectors[probe, place]),
+        base.column(row).combine_chunks().take(place).cast(pa.int64()),
+        pa.array(squared),
+        base.column("_at").combine_chunks().take(place),
     ]
-    names = [f.name for f in fields] + ["probe_id", "neighbor_id", "squared", "neighbor"]
-    return pa.RecordBatch.from_arrays(columns, names=names)
+    names = [f.name for f in fields] + ["probe_id", "neighbor_id", "squared", "_at"]
+    return pa.Table.from_arrays(columns, names=names)
 
 
 def _parts(df: DataFrame, keys: Sequence[str], rows: int, name: str) -> DataFrame:
@@ -97,15 +170,23 @@ def _parts(df: DataFrame, keys: Sequence[str], rows: int, name: str) -> DataFram
     return broadcast_if_small(df.groupBy(*keys).agg(count))
 
 
-def _cogrouped(df, probes, keys, row, vector, k, schema, fields) -> DataFrame:
+def _meet(df, probes, keys, row, vector, k, fields, bounded: bool = False) -> DataFrame:
     """Rows and probes of an arm cut into parts by hash; every part of one meets every part of the
-    other in a group of bounded size."""
-    parts = {"_m": _parts(df, keys, CHUNK_ROWS, "_m"), "_b": _parts(probes, keys, PROBE_ROWS, "_b")}
+    other in a group of bounded size. Up to ``CHUNK_ROWS`` rows make one part, and more than ``PROBE_ROWS``
+    probes ``SWEEPS``, so that the copies of a row do not grow with its arm up to that size.
+
+    ``bounded`` probes have a ``_bound`` and a ``_cell`` of their own, which they do not meet."""
+    schema = T.StructType([*fields, *T.StructType.fromDDL(FOUND).fields])
+    n, d = F.count(F.lit(1)), F.max(F.size(vector))
+    fit = F.least(F.lit(float(CHUNK_ROWS)), F.greatest(PART_BYTES / (8 * d + 40), F.lit(1.0)))
+    few = F.when(n > PROBE_ROWS, SWEEPS).otherwise(1)
+    chunks = df.groupBy(*keys).agg(F.ceil(n / fit).cast("int").alias("_m"))
+    blocks = probes.groupBy(*keys).agg(F.greatest(F.ceil(n / fit), few).cast("int").alias("_b"))
+    parts = broadcast_if_small(chunks.join(blocks, list(keys)))
 
     def cut(rows: DataFrame, own: str, other: str, mine: str, theirs: str) -> DataFrame:
-        both = rows.join(parts["_m"], list(keys)).join(parts["_b"], list(keys))
         part = F.pmod(F.xxhash64(row), F.col(own)).cast("int")
-        return both.withColumn(mine, part).withColumn(
+        return rows.join(parts, list(keys)).withColumn(mine, part).withColumn(
             theirs, F.explode(F.sequence(F.lit(0), F.col(other) - 1))
         )
 
@@ -113,29 +194,46 @@ def _cogrouped(df, probes, keys, row, vector, k, schema, fields) -> DataFrame:
     copies = cut(probes, "_b", "_m", "_block", "_chunk")
 
     def find(key, base: pa.Table, near: pa.Table) -> pa.Table:
-        empty = pa.Table.from_batches([], schema=pa_schema)
         if base.num_rows == 0 or near.num_rows == 0:
-            return empty
+            return pa.Table.from_batches([], schema=pa_schema)
         probe_ids = near.column(f"_p_{row}").to_numpy()
-        best = _search(
+        limits = {}
+        if bounded:
+            limits = {
+                "bound": near.column("_p__bound").to_numpy(),
+                "homes": near.column("_p__cell").to_numpy(),
+                "cells": base.column("_cell").to_numpy(),
+            }
+        pairs = _search(
             probe_ids, to_matrix(near.column(f"_p_{vector}")),
-            base.column(row).to_numpy(), to_matrix(base.column(vector)), k,
+            base.column(row).to_numpy(), to_matrix(base.column(vector)), k, **limits,
         )
         arm = tuple(value.as_py() for value in key[: len(keys)])
-        return pa.Table.from_batches([_rows(fields, arm, probe_ids, best)])
+        return _rows(fields, arm, probe_ids, base, row, pairs)
 
     from pyspark.sql.pandas.types import to_arrow_schema
 
     pa_schema = to_arrow_schema(schema)
-    groups_by = [*keys, "_chunk", "_block"]
-    columns = [*groups_by, row, vector]
-    left = spread.select(*columns).groupBy(*groups_by)
+    groups_by, more = [*keys, "_chunk", "_block"], ["_cell"] if bounded else []
+    left = spread.select(*groups_by, row, "_at", vector, *more).groupBy(*groups_by)
     # aliased, since probes usually come from the same rows
+    columns = [*groups_by, row, vector, *more, *(["_bound"] if bounded else [])]
     right = copies.select(*[F.col(c).alias(f"_p_{c}") for c in columns])
     right = right.groupBy(*[f"_p_{c}" for c in groups_by])
     return left.cogroup(right).applyInArrow(find, schema)
 
 
+def _cogrouped(df, probes, keys, row, vector, k, fields) -> DataFrame:
+    """The first ``k`` rows of its cell for each probe."""
+    return _meet(df, probes, keys, row, vector, k, fields)
+
+
+def _swept(df, probes, keys, row, vector, k) -> DataFrame:
+    """The first ``k`` rows of other cells within ``_bound`` of each probe, by holding it against the
+    whole arm."""
+    return _meet(df, probes, keys, row, vector, k, key_fields(df, keys), bounded=True)
+
+
 def _pivots(df: DataFrame, keys: Sequence[str], row: str, vector: str) -> DataFrame:
     """``(keys…, _cell, _centre)``: about the root of an arm's rows as pivots, one for a small arm."""
     sizes = df.groupBy(*keys).agg(
@@ -179,7 +277,8 @@ def _with_table(df, small, keys, rows: int, run, ddl: str, row: str) -> DataFram
 
 
 def _celled(df: DataFrame, pivots: DataFrame, keys: Sequence[str], row: str, vector: str) -> DataFrame:
-    """Rows with the ``_cell`` of their nearest pivot, the lower one of equals, and how far ``_off`` it is."""
+    """Rows with the ``_cell`` of their nearest pivot, the lower one of equals, how far ``_off`` it is, and a
+    number ``_at`` of their own, as ids may repeat."""
 
     def nearest(left: pa.Table, table: pa.Table):
         x, centres = to_matrix(left.column(vector)), to_matrix(table.column("_s__centre"))
@@ -194,11 +293,13 @@ def _celled(df: DataFrame, pivots: DataFrame, keys: Sequence[str], row: str, vec
 
     ddl = f"`{row}` long, `{vector}` array<double>, _cell long, _off double"
     rows = df.select(*keys, F.col(row).cast("long").alias(row), vector)
-    return durable(_with_table(rows, pivots, keys, CHUNK_ROWS, nearest, ddl, row))
+    placed = _with_table(rows, pivots, keys, PLACED_ROWS, nearest, ddl, row)
+    return durable(placed.withColumn("_at", F.monotonically_increasing_id()))
 
 
 def _routed(probes: DataFrame, cells: DataFrame, keys: Sequence[str], row: str, vector: str) -> DataFrame:
-    """Each probe once for every other cell that may hold a row within ``_bound`` of it.
+    """Each probe once for every other cell that may hold a row within ``_bound`` of it, ``_to`` its pivot;
+    if these are more than ``FEW_CELLS`` the probe once, without ``_to``.
 
     No row of a cell is nearer than the probe's distance to its pivot less the cell's radius, nor than
     the plane between the pivots of that cell and of the probe's own.
@@ -210,20 +311,21 @@ def _routed(probes: DataFrame, cells: DataFrame, keys: Sequence[str], row: str,
         centres, ids = to_matrix(table.column("_s__centre")), table.column("_s__cell").to_numpy()
         at, radius = np.searchsorted(ids, home), table.column("_s__radius").to_numpy()
         slack = SLACK * (1 + np.sqrt((x**2).sum(axis=1)))
-        picked, targets = [], []
+        goes = np.empty((len(x), len(centres)), dtype=bool)
         for i, centre in enumerate(centres):
             off = _away(x, centre)
             apart = _away(centres, centre)[at]
             plane = (off**2 - own**2) / np.maximum(2 * apart, 1e-300)
             least = np.maximum(off - radius[i], np.where(apart > 0, plane, 0.0))
-            goes = np.flatnonzero((least <= bound + slack) & (at != i))
-            picked.append(goes)
-            targets.append(np.full(len(goes), ids[i]))
-        rows = np.concatenate(picked)
-        columns = [left.column(row).take(pa.array(rows)), to_lists(x[rows]), pa.array(np.concatenate(targets))]
-        return pa.array(rows), columns
-
-    ddl = f"`{row}` long, `{vector}` array<double>, _cell long"
+            goes[:, i] = (least <= bound + slack) & (at != i)
+        many = goes.sum(axis=1) > FEW_CELLS
+        picked, to = np.nonzero(goes & ~many[:, None])
+        rows = pa.array(np.concatenate([picked, np.flatnonzero(many)]))
+        targets = pa.concat_arrays([pa.array(ids[to]), pa.nulls(int(many.sum()), pa.int64())])
+        columns = [left.column(row).take(rows), to_lists(x[rows.to_numpy()])]
+        return rows, [*columns, pa.array(home).take(rows), pa.array(bound).take(rows), targets]
+
+    ddl = f"`{row}` long, `{vector}` array<double>, _cell long, _bound double, _to long"
     return _with_table(probes, cells, keys, PROBE_ROWS, route, ddl, row)
 
 
@@ -234,10 +336,11 @@ def knn(
     k: int = NEIGHBORS,
     row: str = "row_id",
     vector: str = "embedding",
+    vectors: bool = True,
 ) -> DataFrame:
     """``(keys…, probe_id, neighbor_id, distance, neighbor, rank)``: the ``k`` nearest rows of the
     same arm by Euclidean distance, never the probe itself; without ``probes`` those of every row. Rows
-    whose distance is not a number are no neighbours."""
+    whose distance is not a number are no neighbours. Without ``vectors`` there is no ``neighbor``."""
     by = [*keys, "_cell"]
     finite = F.forall(vector, lambda x: F.abs(x) < float("inf"))
     rows = df.where(F.coalesce(finite, F.lit(False))).select(*keys, row, V.as_double(F.col(vector)).alias(vector))
@@ -249,21 +352,25 @@ def knn(
         chosen = chosen.select(*keys, row, V.as_double(F.col(vector)).alias(vector))
         asked = _celled(chosen, pivots, keys, row, vector)
     fields = key_fields(placed, by)
-    ddl = "probe_id long, neighbor_id long, squared double, neighbor array<double>"
-    schema = T.StructType(fields + T.StructType.fromDDL(ddl).fields)
     order = [F.col("squared"), F.col("neighbor_id")]
 
     def best(partial: DataFrame, rank: str) -> DataFrame:
         return top_rows(partial.drop("_cell"), [*keys, "probe_id"], order, k, rank)
 
-    inside = _cogrouped(placed, asked.select(*by, row, vector), by, row, vector, k, schema, fields)
+    def shaped(found: DataFrame) -> DataFrame:
+        distance = F.sqrt("squared").alias("distance")
+        columns = [*keys, "probe_id", "neighbor_id", distance]
+        if not vectors:
+            return found.select(*columns, "rank")
+        found = found.join(placed.select("_at", F.col(vector).alias("neighbor")), "_at")
+        return found.select(*columns, "neighbor", "rank")
+
+    inside = _cogrouped(placed, asked.select(*by, row, vector), by, row, vector, k, fields)
     inside = durable(best(inside, "rank"))
-    distance = F.sqrt("squared").alias("distance")
-    columns = [*keys, "probe_id", "neighbor_id", distance, "neighbor", "rank"]
     several = pivots.groupBy(*keys).agg(F.count(F.lit(1)).alias("_c")).where("_c > 1").drop("_c")
     several = broadcast_if_small(several)
     if several.isEmpty():  # arms of one cell have been searched as a whole
-        return inside.select(*columns)
+        return shaped(inside)
     bounds = inside.groupBy(*keys, F.col("probe_id").alias(row)).agg(
         F.when(F.count(F.lit(1)) == k, F.sqrt(F.max("squared"))).alias("_bound")
     )
@@ -271,10 +378,12 @@ def knn(
     bounded = asked.join(bounds, [*keys, row], "left").select(*by, row, vector, "_off", far)
     radii = placed.groupBy(*by).agg(F.max("_off").alias("_radius"))
     cells = pivots.join(radii, by)
-    routed = _routed(bounded.join(several, list(keys)), cells, keys, row, vector)
-    outside = _cogrouped(placed, durable(routed), by, row, vector, k, schema, fields)
-    both = inside.drop("rank").unionByName(outside.drop("_cell"))
-    return best(both, "rank").select(*columns)
+    routed = durable(_routed(bounded.join(several, list(keys)), cells, keys, row, vector))
+    near = routed.where("_to IS NOT NULL").drop("_cell").withColumnRenamed("_to", "_cell")
+    outside = _cogrouped(placed, near.select(*by, row, vector), by, row, vector, k, fields).drop("_cell")
+    swept = _swept(placed, routed.where("_to IS NULL"), keys, row, vector, k)
+    both = inside.drop("rank").unionByName(outside).unionByName(swept)
+    return shaped(best(both, "rank"))
 
 
 def _condition_of(fields: Sequence[T.StructField]):

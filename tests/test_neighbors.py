@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from stratalens.operators import neighbors as B
 
@@ -62,6 +63,61 @@ def test_cells_of_all_rows_are_skipped_by_bounds(matrix_frame, rng, monkeypatch)
     assert len(met) == 2 and sum(met) < 800 * 800 / 4
 
 
+def test_rows_without_structure_are_copied_a_fixed_number_of_times(matrix_frame, rng, monkeypatch):
+    """No cell is ruled out for any probe: the same as brute force, without a copy of a probe for each cell."""
+    monkeypatch.setattr(B, "CELL_ROWS", 50)
+    x = rng.normal(size=(600, 24))
+    x[500:520] = x[0]  # more copies than neighbours
+    frame = matrix_frame(only=x, small=x[:40])
+    routed, route = [], B._routed
+
+    def counted(*args):
+        found = route(*args)
+        routed.append(found.count())
+        return found
+
+    monkeypatch.setattr(B, "_routed", counted)
+    rows = B.knn(frame, None, KEYS, k=5, vectors=False).collect()
+    found = {(r.arm, r.probe_id, r.rank): r.neighbor_id for r in rows}
+    for name, own in ("only", x), ("small", x[:40]):
+        for probe in range(len(own)):
+            assert [found[name, probe, i + 1] for i in range(5)] == brute(own, probe, 5)
+    assert "neighbor" not in rows[0] and sum(routed) <= B.FEW_CELLS * 640
+
+
+def test_probes_of_a_large_cell_make_a_fixed_number_of_parts(matrix_frame, rng, monkeypatch):
+    """However many probes there are, a row meets them in as many groups as an arm has parts."""
+    monkeypatch.setattr(B, "PROBE_ROWS", 10)
+    x = rng.normal(size=(300, 3)).round(2)
+    frame = matrix_frame(only=x).withColumn("_at", F.monotonically_increasing_id())
+    parts, small = [], B.broadcast_if_small
+    monkeypatch.setattr(B, "broadcast_if_small", lambda df: parts.extend(df.collect()) or small(df))
+    found = B._cogrouped(frame, frame, KEYS, "row_id", "embedding", 4, B.key_fields(frame, KEYS))
+    assert [(r["_m"], r["_b"]) for r in parts] == [(1, B.SWEEPS)]
+    seen = {(r.probe_id, r.neighbor_id) for r in found.collect()}
+    assert seen == {(p, i) for p in range(300) for i in brute(x, p, 4)}
+
+
+@pytest.mark.parametrize("far", [0.0, 1e6])
+def test_search_within_bounds_and_other_cells(rng, monkeypatch, far):
+    monkeypatch.setattr(B, "BLOCK_PROBES", 16)
+    monkeypatch.setattr(B, "BLOCK_ROWS", 32)
+    centres = rng.normal(size=(6, 4)) * 30
+    cells = rng.integers(0, 6, 300)
+    x = centres[cells] + rng.normal(size=(300, 4)).round(1) + far
+    ids = np.arange(300)[::-1].copy()
+    ids[7] = ids[3]  # an id that two rows have
+    squared = ((x[:, None] - x[None]) ** 2).sum(axis=2)
+    for bound in np.full(300, np.inf), rng.uniform(5, 60, 300), np.sqrt(np.sort(squared, axis=1)[:, 60]):
+        probe, place, found = B._search(ids, x, ids, x, 6, bound, cells, cells)
+        for i in range(300):
+            allowed = (ids != ids[i]) & (cells != cells[i]) & (squared[i] <= bound[i] ** 2 * (1 + 1e-12))
+            rows = [j for j in np.lexsort((ids, squared[i])) if allowed[j]][:6]
+            own = place[probe == i]
+            assert list(ids[own]) == list(ids[rows])
+            np.testing.assert_array_equal(found[probe == i], squared[i, own])
+
+
 def test_rows_without_a_finite_vector_are_no_neighbours(spark):
     rows = [("a", i, [float(i), v]) for i, v in enumerate([0.0, float("nan"), 1.0, float("inf"), 2.0])]
     rows += [("a", 9, None), ("b", 1, [1.0, 1.0])]
