@@ -482,7 +482,7 @@ def _register_knn(name: str, n: int | None) -> None:
     def run(spark, folder):
         rows = V.arm_embeddings(spark, folder)
         probes = None if n is None else sample_rows(rows, ARM, n)
-        return rounded(B.knn(rows, probes, ARM).drop("neighbor"), "distance")
+        return rounded(B.knn(rows, probes, ARM, vectors=False), "distance")
 
 
 _register_knn("knn_join", None)
