@@ -27,7 +27,9 @@ from .moments import (
 from .neighbors import curvature
 from .sampling import sample_rows
 
-PAIR_ROWS = 1000  # rows of a block whose pairs meet in one group
+PAIR_ROWS = 1000  # rows of a block whose pairs are looked at together
+PAIR_PARTS = 5  # parts of an arm of more rows, any two of which meet in one group
+PART_BYTES = 64 << 20  # of such a part; arms that outgrow them have more parts
 NOT_FINITE = "a vector is not finite"
 _SPECTRAL = ["effective_rank", "logdet_covariance", "anisotropy", "spectral_norm", "condition_number"]
 
@@ -256,8 +258,8 @@ def _centred_units(df: DataFrame, keys: Sequence[str], vector: str, row: str) ->
     return rows.select(*keys, row, vector, "_mean").mapInArrow(_centre_units, schema)
 
 
-def _pair_distances(table: pa.Table) -> np.ndarray:
-    """Cosine distances of a group: within its block, or between its two blocks.
+def _pair_distances(table: pa.Table) -> Iterator[np.ndarray]:
+    """Cosine distances of a group: within its part, or between its two parts, a pair of blocks at a time.
 
     ``1 - u.v`` is half of ``|u - v|^2`` and of what ``|u|^2`` and ``|v|^2`` lack to 1. Taken from
     vectors without their mean, it keeps its digits where all vectors point the same way.
@@ -266,17 +268,25 @@ def _pair_distances(table: pa.Table) -> np.ndarray:
     unit = to_matrix(table.column("_u"))
     half = (np.einsum("ij,ij->i", unit, unit) + table.column("_short").to_numpy()) / 2
     own = table.column("_own").to_numpy()
-    first = own == own[0]
-    if first.all() and table.column("_a")[0] == table.column("_b")[0]:
-        return (half[:, None] + half - unit @ unit.T)[np.triu_indices(len(unit), k=1)]
-    if first.all():
-        return np.empty(0)
-    return (half[first][:, None] + half[~first] - unit[first] @ unit[~first].T).ravel()
+    second = int((own == own[0]).sum())
+    within = table.column("_a")[0] == table.column("_b")[0]
+    for i in range(0, second, PAIR_ROWS):
+        left = slice(i, min(i + PAIR_ROWS, second))
+        if within:
+            distance = half[left][:, None] + half[left] - unit[left] @ unit[left].T
+            yield distance[np.triu_indices(len(distance), k=1)]
+        for j in range(left.stop if within else second, len(unit), PAIR_ROWS):
+            right = slice(j, j + PAIR_ROWS)
+            yield (half[left][:, None] + half[right] - unit[left] @ unit[right].T).ravel()
 
 
 def _pair_blocks(df: DataFrame, keys: Sequence[str], row: str) -> DataFrame:
-    """Each row once for every pair of blocks of its arm that its own block is in."""
-    parts = F.ceil(F.count(F.lit(1)) / PAIR_ROWS).cast("int").alias("_m")
+    """Each row once for every pair of parts of its arm that its own part is in. Arms of more than
+    ``PAIR_ROWS`` rows have ``PAIR_PARTS`` parts, so that the copies of a row do not grow with its arm
+    until a part outgrows ``PART_BYTES``."""
+    n, d = F.count(F.lit(1)), F.max(F.size("_u"))
+    least = F.when(n > PAIR_ROWS, PAIR_PARTS).otherwise(1)
+    parts = F.greatest(F.ceil(n * (8 * d + 40) / PART_BYTES), least).cast("int").alias("_m")
     rows = df.join(broadcast_if_small(df.groupBy(*keys).agg(parts)), list(keys))
     own = F.pmod(F.xxhash64(row), F.col("_m")).cast("int")
     others = F.explode(F.sequence(F.lit(0), F.col("_m") - 1))
@@ -303,9 +313,9 @@ def dataset_entropy(
     """Histogram entropy of the cosine distances of all pairs of an arm's rows, or with ``n`` of
     the pairs of that many sampled rows; with the rows there are and those used.
 
-    Rows are laid out in blocks and every pair of blocks is one group, which yields 50 counts; pairs
-    themselves are not written. Rows without a vector are no rows. An arm with a vector that is not
-    finite has no entropy.
+    Rows are laid out in a few parts and every pair of parts is one group, which yields 50 counts; pairs
+    themselves are not written, nor held but for a pair of blocks. Rows without a vector are no rows. An
+    arm with a vector that is not finite has no entropy.
     """
     fields = key_fields(df, keys)
     own = df.where(F.col(vector).isNotNull()).select(*keys, row, vector)
@@ -319,12 +329,13 @@ def dataset_entropy(
     names = [f.name for f in fields]
 
     def extent(table: pa.Table) -> pa.Table:
-        distance = _pair_distances(table)
-        known = len(distance) > 0
-        values = [distance.min() if known else None, distance.max() if known else None]
+        spans = [(x.min(), x.max()) for x in _pair_distances(table) if len(x)]
+        lows, highs = zip(*spans) if spans else ((), ())
+        values = [np.min(lows), np.max(highs)] if spans else [None, None]
         columns = [table.column(k).slice(0, 1) for k in names]
         columns += [pa.array([v], pa.float64()) for v in values]
-        columns += [pa.array([bool(np.isfinite(distance).all())])]
+        # one that is not finite is, or makes, the least or the greatest
+        columns += [pa.array([not spans or bool(np.isfinite(values).all())])]
         return pa.Table.from_arrays(columns, names=[*names, "_lo", "_hi", "_finite"])
 
     extents = T.StructType(
@@ -339,7 +350,9 @@ def dataset_entropy(
 
     def fill(table: pa.Table) -> pa.Table:
         span = table.column("_lo")[0].as_py(), table.column("_hi")[0].as_py()
-        filled = np.histogram(_pair_distances(table), HISTOGRAM_BINS, span)[0]
+        filled = np.zeros(HISTOGRAM_BINS, np.int64)
+        for distance in _pair_distances(table):
+            filled += np.histogram(distance, HISTOGRAM_BINS, span)[0]
         bins = np.flatnonzero(filled)
         columns = [pa.chunked_array([table.column(k).slice(0, 1).combine_chunks()] * len(bins)) if len(bins)
                    else table.column(k).slice(0, 0) for k in names]

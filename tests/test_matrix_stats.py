@@ -210,6 +210,30 @@ def test_pair_blocks_give_what_all_pairs_give(frame, arms, monkeypatch):
     assert sample == {"tall": (300, 20), "wide": (15, 15), "far": (60, 20)}
 
 
+def test_pairs_copy_a_row_a_fixed_number_of_times(matrix_frame, rng, monkeypatch):
+    """Many blocks in a few parts, also where a part is split for its bytes: all pairs, each once."""
+    arms = {"a": rng.normal(size=(260, 6)), "few": rng.normal(size=(6, 6)), "one": rng.normal(size=(1, 6))}
+    frame = matrix_frame(**arms)
+    copies, blocks = [], M._pair_blocks
+
+    def counted(*args):
+        found = blocks(*args)
+        copies.append({r.arm: r["count"] for r in found.groupBy("arm").count().collect()})
+        return found
+
+    monkeypatch.setattr(M, "_pair_blocks", counted)
+    monkeypatch.setattr(M, "PAIR_ROWS", 7)
+    for size in (M.PART_BYTES, 260 * 88 // 9):
+        monkeypatch.setattr(M, "PART_BYTES", size)
+        entropy = by_arm(M.dataset_entropy(frame, KEYS, None), "dataset_entropy")
+        for name in "a", "few":
+            u = arms[name] / (np.linalg.norm(arms[name], axis=1, keepdims=True) + 1e-10)
+            pairs = (u @ u.T)[np.triu_indices(len(u), k=1)]
+            assert entropy[name] == pytest.approx(histogram_entropy(1 - pairs), abs=1e-6)
+        assert entropy["one"] == 0
+    assert copies[0] == {"a": 260 * M.PAIR_PARTS, "few": 6, "one": 1} and copies[1]["a"] == 260 * 10
+
+
 def test_condition_number_does_not_change_with_the_scale(matrix_frame, rng):
     x = rng.normal(size=(15, 40))
     frame = matrix_frame(plain=x, large=1e3 * x)
