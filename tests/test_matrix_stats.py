@@ -200,6 +200,28 @@ def test_all_metrics_in_one_row_per_arm(frame, arms):
     assert rows["tall"].mean_pairwise_cosine == pytest.approx(cosine["tall"])
 
 
+def test_metrics_of_arms_without_structure_make_few_copies(spark, matrix_frame, rng, monkeypatch):
+    """Rows without a vector beside them: in many cells the same statistics as in one, probes not copied for each."""
+    from stratalens.operators import neighbors as B
+
+    frame = matrix_frame(a=rng.normal(size=(300, 24)))
+    missing = spark.createDataFrame([("a", 1000 + i, None) for i in range(5)], frame.schema)
+    frame = frame.unionByName(missing)
+    whole = M.representation_metrics(frame, KEYS).first()
+    routed, route = [], B._routed
+
+    def counted(*args):
+        found = route(*args)
+        routed.append(found.count())
+        return found
+
+    monkeypatch.setattr(B, "_routed", counted)
+    monkeypatch.setattr(B, "CELL_ROWS", 50)
+    cut = M.representation_metrics(frame, KEYS).first()
+    assert cut[1:-1] == pytest.approx(whole[1:-1], rel=1e-9) and cut.n == 300 and cut.reason is None
+    assert len(routed) == 1 and routed[0] <= B.FEW_CELLS * 300
+
+
 def test_pair_blocks_give_what_all_pairs_give(frame, arms, monkeypatch):
     whole = by_arm(M.dataset_entropy(frame, KEYS, None), "dataset_entropy")
     for size in (7, 40):
