@@ -28,7 +28,7 @@ from .neighbors import curvature
 from .sampling import sample_rows
 
 PAIR_ROWS = 1000  # rows of a block whose pairs are looked at together
-PAIR_PARTS = 5  # parts of an arm of more rows, any two of which meet in one group
+PAIR_PARTS = 5  # parts of a lone arm of more rows, any two of which meet in one group; of many arms each has fewer
 PART_BYTES = 64 << 20  # of such a part; arms that outgrow them have more parts
 NOT_FINITE = "a vector is not finite"
 _SPECTRAL = ["effective_rank", "logdet_covariance", "anisotropy", "spectral_norm", "condition_number"]
@@ -282,12 +282,15 @@ def _pair_distances(table: pa.Table) -> Iterator[np.ndarray]:
 
 def _pair_blocks(df: DataFrame, keys: Sequence[str], row: str) -> DataFrame:
     """Each row once for every pair of parts of its arm that its own part is in. Arms of more than
-    ``PAIR_ROWS`` rows have ``PAIR_PARTS`` parts, so that the copies of a row do not grow with its arm
-    until a part outgrows ``PART_BYTES``."""
-    n, d = F.count(F.lit(1)), F.max(F.size("_u"))
-    least = F.when(n > PAIR_ROWS, PAIR_PARTS).otherwise(1)
-    parts = F.greatest(F.ceil(n * (8 * d + 40) / PART_BYTES), least).cast("int").alias("_m")
-    rows = df.join(broadcast_if_small(df.groupBy(*keys).agg(parts)), list(keys))
+    ``PAIR_ROWS`` rows have ``PAIR_PARTS`` parts, fewer where other such arms keep the tasks busy too, so that
+    the copies of a row do not grow with its arm until a part outgrows ``PART_BYTES``."""
+    n, large = F.col("_n"), F.col("_n") > PAIR_ROWS
+    sizes = durable(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.max(F.size("_u")).alias("_d")))
+    every = sizes.agg(F.sum(F.when(large, n)).alias("_all"))
+    least = F.when(large, F.ceil(PAIR_PARTS * F.sqrt(n / F.col("_all")))).otherwise(1)
+    parts = F.greatest(F.ceil(n * (8 * F.col("_d") + 40) / PART_BYTES), least).cast("int").alias("_m")
+    parts = sizes.crossJoin(F.broadcast(every)).select(*keys, parts)
+    rows = df.join(broadcast_if_small(parts), list(keys))
     own = F.pmod(F.xxhash64(row), F.col("_m")).cast("int")
     others = F.explode(F.sequence(F.lit(0), F.col("_m") - 1))
     rows = rows.withColumn("_own", own).withColumn("_other", others)
@@ -314,8 +317,9 @@ def dataset_entropy(
     the pairs of that many sampled rows; with the rows there are and those used.
 
     Rows are laid out in a few parts and every pair of parts is one group, which yields 50 counts; pairs
-    themselves are not written, nor held but for a pair of blocks. Rows without a vector are no rows. An
-    arm with a vector that is not finite has no entropy.
+    themselves are not written, nor held but for a pair of blocks. Groups are gone through twice, for their
+    arm's range and to be counted, but both times read from one shuffle. Rows without a vector are no rows.
+    An arm with a vector that is not finite has no entropy.
     """
     fields = key_fields(df, keys)
     own = df.where(F.col(vector).isNotNull()).select(*keys, row, vector)
@@ -325,45 +329,47 @@ def dataset_entropy(
         own = durable(sample_rows(own, keys, n, seed, row))
     else:
         counts = counts.withColumn("n_used", F.col("n_rows"))
-    pairs = _pair_blocks(durable(_centred_units(own, keys, vector, row)), keys, row)
+    pairs = _pair_blocks(_centred_units(own, keys, vector, row), keys, row)
     names = [f.name for f in fields]
 
     def extent(table: pa.Table) -> pa.Table:
         spans = [(x.min(), x.max()) for x in _pair_distances(table) if len(x)]
         lows, highs = zip(*spans) if spans else ((), ())
         values = [np.min(lows), np.max(highs)] if spans else [None, None]
-        columns = [table.column(k).slice(0, 1) for k in names]
+        columns = [table.column(k).slice(0, 1) for k in [*names, "_a", "_b"]]
         columns += [pa.array([v], pa.float64()) for v in values]
         # one that is not finite is, or makes, the least or the greatest
         columns += [pa.array([not spans or bool(np.isfinite(values).all())])]
-        return pa.Table.from_arrays(columns, names=[*names, "_lo", "_hi", "_finite"])
+        return pa.Table.from_arrays(columns, names=[*names, "_a", "_b", "_lo", "_hi", "_finite"])
 
+    by, arm = [*keys, "_a", "_b"], Window.partitionBy(*keys)
     extents = T.StructType(
-        fields + T.StructType.fromDDL("_lo double, _hi double, _finite boolean").fields
+        [*fields, *T.StructType.fromDDL("_a int, _b int, _lo double, _hi double, _finite boolean").fields]
     )
-    by = [*keys, "_a", "_b"]
-    ranges = pairs.groupBy(*by).applyInArrow(extent, extents).groupBy(*keys)
-    ranges = ranges.agg(
-        F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"), F.every("_finite").alias("_finite")
+    # one row per group
+    ranges = pairs.groupBy(*by).applyInArrow(extent, extents).select(
+        *by,
+        F.min("_lo").over(arm).alias("_lo"),
+        F.max("_hi").over(arm).alias("_hi"),
+        F.every("_finite").over(arm).alias("_finite"),
     )
-    ranges = durable(ranges)
 
-    def fill(table: pa.Table) -> pa.Table:
-        span = table.column("_lo")[0].as_py(), table.column("_hi")[0].as_py()
+    def fill(table: pa.Table, span: pa.Table) -> pa.Table:
         filled = np.zeros(HISTOGRAM_BINS, np.int64)
-        for distance in _pair_distances(table):
-            filled += np.histogram(distance, HISTOGRAM_BINS, span)[0]
+        low, high, finite = (span.column(c)[0].as_py() for c in ("_lo", "_hi", "_finite"))
+        if finite and low is not None:
+            for distance in _pair_distances(table):
+                filled += np.histogram(distance, HISTOGRAM_BINS, (low, high))[0]
         bins = np.flatnonzero(filled)
-        columns = [pa.chunked_array([table.column(k).slice(0, 1).combine_chunks()] * len(bins)) if len(bins)
-                   else table.column(k).slice(0, 0) for k in names]
+        columns = [pa.chunked_array([span.column(k).slice(0, 1).combine_chunks()] * len(bins)) if len(bins)
+                   else span.column(k).slice(0, 0) for k in names]
         columns += [pa.array(bins.astype(np.int32)), pa.array(filled[bins].astype(np.int64))]
         return pa.Table.from_arrays(columns, names=[*names, "_bin", "_c"])
 
     counted = T.StructType(fields + T.StructType.fromDDL("_bin int, _c long").fields)
-    known = ranges.where("_finite AND _lo IS NOT NULL").drop("_finite")
-    bins = pairs.join(broadcast_if_small(known), list(keys)).groupBy(*by).applyInArrow(fill, counted)
+    bins = pairs.groupBy(*by).cogroup(ranges.groupBy(*by)).applyInArrow(fill, counted)
     bins = bins.groupBy(*keys, "_bin").agg(F.sum("_c").alias("_c"))
-    total = F.sum("_c").over(Window.partitionBy(*keys))
+    total = F.sum("_c").over(arm)
     entropy = bins.withColumn("_n", total).groupBy(*keys).agg(
         _entropy(F.col("_c"), F.col("_n"), HISTOGRAM_BINS).alias("_e")
     )

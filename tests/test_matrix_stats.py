@@ -256,6 +256,25 @@ def test_pairs_copy_a_row_a_fixed_number_of_times(matrix_frame, rng, monkeypatch
     assert copies[0] == {"a": 260 * M.PAIR_PARTS, "few": 6, "one": 1} and copies[1]["a"] == 260 * 10
 
 
+def test_pairs_are_shuffled_once(matrix_frame, rng, monkeypatch):
+    """The range and the counts are taken from the same shuffle, with fewer copies of a row if arms are many."""
+    arms = {f"a{i:02d}": rng.normal(size=(40, 6)) for i in range(12)}
+    copies, blocks = [], M._pair_blocks
+    monkeypatch.setattr(M, "_pair_blocks", lambda *args: copies.append(blocks(*args)) or copies[-1])
+    monkeypatch.setattr(M, "PAIR_ROWS", 7)
+    found = M.dataset_entropy(matrix_frame(**arms), KEYS, None)
+    entropy = {r.arm: r.dataset_entropy for r in found.collect()}
+    for name, x in arms.items():
+        u = x / (np.linalg.norm(x, axis=1, keepdims=True) + 1e-10)
+        pairs = (u @ u.T)[np.triu_indices(len(u), k=1)]
+        assert entropy[name] == pytest.approx(histogram_entropy(1 - pairs), abs=1e-6)
+    assert copies[0].count() == 12 * 40 * 2
+    plan = found._jdf.queryExecution().executedPlan().toString().partition("Initial Plan")[0]
+    of_pairs = [line for line in plan.splitlines() if "hashpartitioning(arm" in line and "_a#" in line and "_u#" in line]
+    assert plan.count("ReusedExchange") >= 1, plan
+    assert sum("ReusedExchange" in line for line in of_pairs) == 1 or len(of_pairs) == 1, of_pairs
+
+
 def test_condition_number_does_not_change_with_the_scale(matrix_frame, rng):
     x = rng.normal(size=(15, 40))
     frame = matrix_frame(plain=x, large=1e3 * x)
