@@ -1,21 +1,25 @@
 """Nearest neighbours of a set of probe rows, and the local curvature built on them.
 
 An exact search by pivots. Some rows of an arm, chosen by hash, are its pivots, and every row belongs to
-the cell of the pivot nearest to it. A probe is first held against its own cell, which bounds the
+the cell of the pivot nearest to it. An arm that a few groups can hold is one cell, which each group splits
+into cells of its own, so that its rows need not be dealt out by cell first. In larger arms a probe is first held against its own cell, which bounds the
 distance of its k-th neighbour; of the other cells it goes to those only that the triangle inequality does
 not rule out. A probe left with many cells, as all are where the vectors have no structure, is not copied
 for each of them: an arm is cut into a few parts of rows and of probes, every part of one meets every part
 of the other in one group, and within it cells are ruled out again. So a row is copied a fixed number of
-times, while the work may be that of all pairs. Distances and ids are ranked; vectors are joined last.
+times, while the work may be that of all pairs. Distances and ids are ranked; vectors are joined last. The
+curvature does not join them at all: lists of neighbours meet their arm's rows, and distances among the
+neighbours leave.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,10 +33,12 @@ from .sampling import sample_rows
 NEIGHBORS = 10
 CHUNK_ROWS = 100_000  # rows of an arm that meet probes in one group, fewer where vectors are wide
 PART_BYTES = 64 << 20  # of such rows
-SWEEPS = 6  # parts of an arm's probes at least, each of which meets the rows
+SWEEPS = 6  # parts of a lone arm's probes, each of which meets the rows; of many arms' each fewer
 PROBE_ROWS = 1_000
 PLACED_ROWS = 20_000
-CELL_ROWS = 2_000  # an arm of fewer rows is one cell
+CELL_ROWS = 400_000  # an arm of fewer rows is one cell
+CELL_PARTS = 4  # if these make no more parts
+GROUP_ROWS = 2_000  # a group of more rows is split into cells of its own
 FEW_CELLS = 4  # a probe with more cells to meet is swept over the whole arm
 PIVOT_BYTES = 64 << 20  # pivots that a group holds
 SLACK = 1e-9  # of a distance, for rounding: a cell this near the bound is still met
@@ -40,6 +46,7 @@ BLOCK_PROBES, BLOCK_ROWS = 256, 2048  # of a matrix of distances
 SLAB_BYTES = 32 << 20  # differences of pairs looked at exactly at a time
 
 FOUND = "probe_id long, neighbor_id long, squared double, _at long"
+AMONG = "probe_id long, _whole boolean, _condition double, _n int, _d int, _pairs array<int>, _squared array<double>"
 
 # places of probes, places of rows and squared distances, a row per pair
 Pairs = tuple[np.ndarray, np.ndarray, np.ndarray]
@@ -150,6 +157,48 @@ def _search(
     return tuple(np.concatenate(columns) for columns in zip(*found))
 
 
+def _own_cells(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """The nearest centre of each row, near enough for a search."""
+    middle = centres.mean(axis=0)
+    centres = centres - middle
+    half = (centres**2).sum(axis=1) / 2
+    cells = np.empty(len(x), np.int64)
+    for i in range(0, len(x), BLOCK_ROWS):
+        own = slice(i, i + BLOCK_ROWS)
+        cells[own] = np.argmin(half - (x[own] - middle) @ centres.T, axis=1)
+    return cells
+
+
+def _split_search(probe_ids: np.ndarray, p: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> Pairs:
+    """As ``_search`` without bounds. Where rows are many, some of them make cells: probes are held against
+    their own first, which bounds what the others have to be searched for. For few probes that costs more
+    than it spares."""
+    if len(x) <= GROUP_ROWS or len(p) ** 2 <= len(x):
+        return _search(probe_ids, p, ids, x, k)
+    centres = x[np.linspace(0, len(x) - 1, int(np.sqrt(len(x)))).astype(np.int64)]
+    cells, homes = _own_cells(x, centres), _own_cells(p, centres)
+    by_cell, by_home = np.argsort(cells, kind="stable"), np.argsort(homes, kind="stable")
+    numbers = np.arange(len(centres) + 1)
+    rows, probes = np.searchsorted(cells[by_cell], numbers), np.searchsorted(homes[by_home], numbers)
+    found, bound = [], np.full(len(p), np.inf)
+    for i in numbers[:-1]:
+        own, asked = by_cell[rows[i] : rows[i + 1]], by_home[probes[i] : probes[i + 1]]
+        if len(own) and len(asked):
+            probe, place, squared = _search(probe_ids[asked], p[asked], ids[own], x[own], k)
+            found.append((asked[probe], own[place], squared))
+    inside = tuple(np.concatenate(columns) for columns in zip(*found)) if found else None
+    if inside is not None:
+        last = np.zeros(len(p))
+        np.maximum.at(last, inside[0], inside[2])
+        full = np.bincount(inside[0], minlength=len(p)) == k
+        bound[full] = np.sqrt(last[full])
+    outside = _search(probe_ids, p, ids, x, k, bound, homes, cells)
+    if inside is None:
+        return outside
+    both = tuple(np.concatenate(columns) for columns in zip(inside, outside))
+    return _first(both, ids, k, len(p), np.full(len(p), np.inf))
+
+
 def _rows(fields, key: tuple, probe_ids: np.ndarray, base: pa.Table, row: str, pairs: Pairs) -> pa.Table:
     probe, place, squared = pairs
     finite = np.isfinite(squared)
@@ -170,18 +219,27 @@ def _parts(df: DataFrame, keys: Sequence[str], rows: int, name: str) -> DataFram
     return broadcast_if_small(df.groupBy(*keys).agg(count))
 
 
+def _chunks(vector: str) -> Column:
+    """How many parts of bounded size the rows of a group of them make."""
+    fit = F.greatest(PART_BYTES / (8 * F.max(F.size(vector)) + 40), F.lit(1.0))
+    return F.ceil(F.count(F.lit(1)) / F.least(F.lit(float(CHUNK_ROWS)), fit)).cast("int")
+
+
 def _meet(df, probes, keys, row, vector, k, fields, bounded: bool = False) -> DataFrame:
     """Rows and probes of an arm cut into parts by hash; every part of one meets every part of the
     other in a group of bounded size. Up to ``CHUNK_ROWS`` rows make one part, and more than ``PROBE_ROWS``
-    probes ``SWEEPS``, so that the copies of a row do not grow with its arm up to that size.
+    probes ``SWEEPS``, or fewer where other arms keep the tasks busy too, so that the copies of a row do not
+    grow with its arm up to that size.
 
     ``bounded`` probes have a ``_bound`` and a ``_cell`` of their own, which they do not meet."""
     schema = T.StructType([*fields, *T.StructType.fromDDL(FOUND).fields])
-    n, d = F.count(F.lit(1)), F.max(F.size(vector))
-    fit = F.least(F.lit(float(CHUNK_ROWS)), F.greatest(PART_BYTES / (8 * d + 40), F.lit(1.0)))
-    few = F.when(n > PROBE_ROWS, SWEEPS).otherwise(1)
-    chunks = df.groupBy(*keys).agg(F.ceil(n / fit).cast("int").alias("_m"))
-    blocks = probes.groupBy(*keys).agg(F.greatest(F.ceil(n / fit), few).cast("int").alias("_b"))
+    n, large = F.col("_n"), F.col("_n") > PROBE_ROWS
+    chunks = df.groupBy(*keys).agg(_chunks(vector).alias("_m"))
+    asked = durable(probes.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), _chunks(vector).alias("_c")))
+    every = asked.agg(F.sum(F.when(large, n)).alias("_all"))
+    few = F.when(large, F.ceil(SWEEPS * F.sqrt(n / F.col("_all")))).otherwise(1)
+    blocks = asked.crossJoin(F.broadcast(every))
+    blocks = blocks.select(*keys, F.greatest("_c", few).cast("int").alias("_b"))
     parts = broadcast_if_small(chunks.join(blocks, list(keys)))
 
     def cut(rows: DataFrame, own: str, other: str, mine: str, theirs: str) -> DataFrame:
@@ -197,14 +255,15 @@ def _meet(df, probes, keys, row, vector, k, fields, bounded: bool = False) -> Da
         if base.num_rows == 0 or near.num_rows == 0:
             return pa.Table.from_batches([], schema=pa_schema)
         probe_ids = near.column(f"_p_{row}").to_numpy()
-        limits = {}
+        search, limits = _split_search, {}
         if bounded:
+            search = _search
             limits = {
                 "bound": near.column("_p__bound").to_numpy(),
                 "homes": near.column("_p__cell").to_numpy(),
                 "cells": base.column("_cell").to_numpy(),
             }
-        pairs = _search(
+        pairs = search(
             probe_ids, to_matrix(near.column(f"_p_{vector}")),
             base.column(row).to_numpy(), to_matrix(base.column(vector)), k, **limits,
         )
@@ -237,10 +296,14 @@ def _swept(df, probes, keys, row, vector, k) -> DataFrame:
 def _pivots(df: DataFrame, keys: Sequence[str], row: str, vector: str) -> DataFrame:
     """``(keys…, _cell, _centre)``: about the root of an arm's rows as pivots, one for a small arm."""
     sizes = df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"), F.min(row).alias("_first"), F.max(F.size(vector)).alias("_d")
+        F.count(F.lit(1)).alias("_n"),
+        F.min(row).alias("_first"),
+        F.max(F.size(vector)).alias("_d"),
+        _chunks(vector).alias("_c"),
     )
     most = F.least(F.sqrt("_n"), PIVOT_BYTES / (8 * F.col("_d")))
-    wanted = F.when(F.col("_n") > CELL_ROWS, F.ceil(most)).otherwise(0)
+    wide = (F.col("_c") > CELL_PARTS) & (F.col("_n") > GROUP_ROWS)
+    wanted = F.when((F.col("_n") > CELL_ROWS) | wide, F.ceil(most)).otherwise(0)
     sizes = broadcast_if_small(sizes.withColumn("_p", wanted))
     chosen = (F.pmod(F.xxhash64(row), F.col("_n")) < F.col("_p")) | (F.col(row) == F.col("_first"))
     found = df.join(sizes, list(keys)).where(chosen)
@@ -276,9 +339,12 @@ def _with_table(df, small, keys, rows: int, run, ddl: str, row: str) -> DataFram
     return grouped.applyInArrow(both, schema)
 
 
-def _celled(df: DataFrame, pivots: DataFrame, keys: Sequence[str], row: str, vector: str) -> DataFrame:
+def _celled(
+    df: DataFrame, pivots: DataFrame, several: DataFrame | None, keys: Sequence[str], row: str, vector: str
+) -> DataFrame:
     """Rows with the ``_cell`` of their nearest pivot, the lower one of equals, how far ``_off`` it is, and a
-    number ``_at`` of their own, as ids may repeat."""
+    number ``_at`` of their own, as ids may repeat. Only rows of arms of ``several`` cells are dealt out to
+    their pivots; those of others have no use for ``_off``."""
 
     def nearest(left: pa.Table, table: pa.Table):
         x, centres = to_matrix(left.column(vector)), to_matrix(table.column("_s__centre"))
@@ -293,7 +359,12 @@ def _celled(df: DataFrame, pivots: DataFrame, keys: Sequence[str], row: str, vec
 
     ddl = f"`{row}` long, `{vector}` array<double>, _cell long, _off double"
     rows = df.select(*keys, F.col(row).cast("long").alias(row), vector)
-    placed = _with_table(rows, pivots, keys, PLACED_ROWS, nearest, ddl, row)
+    only = pivots if several is None else pivots.join(several, list(keys), "left_anti")
+    only = broadcast_if_small(only.select(*keys, "_cell"))
+    placed = rows.join(only, list(keys)).select(*keys, row, vector, "_cell", F.lit(0.0).alias("_off"))
+    if several is not None:
+        dealt = rows.join(several, list(keys), "left_semi")
+        placed = placed.unionByName(_with_table(dealt, pivots, keys, PLACED_ROWS, nearest, ddl, row))
     return durable(placed.withColumn("_at", F.monotonically_increasing_id()))
 
 
@@ -341,36 +412,44 @@ def knn(
     """``(keys…, probe_id, neighbor_id, distance, neighbor, rank)``: the ``k`` nearest rows of the
     same arm by Euclidean distance, never the probe itself; without ``probes`` those of every row. Rows
     whose distance is not a number are no neighbours. Without ``vectors`` there is no ``neighbor``."""
+    found, placed = _nearest(df, probes, keys, k, row, vector)
+    distance = F.sqrt("squared").alias("distance")
+    columns = [*keys, "probe_id", "neighbor_id", distance]
+    if not vectors:
+        return found.select(*columns, "rank")
+    found = found.join(placed.select("_at", F.col(vector).alias("neighbor")), "_at")
+    return found.select(*columns, "neighbor", "rank")
+
+
+def _nearest(
+    df: DataFrame, probes: DataFrame | None, keys: Sequence[str], k: int, row: str, vector: str
+) -> tuple[DataFrame, DataFrame]:
+    """``(keys…, probe_id, neighbor_id, squared, _at, rank)``, and the rows that ``_at`` numbers."""
     by = [*keys, "_cell"]
     finite = F.forall(vector, lambda x: F.abs(x) < float("inf"))
     rows = df.where(F.coalesce(finite, F.lit(False))).select(*keys, row, V.as_double(F.col(vector)).alias(vector))
     pivots = _pivots(rows, keys, row, vector)
-    placed = _celled(rows, pivots, keys, row, vector)
+    several = pivots.groupBy(*keys).agg(F.count(F.lit(1)).alias("_c")).where("_c > 1").drop("_c")
+    several = broadcast_if_small(several)
+    if several.isEmpty():
+        several = None
+    placed = _celled(rows, pivots, several, keys, row, vector)
     asked = placed
     if probes is not None:
         chosen = probes.where(F.coalesce(finite, F.lit(False)))
         chosen = chosen.select(*keys, row, V.as_double(F.col(vector)).alias(vector))
-        asked = _celled(chosen, pivots, keys, row, vector)
+        asked = _celled(chosen, pivots, several, keys, row, vector)
     fields = key_fields(placed, by)
     order = [F.col("squared"), F.col("neighbor_id")]
 
     def best(partial: DataFrame, rank: str) -> DataFrame:
         return top_rows(partial.drop("_cell"), [*keys, "probe_id"], order, k, rank)
 
-    def shaped(found: DataFrame) -> DataFrame:
-        distance = F.sqrt("squared").alias("distance")
-        columns = [*keys, "probe_id", "neighbor_id", distance]
-        if not vectors:
-            return found.select(*columns, "rank")
-        found = found.join(placed.select("_at", F.col(vector).alias("neighbor")), "_at")
-        return found.select(*columns, "neighbor", "rank")
-
     inside = _cogrouped(placed, asked.select(*by, row, vector), by, row, vector, k, fields)
-    inside = durable(best(inside, "rank"))
-    several = pivots.groupBy(*keys).agg(F.count(F.lit(1)).alias("_c")).where("_c > 1").drop("_c")
-    several = broadcast_if_small(several)
-    if several.isEmpty():  # arms of one cell have been searched as a whole
-        return shaped(inside)
+    inside = best(inside, "rank")
+    if several is None:  # arms of one cell have been searched as a whole
+        return inside, placed
+    inside = durable(inside)
     bounds = inside.groupBy(*keys, F.col("probe_id").alias(row)).agg(
         F.when(F.count(F.lit(1)) == k, F.sqrt(F.max("squared"))).alias("_bound")
     )
@@ -383,35 +462,143 @@ def knn(
     outside = _cogrouped(placed, near.select(*by, row, vector), by, row, vector, k, fields).drop("_cell")
     swept = _swept(placed, routed.where("_to IS NULL"), keys, row, vector, k)
     both = inside.drop("rank").unionByName(outside).unionByName(swept)
-    return shaped(best(both, "rank"))
+    return best(both, "rank"), placed
+
+
+def _conditions(squared: np.ndarray, width: int) -> np.ndarray:
+    """Condition numbers of the covariances of sets of rows, from matrices of squared distances within
+    each set; NaN where fewer than two eigenvalues count."""
+    n = squared.shape[1]
+    if n < 2:
+        return np.full(len(squared), np.nan)
+    mean = squared.mean(axis=2)
+    gram = mean[:, :, None] + mean[:, None, :] - squared - mean.mean(axis=1)[:, None, None]
+    # same nonzero spectrum as the d x d covariance; beyond the rank of the centred rows there is rounding noise only
+    values = np.linalg.eigvalsh(gram / (2 * (n - 1)))[:, ::-1][:, : min(n - 1, width)]
+    kept = values > EPS
+    least = np.where(kept, values, np.inf).min(axis=1)
+    return np.where(kept.sum(axis=1) > 1, values[:, 0] / (least + EPS), np.nan)
+
+
+def _filled(sets: int, n: int, at: np.ndarray, left: np.ndarray, right: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """``sets`` symmetric n x n matrices, with values at places ``left``, ``right`` of the ``at``-th."""
+    whole = np.zeros((sets, n, n))
+    whole[at, left, right] = whole[at, right, left] = value
+    return whole
+
+
+def _by_length(lists: pa.ChunkedArray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows of a list column by length, with the matrix of their elements."""
+    sizes = np.asarray(pc.list_value_length(lists))
+    for n in np.unique(sizes):
+        rows = np.flatnonzero(sizes == n)
+        own = lists.take(pa.array(rows)).combine_chunks()
+        yield rows, own.flatten().to_numpy(zero_copy_only=False).reshape(len(rows), n)
+
+
+def _among(fields, vector: str):
+    """Of lists of neighbours the squared distances of the pairs that meet in a group; where a list is there
+    as a whole, its condition number instead."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    schema = to_arrow_schema(T.StructType([*fields, *T.StructType.fromDDL(AMONG).fields]))
+
+    def among(key, base: pa.Table, asked: pa.Table) -> pa.Table:
+        tables = [pa.Table.from_batches([], schema=schema)]
+        if base.num_rows == 0 or asked.num_rows == 0:
+            return tables[0]
+        x, at = to_matrix(base.column(vector)), base.column("_at").to_numpy()
+        part, order = base.column("_own").to_numpy(), np.argsort(at)
+        one = key[-2].as_py() == key[-1].as_py()
+        for rows, near in _by_length(asked.column("_near")):
+            n, own = near.shape[1], asked.take(pa.array(rows))
+            left, right = np.triu_indices(n, k=1)
+            place = order[np.minimum(np.searchsorted(at, near, sorter=order), len(at) - 1)]
+            here, of = at[place] == near, part[place]
+            met = here[:, left] & here[:, right]
+            if not one:
+                met &= of[:, left] != of[:, right]
+            which, pair = np.nonzero(met)
+            squared = _exact(x, x, place[which, left[pair]], place[which, right[pair]])
+            whole = own.column("_whole").to_numpy(zero_copy_only=False).astype(bool)
+            kept, number = whole[which], np.cumsum(whole) - 1
+            filled = number[which[kept]], left[pair[kept]], right[pair[kept]], squared[kept]
+            condition = np.full(len(rows), np.nan)
+            condition[whole] = _conditions(_filled(whole.sum(), n, *filled), x.shape[1])
+            ends = pa.array(np.searchsorted(which[~kept], np.arange(len(rows) + 1)), pa.int32())
+            columns = arrow_keys(fields, [tuple(v.as_py() for v in key[: len(fields)])] * len(rows)) + [
+                own.column("probe_id"),
+                pa.array(whole),
+                pa.array(condition),
+                pa.array(np.full(len(rows), n), pa.int32()),
+                pa.array(np.full(len(rows), x.shape[1]), pa.int32()),
+                pa.ListArray.from_arrays(ends, pa.array((left * n + right)[pair[~kept]], pa.int32())),
+                pa.ListArray.from_arrays(ends, pa.array(squared[~kept])),
+            ]
+            tables.append(pa.Table.from_arrays(columns, schema=schema))
+        return pa.concat_tables(tables)
+
+    return among
 
 
 def _condition_of(fields: Sequence[T.StructField]):
-    names = [f.name for f in fields]
+    """The condition numbers of some probes' neighbours, put together from what groups found of them."""
 
     def conditions(table: pa.Table) -> pa.Table:
-        x = to_matrix(table.column("neighbor"))
-        probes = table.column("probe_id").to_numpy()
-        found = []
-        for probe in np.unique(probes):
-            near = x[probes == probe]
-            if len(near) < 2:
-                continue
-            centred = near - near.mean(axis=0)
-            # same nonzero spectrum as the d x d covariance
-            values = np.linalg.eigvalsh(centred @ centred.T / (len(near) - 1))[::-1]
-            # beyond the rank of the centred rows there is rounding noise only
-            values = values[: min(len(near) - 1, x.shape[1])]
-            values = values[values > EPS]
-            if len(values) > 1:
-                found.append(float(values.max() / (values.min() + EPS)))
-        first = pa.array([0] * len(found), pa.int64())
+        whole = table.column("_whole").to_numpy(zero_copy_only=False).astype(bool)
+        found = [table.column("_condition").to_numpy()[whole]]
+        rest = table.filter(pa.array(~whole))
+        sizes, widths = rest.column("_n").to_numpy(), rest.column("_d").to_numpy()
+        for n, width in sorted(set(zip(sizes, widths))):
+            own = rest.filter(pa.array((sizes == n) & (widths == width)))
+            probes, number = np.unique(own.column("probe_id").to_numpy(), return_inverse=True)
+            lists = own.column("_pairs").combine_chunks()
+            at = np.repeat(number, np.asarray(pc.list_value_length(lists)))
+            left, right = np.divmod(lists.flatten().to_numpy(), n)
+            squared = own.column("_squared").combine_chunks().flatten().to_numpy()
+            found.append(_conditions(_filled(len(probes), n, at, left, right, squared), width))
+        values = np.concatenate(found)
+        values = values[~np.isnan(values)]
+        first = pa.array([0] * len(values), pa.int64())
+        names = [f.name for f in fields]
         keys = [table.column(name).combine_chunks().take(first) for name in names]
-        return pa.Table.from_arrays([*keys, pa.array(found, pa.float64())], names=[*names, "_condition"])
+        return pa.Table.from_arrays([*keys, pa.array(values, pa.float64())], names=[*names, "_condition"])
 
     return conditions
 
 
+def _neighborhoods(near: DataFrame, placed: DataFrame, keys: Sequence[str], vector: str) -> DataFrame:
+    """``(keys…, _condition)`` of the covariance of each probe's neighbours, from distances among them.
+
+    Lists of neighbours meet the rows, an arm's in parts of bounded size, and a list goes to every pair of
+    parts that it has rows in. So a row is copied once for each part of its arm, and no vector for a probe.
+    """
+    fields = key_fields(placed, keys)
+    blocks = F.ceil(F.count(F.lit(1)) / PROBE_ROWS).cast("int")
+    parts = broadcast_if_small(placed.groupBy(*keys).agg(_chunks(vector).alias("_m"), blocks.alias("_b")))
+    groups_by = [*keys, "_x", "_y"]
+
+    def part(number: Column) -> Column:
+        return F.pmod(F.xxhash64(number), F.col("_m")).cast("int")
+
+    rows = placed.select(*keys, "_at", vector).join(parts, list(keys)).withColumn("_own", part(F.col("_at")))
+    rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_m") - 1)))
+    least, most = F.least("_own", "_other"), F.greatest("_own", "_other")
+    rows = rows.select(*keys, least.alias("_x"), most.alias("_y"), "_own", "_at", vector)
+    lists = near.groupBy(*keys, "probe_id").agg(F.collect_list("_at").alias("_near")).join(parts, list(keys))
+    lists = lists.withColumn("_in", F.array_distinct(F.transform("_near", part)))
+    lists = lists.withColumn("_x", F.explode("_in")).withColumn("_y", F.explode("_in")).where("_x <= _y")
+    lists = lists.withColumn("_whole", F.size("_in") == 1).select(*groups_by, "probe_id", "_near", "_whole")
+    # aliased, since both come from the same rows
+    lists = lists.withColumnsRenamed({c: f"_l_{c}" for c in groups_by})
+    schema = T.StructType([*fields, *T.StructType.fromDDL(AMONG).fields])
+    grouped = rows.groupBy(*groups_by).cogroup(lists.groupBy(*[f"_l_{c}" for c in groups_by]))
+    found = grouped.applyInArrow(_among(fields, vector), schema).join(parts, list(keys))
+    found = found.withColumn("_block", F.pmod(F.xxhash64("probe_id"), F.col("_b"))).drop("_m", "_b")
+    schema = T.StructType([*fields, T.StructField("_condition", T.DoubleType())])
+    return found.groupBy(*keys, "_block").applyInArrow(_condition_of(fields), schema)
+
+
 def curvature(
     df: DataFrame,
     keys: Sequence[str],
@@ -424,15 +611,10 @@ def curvature(
     """Mean condition number of the covariance of each probe's ``min(k, n-1)`` neighbours; 0 below
     three rows. Every row is a probe, or with ``probes`` that many of an arm's, chosen by hash. With the
     rows there are and the probes used."""
-    fields = key_fields(df, keys)
     own = df.where(F.col(vector).isNotNull()).select(*keys, row, vector)
-    chosen = own if probes is None else durable(sample_rows(own, keys, probes, seed, row))
-    near = knn(own, None if probes is None else chosen, keys, k, row, vector)
-    schema = T.StructType(fields + [T.StructField("_condition", T.DoubleType())])
-    parts = _parts(chosen, keys, PROBE_ROWS, "_b")
-    block = F.pmod(F.xxhash64("probe_id"), F.col("_b")).alias("_block")
-    near = near.join(parts, list(keys)).select(*keys, "probe_id", "neighbor", block)
-    found = near.groupBy(*keys, "_block").applyInArrow(_condition_of(fields), schema)
+    chosen = None if probes is None else durable(sample_rows(own, keys, probes, seed, row))
+    near, placed = _nearest(own, chosen, keys, k, row, vector)
+    found = _neighborhoods(near, placed, keys, vector)
     found = found.groupBy(*keys).agg(F.avg("_condition").alias("curvature"))
     sizes = own.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"))
     used = F.col("n_rows") if probes is None else F.least("n_rows", F.lit(probes).cast("long"))

@@ -152,3 +152,70 @@ def test_curvature_does_not_change_with_the_scale(matrix_frame, rng):
     frame = matrix_frame(plain=x, large=1024 * x)
     found = {r.arm: r.curvature for r in B.curvature(frame, KEYS, None).collect()}
     assert found["large"] == pytest.approx(found["plain"], rel=1e-6) and found["plain"] < 1e4
+
+
+def test_arms_of_one_cell_are_not_dealt_out_first(arms, matrix_frame, monkeypatch):
+    """Many arms share the tasks: a row of each is copied less often than that of a lone arm."""
+    monkeypatch.setattr(B, "PROBE_ROWS", 10)
+    parts, small = [], B.broadcast_if_small
+    monkeypatch.setattr(B, "broadcast_if_small", lambda df: parts.extend(df.collect()) or small(df))
+
+    def dealt(*_):
+        raise AssertionError("rows of one cell need not meet their pivot")
+
+    monkeypatch.setattr(B, "_with_table", dealt)
+    x = arms["hot"][:40]
+    frame = matrix_frame(**{f"a{i:02d}": x for i in range(12)})
+    found = {(r.arm, r.probe_id, r["rank"]): r.neighbor_id for r in B.knn(frame, None, KEYS, k=4).collect()}
+    assert all(found[f"a{i:02d}", p, n + 1] == brute(x, p, 4)[n] for i in (0, 11) for p in range(40) for n in range(4))
+    blocks = [(r["_m"], r["_b"]) for r in parts if "_m" in r and "_b" in r]
+    assert blocks == [(1, 2)] * 12
+
+
+@pytest.mark.parametrize("far", [0.0, 1e6])
+def test_groups_of_many_rows_make_cells_of_their_own(rng, monkeypatch, far):
+    x = rng.normal(size=(8, 4))[rng.integers(0, 8, 400)] * 30 + rng.normal(size=(400, 4)).round(1) + far
+    x[300:340] = x[0]  # a cell of equal rows
+    ids = np.arange(400)[::-1].copy()
+    asked = rng.permutation(400)[:150]
+    plain = B._search(ids[asked], x[asked], ids, x, 6)
+    searched, search = [], B._search
+    monkeypatch.setattr(B, "GROUP_ROWS", 100)
+    monkeypatch.setattr(B, "_search", lambda *args: searched.append(len(args)) or search(*args))
+    probe, place, squared = B._split_search(ids[asked], x[asked], ids, x, 6)
+    assert len(searched) > 2
+    for i in range(150):
+        assert list(ids[place[probe == i]]) == list(ids[plain[1][plain[0] == i]])
+        np.testing.assert_array_equal(squared[probe == i], plain[2][plain[0] == i])
+
+
+def test_curvature_of_arms_in_parts_moves_no_vectors_of_neighbours(arms, matrix_frame, monkeypatch):
+    frame = matrix_frame(**arms)
+    whole = {r.arm: r.curvature for r in B.curvature(frame, KEYS, None).collect()}
+    some = {r.arm: r.curvature for r in B.curvature(frame, KEYS, 50).collect()}
+    monkeypatch.setattr(B, "CHUNK_ROWS", 64)
+    monkeypatch.setattr(B, "PROBE_ROWS", 12)
+    cut = B.curvature(frame, KEYS, None)
+    plan = cut._jdf.queryExecution().analyzed().toString()
+    assert "neighbor#" not in plan and "_near#" in plan
+    assert {r.arm: r.curvature for r in cut.collect()} == pytest.approx(whole, rel=1e-9)
+    cut = {r.arm: r.curvature for r in B.curvature(frame, KEYS, 50).collect()}
+    assert cut == pytest.approx(some, rel=1e-9)
+    again = frame.unionByName(frame.where("row_id % 3 = 0"))  # ids that several rows have
+    cut = {r.arm: r.curvature for r in B.curvature(again, KEYS, None).collect()}
+    monkeypatch.undo()
+    assert cut == pytest.approx({r.arm: r.curvature for r in B.curvature(again, KEYS, None).collect()}, rel=1e-9)
+
+
+def test_wide_arms_of_many_parts_are_cut_into_cells(matrix_frame, rng, monkeypatch):
+    """One cell only where its rows make few parts, as each part of probes meets each part of rows."""
+    monkeypatch.setattr(B, "GROUP_ROWS", 50)
+    monkeypatch.setattr(B, "CHUNK_ROWS", 20)
+    x = np.repeat(rng.normal(size=(10, 6)) * 20, 12, axis=0) + rng.normal(size=(120, 6))
+    frame = matrix_frame(wide=x, small=x[:40])
+    pivots = {r.arm: r["count"] for r in B._pivots(frame, KEYS, "row_id", "embedding").groupBy("arm").count().collect()}
+    assert pivots["wide"] > 1 and pivots["small"] == 1
+    rows = B.knn(frame, None, KEYS, k=4).collect()
+    found = {(r.arm, r.probe_id, r["rank"]): r.neighbor_id for r in rows}
+    for name, own in ("wide", x), ("small", x[:40]):
+        assert all([found[name, p, i + 1] for i in range(4)] == brute(own, p, 4) for p in range(len(own)))
