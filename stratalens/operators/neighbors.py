@@ -1,15 +1,15 @@
 """Nearest neighbours of a set of probe rows, and the local curvature built on them.
 
 An exact search by pivots. Some rows of an arm, chosen by hash, are its pivots, and every row belongs to
-the cell of the pivot nearest to it. An arm that a few groups can hold is one cell, which each group splits
-into cells of its own, so that its rows need not be dealt out by cell first. In larger arms a probe is first held against its own cell, which bounds the
-distance of its k-th neighbour; of the other cells it goes to those only that the triangle inequality does
-not rule out. A probe left with many cells, as all are where the vectors have no structure, is not copied
-for each of them: an arm is cut into a few parts of rows and of probes, every part of one meets every part
-of the other in one group, and within it cells are ruled out again. So a row is copied a fixed number of
-times, while the work may be that of all pairs. Distances and ids are ranked; vectors are joined last. The
-curvature does not join them at all: lists of neighbours meet their arm's rows, and distances among the
-neighbours leave.
+the cell of the pivot nearest to it. An arm of few parts is one cell, which each group splits into cells of
+its own, so that its rows need not be dealt out by cell first. In larger arms a probe is first held against
+its own cell, which bounds the distance of its k-th neighbour; of the other cells it goes to those only that
+the triangle inequality does not rule out. A probe left with many cells, as all are where the vectors have no
+structure, is not copied for each of them: an arm is cut into a few parts of rows and of probes, every part of
+one meets every part of the other in one group, and within it cells are ruled out again. So a row is copied a
+fixed number of times, while the work may be that of all pairs. Distances and ids are ranked; vectors are
+joined last. The curvature does not join them at all: lists of neighbours meet their arm's rows, and distances
+among the neighbours leave.
 """
 
 from __future__ import annotations
